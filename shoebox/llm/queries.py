@@ -6,15 +6,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoebox.llm import line_templates, mixture, sharding
+from shoebox.llm.bpe import ByteBPE
 from shoebox.llm.tables import read_table
 
 
+def tokenizer_path(name: str) -> str:
+    """Where an installed public vocabulary file lies on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixture.mix(docs, entropy_fraction=0.5, max_repeats=4.0)
     return mixed.select("doc_id", "source", "mix_tokens", "mix_weight", "mix_repeats", "mix_epoch", "mix_block", "mix_position")
 
 
+def op4_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bpe = ByteBPE(spark, tokenizer_path("byte_bpe_50k.json"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", bpe.encode("text").alias("ids"))
+    return docs.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(bpe.decode("ids"), 256).alias("decoded_sha256"),
+    )
+
+
 def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_templates.drop_recurring_lines(docs)
@@ -26,7 +45,7 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_temperature_mix, op7_line_templates, op10_sampled_splitters)}
+QUERIES = {f.__name__: f for f in (op2_temperature_mix, op4_bpe_trie, op7_line_templates, op10_sampled_splitters)}
 
 ORACLE = {
     "op7_line_templates": r"""
