@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm import line_templates, mixture, sharding
+from shoebox.llm import jaccard_join, line_templates, mixture, sharding
 from shoebox.llm.bpe import ByteBPE
 from shoebox.llm.tables import read_table
 
@@ -39,13 +39,18 @@ def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.drop_recurring_lines(docs)
 
 
+def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.jaccard_components(docs)
+
+
 def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     dealt = sharding.shard_by_bytes(docs, n_shards=16)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_temperature_mix, op4_bpe_trie, op7_line_templates, op10_sampled_splitters)}
+QUERIES = {f.__name__: f for f in (op2_temperature_mix, op4_bpe_trie, op7_line_templates, op9_parity_join, op10_sampled_splitters)}
 
 ORACLE = {
     "op7_line_templates": r"""
