@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shoebox.llm import jaccard_join, line_templates, mixture, sharding
 from shoebox.llm.bpe import ByteBPE
 from shoebox.llm.tables import read_table
+from shoebox.llm.unigram_count import UnigramCounter, sentencepiece_vocabulary
 
 
 def tokenizer_path(name: str) -> str:
@@ -39,6 +40,12 @@ def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.drop_recurring_lines(docs)
 
 
+def op8_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces, _ = sentencepiece_vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", UnigramCounter(spark, pieces).count("text").alias("n_tokens"))
+
+
 def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_join.jaccard_components(docs)
@@ -50,7 +57,7 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_temperature_mix, op4_bpe_trie, op7_line_templates, op9_parity_join, op10_sampled_splitters)}
+QUERIES = {f.__name__: f for f in (op2_temperature_mix, op4_bpe_trie, op7_line_templates, op8_viterbi_counts, op9_parity_join, op10_sampled_splitters)}
 
 ORACLE = {
     "op7_line_templates": r"""
