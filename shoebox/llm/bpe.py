@@ -14,10 +14,12 @@ encoded. Repeated rows and all other columns are untouched, as these are column
 from __future__ import annotations
 
 import json
+from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import sha256
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import regex
@@ -31,7 +33,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 #: Bounds of what a worker keeps between batches. Emptying the stores costs time only.
-WORDS_KEPT, PAIRS_KEPT, LONGEST_KEPT = 500_000, 500_000, 40
+WORDS_KEPT, PAIRS_KEPT, STEPS_KEPT, LONGEST_KEPT = 150_000, 300_000, 300_000, 40
 
 
 def byte_of_character() -> dict[str, int]:
@@ -40,6 +42,18 @@ def byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in PRINTABLE} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _Filled(dict):
+    """A dict that works out a missing entry from its key and keeps it."""
+
+    def __init__(self, work):
+        super().__init__()
+        self.work = work
+
+    def __missing__(self, key: int):
+        found = self[key] = self.work(key)
+        return found
+
+
 class Vocabulary:
     """Tokens, merges and special tokens of a byte-level BPE file of the tokenizers library."""
 
@@ -48,7 +62,8 @@ class Vocabulary:
         byte = byte_of_character()
         self.tokens: dict[bytes, int] = {bytes(byte[c] for c in t): i for t, i in model["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
-        self.bytes_of = {i: t for t, i in self.tokens.items()} | {i: t.encode() for t, i in self.special.items()}
+        #: an id that is in no vocabulary decodes to nothing
+        self.bytes_of: dict[int, bytes] = defaultdict(bytes, {i: t for t, i in self.tokens.items()} | {i: t.encode() for t, i in self.special.items()})
         self.special_pattern = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.word_pattern = regex.compile(WORD_PATTERN)
         ids = {t: i for t, i in model["model"]["vocab"].items()}
@@ -61,25 +76,28 @@ class Vocabulary:
             self.rank[pair] = rank
             self.made.setdefault(ids[left + right], (*pair, rank))
         self._link_suffixes()
-        self.size = {i: len(t) for i, t in self.bytes_of.items()}
+        self.size = [len(self.bytes_of.get(i, b"")) for i in range(max(self.bytes_of) + 1)]
         self.edges: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        #: left << 20 | right -> whether the two tokens stand side by side
+        self.pairs = _Filled(lambda pair: self._stands(pair >> 20, pair & 0xFFFFF))
         self.words: dict[str | int, tuple[int, ...]] = {i: (i,) for i in self.special.values()}
 
     def _link_suffixes(self) -> None:
         """An automaton that holds, for all bytes read so far, their longest end that begins a token (a node), and for
         each node the longest token that ends there; `shorter` has the next one that ends where a token does."""
-        self.step: dict[int, int] = {}
+        self.trie: dict[int, int] = {}
         begins, children = {b"": 0}, [[]]
         for token in self.tokens:
             for end in range(1, len(token) + 1):
                 if token[:end] not in begins:
                     node = begins[token[:end]] = len(children)
                     parent = begins[token[: end - 1]]
-                    self.step[parent << 8 | token[end - 1]] = node
+                    self.trie[parent << 8 | token[end - 1]] = node
                     children[parent].append((token[end - 1], node))
                     children.append([])
         self.back, self.ends = [0] * len(children), [-1] * len(children)
+        #: node << 8 | byte -> the node after that byte
+        self.step = _Filled(self._next)
         own = {begins[t]: i for t, i in self.tokens.items()}
         self.shorter: dict[int, int] = {}
         level = [0]
@@ -87,20 +105,18 @@ class Vocabulary:
             below = []
             for node in level:
                 for byte, child in children[node]:
-                    self.back[child] = self._next(self.back[node], byte) if node else 0
+                    self.back[child] = self.step[self.back[node] << 8 | byte] if node else 0
                     self.ends[child] = own.get(child, self.ends[self.back[child]])
                     if child in own:
                         self.shorter[own[child]] = self.ends[self.back[child]]
                     below.append(child)
             level = below
 
-    def _next(self, node: int, byte: int) -> int:
-        """The node after one more byte; what is found by way of shorter ends is kept as a step of its own."""
-        at = node
-        while (found := self.step.get(at << 8 | byte)) is None and at:
-            at = self.back[at]
-        found = self.step[node << 8 | byte] = found or 0
-        return found
+    def _next(self, key: int) -> int:
+        node, byte = key >> 8, key & 0xFF
+        while (found := self.trie.get(node << 8 | byte)) is None and node:
+            node = self.back[node]
+        return found or 0
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int, float]]:
         """The tokens at one edge of `token` as merging makes it (side 0: right edge, 1: left edge), each with the rank
@@ -129,8 +145,9 @@ class Vocabulary:
 
     def encode_words(self, words: set[str]) -> dict[str, tuple[int, ...]]:
         """The token ids of distinct words, by one depth-first walk of their trie."""
-        if len(self.pairs) > PAIRS_KEPT:
-            self.pairs.clear()
+        for kept, most in ((self.pairs, PAIRS_KEPT), (self.step, STEPS_KEPT)):
+            if len(kept) > most:
+                kept.clear()
         pairs, step, ends, shorter, size = self.pairs, self.step, self.ends, self.shorter, self.size
         out, before, last, nodes = {}, b"", [-1], [0]
         for data, word in sorted((w.encode(), w) for w in words):
@@ -138,21 +155,16 @@ class Vocabulary:
             while shared < most and before[shared] == data[shared]:
                 shared += 1
             del last[shared + 1 :], nodes[shared + 1 :]
-            node = nodes[-1]
-            for end in range(shared + 1, len(data) + 1):
-                byte = data[end - 1]
-                after = step.get(node << 8 | byte)
-                node = self._next(node, byte) if after is None else after
-                nodes.append(node)
+            node, end = nodes[shared], shared
+            for byte in data[shared:]:
+                end += 1
+                node = step[node << 8 | byte]
                 token = ends[node]
-                while start := end - size[token]:
-                    pair = last[start], token
-                    stands = pairs.get(pair)
-                    if stands is None:
-                        stands = pairs[pair] = self._stands(*pair)
-                    if stands:
-                        break
+                start = end - size[token]
+                while start and not pairs[last[start] << 20 | token]:
                     token = shorter[token]
+                    start = end - size[token]
+                nodes.append(node)
                 last.append(token)
             before, at, ids = data, len(data), []
             while at:
@@ -177,7 +189,7 @@ class Vocabulary:
             self.words = {i: (i,) for i in self.special.values()}
         known = self.words
         met = set(chain.from_iterable(split))
-        found = self.encode_words(met - known.keys())
+        found = self.encode_words(met.difference(known))
         known.update(found)
         out = [list(chain.from_iterable(map(known.__getitem__, s))) for s in split]
         for word in found:
@@ -186,8 +198,7 @@ class Vocabulary:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        get = self.bytes_of.get
-        return b"".join([get(i, b"") for i in ids]).decode("utf-8", "replace")
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
 _loaded: dict[str, Vocabulary] = {}
@@ -201,7 +212,7 @@ def _vocabulary(name: str, sent: Broadcast) -> Vocabulary:
     return _loaded[name]
 
 
-def _pieces(batch: pa.Array, size: int = 256, most: int = 4_000_000) -> Iterator[pa.Array]:
+def _pieces(batch: pa.Array, size: int = 2_000, most: int = 4_000_000) -> Iterator[pa.Array]:
     """Runs of a batch with `size` rows or fewer and, if of more than one row, `most` bytes or fewer."""
     at, lengths = 0, pa.compute.fill_null(pa.compute.binary_length(batch), 0).to_pylist()
     while at < len(batch):
@@ -224,13 +235,19 @@ class ByteBPE:
         def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             own = _vocabulary(name, sent)
             for batch in batches:
-                parts = [pa.array(own.encode_batch([t or "" for t in piece.to_pylist()]), pa.list_(pa.int32())) for piece in _pieces(batch)]
-                yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+                parts = [np.zeros(0, np.int32)]
+                counts = [0]
+                for piece in _pieces(batch):
+                    ids = own.encode_batch([t or "" for t in piece.to_pylist()])
+                    counts += map(len, ids)
+                    parts.append(np.fromiter(chain.from_iterable(ids), np.int32, sum(counts[-len(ids) :])))
+                yield pa.ListArray.from_arrays(np.cumsum(counts).astype(np.int32), np.concatenate(parts))
 
         def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             own = _vocabulary(name, sent)
             for batch in batches:
-                yield pa.array([own.decode(ids.as_py() or []) for ids in batch], pa.string())
+                at, ids = batch.offsets.to_pylist(), batch.values.to_numpy(zero_copy_only=False)
+                yield pa.array([own.decode(ids[a:b].tolist()) for a, b in zip(at, at[1:])], pa.string())
 
         self._encode = F.arrow_udf(encode, T.ArrayType(T.IntegerType()))
         self._decode = F.arrow_udf(decode, T.StringType())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shoebox.llm import jaccard_join, line_templates, mixture, sharding
 from shoebox.llm.bpe import ByteBPE
-from shoebox.llm.tables import read_table
+from shoebox.llm.tables import read_table, short_batches
 from shoebox.llm.unigram_count import UnigramCounter, sentencepiece_vocabulary
 
 
@@ -25,6 +25,7 @@ def op2_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     bpe = ByteBPE(spark, tokenizer_path("byte_bpe_50k.json"))
     docs = read_table(spark, sf_dir, "documents").select("doc_id", bpe.encode("text").alias("ids"))
     return docs.select(
@@ -41,12 +42,14 @@ def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     pieces, _ = sentencepiece_vocabulary(tokenizer_path("piece_bpe_32k.model"))
     docs = read_table(spark, sf_dir, "documents")
     return docs.select("doc_id", UnigramCounter(spark, pieces).count("text").alias("n_tokens"))
 
 
 def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_join.jaccard_components(docs)
 

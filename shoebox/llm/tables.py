@@ -28,12 +28,31 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Rows of text in one Arrow batch. A worker holds a batch's texts and what it makes of them at once.
+TEXT_ROWS = 2_000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Let the session hand whole texts to Python workers in batches of at most TEXT_ROWS rows."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it back.
 
-    The returned frame starts from files: a lost executor costs a re-read, not a re-run of what came before.
+    The returned frame starts from files: a lost executor costs a re-read, not a re-run of what came before. The shuffle
+    files of the work that made the table are of no more use and are deleted with its end.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/shoebox-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
