@@ -66,12 +66,12 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (id, n, s1, s2) for each text, and rows (member, -count, 0, 0) for a task's frequent members."""
+    """A row (id, n, s1, s2, sketch) for each text, and rows (member, -count, ...) for a task's frequent members."""
     seen: set[tuple[int, int]] = set()
     counts: dict[int, int] = {}
 
-    def rows(ids, n, s1, s2):
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(_signed(s1)), pa.array(_signed(s2))], ["id", "n", "s1", "s2"])
+    def rows(ids, n, s1, s2, sketches):
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(_signed(s1)), pa.array(_signed(s2)), pa.array(sketches, pa.binary())], ["id", "n", "s1", "s2", "sketch"])
 
     for ids, texts in texts_of(batches):
         sets = shingle_sets(texts)
@@ -84,9 +84,9 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts[m] = counts.get(m, 0) + c
             if len(counts) > 20 * FREQUENT_MOST:  # keep the heavier ones
                 counts = dict(sorted(counts.items(), key=lambda x: -x[1])[: 5 * FREQUENT_MOST])
-        yield rows(ids, [len(s) for s in sets], [k[0] for k in signs], [k[1] for k in signs])
+        yield rows(ids, [len(s) for s in sets], [k[0] for k in signs], [k[1] for k in signs], [bit_sketch(s) for s in sets])
     often = sorted(((c, m) for m, c in counts.items() if c >= 3 and c * FREQUENT >= len(seen)), reverse=True)[:FREQUENT_MOST]
-    yield rows(_signed([m for _, m in often]), [-c for c, _ in often], [0] * len(often), [0] * len(often))
+    yield rows(_signed([m for _, m in often]), [-c for c, _ in often], [0] * len(often), [0] * len(often), [None] * len(often))
 
 
 def part_keys(s: np.ndarray, band: int, members: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -113,8 +113,9 @@ def bands(n: int) -> tuple[int, ...]:
     return (band, band + 1) if 4 * n >= 3 << (band + 1) else (band,)
 
 
-def bit_sketch(s: np.ndarray, n_bits: int) -> bytes:
-    """Parity of the members at each of n_bits places."""
+def bit_sketch(s: np.ndarray) -> bytes:
+    """Parity of the members at each of 2 to 4 places a member, so that differences seldom cancel."""
+    n_bits = 1 << max(6, len(s).bit_length() + 1)
     bits = np.bincount((mix64(s ^ np.uint64(0xB175)) & np.uint64(n_bits - 1)).astype(np.int64), minlength=n_bits) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
@@ -123,7 +124,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(id, n_shingles, component_id) for every row of `docs`; the threshold is 0.75 on shingles of five words."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    described = materialize(texts.mapInArrow(_describe, "id long, n long, s1 long, s2 long"), "shingle-sets")
+    described = materialize(texts.mapInArrow(_describe, "id long, n long, s1 long, s2 long, sketch binary"), "shingle-sets")
     sets = described.where("n >= 0")
     # at most FREQUENT_MOST members, whatever the size of the input
     often = described.where("n < 0").groupBy("id").agg(F.sum(-F.col("n")).alias("c")).orderBy(F.desc("c"), "id").limit(FREQUENT_MOST).collect()
@@ -135,32 +136,46 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         members, weights = sent.value
         seen: set[tuple[int, int]] = set()
         for ids, texts in texts_of(batches):
-            out_ids, out_keys = [], []
+            out_ids, out_keys, counts = [], [np.zeros(0, np.uint64)], [0]
             for i, s in zip(ids.to_pylist(), shingle_sets(texts)):
                 if i is not None and len(s) and (k := _signature(s)) not in seen:  # one of equal sets stands for a task's others
                     seen.add(k)
-                    keys = np.concatenate([part_keys(s, b, members, weights) for b in bands(len(s))])
-                    out_ids.append(np.full(len(keys), i, np.int64))
-                    out_keys.append(keys)
-            if out_keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_keys).view(np.int64)), pa.array(np.concatenate(out_ids))], ["key", "id"])
-
-    keys = texts.mapInArrow(emit, "key long, id long")
+                    own = [part_keys(s, b, members, weights) for b in bands(len(s))]
+                    out_ids.append(i)
+                    out_keys += own
+                    counts.append(sum(map(len, own)))
+            keys = pa.ListArray.from_arrays(np.cumsum(counts).astype(np.int32), pa.array(np.concatenate(out_keys).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), keys], ["id", "keys"])
+
+    keyed = materialize(texts.mapInArrow(emit, "id long, keys array<bigint>"), "shingle-keys")
+    keys = keyed.select(F.explode("keys").alias("key"), "id")
     shared = materialize(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "shared-keys")
     classes = materialize(sets.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "set-classes")
-    class_of = materialize(sets.where("n > 0 and id is not null").join(classes, ["n", "s1", "s2"]).select("id", "rep", "n"), "set-class-of")
-    held = materialize(keys.join(shared, "key").join(class_of, "id").select("key", "rep").distinct(), "keys-held")
-    grouped = materialize(held.groupBy("key").agg(F.count("*").alias("c"), *[F.min(F.col("rep").bitwiseXOR(F.lit(m))).alias(f"p{i}") for i, m in enumerate(PIVOTS)]).where("c > 1"), "key-pivots")
-    touched = held.join(grouped.select("key"), "key").select(F.col("rep").alias("id")).distinct()
-    whole = materialize(texts.join(touched, "id").groupBy("id").agg(F.first("text").alias("text")).mapInArrow(_whole_sets, "id long, n long, members array<bigint>"), "candidate-sets")
+    class_of = materialize(sets.where("n > 0 and id is not null").join(classes, ["n", "s1", "s2"]).select("id", "rep").distinct(), "set-class-of")
+    held = materialize(materialize(keys.join(shared, "key"), "keys-shared").join(class_of, "id").select("key", "rep").distinct(), "keys-held")
+    masks = [F.min(F.col("rep").bitwiseXOR(F.lit(m))).alias(f"p{i}") for i, m in enumerate(PIVOTS)]
+    marks = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    grouped = held.groupBy("key").agg(F.count("*").alias("c"), *masks, *marks).where("c > 1")
+    # keys with the same classes say the same: one of them is enough
+    names = ["c", *(f"p{i}" for i in range(len(PIVOTS))), "x0", "x1"]
+    grouped = materialize(grouped.groupBy(*names).agg(F.min("key").alias("key")), "key-groups")
+    held = materialize(held.join(grouped.select("key"), "key"), "keys-grouped")
+    sketches = materialize(sets.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "class-sketches")
+    near = F.arrow_udf(_near, "boolean")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of classes that link, by exact intersection."""
+        """The pairs (a, b) of classes that link: those whose sketches lie near enough, by exact intersection."""
         pairs = materialize(pairs.distinct(), "pairs")
-        one = pairs.join(whole.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("members").alias("members_b")), "b")
-        two = one.join(whole.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("members").alias("members_a")), "a")
+        for side in "ab":
+            pairs = pairs.join(sketches.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+        pairs = materialize(pairs.where("4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a").where(near("n_a", "n_b", "sketch_a", "sketch_b")).select("a", "b"), "near-pairs")
+        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        whole = texts.join(materialize(wanted, "near-ids"), "id").groupBy("id").agg(F.first("text").alias("text"))
+        whole = materialize(whole.mapInArrow(_whole_sets, "id long, n long, members array<bigint>"), "near-sets")
+        for side in "ab":
+            pairs = pairs.join(whole.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("members").alias(f"members_{side}")), side)
         same = F.size(F.array_intersect("members_a", "members_b"))
-        return two.withColumn("same", same).where(100 * F.col("same") >= 75 * (F.col("n_a") + F.col("n_b") - F.col("same"))).select("a", "b")
+        return materialize(pairs.withColumn("same", same).where("100 * same >= 75 * (n_a + n_b - same)").select("a", "b"), "links")
 
     def pair(x, y):
         return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
@@ -168,8 +183,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def pivot(i: int):
         return F.col(f"p{i}").bitwiseXOR(F.lit(PIVOTS[i]))
 
-    groups = held.join(grouped, "key")
-    links = materialize(linked(groups.where(F.col("rep") != pivot(0)).select(*pair(F.col("rep"), pivot(0)))), "links")
+    links = linked(held.join(grouped, "key").where(F.col("rep") != pivot(0)).select(*pair(F.col("rep"), pivot(0))))
     components = connected_components(links)
 
     def now(ids: DataFrame, column: str, name: str) -> DataFrame:
@@ -177,19 +191,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         found = components.select(F.col("node").alias(column), F.col("component").alias(name))
         return ids.join(found, column, "left").withColumn(name, F.coalesce(name, column))
 
-    # keys whose classes are still in several components; two classes have met already
-    open_keys = now(held.join(grouped.where("c > 2"), "key"), "rep", "own")
-    open_keys = materialize(open_keys.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("key"), "open-keys")
-    still = now(held.join(open_keys, "key").join(grouped, "key"), "rep", "own")
-    stars = still.withColumn("pivot", F.explode(F.array_distinct(F.array(*[pivot(i) for i in range(1, len(PIVOTS))])))).where("pivot != rep")
-    stars = now(stars.select("pivot", "rep", "own").distinct(), "pivot", "other").where("own != other")
+    def open_groups(least: int) -> DataFrame:
+        """Groups of at least so many classes that still lie in several components."""
+        own = now(held.join(grouped.where(F.col("c") >= least).select("key"), "key"), "rep", "own")
+        return materialize(own.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("key"), "open-groups")
+
+    # two classes have met their pivot already; pairs within a component need no check
+    others = F.explode(F.array_distinct(F.array(*[pivot(i) for i in range(1, len(PIVOTS))])))
+    stars = held.join(materialize(open_groups(3).join(grouped, "key"), "open-pivots"), "key").withColumn("pivot", others).where("pivot != rep")
+    stars = now(now(materialize(stars.select("pivot", "rep").distinct(), "stars"), "rep", "own"), "pivot", "other").where("own != other")
     links = materialize(links.unionByName(linked(stars.select(*pair(F.col("rep"), F.col("pivot"))))), "links")
     components = connected_components(links)
 
-    last = linked(_far_pairs(now(held.join(open_keys, "key"), "rep", "own"), whole))
-    components = connected_components(links.unionByName(materialize(last, "links")))
+    # a group of no more classes than one beyond its different pivots is done
+    done = F.size(F.array_distinct(F.array(*[pivot(i) for i in range(len(PIVOTS))]))) + 1
+    rest = open_groups(3).join(grouped.where(F.col("c") > done).select("key"), "key")
+    last = linked(_far_pairs(now(held.join(materialize(rest, "open-rest"), "key"), "rep", "own"), sketches))
+    components = connected_components(links.unionByName(last))
     # a class's rep is its least id, so the least rep of a component is its least id
-    final = now(class_of.select("id", "rep").distinct(), "rep", "component_id").select("id", "component_id")
+    final = now(class_of, "rep", "component_id").select("id", "component_id")
     return sets.join(materialize(final, "jaccard-of"), "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
@@ -200,48 +220,72 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), members], ["id", "n", "members"])
 
 
-def _far_pairs(still: DataFrame, whole: DataFrame) -> DataFrame:
+def _far_pairs(still: DataFrame, sketches: DataFrame) -> DataFrame:
     """All pairs (a, b) of classes that share a key, lie in different components and pass the bit sketches' bound.
 
     A key's classes are dealt to blocks of about BLOCK; every two blocks of a key meet in a cell of their own.
     """
     still = materialize(still, "open-classes")
-    sizes = materialize(still.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("key", "blocks"), "open-sizes")
+    sizes = materialize(still.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "open-sizes")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     cells = still.join(sizes, "key").select("key", "rep", "own", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    sketched = whole.mapInArrow(_sketches, "id long, n long, sketch binary").withColumnRenamed("id", "rep")
-    cells = cells.select("key", "rep", "own", F.least("block", "other").alias("c1"), F.greatest("block", "other").alias("c2"), "block").join(sketched, "rep")
-    return cells.groupBy("key", "c1", "c2").applyInPandas(_near_in_cell, "a long, b long").distinct()
+    cells = cells.select("key", "rep", "own", F.least("block", "other").alias("c1"), F.greatest("block", "other").alias("c2"), "block").join(sketches.withColumnRenamed("id", "rep"), "rep")
+    cells = cells.select("key", "c1", "c2", "rep", "own", "n", "block", "sketch")
+    return cells.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2").mapInArrow(_near_in_cells, "a long, b long")
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bit sketches, with at least four bits for each member, so that differences seldom cancel."""
-    for batch in batches:
-        out = [bit_sketch(np.array(m.values.to_numpy(), np.int64).view(np.uint64), 1 << (n.bit_length() + 2)) for n, m in zip(batch.column(1).to_pylist(), batch.column(2))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["id", "n", "sketch"])
+def _fold(sketch: bytes, to: int) -> np.ndarray:
+    """A sketch of `to` bytes: places are the low bits of a hash, so the halves of a longer sketch XOR together."""
+    bits = np.frombuffer(sketch, np.uint8)
+    while len(bits) > to:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
 
 
-def _fold(bits: np.ndarray, to: int) -> np.ndarray:
-    """A sketch of fewer bits: places are the low bits of a hash, so parts of a longer sketch XOR together."""
-    while bits.shape[-1] > to:
-        half = bits.shape[-1] // 2
-        bits = bits[..., :half] ^ bits[..., half:]
-    return bits
+def _near(n_a: pa.Array, n_b: pa.Array, sketch_a: pa.Array, sketch_b: pa.Array) -> pa.Array:
+    """Whether sketches differ at no more places than linked sets of these sizes may."""
+    out = []
+    for size, a, b in zip(pa.compute.add(n_a, n_b).to_pylist(), sketch_a.to_pylist(), sketch_b.to_pylist()):
+        width = min(len(a), len(b))
+        out.append(7 * int(np.bitwise_count(_fold(a, width) ^ _fold(b, width)).sum()) <= size)
+    return pa.array(out, pa.bool_())
 
 
-def _near_in_cell(cell):
-    import pandas as pd
-
-    rep, own, n, block = (cell[c].to_numpy() for c in ("rep", "own", "n", "block"))
-    width = min(map(len, cell.sketch)) * 8
-    bits = np.stack([np.packbits(_fold(np.unpackbits(np.frombuffer(s, np.uint8)), width)) for s in cell.sketch])
-    c1, c2 = cell.c1.iloc[0], cell.c2.iloc[0]
-    left, right = np.flatnonzero(block == c1), np.flatnonzero(block == c2)
-    a, b = [], []
-    for i in left:
-        js = right[(own[right] != own[i]) & ((rep[right] > rep[i]) if c1 == c2 else True)]
-        far = np.bitwise_count(bits[js] ^ bits[i]).sum(1, dtype=np.int64) if len(js) else np.zeros(0)
-        js = js[7 * far <= n[js] + n[i]] if len(js) else js
-        a += [int(min(rep[i], rep[j])) for j in js]
-        b += [int(max(rep[i], rep[j])) for j in js]
-    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+def _near_in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The near pairs of each cell; a cell's rows follow each other, perhaps over the end of a batch."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])]).combine_chunks()
+        starts = _cell_starts(table)
+        rest = table.slice(int(starts[-1]))
+        if len(starts) > 1:
+            yield _near_rows(table, starts)
+    if rest is not None:
+        yield _near_rows(rest, np.array([0, len(rest)]))
+
+
+def _cell_starts(table: pa.Table) -> np.ndarray:
+    key, c1, c2 = (table.column(i).to_numpy() for i in range(3))
+    return np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1]))))
+
+
+def _near_rows(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+    c1, c2, rep, own, n, block = (table.column(i).to_numpy() for i in range(1, 7))
+    sketch = table.column(7).to_pylist()
+    left_out, right_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at, end in zip(starts[:-1], starts[1:]):
+        width = min(map(len, sketch[at:end]))
+        bits = np.stack([_fold(s, width) for s in sketch[at:end]])
+        rows = np.arange(at, end)
+        left, right = rows[block[at:end] == c1[at]], rows[block[at:end] == c2[at]]
+        step = max(1, 4_000_000 // max(1, len(right) * width))
+        for some in (left[i : i + step] for i in range(0, len(left), step)):
+            differ = np.bitwise_count(bits[some - at][:, None] ^ bits[right - at][None]).sum(2, dtype=np.int64)
+            near = (7 * differ <= n[some][:, None] + n[right][None]) & (own[some][:, None] != own[right][None])
+            if c1[at] == c2[at]:
+                near &= rep[some][:, None] < rep[right][None]
+            i, j = np.nonzero(near)
+            left_out.append(rep[some[i]])
+            right_out.append(rep[right[j]])
+    x, y = np.concatenate(left_out), np.concatenate(right_out)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])

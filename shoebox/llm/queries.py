@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm import jaccard_join, line_templates, mixture, sharding, toxicity
+from shoebox.llm import jaccard_join, line_templates, mixture, near_vectors, sharding, toxicity
 from shoebox.llm.bpe import ByteBPE
 from shoebox.llm.tables import read_table, short_batches
 from shoebox.llm.unigram_count import UnigramCounter, sentencepiece_vocabulary
@@ -18,6 +18,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pivot_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op2_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixture.mix(docs, entropy_fraction=0.5, max_repeats=4.0)
@@ -74,7 +78,7 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_temperature_mix, op3_nb_ngrams, op4_bpe_trie, op7_line_templates, op8_viterbi_counts, op9_parity_join, op10_sampled_splitters)}
+QUERIES = {f.__name__: f for f in (op1_pivot_permutations, op2_temperature_mix, op3_nb_ngrams, op4_bpe_trie, op7_line_templates, op8_viterbi_counts, op9_parity_join, op10_sampled_splitters)}
 
 ORACLE = {
     "op7_line_templates": r"""
