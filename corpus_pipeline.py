@@ -1,30 +1,65 @@
-"""A pipeline over `documents`; each stage is written as Parquet and read again as the next one's input."""
+"""A pipeline over `documents`; each stage is written as Parquet and read again as the next one's input.
+
+Quality classifier, line de-duplication, near-duplicate removal, mixing of sources, BPE encoding and decoding.
+Defined cases: see each operator; a document whose lines all recur elsewhere goes with its last line; of a group of
+near duplicates the one of smallest id stays, and of rows that repeat an id one; rows without an id stay until the mix.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shoebox.llm import line_templates, mixture
-from shoebox.llm.tables import materialize, read_table
+from shoebox.llm import jaccard_join, line_templates, mixture, quality
+from shoebox.llm.bpe import ByteBPE
+from shoebox.llm.queries import held_out, tokenizer_path
+from shoebox.llm.tables import materialize, read_table, short_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    labels = read_table(spark, sf_dir, "labels").where(~held_out())
+    return quality.score_quality(docs.select(*COLUMNS), labels).where("quality_keep").select(*COLUMNS)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_templates.drop_recurring_lines(docs).select(*COLUMNS)
+    """Recurring lines go, and documents of which nothing is left."""
+    left = line_templates.drop_recurring_lines(docs.select(*COLUMNS))
+    return left.where((F.col("lines_dropped") == 0) | F.col("text").rlike(r"\S")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    short_batches(spark)
+    docs = docs.select(*COLUMNS)
+    groups = jaccard_join.jaccard_components(docs.select("doc_id", "text"))
+    kept = materialize(groups.where("component_id = doc_id").select("doc_id").distinct(), "dedup-kept")
+    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS).unionByName(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixture.mix(docs).select(*COLUMNS)
+    """A row for each document and epoch of the mix."""
+    return mixture.mix(docs.select(*COLUMNS), entropy_fraction=0.5, max_repeats=4.0).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, and a digest of what they decode to."""
+    short_batches(spark)
+    bpe = ByteBPE(spark, tokenizer_path("byte_bpe_50k.json"))
+    ids = docs.select("doc_id", "lang", "source", bpe.encode("text").alias("ids"))
+    return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(bpe.decode("ids"), 256).alias("decoded_sha256"))
 
 
-STAGES = [("line_dedup", line_dedup), ("mix_sources", mix_sources)]
+STAGES = [("quality_filter", quality_filter), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("encode", encode)]
 
-#: SQL has no BPE encoder, classifier training or hashed block permutation: tests compare with brute force.
+#: SQL has no trained classifier, hashed block permutation or BPE encoder: tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`, each one's result written and read again for the next."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm import jaccard_join, line_templates, mixture, near_vectors, posting_search, sharding, toxicity
+from shoebox.llm import jaccard_join, line_templates, mixture, near_vectors, posting_search, quality, sharding, toxicity
 from shoebox.llm.bpe import ByteBPE
 from shoebox.llm.tables import read_table, short_batches
 from shoebox.llm.unigram_count import UnigramCounter, sentencepiece_vocabulary
@@ -59,6 +59,13 @@ def op5_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posting_search.nearest(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
+def op6_site_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    labels = read_table(spark, sf_dir, "labels").where(~held_out())
+    rated = quality.score_quality(docs, labels)
+    return rated.select("doc_id", held_out().alias("held_out"), "quality_evidence", "quality_prior", F.col("quality").alias("score"), F.col("quality_keep").cast("int").alias("predicted"))
+
+
 def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_templates.drop_recurring_lines(docs)
@@ -83,7 +90,7 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pivot_permutations, op2_temperature_mix, op3_nb_ngrams, op4_bpe_trie, op5_posting_lists, op7_line_templates, op8_viterbi_counts, op9_parity_join, op10_sampled_splitters)}
+QUERIES = {f.__name__: f for f in (op1_pivot_permutations, op2_temperature_mix, op3_nb_ngrams, op4_bpe_trie, op5_posting_lists, op6_site_bayes, op7_line_templates, op8_viterbi_counts, op9_parity_join, op10_sampled_splitters)}
 
 ORACLE = {
     "op7_line_templates": r"""
