@@ -87,10 +87,10 @@ def shingle_sets(texts: list[bytes], size: int = 5) -> list[np.ndarray]:
         if b - a >= size:
             out.append(np.unique(runs[a : b - size + 1]))
         elif b > a:
-            short = np.uint64(b - a)
-            for w in words[a:b]:
-                short = short * np.uint64(_BASE) + w
-            out.append(mix64(np.array([short])))
+            short = np.array([b - a], np.uint64)
+            for i in range(a, b):
+                short = short * np.uint64(_BASE) + words[i : i + 1]
+            out.append(mix64(short))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
