@@ -83,7 +83,7 @@ class ToxicityModel:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> ToxicityModel:
     """Learn from the documents that `labels` marks; both are the training rows only."""
     marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("label"))
-    taught = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(marks, "id"), "toxicity-train")
+    taught = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(marks.hint("merge"), "id"), "toxicity-train")
     sizes = {r.label: r.n for r in taught.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         share = 1.0 if sizes.get(1) else 0.0
