@@ -132,3 +132,25 @@ def carry_labels(members: DataFrame, new: str, old: str, share: float = 0.5) ->
     claims = claims.groupBy(new).agg(F.max_by(old, F.struct("n", -F.col(old))).alias(old), F.first("size").alias("size"))
     winners = claims.groupBy(old).agg(F.max_by(new, F.struct("size", -F.col(new))).alias(new))
     return sizes.join(winners, new, "left").select(new, F.col(old).alias("label"))
+
+
+def near_duplicates(neighbours: DataFrame, rows: DataFrame, id_col: str, hash_col: str | None, score: Column, cosine: float = 0.95, bits: int = 10) -> DataFrame:
+    """(id, group, size, is_best): groups of rows joined by near neighbours (query_id, id, score) that are alike.
+
+    Alike: a score of `cosine` or more and, with a hash column, at most `bits` differing bits (null differs in all).
+    Groups are connected components; the best has the highest `score`, then the least id.
+    """
+    near = neighbours.where(F.col("score") >= cosine).select(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b")).distinct()
+    if hash_col:
+        hashes = rows.select(F.col(id_col).alias("a"), F.col(hash_col).alias("ha"))
+        near = near.join(hashes, "a").join(hashes.select(F.col("a").alias("b"), F.col("ha").alias("hb")), "b").where(hamming("ha", "hb") <= bits)
+    found = components(near.select("a", "b")).select(F.col("node").alias(id_col), F.col("component").alias("group"))
+    rated = found.join(rows.select(id_col, score.alias("group_score")), id_col)
+    best = rated.groupBy("group").agg(F.count("*").alias("size"), F.max_by(id_col, F.struct("group_score", -F.col(id_col))).alias("best"))
+    return rated.join(best, "group").select(id_col, "group", "size", (F.col(id_col) == F.col("best")).alias("is_best"))
+
+
+def stratified(rows: DataFrame, stratum: str, id_col: str, each: int, seed: int = 0) -> DataFrame:
+    """At most `each` rows of every stratum, null being one, drawn by a hash of the id: the same at every run."""
+    w = Window.partitionBy(stratum).orderBy(F.xxhash64(id_col, F.lit(seed)), id_col)
+    return rows.withColumn("draw", F.row_number().over(w)).where(F.col("draw") <= each).drop("draw")

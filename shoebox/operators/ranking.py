@@ -85,3 +85,20 @@ def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     )
     chance = F.col("pa") * F.col("pb") + (1 - F.col("pa")) * (1 - F.col("pb"))
     return row.select("n", "agree", F.try_divide(F.col("agree") - chance, 1 - chance).alias("kappa"))
+
+
+def compare_runs(before: DataFrame, after: DataFrame, metric: str) -> DataFrame:
+    """(query, before, after, change) of two runs' per-query scores, the worst change first; a query may be in one only."""
+    old, new = (df.select("query", F.col(metric).alias(n)) for df, n in ((before, "before"), (after, "after")))
+    return old.join(new, "query", "full_outer").withColumn("change", F.col("after") - F.col("before")).orderBy(F.asc_nulls_last("change"), "query")
+
+
+def by_system(scores: DataFrame, system: str, category: str, metric: str, categories: list[str]) -> DataFrame:
+    """A table of means: a row for each system, a column for each category."""
+    return scores.groupBy(system).pivot(category, categories).agg(F.avg(F.when(~F.isnan(metric), F.col(metric))))
+
+
+def facts(rows: DataFrame, group: Column) -> DataFrame:
+    """The most frequent group and its count, if it leads the second: an answer that can be asked for. At most one row."""
+    top = rows.groupBy(group.alias("answer")).agg(F.count("*").alias("n")).where("answer is not null").orderBy(F.desc("n"), "answer").limit(2)
+    return top.agg(F.max_by("answer", "n").alias("answer"), F.max("n").alias("n"), F.min("n").alias("second"), F.count("*").alias("groups")).where("groups = 1 or n > second").select("answer", "n")

@@ -55,3 +55,33 @@ def title(place: Column, start: Column, end: Column) -> Column:
     day, days = F.date_format(start, "MMM d, yyyy"), F.concat(F.date_format(start, "MMM d"), F.lit("–"), F.date_format(end, "d, yyyy"))
     months = F.concat(F.date_format(start, "MMM yyyy"), F.lit(" – "), F.date_format(end, "MMM yyyy"))
     return F.concat(F.coalesce(place, F.lit("Photos")), F.lit(" · "), F.when(same_day, day).when(same_month, days).otherwise(months))
+
+
+def albums(rows: DataFrame, partition: list[str], at: str, id_col: str, region: str, home: Column, sharpness: str, gap_s: float = 8 * 3600, trip_gap_s: float = 48 * 3600, least: int = 15) -> DataFrame:
+    """Albums of a time line: sessions, merged to trips where their region is away from home, of `least` rows or more.
+
+    (partition, trip, started, ended, n, region, cover_id, title): the commonest region (the first seen of equals) and
+    the sharpest row. A session without a region is not away.
+    """
+    sessions = gap_segments(rows.where(F.col(at).isNotNull()), partition, at, id_col, gap_s)
+    spans = sessions.groupBy(*partition, "segment").agg(F.min(at).alias("started"), F.max(at).alias("ended"))
+    where = mode(sessions.select(*partition, "segment", region, at), [*partition, "segment"], region, at).drop("n")
+    numbered = trips(spans.join(where, [*partition, "segment"], "left"), partition, "started", "ended", ~home & F.col(region).isNotNull(), trip_gap_s)
+    placed = sessions.join(numbered.select(*partition, "segment", "trip"), [*partition, "segment"])
+    cover = F.max_by(id_col, F.struct(F.coalesce(F.col(sharpness), F.lit(0.0)), -F.col(id_col)))
+    found = placed.groupBy(*partition, "trip").agg(F.min(at).alias("started"), F.max(at).alias("ended"), F.count("*").alias("n"), cover.alias("cover_id")).where(F.col("n") >= least)
+    named = mode(placed.select(*partition, "trip", region, at), [*partition, "trip"], region, at).drop("n")
+    out = found.join(named, [*partition, "trip"], "left")
+    return out.withColumn("title", title(F.col(region), F.col("started"), F.col("ended")))
+
+
+def overlaps(start: Column, end: Column, low, high) -> Column:
+    """An interval that reaches into the days from `low` through `high`, each where given."""
+    from datetime import timedelta
+
+    out = F.lit(True)
+    if low is not None:
+        out = out & (end >= F.lit(low).cast("timestamp_ntz"))
+    if high is not None:
+        out = out & (start < F.lit(high + timedelta(days=1)).cast("timestamp_ntz"))
+    return out

@@ -599,3 +599,55 @@ def event_sessions(c: Catalog) -> DataFrame:
 @query("SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts) AS started, count(*) AS n FROM events GROUP BY ALL")
 def event_windows(c: Catalog) -> DataFrame:
     return tumbling_counts(c["events"], "ts", "event_type", "6 hours").select("event_type", F.col("started").cast("timestamp_ntz").alias("started"), "n")
+
+
+# ---- compositions
+
+
+@query("""WITH RECURSIVE near AS (SELECT q.vec_id AS a, e.vec_id AS b, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0
+    QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) <= 10), e AS (SELECT a, b FROM near WHERE s >= 0.38 UNION SELECT b, a FROM near WHERE s >= 0.38),
+    reach AS (SELECT DISTINCT a, a AS b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a), g AS (SELECT a AS vec_id, min(b) AS "group" FROM reach GROUP BY a)
+    SELECT vec_id, "group", count(*) OVER (PARTITION BY "group") AS size, row_number() OVER (PARTITION BY "group" ORDER BY label DESC, vec_id) = 1 AS is_best FROM g JOIN embeddings USING (vec_id)""")
+def near_duplicates_cc(c: Catalog) -> DataFrame:
+    rows = c["embeddings"]
+    near = groups.nearest_to_queries(rows, rows.where("vec_id % 20 = 0"), "vec_id", "embedding", 10)
+    return groups.near_duplicates(near, rows, "vec_id", None, F.col("label"), 0.38)
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) <= 28800 THEN 0 ELSE 1 END AS starts FROM events),
+    s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS segment FROM g), z AS (SELECT user_id, segment, min(ts) AS started, max(ts) AS ended FROM s GROUP BY ALL),
+    m AS (SELECT user_id, segment, event_type AS region FROM s GROUP BY user_id, segment, event_type QUALIFY row_number() OVER (PARTITION BY user_id, segment ORDER BY count(*) DESC, min(ts), event_type DESC) = 1),
+    f AS (SELECT *, region <> 'view' AS away, lag(region <> 'view') OVER w AS before_away, epoch(started) - epoch(lag(ended) OVER w) AS gap FROM z JOIN m USING (user_id, segment) WINDOW w AS (PARTITION BY user_id ORDER BY started, ended)),
+    t AS (SELECT *, sum(CASE WHEN away AND before_away AND gap <= 172800 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY started, ended ROWS UNBOUNDED PRECEDING)::BIGINT AS trip FROM f),
+    p AS (SELECT s.user_id, trip, s.ts, s.event_id, s.event_type, s.value FROM s JOIN t USING (user_id, segment)),
+    r AS (SELECT user_id, trip, event_type FROM p GROUP BY user_id, trip, event_type QUALIFY row_number() OVER (PARTITION BY user_id, trip ORDER BY count(*) DESC, min(ts), event_type DESC) = 1)
+    SELECT user_id, trip, min(ts) AS started, max(ts) AS ended, count(*) AS n, any_value(r.event_type) AS region, (array_agg(event_id ORDER BY value DESC NULLS LAST, event_id))[1] AS cover_id FROM p JOIN r USING (user_id, trip) GROUP BY user_id, trip HAVING count(*) >= 3""")
+def albums(c: Catalog) -> DataFrame:
+    rows = timeline.albums(c["events"], ["user_id"], "ts", "event_id", "event_type", F.col("event_type") == "view", "value", least=3)
+    return rows.select("user_id", "trip", "started", "ended", "n", F.col("event_type").alias("region"), "cover_id")
+
+
+@query("SELECT lang, count(*) FILTER (WHERE quality = 1) / count(*) AS good, avg(quality) FILTER (WHERE toxic = 0) AS calm, avg(quality) FILTER (WHERE toxic = 1) AS rude FROM documents JOIN labels USING (doc_id) GROUP BY 1")
+def quality_pivot(c: Catalog) -> DataFrame:
+    rows = c["documents"].select("doc_id", "lang").join(c["labels"], "doc_id").withColumn("kind", F.when(F.col("toxic") == 1, "rude").otherwise("calm"))
+    table = ranking.by_system(rows.withColumn("quality", F.col("quality").cast("double")), "lang", "kind", "quality", ["calm", "rude"])
+    return table.join(rows.groupBy("lang").agg(F.avg("quality").alias("good")), "lang").select("lang", "good", "calm", "rude")
+
+
+@query("WITH t AS (SELECT event_type AS answer, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, answer LIMIT 2) SELECT first(answer ORDER BY n DESC) AS answer, max(n) AS n FROM t HAVING count(*) = 1 OR max(n) > min(n)")
+def answerable_fact(c: Catalog) -> DataFrame:
+    return ranking.facts(c["events"], F.col("event_type"))
+
+
+@query(f"WITH {RANKED}, n AS (SELECT query, mrr - precision AS change, precision AS before, mrr AS after FROM m) SELECT query, round(before, 9) AS before, round(after, 9) AS after, round(change, 9) AS change FROM n")
+def run_changes(c: Catalog) -> DataFrame:
+    scores = _scores(c)
+    rows = ranking.compare_runs(scores.select("query", F.col("precision").alias("m")), scores.select("query", F.col("mrr").alias("m")), "m")
+    return rows.select("query", *[F.round(x, 9).alias(x) for x in ("before", "after", "change")])
+
+
+@query("""WITH w AS (SELECT conv_id, turn, ('0x' || md5(w)[1:8])::BIGINT % 16 AS place FROM (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM conversations)),
+    n AS (SELECT conv_id, turn, place, count(*) AS n FROM w GROUP BY ALL) SELECT conv_id, turn, place::INT AS place, round(n / sqrt(sum(n * n) OVER (PARTITION BY conv_id, turn)), 6) AS weight FROM n""")
+def hashed_bag_of_words(c: Catalog) -> DataFrame:
+    rows = c["conversations"].select("conv_id", "turn", F.posexplode(vector.hashed_words("text", 16)).alias("place", "weight"))
+    return rows.where("weight > 0").withColumn("weight", F.round("weight", 6))

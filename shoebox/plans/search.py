@@ -115,3 +115,9 @@ class Engine:
         again = SearchRequest(**{**request.__dict__, "filters": flt.SearchFilters()})
         found = self.search(again)
         return SearchResult(found.hits, found.signals, True)
+
+    def similar(self, photo_id: str, model: str = "default", k: int = 20) -> SearchResult:
+        """Photos like a stored one, which is left out; no other signal takes part."""
+        request = SearchRequest(query_vector=tuple(self._vectors((photo_id,), model)[0]), disliked=(), model=model, k=k, filters=flt.SearchFilters(exclude_ids=(photo_id,)))
+        signals = {"clip": self.signals(request)["clip"]}
+        return SearchResult(self.hydrate(rrf(signals, {}), request), ("clip",), False)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoebox.operators import upkeep
+
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
     """New Parquet files of a folder, as they come."""
@@ -43,3 +45,14 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], che
     """Hand all that is available to `each`, batch by batch; a restart goes on where the checkpoint says."""
     query = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def index_batch(listing: DataFrame, catalogued: DataFrame, derived: dict[str, DataFrame], key: str = "path") -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """One step of indexing from a full listing: (changes, catalogue, derived tables).
+
+    The listing's differences tell moved files from new ones; derived rows of changed and deleted files go, so that the
+    next stages find them pending. File sources of a stream name no deletions, so this runs on listings.
+    """
+    changes = upkeep.listing_diff(catalogued, listing)
+    stale = changes.where("status in ('changed', 'deleted')").select(key)
+    return changes, listing.select(*catalogued.columns), upkeep.invalidate(derived, key, stale)

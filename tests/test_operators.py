@@ -186,3 +186,62 @@ def test_jsonl_keeps_bad_lines(spark, tmp_path):
     (tmp_path / "q.jsonl").write_text('{"id": "a", "n": 1}\nnot json\n')
     rows = files.read_jsonl(spark, str(tmp_path), "id string, n int").collect()
     assert {(r.id, r._corrupt is not None) for r in rows} == {("a", False), (None, True)}
+
+
+def test_near_duplicates_need_both_signs(spark):
+    near = spark.createDataFrame([(1, 2, 0.97), (2, 3, 0.96), (4, 5, 0.99), (6, 7, 0.5)], "query_id long, id long, score double")
+    rows = spark.createDataFrame([(1, 0, 10.0), (2, 1, 20.0), (3, 3, 20.0), (4, None, 1.0), (5, 0, 1.0), (6, 0, 1.0), (7, 0, 1.0)], "id long, h long, area double")
+    got = {(r.id, r.group, r["size"], r.is_best) for r in groups.near_duplicates(near, rows, "id", "h", F.col("area")).collect()}
+    assert got == {(1, 1, 3, False), (2, 1, 3, True), (3, 1, 3, False)}
+
+
+def test_stratified_draw_is_stable(spark):
+    df = spark.createDataFrame([(i, i % 3 if i % 4 else None) for i in range(60)], "id int, s int")
+    one, two = ({r.id for r in groups.stratified(df.repartition(n), "s", "id", 4).collect()} for n in (1, 5))
+    assert one == two and len(one) == 16
+
+
+def test_albums_of_a_trip(spark):
+    start = datetime(2025, 3, 1, 12)
+    home = [(i, "u", start + timedelta(days=i), "Ohio", 1.0) for i in range(9)]
+    away = [(20 + i, "u", start + timedelta(days=30, hours=20 * i), "Japan", float(i)) for i in range(3)]
+    df = spark.createDataFrame(home + away, "id int, u string, at timestamp_ntz, place string, sharp double")
+    got = timeline.albums(df, ["u"], "at", "id", "place", F.col("place") == "Ohio", "sharp", least=3).collect()
+    assert [(r.n, r.place, r.cover_id, r.title) for r in got] == [(3, "Japan", 22, "Japan · Mar 2025 – Apr 2025")]
+
+
+def test_album_intervals(spark):
+    from datetime import date
+
+    df = spark.createDataFrame([(datetime(2025, 1, 1), datetime(2025, 1, 5))], "s timestamp_ntz, e timestamp_ntz")
+    ask = lambda a, b: df.where(timeline.overlaps(F.col("s"), F.col("e"), a, b)).count()
+    assert [ask(date(2025, 1, 5), None), ask(date(2025, 1, 6), None), ask(None, date(2025, 1, 1)), ask(None, date(2024, 12, 31)), ask(None, None)] == [1, 0, 1, 0, 1]
+
+
+def test_plugin_encodes_pending_rows_only(spark):
+    from shoebox.functions import plugins
+
+    rows = spark.createDataFrame([("a", "xx"), ("b", None), ("c", "y")], "id string, t string")
+    done = spark.createDataFrame([("a", "m", [1.0])], "photo_id string, model string, embedding array<float>")
+    got = plugins.fill_pending(rows, "id", "t", done, "m", lambda: lambda values: [[float(len(v))] for v in values]).collect()
+    assert {(r.photo_id, r.model, tuple(r.embedding or ())) for r in got} == {("b", "m", ()), ("c", "m", (1.0,))}
+
+
+def test_index_batch_clears_what_is_stale(spark):
+    from shoebox.streaming.incremental import index_batch
+
+    schema = "path string, file_hash string, mtime double"
+    old = spark.createDataFrame([("a", "1", 1.0), ("b", "2", 1.0), ("c", "3", 1.0)], schema)
+    new = spark.createDataFrame([("a", "1", 1.0), ("b", "9", 2.0), ("d", "3", 1.0)], schema)
+    derived = spark.createDataFrame([("a",), ("b",), ("c",)], "path string")
+    changes, catalogue, left = index_batch(new, old, {"vectors": derived})
+    assert {(r.path, r.status) for r in changes.collect()} == {("a", "unchanged"), ("b", "changed"), ("d", "moved")}
+    assert {r.path for r in left["vectors"].collect()} == {"a", "c"} and catalogue.count() == 3
+
+
+def test_synthetic_library(spark):
+    from shoebox.sources.synthetic import library
+
+    photos, vectors = library(spark, 200, 16)
+    assert photos.count() == 200 and photos.select("place_name").distinct().count() == 5
+    assert all(abs(sum(x * x for x in r.embedding) - 1) < 1e-5 for r in vectors.limit(5).collect())

@@ -81,3 +81,19 @@ def test_merged_filters():
     base, own = flt.SearchFilters(place="Paris", iso_min=100), flt.SearchFilters(iso_min=0)
     assert base.merged(own) == flt.SearchFilters(place="Paris", iso_min=0)
     assert flt.SearchFilters().is_empty() and not own.is_empty()
+
+
+def test_similar_leaves_itself_out(engine):
+    ids = [r.id for r in engine.similar("red_car", k=3).hits.collect()]
+    assert ids[0] == "red_sign" and "red_car" not in ids
+
+
+def test_tools_check_arguments_and_ground_citations(engine):
+    from shoebox.plans.tools import Tools
+
+    tools = Tools(engine)
+    assert tools.run("count_by", {"dimension": "city", "filters": {"years": (2025,)}}) == {"groups": [("Chicago", 2), ("Tokyo", 1)], "total": 3}
+    assert "error" in tools.run("drop", {}) and "error" in tools.run("count_by", {"dimension": "x'; --"}) and "error" in tools.run("newest", {"filters": {"sql": "1"}})
+    assert tools.run("first_last", {"filters": {"place": "Chicago"}})["total"] == 2
+    assert tools.run("newest", {"filters": {"place": "Chicago"}, "limit": 1}) == {"ids": ["red_sign"]}
+    assert tools.grounded(["red_sign", "blue_night", "red_sign", "red_car"]) == ["red_sign", "red_car"]
