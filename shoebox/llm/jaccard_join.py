@@ -19,8 +19,8 @@ cover every pair of classes in different components: against one pivot of each k
 others, then, block by block, all pairs that are still in different components and whose bit sketches lie near enough.
 
 Defined cases: nulls, empty texts and texts without words have the empty set and link with nothing; fewer than five
-words are one shingle; a row without id gets no component (null) and links nothing; repeated rows share their id's
-component; an empty table gives an empty result; other columns are not read.
+words are one shingle; a row without id gets no component (null) and links nothing; rows that repeat an id are one
+document, of whose texts, should they differ, one stands for all; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -209,7 +209,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     last = linked(_far_pairs(now(held.join(materialize(rest, "open-rest"), "key"), "rep", "own"), sketches))
     components = connected_components(links.unionByName(last))
     # a class's rep is its least id, so the least rep of a component is its least id
-    final = now(class_of, "rep", "component_id").select("id", "component_id")
+    final = now(class_of, "rep", "component_id").groupBy("id").agg(F.min("component_id").alias("component_id"))
     return sets.join(materialize(final, "jaccard-of"), "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 

@@ -145,6 +145,13 @@ def test_jaccard_of_nothing(docs):
     assert {r.n_shingles for r in jaccard_join.jaccard_components(docs.where("doc_id < 3")).collect()} == {0}
 
 
+def test_an_id_with_two_texts_is_one_document(spark):
+    rows = [(1, "a b c d e f"), (1, "u v w x y z"), (2, "a b c d e f"), (None, "a b c d e f")]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles) for r in got) == [(0, 2), (1, 2), (1, 2), (2, 2)]
+    assert {r.component_id for r in got if r.doc_id} == {1}
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (4, 5), (9, 8), (8, 9), (7, 7), (20, 5)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
