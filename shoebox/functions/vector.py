@@ -59,5 +59,10 @@ def hashed_words(text: Column | str, size: int = 64) -> Column:
     """A deterministic embedding without a model: words counted at places given by their md5, of length one."""
     place = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0), lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % size).cast("int"))
     counts = F.aggregate(place, F.array_repeat(F.lit(0.0), size), lambda acc, p: F.transform(acc, lambda x, i: x + (i == p).cast("double")))
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(length > 0, x / length).otherwise(F.lit(0.0)))
+
+    def scaled(c: Column) -> Column:
+        length = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+        return F.transform(c, lambda x: F.when(length > 0, x / length).otherwise(F.lit(0.0)))
+
+    # bound to a lambda's variable, the counts are worked out once and not for each use
+    return F.transform(F.array(counts), scaled)[0]
