@@ -51,7 +51,7 @@ PLACES = """(SELECT o_orderkey AS id, o_orderdate AS taken_at, n_name AS place_n
 # ---- aggregates and listings
 
 
-@query("SELECT strftime(o_orderdate, '%Y-%m') AS value, count(*) AS n, min(o_orderkey) FILTER (WHERE o_totalprice IS NOT NULL) * 0 + arg_max(o_orderkey, {'p': o_totalprice, 'k': -o_orderkey}) AS best_id FROM orders GROUP BY 1 ORDER BY n DESC, value LIMIT 50")
+@query("SELECT strftime(o_orderdate, '%Y-%m') AS value, count(*) AS n, arg_max(o_orderkey, {'p': o_totalprice, 'k': -o_orderkey}) AS best_id FROM orders GROUP BY 1 ORDER BY n DESC, value LIMIT 50")
 def agg_by_month(c: Catalog) -> DataFrame:
     return aggregate.group_counts(c["orders"].withColumnRenamed("o_orderdate", "taken_at"), aggregate.dimension("month"), 50, ("o_orderkey", "o_totalprice"))
 
