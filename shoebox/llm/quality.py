@@ -84,7 +84,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     def evidence(found: dict[str, Column]) -> Column:
         terms = [F.element_at(F.split(F.lit(",".join(map(repr, tables[n]))), ",").cast("array<double>"), found[n] + 1) for n in FEATURES]
-        return reduce(lambda a, b: a + b, terms)
+        # never null, and known to be: else Spark infers a filter that works it out a second time
+        return F.coalesce(reduce(lambda a, b: a + b, terms), F.lit(0.0))
 
     def first(e: Column) -> Column:
         return 1 / (1 + F.exp(-(e + _logit(F.lit(prior)))))
