@@ -48,8 +48,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and a digest of what they decode to."""
     short_batches(spark)
     bpe = ByteBPE(spark, tokenizer_path("byte_bpe_50k.json"))
-    ids = docs.select("doc_id", "lang", "source", bpe.encode("text").alias("ids"))
-    return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(bpe.decode("ids"), 256).alias("decoded_sha256"))
+    coded = docs.select("doc_id", "lang", "source", bpe.round_trip("text").alias("bpe"))
+    return coded.select("doc_id", "lang", "source", F.size("bpe.ids").cast("long").alias("n_tokens"), "bpe.ids", F.sha2("bpe.decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality_filter", quality_filter), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("encode", encode)]

@@ -33,7 +33,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 #: Bounds of what a worker keeps between batches. Emptying the stores costs time only.
-WORDS_KEPT, PAIRS_KEPT, STEPS_KEPT, LONGEST_KEPT = 150_000, 300_000, 300_000, 40
+WORDS_KEPT, PAIRS_KEPT, STEPS_KEPT, LONGEST_KEPT = 60_000, 120_000, 120_000, 40
 
 
 def byte_of_character() -> dict[str, int]:
@@ -75,7 +75,7 @@ class Vocabulary:
             pair = ids[left], ids[right]
             self.rank[pair] = rank
             self.made.setdefault(ids[left + right], (*pair, rank))
-        self._link_suffixes()
+        self.step: _Filled | None = None  # made with the first word; decoding does without
         self.size = [len(self.bytes_of.get(i, b"")) for i in range(max(self.bytes_of) + 1)]
         self.edges: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
         #: left << 20 | right -> whether the two tokens stand side by side
@@ -145,6 +145,8 @@ class Vocabulary:
 
     def encode_words(self, words: set[str]) -> dict[str, tuple[int, ...]]:
         """The token ids of distinct words, by one depth-first walk of their trie."""
+        if self.step is None:
+            self._link_suffixes()
         for kept, most in ((self.pairs, PAIRS_KEPT), (self.step, STEPS_KEPT)):
             if len(kept) > most:
                 kept.clear()
@@ -212,7 +214,7 @@ def _vocabulary(name: str, sent: Broadcast) -> Vocabulary:
     return _loaded[name]
 
 
-def _pieces(batch: pa.Array, size: int = 2_000, most: int = 4_000_000) -> Iterator[pa.Array]:
+def _pieces(batch: pa.Array, size: int = 1_000, most: int = 1_000_000) -> Iterator[pa.Array]:
     """Runs of a batch with `size` rows or fewer and, if of more than one row, `most` bytes or fewer."""
     at, lengths = 0, pa.compute.fill_null(pa.compute.binary_length(batch), 0).to_pylist()
     while at < len(batch):
@@ -232,16 +234,28 @@ class ByteBPE:
             content = f.read()
         sent, name = spark.sparkContext.broadcast(content), sha256(content).hexdigest()
 
+        def encoded(own: Vocabulary, batch: pa.Array, decoded: list[str] | None = None) -> pa.Array:
+            """The ids of a batch; what they decode to is added to `decoded`, if given."""
+            parts, counts = [np.zeros(0, np.int32)], [0]
+            for piece in _pieces(batch):
+                ids = own.encode_batch([t or "" for t in piece.to_pylist()])
+                counts += map(len, ids)
+                parts.append(np.fromiter(chain.from_iterable(ids), np.int32, sum(counts[-len(ids) :])))
+                if decoded is not None:
+                    decoded += map(own.decode, ids)
+            return pa.ListArray.from_arrays(np.cumsum(counts).astype(np.int32), np.concatenate(parts))
+
         def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             own = _vocabulary(name, sent)
             for batch in batches:
-                parts = [np.zeros(0, np.int32)]
-                counts = [0]
-                for piece in _pieces(batch):
-                    ids = own.encode_batch([t or "" for t in piece.to_pylist()])
-                    counts += map(len, ids)
-                    parts.append(np.fromiter(chain.from_iterable(ids), np.int32, sum(counts[-len(ids) :])))
-                yield pa.ListArray.from_arrays(np.cumsum(counts).astype(np.int32), np.concatenate(parts))
+                yield encoded(own, batch)
+
+        def round_trip(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            own = _vocabulary(name, sent)
+            for batch in batches:
+                texts: list[str] = []
+                ids = encoded(own, batch, texts)
+                yield pa.StructArray.from_arrays([ids, pa.array(texts, pa.string())], ["ids", "decoded"])
 
         def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             own = _vocabulary(name, sent)
@@ -251,6 +265,7 @@ class ByteBPE:
 
         self._encode = F.arrow_udf(encode, T.ArrayType(T.IntegerType()))
         self._decode = F.arrow_udf(decode, T.StringType())
+        self._round_trip = F.arrow_udf(round_trip, "struct<ids: array<int>, decoded: string>")
 
     def encode(self, text: Column | str) -> Column:
         """array<int> of token ids."""
@@ -258,3 +273,7 @@ class ByteBPE:
 
     def decode(self, ids: Column | str) -> Column:
         return self._decode(ids)
+
+    def round_trip(self, text: Column | str) -> Column:
+        """struct<ids, decoded>: the ids of a text, and what they decode to, in one pass through one worker."""
+        return self._round_trip(text)

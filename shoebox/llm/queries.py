@@ -45,12 +45,12 @@ def op3_nb_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     short_batches(spark)
     bpe = ByteBPE(spark, tokenizer_path("byte_bpe_50k.json"))
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", bpe.encode("text").alias("ids"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", bpe.round_trip("text").alias("bpe"))
     return docs.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(bpe.decode("ids"), 256).alias("decoded_sha256"),
+        F.size("bpe.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("bpe.ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("bpe.decoded", 256).alias("decoded_sha256"),
     )
 
 

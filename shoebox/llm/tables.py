@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Rows of text in one Arrow batch. A worker holds a batch's texts and what it makes of them at once.
-TEXT_ROWS = 2_000
+TEXT_ROWS = 1_000
 
 
 def short_batches(spark: SparkSession) -> None:

@@ -1,5 +1,4 @@
 import re
-from hashlib import sha256
 
 import numpy as np
 import public_tokenizers
@@ -30,11 +29,11 @@ def docs(spark, rows):
 
 def test_bpe_is_the_librarys(spark, rows, docs):
     bpe, library = ByteBPE(spark, PATH), Tokenizer.from_file(PATH)
-    got = docs.select("text", bpe.encode("text").alias("ids")).select("text", "ids", bpe.decode("ids").alias("back")).collect()
+    got = docs.select("text", bpe.encode("text").alias("ids"), bpe.round_trip("text").alias("both")).select("text", "ids", "both", bpe.decode("ids").alias("back")).collect()
     assert len(got) == len(rows)
     for r in got:
         ids = library.encode(r.text or "", add_special_tokens=False).ids
-        assert r.ids == ids
+        assert r.ids == r.both.ids == ids and r.both.decoded == r.back
         assert r.back == library.decode(ids, skip_special_tokens=False) == (r.text or "")
     assert docs.limit(0).select(bpe.encode("text")).count() == 0
 
