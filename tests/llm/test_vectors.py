@@ -63,6 +63,20 @@ def test_many_near_copies_are_counted_over_blocks(spark, monkeypatch):
     assert {r.n_links for r in got} == {59} and {r.component_id for r in got} == {0}
 
 
+def test_links_inside_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(1200, 64))
+    rows[:400] = rng.normal(size=64) + rng.normal(size=(400, 64)) * 0.1  # a third of all rows, mean cosine 0.99
+    rows = np.float32(rows)
+    u = rows.astype(float) / np.linalg.norm(rows.astype(float), axis=1, keepdims=True)
+    links = (u @ u.T >= 0.98).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(rows)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.near_duplicates(df).collect()}
+    assert links[:400].min() > 100 and all(got[i] == (0, i) for i in range(400, 1200))
+    assert sum(got[i][0] for i in range(400)) >= 0.999 * links.sum() and {got[i][1] for i in range(400)} == {0}
+    assert all(got[i][0] <= links[i] for i in range(400))
+
+
 @pytest.mark.parametrize("block", [16, 2048])
 def test_search_matches_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(posting_search, "BLOCK", block)
