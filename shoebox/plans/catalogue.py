@@ -614,6 +614,12 @@ def near_duplicates_cc(c: Catalog) -> DataFrame:
     return groups.near_duplicates(near, rows, "vec_id", None, F.col("label"), 0.38)
 
 
+@query(None)  # a test compares with all pairs and a union-find; near_duplicates_cc keeps the one row in twenty of its SQL
+def near_duplicates_all(c: Catalog) -> DataFrame:
+    rows = c["embeddings"]
+    return groups.near_duplicates(groups.nearest_to_queries(rows, rows, "vec_id", "embedding", 10), rows, "vec_id", None, F.col("label"), 0.38)
+
+
 @query("""WITH g AS (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) <= 28800 THEN 0 ELSE 1 END AS starts FROM events),
     s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS segment FROM g), z AS (SELECT user_id, segment, min(ts) AS started, max(ts) AS ended FROM s GROUP BY ALL),
     m AS (SELECT user_id, segment, event_type AS region FROM s GROUP BY user_id, segment, event_type QUALIFY row_number() OVER (PARTITION BY user_id, segment ORDER BY count(*) DESC, min(ts), event_type DESC) = 1),

@@ -58,3 +58,32 @@ def test_components_match_union_find(spark):
         parent[b] = a
     got = {r.node: r.component for r in QUERIES["union_find_components"](spark, SF).collect()}
     assert got == {x: find(x) for x in list(parent)}
+
+
+def test_near_duplicates_of_all_rows_match_all_pairs(spark):
+    import numpy as np
+
+    rows = sorted(spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding", "label").where("embedding is not null").collect())
+    u = np.array([r.embedding for r in rows], np.float64)
+    near = u @ u.T
+    np.fill_diagonal(near, -np.inf)
+    group = {}
+
+    def find(x):
+        group.setdefault(x, x)
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    pairs = {tuple(sorted((i, int(j)))) for i in range(len(rows)) for j in np.argsort(-near[i], kind="stable")[:10] if near[i, j] >= 0.38}
+    for i, j in pairs:
+        a, b = sorted((find(i), find(j)))
+        group[b] = a
+    members = {}
+    for i in list(group):
+        members.setdefault(find(i), []).append(i)
+    best = {g: max(ids, key=lambda i: (rows[i].label, -rows[i].vec_id)) for g, ids in members.items()}
+    expected = {(rows[i].vec_id, rows[g].vec_id, len(ids), best[g] == i) for g, ids in members.items() for i in ids}
+    got = {(r.vec_id, r.group, r["size"], r.is_best) for r in QUERIES["near_duplicates_all"](spark, SF).collect()}
+    assert got == expected
+    assert any(rows[i].vec_id % 20 and rows[j].vec_id % 20 for i, j in pairs)
