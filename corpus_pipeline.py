@@ -25,8 +25,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go, and documents of which nothing is left."""
-    left = line_templates.drop_recurring_lines(docs.select(*COLUMNS))
+    """Lines that recur from two different texts on go, and documents of which nothing is left."""
+    left = line_templates.drop_recurring_lines(docs.select(*COLUMNS), min_texts=2)
     return left.where((F.col("lines_dropped") == 0) | F.col("text").rlike(r"\S")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

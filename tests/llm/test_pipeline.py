@@ -56,3 +56,11 @@ def test_whole_run_and_empty_input(spark, folder, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_passage_in_two_documents_stays_in_the_first(spark, folder):
+    passage = "these words are planted in exactly two different documents " * 6
+    rows = [(1, f"first alone\n{passage}"), (2, f"{passage}\nsecond alone"), (3, "a copy\nof a text"), (4, "a copy\nof a text")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], DOCS)
+    got = {r.doc_id: r.text for r in pipeline.line_dedup(spark, docs, folder).collect()}
+    assert got == {1: rows[0][1], 2: "second alone", 3: rows[2][1], 4: rows[3][1]}
