@@ -3,8 +3,8 @@
 Each task collects the distinct words of an Arrow batch that it has not met before and walks their trie depth first
 (words in byte order, keeping the states of the prefix shared with the word before, so each shared prefix is worked
 out once). The state of a prefix is the last token of its encoding: the longest token that ends the prefix and that
-byte-pair merging leaves standing next to the last token of what is before it. Following last tokens back from the end
-of a word gives its encoding.
+byte-pair merging leaves standing next to the last token of what is before it. The encoding of a prefix is that of the
+part before its last token, and that token; for prefixes of over LONGEST_KEPT bytes last tokens are followed back instead.
 
 Defined cases: a null text encodes as the empty text, to no ids; null ids decode to the empty text; the special
 tokens of the vocabulary file are found in a text as the tokenizers library finds them; whole texts of any length are
@@ -17,7 +17,7 @@ import json
 from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import sha256
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
-#: Bounds of what a worker keeps between batches. Emptying the stores costs time only.
-WORDS_KEPT, PAIRS_KEPT, STEPS_KEPT, LONGEST_KEPT = 60_000, 120_000, 120_000, 40
+#: Bounds of what a worker keeps between batches, about 200 MB. Emptying the stores costs time only.
+WORDS_KEPT, PAIRS_KEPT, STEPS_KEPT, LONGEST_KEPT = 400_000, 400_000, 200_000, 40
 
 
 def byte_of_character() -> dict[str, int]:
@@ -151,12 +151,16 @@ class Vocabulary:
             if len(kept) > most:
                 kept.clear()
         pairs, step, ends, shorter, size = self.pairs, self.step, self.ends, self.shorter, self.size
-        out, before, last, nodes = {}, b"", [-1], [0]
-        for data, word in sorted((w.encode(), w) for w in words):
-            shared, most = 0, min(len(before), len(data))
-            while shared < most and before[shared] == data[shared]:
+        # for each prefix of the word at hand: its node, its last token and, if it is not long, its whole encoding
+        out, before, nodes, last, ids = {}, b"", [0], [-1], [()]
+        add_node, add_last, add_ids = nodes.append, last.append, ids.append
+        for word in sorted(words):  # code points order as their UTF-8 bytes do
+            data, shared = word.encode(), 0
+            for x, y in zip(before, data):
+                if x != y:
+                    break
                 shared += 1
-            del last[shared + 1 :], nodes[shared + 1 :]
+            del nodes[shared + 1 :], last[shared + 1 :], ids[shared + 1 :]
             node, end = nodes[shared], shared
             for byte in data[shared:]:
                 end += 1
@@ -166,15 +170,22 @@ class Vocabulary:
                 while start and not pairs[last[start] << 20 | token]:
                     token = shorter[token]
                     start = end - size[token]
-                nodes.append(node)
-                last.append(token)
-            before, at, ids = data, len(data), []
-            while at:
-                ids.append(last[at])
-                at -= size[last[at]]
-            out[word] = tuple(ids[::-1])
+                add_node(node)
+                add_last(token)
+                if end <= LONGEST_KEPT:
+                    add_ids(ids[start] + (token,))
+            before = data
+            out[word] = ids[end] if end <= LONGEST_KEPT else self._back_from(end, last)
         return out
 
+    def _back_from(self, end: int, last: list[int]) -> tuple[int, ...]:
+        """The encoding of a long prefix, by its last tokens from the end back."""
+        ids = []
+        while end:
+            ids.append(last[end])
+            end -= self.size[last[end]]
+        return tuple(ids[::-1])
+
     def split(self, text: str) -> list[str | int]:
         """Words, and ids for special tokens."""
         if not self.special_pattern or not self.special_pattern.search(text):
@@ -187,8 +198,8 @@ class Vocabulary:
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         split = [self.split(t) for t in texts]
-        if len(self.words) > WORDS_KEPT:
-            self.words = {i: (i,) for i in self.special.values()}
+        if len(self.words) > WORDS_KEPT:  # the words met first go
+            self.words = dict(islice(self.words.items(), len(self.words) // 2, None)) | {i: (i,) for i in self.special.values()}
         known = self.words
         met = set(chain.from_iterable(split))
         found = self.encode_words(met.difference(known))
