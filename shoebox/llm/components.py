@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoebox.llm.tables import materialize
+from shoebox.llm.tables import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -24,11 +24,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         spread = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label").unionByName(labels)
         least = materialize(spread.groupBy("node").agg(F.min("label").alias("label")), "labels")
         own = least.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        labels = materialize(least.join(own, "label").select("node", F.col("next").alias("label")), "labels")
+        done, labels = labels, materialize(least.join(own, "label").select("node", F.col("next").alias("label")), "labels")
+        discard(done, least)  # the next round reads `both` and `labels` only
         before, total = total, _total(labels)
         if total == before:
             break
-    return labels.select("node", F.col("label").alias("component"))
+    discard(both)
+    return labels.withColumnRenamed("label", "component")
 
 
 def _total(labels: DataFrame):
