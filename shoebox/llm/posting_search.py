@@ -4,15 +4,18 @@ A sample of at most SAMPLE vectors is cut in two by 2-means, always the largest
 LIST vectors of the whole table each: balanced clusters, whose centroids (at most LISTS_MOST) go to all tasks. Centroids
 are searched by best-first search in a graph that joins each to its nearest ones. A vector is listed in its nearest
 cluster and, when it lies near a boundary, in up to COPIES clusters whose distance is within BOUNDARY of the nearest.
-A query reads the lists whose distance is within a ratio of its nearest one; the ratio is calibrated on sampled queries
-so that RECALL of their true neighbours in the sample lie in lists that are read. Measured recall against brute force
-is 0.985 to 0.996 on the test tables. A query reads on until its lists hold k others, so it gets k if there are so
-many. Lists are dealt to cells of at most about BLOCK vectors and BLOCK queries, each cell gives the best k of each
-query, and a query's best k over its cells are its result.
-
-Defined cases: vectors that are null, empty, zero or hold null or non-finite components, rows without an id, and
-vectors whose length is not the commonest take no part; a query never finds its own row, but finds equal vectors under
-other ids; of rows that repeat an id one takes part; ties go to the smaller id; an empty table gives an empty result.
+A query searches the graph for a bounded number of centroids and reads those lists whose distance is within a ratio of
+the nearest one. Both bounds are calibrated on sampled queries so that RECALL of their true neighbours in the sample lie
+in lists that are read; recall against brute force, and how much is read for it, are in the README. A query whose lists
+don't hold k others for certain searches on with a larger bound, so it gets k if there are so many. Lists are dealt to
+cells of at most about BLOCK vectors and BLOCK queries, each cell gives the best k of each query, and a query's best k
+over its cells are its result. Vectors of another length than the commonest have one list for each length, which all
+queries of that length read: their neighbours are exact.
+
+Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without an id, take
+no part; vectors are only compared with those of their length; a query never finds its own row, but finds equal vectors
+under other ids; of rows that repeat an id one takes part; ties go to the smaller id; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from pyspark.sql import functions as F
 from shoebox.llm.near_vectors import matrix, runs, unit, usable
 from shoebox.llm.tables import materialize
 
-SAMPLE, LIST, LISTS_MOST, DEGREE = 20_000, 256, 4_096, 16
-COPIES, BOUNDARY, RECALL, BLOCK, PROBES_LEAST = 6, 1.15, 0.985, 2_048, 8
+SAMPLE, LIST, LISTS_MOST, DEGREE, AT_ONCE = 20_000, 64, 4_096, 16, 8
+COPIES, BOUNDARY, RECALL, BLOCK, PROBES_LEAST = 2, 1.15, 0.945, 2_048, 8
 
 
 def balanced_centroids(x: np.ndarray, count: int, seed: int = 5) -> np.ndarray:
@@ -69,73 +72,85 @@ class CentroidGraph:
         self.entries = np.unique(np.linspace(0, n - 1, 8).astype(np.int64))
 
     def search(self, u: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """The `width` best centroids found for each row of u, best first, and their distances."""
-        n, rows = len(self.centroids), np.arange(len(u))
+        """The `width` best centroids found for each row of u, best first, and their distances.
+
+        Of the `width` best met so far those not opened yet are opened, AT_ONCE at a time, until none is left.
+        """
+        n, rows = len(self.centroids), np.arange(len(u))[:, None]
         width = min(width, n)
         seen = np.zeros((len(u), n), bool)
+        seen[:, self.entries] = True
         ids = np.tile(self.entries, (len(u), 1))
         score = u @ self.centroids[self.entries].T
-        open_ = np.ones(ids.shape, bool)
-        seen[:, self.entries] = True
-        while True:
-            ranked = np.where(open_, score, -np.inf)
-            at = ranked.argmax(1)
-            active = rows[open_.any(1)]
-            if not len(active):
-                break
-            node = ids[active, at[active]]
-            open_[active, at[active]] = False
-            around = self.next[node]
-            fresh = ~seen[active[:, None], around]
-            seen[active[:, None], around] = True
-            new = np.full((len(u), around.shape[1]), -np.inf)
-            new[active] = np.where(fresh, np.einsum("rd,rkd->rk", u[active], self.centroids[around]), -np.inf)
-            new_ids = np.zeros(new.shape, np.int64)
-            new_ids[active] = around
-            ids, score, open_ = np.concatenate((ids, new_ids), 1), np.concatenate((score, new), 1), np.concatenate((open_, new > -np.inf), 1)
+        closed = np.zeros(ids.shape, bool)
+        while not closed.all():
+            ranked = np.where(closed, -np.inf, score)
+            some = min(AT_ONCE, ids.shape[1])
+            pick = np.argpartition(-ranked, some - 1, axis=1)[:, :some]
+            live = ~closed[rows, pick]
+            closed[rows, pick] = True
+            # what is not live opens an entry again, which has nothing new
+            around = np.where(live[:, :, None], self.next[ids[rows, pick]], self.entries[0]).reshape(len(u), -1)
+            around.sort(axis=1)
+            fresh = ~seen[rows, around]
+            fresh[:, 1:] &= around[:, 1:] != around[:, :-1]
+            seen[rows, around] = True
+            r, c = np.nonzero(fresh)
+            new = np.full(around.shape, -np.inf)
+            new[r, c] = np.einsum("nd,nd->n", u[r], self.centroids[around[r, c]])
+            ids, score, closed = np.concatenate((ids, around), 1), np.concatenate((score, new), 1), np.concatenate((closed, ~fresh), 1)
             if ids.shape[1] > width:
                 best = np.argpartition(-score, width - 1, axis=1)[:, :width]
-                ids, score, open_ = (np.take_along_axis(x, best, 1) for x in (ids, score, open_))
+                ids, score, closed = ids[rows, best], score[rows, best], closed[rows, best]
         order = np.argsort(-score, axis=1, kind="stable")
-        ids, score = np.take_along_axis(ids, order, 1), np.take_along_axis(score, order, 1)
+        ids, score = ids[rows, order], score[rows, order]
         return ids, np.where(np.isfinite(score), np.sqrt(np.maximum(2 - 2 * score, 1e-12)), np.inf)
 
     def lists(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The lists of vectors: (row, list) pairs."""
-        ids, far = self.search(u, max(32, COPIES))
+        ids, far = self.search(u, max(16, 4 * COPIES))
         keep = far <= BOUNDARY * far[:, :1]
         keep[:, 0], keep[:, COPIES:] = True, False
         row, column = np.nonzero(keep)
         return row, ids[row, column]
 
-    def probes(self, u: np.ndarray, ratio: float, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def probes(self, u: np.ndarray, ratio: float, width: int, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The lists that queries read: (row, list) pairs. Where near lists are short, further ones follow until they
-        hold k others for certain: a vector is in COPIES lists at most."""
-        ids, far = self.search(u, len(self.centroids))
-        held = np.cumsum(sizes[ids], axis=1) - sizes[ids]
-        keep = (far <= ratio * far[:, :1]) | (held < COPIES * (k + 1))
-        keep[:, :PROBES_LEAST] = True
-        row, column = np.nonzero(keep)
-        return row, ids[row, column]
-
-
-def calibrate(graph: CentroidGraph, sample: np.ndarray, k: int) -> float:
-    """The ratio at which RECALL of sampled queries' true neighbours in the sample lie in a list that is read."""
-    queries = sample[:: max(1, len(sample) // 256)]
-    near = queries @ sample.T
-    near[np.arange(len(queries)), np.arange(0, len(sample), max(1, len(sample) // 256))[: len(queries)]] = -np.inf
-    k = min(k, len(sample) - 1)
+        hold k others for certain, a vector being in COPIES lists at most: the search's width grows for those queries."""
+        rows, out = np.arange(len(u)), []
+        while len(rows):
+            ids, far = self.search(u[rows], width)
+            held = np.cumsum(np.where(np.isfinite(far), sizes[ids], 0), axis=1)
+            keep = (far <= ratio * far[:, :1]) | (held - sizes[ids] < COPIES * (k + 1))
+            keep[:, :PROBES_LEAST] = True
+            done = (held[:, -1] >= COPIES * (k + 1)) | (width >= len(self.centroids))
+            row, column = np.nonzero(keep & np.isfinite(far) & done[:, None])
+            out.append((rows[row], ids[row, column]))
+            rows, width = rows[~done], 2 * width
+        return np.concatenate([np.zeros(0, np.int64), *(r for r, _ in out)]), np.concatenate([np.zeros(0, np.int64), *(i for _, i in out)])
+
+
+def calibrate(graph: CentroidGraph, sample: np.ndarray, k: int) -> tuple[float, int]:
+    """The ratio and the width at which RECALL of sampled queries' true neighbours in the sample lie in a list that is
+    read."""
+    step = max(1, len(sample) // 256)
+    queries, k = sample[::step], min(k, len(sample) - 1)
     if k < 1:
-        return 1.0
+        return 1.0, PROBES_LEAST
+    near = queries @ sample.T
+    near[np.arange(len(queries)), np.arange(0, len(sample), step)] = -np.inf
     true = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    far = np.sqrt(np.maximum(2 - 2 * queries @ graph.centroids.T, 1e-12))
     of: dict[int, list[int]] = {}
     for at in range(0, len(sample), 1_000):  # as few rows at a time as in a task
         row, lists = graph.lists(sample[at : at + 1_000])
         for r, c in zip(row.tolist(), lists.tolist()):
             of.setdefault(at + r, []).append(c)
-    need = [far[q, of[v]].min() / far[q].min() for q, vs in enumerate(true) for v in vs]
-    return float(np.quantile(need, RECALL)) + 1e-9
+    far = np.sqrt(np.maximum(2 - 2 * queries @ graph.centroids.T, 1e-12))
+    place = np.argsort(np.argsort(far, axis=1), axis=1)  # how many lists are nearer
+    found = [(far[q, of[v]].min() / far[q].min(), place[q, of[v]].min()) for q, vs in enumerate(true) for v in vs]
+    # each bound may lose half of what may be lost
+    ratio, width = (np.quantile([f[i] for f in found], (1 + RECALL) / 2, method="higher") for i in range(2))
+    return float(ratio) + 1e-9, int(width) + 1
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -147,13 +162,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     if common is None:
         return good.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias(id_col), F.lit(0.0).alias("score")).limit(0)
     n = common["count"]
-    good = materialize(good.where(F.size("vector") == common.dim), "posting-vectors")
+    good = materialize(good.withColumn("dim", F.size("vector")), "posting-vectors")
+    usual, others = good.where(F.col("dim") == common.dim), good.where(F.col("dim") != common.dim)
     chance = F.shiftrightunsigned(F.xxhash64("id", F.lit(5)), 11) / F.lit(float(2**53))
-    drawn = good.where(chance * n < SAMPLE).orderBy(F.xxhash64("id", F.lit(5)), "id").limit(SAMPLE).select("vector").toArrow()
-    drawn = drawn if len(drawn) else good.limit(1).select("vector").toArrow()
+    drawn = usual.where(chance * n < SAMPLE).orderBy(F.xxhash64("id", F.lit(5)), "id").limit(SAMPLE).select("vector").toArrow()
+    drawn = drawn if len(drawn) else usual.limit(1).select("vector").toArrow()
     sample = unit(matrix(drawn.column("vector").combine_chunks()))
     graph = CentroidGraph(balanced_centroids(sample, int(min(max(1, n // LIST), LISTS_MOST, max(1, len(sample) // 4)))))
-    ratio = calibrate(graph, sample, k)
+    ratio, width = calibrate(graph, sample, k)
     sent = spark.sparkContext.broadcast(graph)
 
     def dealt(lists_of, asks: bool):
@@ -161,7 +177,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
 
         def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for batch in (whole.slice(i, 1_000) for i in range(0, len(whole), 1_000)):
+                for batch in (whole.slice(i, 500) for i in range(0, len(whole), 500)):
                     u, ids = unit(matrix(batch.column("vector"))), batch.column("id").to_numpy()
                     row, lists = lists_of(u)
                     packed = [x.tobytes() for x in u]
@@ -169,12 +185,27 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
 
         return rows_of
 
+    def of_length(asks: bool):
+        """Rows (list, asks, id, unit) for the one list of each uncommon length; such lists are numbered below 0."""
+
+        def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                dims = np.asarray(batch.column("dim"))
+                for d in np.unique(dims):
+                    part = batch.filter(pa.array(dims == d))
+                    packed = pa.array([x.tobytes() for x in unit(matrix(part.column("vector")))], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), -int(d))), pa.array(np.full(len(part), asks)), part.column("id"), packed], ["list", "asks", "id", "unit"])
+
+        return rows_of
+
     schema = "list long, asks boolean, id long, unit binary"
-    vectors_of = materialize(good.select("id", "vector").mapInArrow(dealt(lambda u: sent.value.lists(u), False), schema), "posting-vectors-of")
+    vectors_of = usual.select("id", "vector").mapInArrow(dealt(lambda u: sent.value.lists(u), False), schema)
+    vectors_of = materialize(vectors_of.unionByName(others.select("id", "vector", "dim").mapInArrow(of_length(False), schema)), "posting-vectors-of")
     counts = np.zeros(len(graph.centroids), np.int64)
-    for r in vectors_of.groupBy("list").count().collect():  # at most LISTS_MOST lists
+    for r in vectors_of.where("list >= 0").groupBy("list").count().collect():  # at most LISTS_MOST lists
         counts[r.list] = r["count"]
-    asked = good.where("asks").select("id", "vector").mapInArrow(dealt(lambda u: sent.value.probes(u, ratio, counts, k), True), schema)
+    asked = usual.where("asks").select("id", "vector").mapInArrow(dealt(lambda u: sent.value.probes(u, ratio, width, counts, k), True), schema)
+    asked = asked.unionByName(others.where("asks").select("id", "vector", "dim").mapInArrow(of_length(True), schema))
     listed = vectors_of.unionByName(materialize(asked, "posting-queries-of"))
     sizes = listed.groupBy("list").agg(F.ceil(F.count_if(~F.col("asks")) / BLOCK).cast("int").alias("v"), F.ceil(F.count_if("asks") / BLOCK).cast("int").alias("q"))
     sizes = materialize(sizes.where("v > 0 and q > 0"), "posting-sizes")
