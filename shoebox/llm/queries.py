@@ -62,7 +62,7 @@ def op5_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_site_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     labels = read_table(spark, sf_dir, "labels").where(~held_out())
-    rated = quality.score_quality(docs, labels)
+    rated = quality.score_quality(docs, labels, carry=("doc_id",))
     return rated.select("doc_id", held_out().alias("held_out"), "quality_evidence", "quality_prior", F.col("quality").alias("score"), F.col("quality_keep").cast("int").alias("predicted"))
 
 
@@ -141,7 +141,7 @@ ORACLE = {
                 concat('2', chr(9), len(t), chr(9), array_to_string(t[1:3], ' '), chr(9), array_to_string([t[i] for i in range(1, len(t) + 1) if (i - 1) % 3 = 2], ' '))
             ] ELSE [concat('w', chr(9), array_to_string(t, ' '))] END) AS template FROM parsed
         ), recurring AS (
-            SELECT template, min(doc_id) AS first FROM held GROUP BY template HAVING count(DISTINCT text) >= 3
+            SELECT template, min(doc_id) AS first FROM held GROUP BY template HAVING count(DISTINCT text) >= 2
         ), gone AS (
             SELECT doc_id, text, list(DISTINCT pos) AS gone FROM held JOIN recurring USING (template) WHERE doc_id <> first GROUP BY doc_id, text
         )

@@ -168,7 +168,7 @@ def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
 # ---- line templates
 
 
-def lines_brute(rows, least=3):
+def lines_brute(rows, least=2):
     held = {}
     for i, text, *_ in rows:
         for at, line in enumerate((text or "").split("\n") if text is not None else []):
