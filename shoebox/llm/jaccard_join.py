@@ -20,7 +20,8 @@ others, then, block by block, all pairs that are still in different components a
 
 Defined cases: nulls, empty texts and texts without words have the empty set and link with nothing; fewer than five
 words are one shingle; a row without id gets no component (null) and links nothing; rows that repeat an id are one
-document, of whose texts, should they differ, one stands for all; an empty table gives an empty result; other columns are not read.
+document, of whose texts, should their sets differ, the least stands for all, while each row counts its own shingles;
+an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from shoebox.llm.components import connected_components
 from shoebox.llm.hashing import mix64, shingle_sets
-from shoebox.llm.tables import materialize
+from shoebox.llm.tables import discard, materialize
 
 #: A task names members that more than 1 in FREQUENT of its sets hold, FREQUENT_MOST at most; it only affects order.
 FREQUENT, FREQUENT_MOST = 200, 5_000
@@ -125,7 +126,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     described = materialize(texts.mapInArrow(_describe, "id long, n long, s1 long, s2 long, sketch binary"), "shingle-sets")
-    sets = described.where("n >= 0")
+    sets = rows = described.where("n >= 0")
+    mark = F.struct("n", "s1", "s2")
+    several = sets.where("id is not null").groupBy("id").agg(F.min(mark).alias("a"), F.max(mark).alias("b")).where("a <> b").select("id")
+    several = materialize(several, "several-texts")
+    if not several.isEmpty():  # of ids with several texts all but one text go
+        one = texts.join(several, "id").groupBy("id").agg(F.min("text").alias("text"))
+        texts = materialize(texts.join(several, "id", "left_anti").unionByName(one), "one-text")
+        sets = materialize(texts.mapInArrow(_describe, "id long, n long, s1 long, s2 long, sketch binary"), "one-set").where("n >= 0")
     # at most FREQUENT_MOST members, whatever the size of the input
     often = described.where("n < 0").groupBy("id").agg(F.sum(-F.col("n")).alias("c")).orderBy(F.desc("c"), "id").limit(FREQUENT_MOST).collect()
     members = np.array([r.id for r in often], np.int64).view(np.uint64)
@@ -152,14 +160,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = materialize(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "shared-keys")
     classes = materialize(sets.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "set-classes")
     class_of = materialize(sets.where("n > 0 and id is not null").join(classes, ["n", "s1", "s2"]).select("id", "rep").distinct(), "set-class-of")
-    held = materialize(materialize(keys.join(shared, "key"), "keys-shared").join(class_of, "id").select("key", "rep").distinct(), "keys-held")
+    met = materialize(keys.join(shared, "key"), "keys-shared")
+    all_held = materialize(met.join(class_of, "id").select("key", "rep").distinct(), "keys-held")
+    discard(keyed, shared, met)
     masks = [F.min(F.col("rep").bitwiseXOR(F.lit(m))).alias(f"p{i}") for i, m in enumerate(PIVOTS)]
     marks = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"x{i}") for i in range(2)]
-    grouped = held.groupBy("key").agg(F.count("*").alias("c"), *masks, *marks).where("c > 1")
+    grouped = all_held.groupBy("key").agg(F.count("*").alias("c"), *masks, *marks).where("c > 1")
     # keys with the same classes say the same: one of them is enough
     names = ["c", *(f"p{i}" for i in range(len(PIVOTS))), "x0", "x1"]
     grouped = materialize(grouped.groupBy(*names).agg(F.min("key").alias("key")), "key-groups")
-    held = materialize(held.join(grouped.select("key"), "key"), "keys-grouped")
+    held = materialize(all_held.join(grouped.select("key"), "key"), "keys-grouped")
+    discard(all_held)
     sketches = materialize(sets.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "class-sketches")
     near = F.arrow_udf(_near, "boolean")
 
@@ -197,20 +208,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return materialize(own.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("key"), "open-groups")
 
     # two classes have met their pivot already; pairs within a component need no check
-    others = F.explode(F.array_distinct(F.array(*[pivot(i) for i in range(1, len(PIVOTS))])))
-    stars = held.join(materialize(open_groups(3).join(grouped, "key"), "open-pivots"), "key").withColumn("pivot", others).where("pivot != rep")
-    stars = now(now(materialize(stars.select("pivot", "rep").distinct(), "stars"), "rep", "own"), "pivot", "other").where("own != other")
-    links = materialize(links.unionByName(linked(stars.select(*pair(F.col("rep"), F.col("pivot"))))), "links")
-    components = connected_components(links)
-
-    # a group of no more classes than one beyond its different pivots is done
-    done = F.size(F.array_distinct(F.array(*[pivot(i) for i in range(len(PIVOTS))]))) + 1
-    rest = open_groups(3).join(grouped.where(F.col("c") > done).select("key"), "key")
-    last = linked(_far_pairs(now(held.join(materialize(rest, "open-rest"), "key"), "rep", "own"), sketches))
-    components = connected_components(links.unionByName(last))
+    opened = open_groups(3)
+    if not opened.isEmpty():
+        others = F.explode(F.array_distinct(F.array(*[pivot(i) for i in range(1, len(PIVOTS))])))
+        stars = held.join(materialize(opened.join(grouped, "key"), "open-pivots"), "key").withColumn("pivot", others).where("pivot != rep")
+        stars = now(now(materialize(stars.select("pivot", "rep").distinct(), "stars"), "rep", "own"), "pivot", "other").where("own != other")
+        links = materialize(links.unionByName(linked(stars.select(*pair(F.col("rep"), F.col("pivot"))))), "links")
+        components = connected_components(links)
+        # a group of no more classes than one beyond its different pivots is done
+        done = F.size(F.array_distinct(F.array(*[pivot(i) for i in range(len(PIVOTS))]))) + 1
+        rest = materialize(open_groups(3).join(grouped.where(F.col("c") > done).select("key"), "key"), "open-rest")
+        if not rest.isEmpty():
+            last = linked(_far_pairs(now(held.join(rest, "key"), "rep", "own"), sketches))
+            components = connected_components(links.unionByName(last))
     # a class's rep is its least id, so the least rep of a component is its least id
     final = now(class_of, "rep", "component_id").groupBy("id").agg(F.min("component_id").alias("component_id"))
-    return sets.join(materialize(final, "jaccard-of"), "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    final = materialize(final, "jaccard-of")
+    discard(classes, class_of, held, grouped, sketches, links)
+    return rows.join(final, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
