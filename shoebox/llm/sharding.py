@@ -6,20 +6,25 @@ hash of the id. Exact byte sums of the fine ranges place each range on a line of
 range places each row, and a shard is a stretch of that line.
 
 Defined cases: a null text counts as the empty text (size 1) and is one group with it; null or repeated ids are
-ordinary rows; an empty table gives an empty result; columns other than the id and the text are not read.
-A group of equal texts stays in one shard unless it holds more than 1/64 of a shard's bytes, when it may be cut.
+ordinary rows (rows without an id are told apart by their place in the table as it was read); an empty table gives an empty result; columns other than the id and the text are not read.
+A group of equal texts stays in one shard unless it holds more than 1/64 of a shard's bytes, or lies in a range that had
+to be subdivided (one that a much larger group fills), when it may be cut.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import accumulate
+from math import ceil, sqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoebox.llm.tables import materialize
+from shoebox.llm.tables import discard, materialize
 
-#: Fine ranges are FANOUT * FANOUT; the sample holds about SAMPLE_PER_RANGE keys for each.
-FANOUT = 32
-SAMPLE_PER_RANGE = 16
+#: Fine ranges are the square of a number within FANOUT, so that they hold about RANGE_ROWS rows; the sample holds about
+#: SAMPLE_PER_RANGE keys for each.
+FANOUT, RANGE_ROWS, SAMPLE_PER_RANGE = (32, 128), 20_000, 16
 
 
 def _longs(values: list[int]) -> Column:
@@ -27,14 +32,15 @@ def _longs(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def _splitters(sample: list[tuple[int, int]], ranges: int) -> list[tuple[int, int]]:
-    """Quantile boundaries of a sorted key sample.
+def _splitters(sample: list[tuple[int, int, int]], ranges: int) -> list[tuple[int, int]]:
+    """Quantile boundaries of a sorted sample of keys with their numbers.
 
     A boundary falls before all rows of its text, so that small groups stay whole, except where one text fills
     several ranges: its second and further boundaries cut between ids.
     """
     low = -(2**63)
-    picked = [sample[len(sample) * i // ranges] for i in range(1, ranges)] if sample else []
+    ends = list(accumulate(n for _, _, n in sample))
+    picked = [sample[bisect_right(ends, ends[-1] * i // ranges)][:2] for i in range(1, ranges)] if sample else []
     out: list[tuple[int, int]] = []
     for i, (key, tie) in enumerate(picked):
         out.append((key, tie) if i and picked[i - 1][0] == key else (key, low))
@@ -42,10 +48,10 @@ def _splitters(sample: list[tuple[int, int]], ranges: int) -> list[tuple[int, in
 
 
 def _range_of(splitters: list[tuple[int, int]]) -> Column:
-    """The number of splitters at or below the row's key, by a search in two steps of about FANOUT comparisons."""
+    """The number of splitters at or below the row's key, by a search in two steps of about as many comparisons."""
     if not splitters:
         return F.lit(0)
-    step = max(1, -(-len(splitters) // FANOUT))
+    step = ceil(sqrt(len(splitters)))
     heads = splitters[::step]
 
     def count(keys: Column, ties: Column) -> Column:
@@ -72,17 +78,17 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
             F.xxhash64(text).alias("key"),
-            F.xxhash64(F.col(id_col), F.lit(10)).alias("tie"),
+            F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()), F.lit(10)).alias("tie"),
         ),
         "shard-keys",
     )
     n_rows, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    ranges = FANOUT * FANOUT
+    ranges = min(max(ceil(sqrt(n_rows / RANGE_ROWS)), FANOUT[0]), FANOUT[1]) ** 2
     want = ranges * SAMPLE_PER_RANGE
     # a row is drawn with a chance in proportion to its size, by a hash of its id: about `want` keys at any size
     chance = F.shiftrightunsigned(F.xxhash64(F.col("tie"), F.col("size"), F.lit(11)), 11) / F.lit(float(2**53))
-    drawn = rows.where(chance * max(total, 1) < F.col("size") * float(want)).select("key", "tie")
-    splitters = _splitters(sorted((r.key, r.tie) for r in drawn.toLocalIterator()), ranges)
+    drawn = rows.where(chance * max(total, 1) < F.col("size") * float(want)).groupBy("key", "tie").agg(F.count("*").alias("n"))
+    splitters = _splitters(sorted((r.key, r.tie, r.n) for r in drawn.toLocalIterator()), ranges)  # about `want` rows
 
     ranged = rows.withColumn("range", _range_of(splitters).cast("int"))
     held = {r.range: r.n for r in ranged.groupBy("range").agg(F.count("*").alias("n")).collect()}  # at most `ranges` rows
@@ -118,6 +124,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
         ),
         "shard-places",
     )
+    discard(rows)
     starts = {r.shard: r.place for r in dealt.groupBy("shard").agg(F.min("place").alias("place")).collect()}  # n_shards rows
     start = F.element_at(_longs([starts.get(i, 0) for i in range(n_shards)]), F.col("shard") + 1)
     return dealt.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("place") - start).alias("slot"))
