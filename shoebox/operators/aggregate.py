@@ -20,6 +20,13 @@ def dimension(name: str, taken_at: str = "taken_at") -> Column:
     return known[name]
 
 
+def best_id(id_col: str, *scores: Column | str) -> Column:
+    """An aggregate: the id of the highest scores, null being the lowest; of equals the least id, of whatever type."""
+    keys = [F.col(s) if isinstance(s, str) else s for s in scores]
+    order = [k for s in keys for k in (s.isNull(), -s)]
+    return F.min_by(id_col, F.struct(*[k.alias(f"k{i}") for i, k in enumerate(order)], F.col(id_col).alias("id")))
+
+
 def group_counts(rows: DataFrame, group: Column, top_n: int = 50, best: tuple[str, str] | None = None) -> DataFrame:
     """(value, n) of the most frequent groups, null left out, largest first and then by value.
 
@@ -27,8 +34,7 @@ def group_counts(rows: DataFrame, group: Column, top_n: int = 50, best: tuple[st
     """
     aggs = [F.count("*").alias("n")]
     if best:
-        key = F.struct(F.col(best[1]).isNotNull(), F.col(best[1]), -F.col(best[0]))
-        aggs.append(F.max_by(best[0], key).alias("best_id"))
+        aggs.append(best_id(*best).alias("best_id"))
     counted = rows.groupBy(group.alias("value")).agg(*aggs).where(F.col("value").isNotNull())
     return counted.orderBy(F.desc("n"), "value").limit(min(top_n, 50))
 
@@ -87,3 +93,30 @@ def count_members(groups: DataFrame, members: DataFrame, on: str, member: str) -
     """Members counted before they are joined, so that groups without any stay with 0."""
     counted = members.groupBy(on).agg(F.count(member).alias("n"))
     return groups.join(counted, on, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def people_list(people: DataFrame, faces: DataFrame, hidden: bool = False, samples: int = 6) -> DataFrame:
+    """People with faces: (cluster_id, name, n_faces, n_photos, sample_faces), named ones first, then by number of faces
+    and by cluster. Faces are counted before people join; the best `samples` of each are numbered within tasks first."""
+    place = Window.partitionBy("cluster_id").orderBy(F.desc_nulls_last("det_score"), "id")
+    best = faces.select("cluster_id", "id", "det_score").withColumn("place", F.row_number().over(place)).where(F.col("place") <= samples)
+    best = best.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda s: s["id"]).alias("sample_faces"))
+    counted = faces.groupBy("cluster_id").agg(F.count("*").alias("n_faces"), F.count_distinct("photo_id").alias("n_photos"))
+    shown = people if hidden else people.where(~F.coalesce("hidden", F.lit(False)))
+    rows = shown.select("cluster_id", "name").join(counted, "cluster_id").join(best, "cluster_id")
+    return rows.orderBy(F.col("name").isNull(), F.desc("n_faces"), "cluster_id")
+
+
+def range_newest(rows: DataFrame, at: str, id_col: str, inside: Column, n: int) -> DataFrame:
+    """The n newest rows of a range and, on each, the total of the range: counted beside, not by collecting it."""
+    held = rows.where(inside)
+    total = held.agg(F.count("*").alias("total"))
+    return held.orderBy(F.desc_nulls_last(at), id_col).limit(n).crossJoin(F.broadcast(total))  # one row
+
+
+def one(rows: DataFrame):
+    """The single row of a lookup by key; LookupError if there is none."""
+    row = rows.first()
+    if row is None:
+        raise LookupError("no such row")
+    return row

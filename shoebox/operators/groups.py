@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoebox.operators.aggregate import best_id
 from shoebox.session import ensure_checkpoint_dir
 
 
@@ -35,63 +40,91 @@ def hamming_pairs(rows: DataFrame, id_col: str, hash_col: str, most: int = 1) ->
 
 def equal_groups(rows: DataFrame, key: Column, id_col: str, score: Column) -> DataFrame:
     """(key, size, best_id) of keys held by several rows; the best has the highest score, then the least id."""
-    return rows.groupBy(key.alias("key")).agg(F.count("*").alias("size"), F.max_by(id_col, F.struct(score, -F.col(id_col))).alias("best_id")).where("size > 1")
+    return rows.groupBy(key.alias("key")).agg(F.count("*").alias("size"), best_id(id_col, score).alias("best_id")).where("size > 1")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of an edge list (a, b): the least node reachable. Labels spread along edges and jump to their
-    own label's label; each round is checkpointed, so that lineage stays short and lost executors cost one round."""
+    """(node, component) of an edge list (a, b): the least node reachable, of whatever type. Labels spread along edges
+    and jump to their own label's label, until none changes; each round is checkpointed, so that lineage stays short and
+    lost executors cost one round."""
     ensure_checkpoint_dir(edges.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")).checkpoint()
-    total = labels.agg(F.sum("label")).first()[0]
-    while total is not None:
-        spread = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label").unionByName(labels)
-        least = spread.groupBy("node").agg(F.min("label").alias("label")).checkpoint()
-        own = least.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        labels = least.join(own, "label").select("node", F.col("next").alias("label")).checkpoint()
-        before, total = total, labels.agg(F.sum("label")).first()[0]
-        if total == before:
-            break
-    return labels.select("node", F.col("label").alias("component"))
+    changed = True
+    while changed:
+        own = labels.select("node", "label", F.col("label").alias("before"))
+        spread = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast(labels.schema["label"].dataType).alias("before")).unionByName(own)
+        least = spread.groupBy("node").agg(F.min("label").alias("label"), F.max("before").alias("before")).checkpoint()
+        jump = least.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        labels = least.join(jump, "label").select("node", F.col("next").alias("label"), "before").checkpoint()
+        changed = not labels.where("label <> before").isEmpty()
+        labels = labels.select("node", "label")
+    return labels.withColumnRenamed("label", "component")
+
+
+#: Bytes of query vectors that are sent to all tasks; beyond, queries are dealt to blocks too.
+SENT = 64 << 20
 
 
 def nearest_to_queries(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int = 10, row_block: int = 16_384, query_block: int = 2_048) -> DataFrame:
     """(query_id, rank, id, score): the exact k nearest rows of each stated query by dot product of unit vectors.
 
-    Rows and queries are dealt to blocks, and every block of rows meets every block of queries in a task of its own:
-    one matrix product, of which only each query's k best go on. A query doesn't find its own row.
+    Queries of at most SENT bytes go to all tasks, which read the rows where they are and pass on each query's k best.
+    More queries are dealt to blocks, as rows are, and every two blocks meet in a task of their own. Either way rows are
+    compared by matrix products. A query doesn't find its own row.
     """
-    rows, queries = (df.where(F.col(vector_col).isNotNull()).select(id_col, vector_col) for df in (rows, queries))
-    n_rows, n_queries = max(1, -(-rows.count() // row_block)), max(1, -(-queries.count() // query_block))
-
-    def dealt(df: DataFrame, own: int, other: int, names: tuple[str, str]) -> DataFrame:
-        block = F.pmod(F.xxhash64(id_col), F.lit(own)).cast("int").alias(names[0])
-        return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), block, F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(names[1]))
-
-    left = dealt(queries, n_queries, n_rows, ("q", "r")).groupBy("q", "r")
-    near = left.cogroup(dealt(rows, n_rows, n_queries, ("r", "q")).groupBy("q", "r")).applyInPandas(_block_best(k), "query_id long, id long, score double")
+    rows, queries = (df.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")) for df in (rows, queries))
+    kind = rows.schema["id"].dataType.simpleString()
+    schema = f"query_id {kind}, id {kind}, score double"
+    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("x")).first()
+    if size.x * 8 <= SENT:
+        asked = queries.toPandas()  # its size was checked
+        sent = rows.sparkSession.sparkContext.broadcast((asked.id.to_numpy(), np.array(asked.vector.tolist(), np.float64)))
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """A task's k best rows for each query."""
+            found = None
+            for have in batches:
+                some = _block_best(*sent.value, have, k)
+                found = some if found is None else _first(pd.concat([found, some]), k)
+            if found is not None:
+                yield found
+
+        near = rows.mapInPandas(best, schema)
+    else:
+        n_rows, n_queries = max(1, -(-rows.count() // row_block)), -(-size.n // query_block)
+
+        def dealt(df: DataFrame, own: int, other: int, names: tuple[str, str]) -> DataFrame:
+            block = F.pmod(F.xxhash64("id"), F.lit(own)).cast("int").alias(names[0])
+            return df.select("id", "vector", block, F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(names[1]))
+
+        def met(asked: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
+            return _block_best(asked.id.to_numpy(), np.array(asked.vector.tolist(), np.float64), have, k)
+
+        left = dealt(queries, n_queries, n_rows, ("q", "r")).groupBy("q", "r")
+        near = left.cogroup(dealt(rows, n_rows, n_queries, ("r", "q")).groupBy("q", "r")).applyInPandas(met, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
-def _block_best(k: int):
-    """The k best of a block of rows for each query of a block; what ties with the k-th goes on too."""
-
-    def best(asked, have):
-        import numpy as np
-        import pandas as pd
+def _first(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Each query's k best and what ties with the k-th."""
+    found = found.sort_values(["query_id", "score"], ascending=[True, False], kind="stable", ignore_index=True)
+    place = found.groupby("query_id").cumcount()
+    return found[found.score >= found.score.where(place < k).groupby(found.query_id).transform("min") - 1e-12]
 
-        if not len(asked) or not len(have):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        near = np.array(asked.vector.tolist(), np.float64) @ np.array(have.vector.tolist(), np.float64).T
-        near[asked.id.to_numpy()[:, None] == have.id.to_numpy()[None]] = -np.inf
-        count = min(k, len(have))
-        floor = -np.partition(-near, count - 1, axis=1)[:, count - 1 : count]
-        i, j = np.nonzero((near >= floor - 1e-12) & np.isfinite(near))
-        return pd.DataFrame({"query_id": asked.id.to_numpy()[i], "id": have.id.to_numpy()[j], "score": near[i, j]})
 
-    return best
+def _block_best(names: np.ndarray, asked: np.ndarray, have: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best of a block of rows for each query of a block; what ties with the k-th goes on too."""
+    ids = have.id.to_numpy()
+    if not len(names) or not len(ids):
+        return pd.DataFrame({"query_id": names[:0], "id": ids[:0], "score": np.zeros(0)})
+    near = asked @ np.array(have.vector.tolist(), np.float64).T
+    near[names[:, None] == ids[None]] = -np.inf
+    count = min(k, len(ids))
+    floor = -np.partition(-near, count - 1, axis=1)[:, count - 1 : count]
+    i, j = np.nonzero((near >= floor - 1e-12) & np.isfinite(near))
+    return pd.DataFrame({"query_id": names[i], "id": ids[j], "score": near[i, j]})
 
 
 def purity(rows: DataFrame, cluster: str, truth: str) -> DataFrame:
@@ -129,8 +162,8 @@ def carry_labels(members: DataFrame, new: str, old: str, share: float = 0.5) ->
     table = members.groupBy(new, old).agg(F.count("*").alias("n"))
     sizes = members.groupBy(new).agg(F.count("*").alias("size"))
     claims = table.where(F.col(old).isNotNull()).join(sizes, new).where(F.col("n") >= share * F.col("size"))
-    claims = claims.groupBy(new).agg(F.max_by(old, F.struct("n", -F.col(old))).alias(old), F.first("size").alias("size"))
-    winners = claims.groupBy(old).agg(F.max_by(new, F.struct("size", -F.col(new))).alias(new))
+    claims = claims.groupBy(new).agg(best_id(old, "n").alias(old), F.first("size").alias("size"))
+    winners = claims.groupBy(old).agg(best_id(new, "size").alias(new))
     return sizes.join(winners, new, "left").select(new, F.col(old).alias("label"))
 
 
@@ -146,7 +179,7 @@ def near_duplicates(neighbours: DataFrame, rows: DataFrame, id_col: str, hash_co
         near = near.join(hashes, "a").join(hashes.select(F.col("a").alias("b"), F.col("ha").alias("hb")), "b").where(hamming("ha", "hb") <= bits)
     found = components(near.select("a", "b")).select(F.col("node").alias(id_col), F.col("component").alias("group"))
     rated = found.join(rows.select(id_col, score.alias("group_score")), id_col)
-    best = rated.groupBy("group").agg(F.count("*").alias("size"), F.max_by(id_col, F.struct("group_score", -F.col(id_col))).alias("best"))
+    best = rated.groupBy("group").agg(F.count("*").alias("size"), best_id(id_col, "group_score").alias("best"))
     return rated.join(best, "group").select(id_col, "group", "size", (F.col(id_col) == F.col("best")).alias("is_best"))
 
 
@@ -154,3 +187,10 @@ def stratified(rows: DataFrame, stratum: str, id_col: str, each: int, seed: int
     """At most `each` rows of every stratum, null being one, drawn by a hash of the id: the same at every run."""
     w = Window.partitionBy(stratum).orderBy(F.xxhash64(id_col, F.lit(seed)), id_col)
     return rows.withColumn("draw", F.row_number().over(w)).where(F.col("draw") <= each).drop("draw")
+
+
+def near_misses(pairs: DataFrame, flagged: float, low: float, high: float, score: str, keys: list[str], each: int, seed: int = 0) -> DataFrame:
+    """Half of the rows from pairs that are flagged as alike, half from those that nearly were, drawn by a hash."""
+    kind = F.when(F.col(score) >= flagged, "flagged").when(F.col(score).between(low, high), "near_miss")
+    w = Window.partitionBy("kind").orderBy(F.xxhash64(*keys, F.lit(seed)), *keys)
+    return pairs.withColumn("kind", kind).where("kind is not null").withColumn("draw", F.row_number().over(w)).where(F.col("draw") <= each).drop("draw")

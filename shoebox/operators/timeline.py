@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoebox.functions.vector import dot
+from shoebox.operators.aggregate import best_id
+
 
 def seconds_between(later: Column, earlier: Column) -> Column:
     """Seconds from one timestamp to another, with fractions."""
@@ -12,24 +17,46 @@ def seconds_between(later: Column, earlier: Column) -> Column:
     return micros / 1e6
 
 
-def chains(rows: DataFrame, partition: list[str], order: list[str], broken: Column, name: str) -> DataFrame:
-    """Number the chains of each partition: `broken` (over lag_* columns) says where a new one begins."""
-    w = Window.partitionBy(*partition).orderBy(*order)
-    return rows.withColumn("chain_break", F.coalesce(broken, F.lit(True)).cast("int")).withColumn(name, F.sum("chain_break").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("chain_break")
-
+#: Seconds of a time slot: a time line is cut into slots, so that one with very many rows is spread over tasks.
+SLOT = 28 * 86_400
 
-def gap_segments(rows: DataFrame, partition: list[str], at: str, id_col: str, gap_s: float, name: str = "segment", alike: Column | None = None) -> DataFrame:
-    """Rows with the number of their segment: a gap of more than `gap_s` since the row before (or one that is not
-    alike, if given in terms of `before`, the previous row) begins a new one. Equal gaps keep together."""
-    w = Window.partitionBy(*partition).orderBy(at, id_col)
-    joined = seconds_between(F.col(at), F.lag(at).over(w)) <= gap_s
-    return chains(rows, partition, [at, id_col], ~(joined if alike is None else joined & alike), name)
 
+def chains(rows: DataFrame, partition: list[str], at: str, tie: list[str], carried: list[str], joined: Callable[[Column], Column], name: str, slot_s: int = SLOT) -> DataFrame:
+    """Number the chains of each partition (null being a value), in the order of `at` and `tie`.
 
-def bursts(rows: DataFrame, camera: str, at: str, id_col: str, sharpness: str, gap_s: float = 2.0, least: int = 2) -> DataFrame:
-    """(camera, burst, size, best_id, started): runs of rows of one camera, null being one too, at most gap_s apart."""
-    grouped = gap_segments(rows, [camera], at, id_col, gap_s, "burst").groupBy(camera, "burst")
-    best = F.max_by(id_col, F.struct(F.coalesce(sharpness, F.lit(0.0)), -F.col(id_col)))
+    `joined` says, given a struct of the `carried` columns of the row before, whether a row goes on with its chain.
+    Windows run inside slots of time; what crosses their borders, the last row of a slot and the number of chains so
+    far, is a row for each slot. A row without a time begins a chain.
+    """
+    keyed = rows.withColumn("chain_key", F.struct(*partition, F.floor(F.unix_micros(F.col(at).cast("timestamp")) / (slot_s * 1_000_000)).alias("chain_slot")))
+    inside = Window.partitionBy("chain_key").orderBy(at, *tie)
+    slots = Window.partitionBy(*[F.col("chain_key")[c] for c in partition]).orderBy(F.col("chain_key")["chain_slot"])
+    last = keyed.groupBy("chain_key").agg(F.max_by(F.struct(*carried), F.struct(at, *tie)).alias("chain_last"))
+    last = last.select("chain_key", F.lag("chain_last").over(slots).alias("chain_last"))
+    met = keyed.withColumn("chain_before", F.lag(F.struct(*carried)).over(inside)).join(last, "chain_key")
+    met = met.withColumn("chain_break", F.coalesce(~joined(F.coalesce("chain_before", "chain_last")), F.lit(True)).cast("int"))
+    met = met.withColumn(name, F.sum("chain_break").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    begun = met.groupBy("chain_key").agg(F.sum("chain_break").alias("chain_n"))
+    begun = begun.select("chain_key", (F.sum("chain_n").over(slots.rowsBetween(Window.unboundedPreceding, 0)) - F.col("chain_n")).alias("chain_n"))
+    return met.join(begun, "chain_key").select(*rows.columns, (F.col(name) + F.col("chain_n")).alias(name))
+
+
+def gap_segments(rows: DataFrame, partition: list[str], at: str, id_col: str, gap_s: float, name: str = "segment", alike: tuple[str, float] | None = None) -> DataFrame:
+    """Rows with the number of their segment: a gap of more than `gap_s` since the row before begins a new one, and with
+    `alike`, a vector and the least product, a row before that is less alike. Equal gaps keep together."""
+
+    def joined(before: Column) -> Column:
+        near = seconds_between(F.col(at), before[at]) <= gap_s
+        return near & (dot(alike[0], before[alike[0]]) >= alike[1]) if alike else near
+
+    return chains(rows, partition, at, [id_col], [at, *([alike[0]] if alike else [])], joined, name)
+
+
+def bursts(rows: DataFrame, camera: str, at: str, id_col: str, sharpness: str, gap_s: float = 2.0, least: int = 2, alike: tuple[str, float] | None = None) -> DataFrame:
+    """(camera, burst, size, best_id, started): runs of rows of one camera, null being one too, at most gap_s apart and,
+    if `alike` names a vector and a product, each as much like the one before."""
+    grouped = gap_segments(rows, [camera], at, id_col, gap_s, "burst", alike).groupBy(camera, "burst")
+    best = best_id(id_col, F.coalesce(sharpness, F.lit(0.0)))
     return grouped.agg(F.count("*").alias("size"), best.alias("best_id"), F.min(at).alias("started")).where(F.col("size") >= least)
 
 
@@ -42,10 +69,12 @@ def mode(rows: DataFrame, group: list[str], value: str, first_seen: str) -> Data
 
 def trips(segments: DataFrame, partition: list[str], start: str, end: str, away: Column, gap_s: float = 48 * 3600, name: str = "trip") -> DataFrame:
     """Segments with the number of their trip: consecutive segments away from home, at most gap_s apart, are one."""
-    w = Window.partitionBy(*partition).orderBy(start, end)
     flagged = segments.withColumn("is_away", F.coalesce(away, F.lit(False)))
-    joined = F.col("is_away") & F.lag("is_away").over(w) & (seconds_between(F.col(start), F.lag(end).over(w)) <= gap_s)
-    return chains(flagged, partition, [start, end], ~joined, name).drop("is_away")
+
+    def joined(before: Column) -> Column:
+        return F.col("is_away") & before["is_away"] & (seconds_between(F.col(start), before[end]) <= gap_s)
+
+    return chains(flagged, partition, start, [end], ["is_away", end], joined, name, 12 * SLOT).drop("is_away")
 
 
 def title(place: Column, start: Column, end: Column) -> Column:
@@ -57,19 +86,20 @@ def title(place: Column, start: Column, end: Column) -> Column:
     return F.concat(F.coalesce(place, F.lit("Photos")), F.lit(" · "), F.when(same_day, day).when(same_month, days).otherwise(months))
 
 
-def albums(rows: DataFrame, partition: list[str], at: str, id_col: str, region: str, home: Column, sharpness: str, gap_s: float = 8 * 3600, trip_gap_s: float = 48 * 3600, least: int = 15) -> DataFrame:
+def albums(rows: DataFrame, partition: list[str], at: str, id_col: str, region: str, home: Column, sharpness: str, gap_s: float = 8 * 3600, trip_gap_s: float = 48 * 3600, least: int = 15, position: tuple[str, ...] = ()) -> DataFrame:
     """Albums of a time line: sessions, merged to trips where their region is away from home, of `least` rows or more.
 
     (partition, trip, started, ended, n, region, cover_id, title): the commonest region (the first seen of equals) and
-    the sharpest row. A session without a region is not away.
+    the sharpest row; with `position` also the mean of those columns as centroid_*. A session without a region is not away.
     """
     sessions = gap_segments(rows.where(F.col(at).isNotNull()), partition, at, id_col, gap_s)
     spans = sessions.groupBy(*partition, "segment").agg(F.min(at).alias("started"), F.max(at).alias("ended"))
     where = mode(sessions.select(*partition, "segment", region, at), [*partition, "segment"], region, at).drop("n")
     numbered = trips(spans.join(where, [*partition, "segment"], "left"), partition, "started", "ended", ~home & F.col(region).isNotNull(), trip_gap_s)
     placed = sessions.join(numbered.select(*partition, "segment", "trip"), [*partition, "segment"])
-    cover = F.max_by(id_col, F.struct(F.coalesce(F.col(sharpness), F.lit(0.0)), -F.col(id_col)))
-    found = placed.groupBy(*partition, "trip").agg(F.min(at).alias("started"), F.max(at).alias("ended"), F.count("*").alias("n"), cover.alias("cover_id")).where(F.col("n") >= least)
+    cover = best_id(id_col, F.coalesce(sharpness, F.lit(0.0)))
+    middle = [F.avg(c).alias(f"centroid_{c}") for c in position]  # nulls don't count
+    found = placed.groupBy(*partition, "trip").agg(F.min(at).alias("started"), F.max(at).alias("ended"), F.count("*").alias("n"), cover.alias("cover_id"), *middle).where(F.col("n") >= least)
     named = mode(placed.select(*partition, "trip", region, at), [*partition, "trip"], region, at).drop("n")
     out = found.join(named, [*partition, "trip"], "left")
     return out.withColumn("title", title(F.col(region), F.col("started"), F.col("ended")))
