@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,47 @@ from pyspark.sql import functions as F
 
 Encoder = Callable[[list], list[list[float]]]
 
+
+@dataclass(frozen=True)
+class Model:
+    """What is kept of a model: the name that its vectors are stored under, their length, how it is loaded on a worker,
+    and what it wants before a query or a document."""
+
+    name: str
+    dim: int
+    load: Callable[[], Encoder]
+    query_prefix: str = ""
+    document_prefix: str = ""
+
+
+class Registry:
+    """Models by name, so that vectors of several can lie in one table and be compared."""
+
+    def __init__(self, *models: Model):
+        self.models = {m.name: m for m in models}
+
+    def add(self, model: Model) -> None:
+        if model.name in self.models:
+            raise ValueError(f"there is a model {model.name} already")
+        self.models[model.name] = model
+
+    def __getitem__(self, name: str) -> Model:
+        if name not in self.models:
+            raise KeyError(f"no model {name}; known: {sorted(self.models)}")
+        return self.models[name]
+
+    def documents(self, text: Column | str, name: str) -> Column:
+        """Vectors of documents; one of another length than the model's is null."""
+        return self._of(text, self[name], self[name].document_prefix)
+
+    def queries(self, text: Column | str, name: str) -> Column:
+        return self._of(text, self[name], self[name].query_prefix)
+
+    def _of(self, text: Column | str, model: Model, prefix: str) -> Column:
+        text = F.col(text) if isinstance(text, str) else text
+        vector = encode(F.concat(F.lit(prefix), text), model.name, model.load)
+        return F.when(F.size(vector) == model.dim, vector)
+
 _loaded: dict[str, Encoder] = {}
 
 

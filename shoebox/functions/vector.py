@@ -21,6 +21,19 @@ def top_k(rows: DataFrame, vector_col: str, query: Column, k: int, id_col: str)
     return rows.select(id_col, dot(vector_col, query).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
+def codes(vector: Column | str) -> Column:
+    """A vector of components within [-1, 1] as whole numbers of one byte each: a quarter of the bytes to scan."""
+    return F.transform(vector, lambda x: F.round(x * 127).cast("tinyint"))
+
+
+def top_k_by_codes(rows: DataFrame, vector_col: str, codes_col: str, query: list[float], k: int, id_col: str, pool: int = 10) -> DataFrame:
+    """The k rows of largest product, from the pool * k rows that are best by their codes: a scan of the codes alone,
+    then of the vectors of that pool. Approximate: a row that the rounding puts behind the pool is missed."""
+    rough = top_k(rows, codes_col, literal([round(x * 127) for x in query]), pool * k, id_col)
+    own = rows.select(id_col, vector_col).join(F.broadcast(rough.select(id_col)), id_col)  # pool * k ids
+    return top_k(own, vector_col, literal(query), k, id_col)
+
+
 def rocchio(query: list[float] | None, positive: list[list[float]], negative: list[list[float]], alpha: float = 1.0, beta: float = 0.75, gamma: float = 0.25) -> list[float]:
     """The query moved towards liked and away from disliked vectors, of length one."""
     import numpy as np
@@ -56,8 +69,16 @@ def softmax_share(vector: Column | str, positive: list[Column], negative: list[C
 
 
 def hashed_words(text: Column | str, size: int = 64) -> Column:
-    """A deterministic embedding without a model: words counted at places given by their md5, of length one."""
-    place = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0), lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % size).cast("int"))
+    """A deterministic embedding without a model: words counted at places given by their md5 (the whole of it, as a
+    number modulo `size`), of length one."""
+
+    def place_of(w: Column) -> Column:
+        digest, out = F.md5(w), F.lit(0).cast("bigint")
+        for i in range(4):
+            out = (out * (2**32 % size) + F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("bigint")) % size
+        return out.cast("int")
+
+    place = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0), place_of)
     counts = F.aggregate(place, F.array_repeat(F.lit(0.0), size), lambda acc, p: F.transform(acc, lambda x, i: x + (i == p).cast("double")))
 
     def scaled(c: Column) -> Column:

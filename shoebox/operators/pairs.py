@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoebox.functions.text import hash_bucket
+from shoebox.functions.text import hash_bucket, words
 from shoebox.operators.timeline import seconds_between
 
 
@@ -32,7 +32,7 @@ def group_neighbours(groups: DataFrame, anchors: DataFrame, group: str, id_col:
 
 def sentences(text: Column | str) -> Column:
     """Trimmed sentences of a text."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def normal(text: Column) -> Column:
@@ -53,3 +53,74 @@ def leaked(rows: DataFrame, id_col: str, text_col: str, judged: DataFrame, judge
 def split_by_hash(text: Column, test_share: float, names: tuple[str, str] = ("test", "dev")) -> Column:
     """A split that a key keeps for ever: by its sha1 modulo 1000."""
     return F.when(hash_bucket(text) < int(test_share * 1000), names[0]).otherwise(names[1])
+
+
+#: Keywords that say nothing about a picture, and openings of captions that say nothing either.
+GENERIC_KEYWORDS = ("photo", "photos", "image", "picked", "rejected", "edited", "export", "places", "people")
+OPENING = r"(?i)^(the|this) (image|photo|picture) (shows|is|depicts|features) "
+
+
+def caption_sentences(caption: Column | str, most: int = 2, least_words: int = 3) -> Column:
+    """The first sentences of a caption that have so many words, without openings that say nothing."""
+    long = F.filter(sentences(caption), lambda s: F.size(F.split(F.trim(s), r"\s+")) >= least_words)
+    return F.slice(F.transform(long, lambda s: F.regexp_replace(s, OPENING, "")), 1, most)
+
+
+def keyword_text(keywords: Column | str, most: int = 4) -> Column:
+    """"a photo of ..." from the first keywords that say something; null without any."""
+    told = F.filter(keywords, lambda k: ~F.lower(k).isin(*GENERIC_KEYWORDS) & (F.length(k) > 1))
+    return F.when(F.size(told) > 0, F.concat(F.lit("a photo of "), F.array_join(F.slice(told, 1, most), ", ")))
+
+
+def alike_texts(rows: DataFrame, key: str, text: str, judged: DataFrame, judged_text: str, least: float) -> DataFrame:
+    """Keys of rows whose text equals a judged one or has a word-set Jaccard of `least` or more with it.
+
+    Rows and judged texts meet by prefix filtering: with words in order of how rare they are among the judged texts, two
+    sets that are so alike share one of the first n - ceil(least * n) + 1 words of each. So frequent words bring few
+    texts together, and no text meets all judged ones.
+    """
+    mine = rows.select(F.col(key).alias("key"), F.array_distinct(words(text)).alias("w"))
+    theirs = judged.select(F.array_distinct(words(judged_text)).alias("w")).distinct()
+    often = theirs.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+    def prefixes(df: DataFrame, name: str) -> DataFrame:
+        """Each set with the words of its prefix, those that no judged text has coming first."""
+        held = df.select(F.col("w"), *([F.col("key")] if "key" in df.columns else []), F.explode("w").alias("word")).join(often, "word", "left")
+        order = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")))
+        sets = held.groupBy(*[c for c in df.columns]).agg(order.alias("o"))
+        kept = F.size("o") - F.ceil(F.size("o") * F.lit(least)) + 1
+        return sets.select(F.col("w").alias(name), *([F.col("key")] if "key" in df.columns else []), F.explode(F.slice(F.col("o"), F.lit(1), kept.cast("int"))["word"]).alias("word"))
+
+    met = prefixes(mine, "w").join(prefixes(theirs, "v"), "word").select("key", "w", "v").distinct()
+    union = F.size(F.array_union("w", "v"))
+    return met.where(F.size(F.array_intersect("w", "v")) >= F.lit(least) * union).select("key").distinct().withColumnRenamed("key", key)
+
+
+def excluded(photos: DataFrame, judged: DataFrame, groups: DataFrame, minutes: float = 10.0) -> DataFrame:
+    """(id, why): judged photos, those that share a group of copies or a burst with one, and those of its scene; each
+    photo once, with the first of these reasons."""
+    own = judged.select("id").distinct()
+    near = group_neighbours(groups.select(F.struct("kind", "group_id").alias("g"), F.col("photo_id").alias("id")), own, "g", "id")
+    scene = same_scene(photos, photos.where("taken_at is not null").join(own, "id", "left_semi"), "camera", "taken_at", "id", minutes).select("id")
+    why = own.withColumn("n", F.lit(0)).unionByName(near.withColumn("n", F.lit(1))).unionByName(scene.withColumn("n", F.lit(2)))
+    return why.groupBy("id").agg(F.min("n").alias("n")).select("id", F.element_at(F.array(F.lit("judged"), F.lit("group"), F.lit("scene")), F.col("n") + 1).alias("why"))
+
+
+def training_pairs(photos: DataFrame, captions: DataFrame, feedback: DataFrame, groups: DataFrame, judged: DataFrame, judged_queries: DataFrame, val_share: float = 0.05, alike: float = 0.6) -> DataFrame:
+    """(id, text, source, split): texts for photos, from captions, keywords and liked results of queries.
+
+    Nothing of `excluded` is used, nor a query that equals a judged one or is much like it. The split is by the day a
+    photo was taken (by its id, if that isn't known), so pictures of one day are on one side.
+    """
+    use = photos.where("media_type = 'image' and thumb_path is not null and error is null")
+    use = use.join(excluded(photos, judged, groups).select("id"), "id", "left_anti").select("id", "taken_at", "keywords")
+    told = captions.select(F.col("photo_id").alias("id"), F.explode(caption_sentences("caption")).alias("text"), F.lit("caption").alias("source"))
+    named = use.select("id", keyword_text("keywords").alias("text"), F.lit("keywords").alias("source")).where("text is not null")
+    liked = feedback.where("label = 1").select(F.col("photo_id").alias("id"), F.col("query").alias("text"))
+    asked = liked.select("text").distinct()
+    seen = asked.withColumn("norm", normal(F.col("text"))).join(judged_queries.select(normal(F.col("query")).alias("norm")).distinct(), "norm", "left_semi").select("text")
+    seen = seen.unionByName(alike_texts(asked, "text", "text", judged_queries, "query", alike)).distinct()
+    liked = liked.join(seen, "text", "left_anti").select("id", "text", F.lit("feedback").alias("source"))
+    pairs = told.unionByName(named).unionByName(liked).join(use.select("id", "taken_at"), "id")
+    split = split_by_hash(F.coalesce(F.to_date("taken_at").cast("string"), F.col("id").cast("string")), val_share, ("val", "train"))
+    return pairs.select("id", "text", "source", split.alias("split"))
