@@ -29,7 +29,7 @@ def reverse_geocode(points: DataFrame, places: DataFrame, cell: float = 2.0) ->
     them towards the poles), so that the join is on the cell and no point meets all places. A small nearest place, or
     one named "City District", gives way to the most populous place LARGER times as big whose radius holds the point.
     """
-    keyed = points.withColumn("geo_id", F.monotonically_increasing_id()) if "geo_id" not in points.columns else points
+    where = points.select("lat", "lon").where("lat is not null and lon is not null").distinct()  # a position is looked up once
     reach = F.lit(FARTHEST_KM / 111.0)
     wide = F.least(reach / F.greatest(F.cos(F.radians(F.abs("lat") + reach)), F.lit(0.05)), F.lit(180.0))
     row, column = _cells(F.col("lat"), F.col("lon"), cell)
@@ -39,12 +39,12 @@ def reverse_geocode(points: DataFrame, places: DataFrame, cell: float = 2.0) ->
     ).withColumn("column", F.explode(F.sequence(F.floor((F.col("place_lon") - F.col("wide")) / cell).cast("int"), F.floor((F.col("place_lon") + F.col("wide")) / cell).cast("int"))))
     turn = int(360 // cell)
     spread = spread.withColumn("column", F.pmod("column", F.lit(turn))).drop("wide").distinct()
-    asked = keyed.where("lat is not null and lon is not null").select("geo_id", "lat", "lon", row.alias("row"), F.pmod(column, F.lit(turn)).alias("column"))
+    asked = where.select("lat", "lon", row.alias("row"), F.pmod(column, F.lit(turn)).alias("column"))
     met = asked.join(spread, ["row", "column"]).withColumn("km", great_circle_km(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon"))).where(F.col("km") <= FARTHEST_KM)
     place = F.struct("place_name", "admin1", "country", "population", "km")
-    nearest = met.groupBy("geo_id").agg(F.min_by(place, F.struct("km", "place_name")).alias("near"))
-    larger = met.where(F.col("km") <= city_radius_km(F.col("population"))).join(nearest, "geo_id")
+    nearest = met.groupBy("lat", "lon").agg(F.min_by(place, F.struct("km", "place_name")).alias("near"))
+    larger = met.where(F.col("km") <= city_radius_km(F.col("population"))).join(nearest, ["lat", "lon"])
     gives_way = ((F.col("near.population") < SMALL) & (F.col("population") >= LARGER * F.col("near.population"))) | (F.col("near.place_name").startswith(F.concat("place_name", F.lit(" "))))
-    city = larger.where(gives_way).groupBy("geo_id").agg(F.max_by(place, F.struct("population", -F.col("km"))).alias("city"))
-    found = nearest.join(city, "geo_id", "left").select("geo_id", F.coalesce("city", "near").alias("p"))
-    return keyed.join(found, "geo_id", "left").select(*points.columns, F.col("p.place_name").alias("place_name"), F.col("p.admin1").alias("admin1"), F.col("p.country").alias("country"), F.col("p.km").alias("distance_km"))
+    city = larger.where(gives_way).groupBy("lat", "lon").agg(F.max_by(place, F.struct("population", -F.col("km"))).alias("city"))
+    found = nearest.join(city, ["lat", "lon"], "left").select("lat", "lon", F.coalesce("city", "near").alias("p"))
+    return points.join(found, ["lat", "lon"], "left").select(*points.columns, F.col("p.place_name").alias("place_name"), F.col("p.admin1").alias("admin1"), F.col("p.country").alias("country"), F.col("p.km").alias("distance_km"))

@@ -64,10 +64,11 @@ def with_children(removed: DataFrame, rows: DataFrame, key: str, parent: str) ->
 
 def import_new(incoming: DataFrame, ledger: DataFrame, order: list[Column]) -> DataFrame:
     """Incoming files with a status: the first of each content not in the ledger is imported, its copies are
-    duplicates, and contents the ledger holds as imported are already_seen. Contents with an error are tried again."""
+    duplicates, and contents the ledger holds as imported are already_seen. Contents with an error are tried again. A
+    file without a hash is a content of its own."""
     seen = ledger.where("status <> 'error'").select("file_hash").distinct().withColumn("is_seen", F.lit(True))
-    turn = F.row_number().over(Window.partitionBy("file_hash").orderBy(*order))
-    return incoming.withColumn("turn", turn).join(seen, "file_hash", "left").withColumn("status", F.when(F.col("is_seen"), "already_seen").when(F.col("turn") == 1, "imported").otherwise("duplicate")).drop("turn", "is_seen")
+    turn = F.row_number().over(Window.partitionBy("file_hash", F.when(F.col("file_hash").isNull(), F.xxhash64(*order))).orderBy(*order))
+    return incoming.withColumn("turn", turn).join(seen, "file_hash", "left").withColumn("status", F.when(F.col("is_seen"), "already_seen").when((F.col("turn") == 1) | F.col("file_hash").isNull(), "imported").otherwise("duplicate")).drop("turn", "is_seen")
 
 
 def relink(rows: DataFrame, path: str, old: str, new: str) -> DataFrame:
@@ -98,3 +99,56 @@ def merge_people(people: DataFrame, faces: DataFrame, target: int, sources: list
 def without_orphans(people: DataFrame, faces: DataFrame) -> DataFrame:
     """People with a name, and clusters that still have faces."""
     return people.where("name is not null").unionByName(people.where("name is null").join(faces.select("cluster_id"), "cluster_id", "left_semi"))
+
+
+def split_person(people: DataFrame, faces: DataFrame, face_ids: list[str]) -> tuple[DataFrame, DataFrame, int]:
+    """The given faces get a new cluster, above all that either table has, and stay in it; its number comes back too."""
+    most = faces.select("cluster_id").unionByName(people.select("cluster_id")).agg(F.coalesce(F.max("cluster_id"), F.lit(-1))).first()[0]
+    row = faces.sparkSession.createDataFrame([(most + 1,)], "n int").select(*[F.col("n").cast(f.dataType).alias(f.name) if f.name == "cluster_id" else F.lit(None).cast(f.dataType).alias(f.name) for f in people.schema])
+    row = row.select(*[F.array().cast(people.schema[c].dataType).alias(c) if c == "aliases" else F.lit(False).alias(c) if c == "hidden" else F.col(c) for c in people.columns])
+    return people.unionByName(row), assign_faces(faces, face_ids, most + 1), most + 1
+
+
+def name_person(people: DataFrame, cluster: int, name: str | None, aliases: list[str] | None = None, hidden: bool | None = None) -> DataFrame:
+    """A cluster's name, and its aliases and whether it is hidden where they are given; others are left alone."""
+    own = F.col("cluster_id") == cluster
+    new = {"name": F.lit(name or None).cast("string"), **({"aliases": F.array(*[F.lit(a) for a in aliases]).cast("array<string>")} if aliases is not None else {}), **({"hidden": F.lit(hidden)} if hidden is not None else {})}
+    return people.select(*[F.when(own, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in people.columns])
+
+
+def wipe_faces(faces: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables without rows."""
+    return faces.limit(0), people.limit(0)
+
+
+def video_frames(videos: DataFrame, frames: DataFrame, inherited: list[str]) -> DataFrame:
+    """A row for each frame (video_id, frame_ts, and columns of its own) of a video: its path and hash with the time, the
+    video's time moved on by it, and the video's `inherited` columns. Paths that are there already are the caller's to
+    keep (upsert with keep_first)."""
+    own = [c for c in frames.columns if c not in ("video_id", "frame_ts")]
+    at = F.format_string("%.2f", "frame_ts")
+    taken = F.timestamp_micros(F.unix_micros(F.col("taken_at").cast("timestamp")) + F.round(F.col("frame_ts") * 1_000_000).cast("bigint")).cast("timestamp_ntz")
+    met = frames.join(videos.select(F.col("id").alias("video_id"), "path", "file_hash", "taken_at", *inherited), "video_id")
+    return met.select(
+        F.concat("path", F.lit("#t="), at).alias("path"), F.concat("file_hash", F.lit(":"), at).alias("file_hash"), F.lit("image").alias("media_type"), F.lit("video_frame").alias("format"),
+        taken.alias("taken_at"), F.lit(True).alias("is_video_frame"), F.col("video_id").alias("source_video_id"), "frame_ts", *inherited, *own,
+    )
+
+
+def stable(listing: DataFrame, now: Column, wait_s: float = 3.0) -> DataFrame:
+    """Files that nothing has written to for `wait_s` seconds; the others wait for the next listing."""
+    return listing.where(F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("mtime").cast("timestamp")) >= wait_s * 1e6)
+
+
+def free_names(wanted: DataFrame, taken: DataFrame, name: str, order: list[Column]) -> DataFrame:
+    """`wanted` with the column free_name: where a name is taken, or wanted before, "-1", "-2" ... goes before its
+    extension. Names that a suffix makes are counted from the names with that stem that are there."""
+    stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^./]*)?$", 2)
+    base = F.regexp_extract(name, r"^(.*?)(-\d+)?(\.[^./]*)?$", 1)
+    highest = taken.select(F.concat(base, ext).alias("free_key"), F.coalesce(F.regexp_extract(name, r"-(\d+)(\.[^./]*)?$", 1).try_cast("int"), F.lit(0)).alias("n")).groupBy("free_key").agg(F.max("n").alias("free_most"))
+    held = taken.select(F.col(name).alias("free_held")).distinct()
+    turn = F.row_number().over(Window.partitionBy(name).orderBy(*order))
+    rows = wanted.withColumn("free_turn", turn).withColumn("free_key", F.concat(stem, ext)).join(highest, "free_key", "left").join(held, F.col(name) == F.col("free_held"), "left")
+    place = F.col("free_turn") - F.when(F.col("free_held").isNull(), 1).otherwise(0)
+    suffix = F.when(place > 0, F.concat(F.lit("-"), (place + F.coalesce("free_most", F.lit(0))).cast("string"))).otherwise("")
+    return rows.select(*wanted.columns, F.concat(stem, suffix, ext).alias("free_name"))

@@ -15,7 +15,7 @@ def _struct(text: str) -> T.StructType:
 #: DDL of each table; vectors are arrays, stemmed text is an array of tokens with repeats.
 TABLES = {
     "photos": "id string, path string, file_hash string, size_bytes bigint, mtime double, media_type string, format string, taken_at timestamp_ntz, tz_offset_min int, lat double, lon double, place_name string, admin1 string, country string, camera string, lens string, focal_length float, focal_length_35mm float, aperture float, exposure_s float, iso int, width int, height int, orientation int, keywords array<string>, is_video_frame boolean, source_video_id string, frame_ts float, duration_s float, thumb_path string, phash string, sharpness float, indexed_at timestamp_ntz, error string",
-    "image_embeddings": "photo_id string, model string, embedding array<float>",
+    "image_embeddings": "photo_id string, model string, embedding array<float>, codes array<tinyint>",
     "captions": "photo_id string, model string, caption string, embed_model string, caption_embedding array<float>, tokens array<string>, created_at timestamp_ntz",
     "ocr_text": "photo_id string, text string, gate_score float, ran_ocr boolean, tokens array<string>",
     "faces": "id string, photo_id string, bbox array<int>, det_score float, embedding array<float>, cluster_id int, manual boolean",
@@ -49,4 +49,9 @@ class Catalog:
         return self.spark.read.schema(schema_of(table)).parquet(f"{self.root.rstrip('/')}/{table}.parquet")
 
     def write(self, table: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> None:
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{self.root.rstrip('/')}/{table}.parquet")
+        """Put `df` in the place of a table or, with `partition_by`, of those of its partitions that `df` has rows of.
+
+        `df` must not read the table itself: Spark would delete what it has still to read.
+        """
+        path = f"{self.root.rstrip('/')}/{table}.parquet"
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if partition_by else "static").partitionBy(*partition_by).parquet(path)

@@ -56,3 +56,30 @@ def index_batch(listing: DataFrame, catalogued: DataFrame, derived: dict[str, Da
     changes = upkeep.listing_diff(catalogued, listing)
     stale = changes.where("status in ('changed', 'deleted')").select(key)
     return changes, listing.select(*catalogued.columns), upkeep.invalidate(derived, key, stale)
+
+
+def quiet(events: DataFrame, key: str, at: str, now, wait_s: float = 5.0) -> tuple[DataFrame, DataFrame]:
+    """(ready, waiting): the last event of each key nothing has happened to for `wait_s` seconds before `now`, and all
+    events of the others, which the next batch takes up again."""
+    last = events.groupBy(key).agg(F.max(at).alias("quiet_last"))
+    still = last.where(F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("quiet_last").cast("timestamp")) >= wait_s * 1e6).select(key)
+    return last_event(events.join(still, key, "left_semi"), key, at), events.join(still, key, "left_anti")
+
+
+def apply_moves(rows: DataFrame, moves: DataFrame, path: str = "path") -> tuple[DataFrame, DataFrame]:
+    """(rows with moved paths, unmatched): moves are (old, new). Frames of a video ("path#t=...") move with it; a move
+    whose old path is not here is a new file at its new one."""
+    whole, rest = F.regexp_extract(path, r"^(.*?)(#t=.*)?$", 1), F.regexp_extract(path, r"^(.*?)(#t=.*)?$", 2)
+    own = moves.groupBy("old").agg(F.max("new").alias("new"))
+    moved = rows.withColumn("move_from", whole).join(own.withColumnRenamed("old", "move_from"), "move_from", "left")
+    moved = moved.select(*[F.when(F.col("new").isNotNull(), F.concat("new", rest)).otherwise(F.col(path)).alias(path) if c == path else F.col(c) for c in rows.columns])
+    return moved, own.join(rows.select(F.col(path).alias("old")), "old", "left_anti").select(F.col("new").alias(path))
+
+
+def sweep(catalogued: DataFrame, listing: DataFrame, derived: list[DataFrame], key: str = "path") -> DataFrame:
+    """(path, todo) of a sweep over everything, for what events have missed: files to scan, to remove, to complete."""
+    changes = upkeep.listing_diff(catalogued, listing)
+    scan = changes.where("status in ('new', 'changed')").select(key, F.lit("scan").alias("todo"))
+    gone = changes.where("status = 'deleted'").select(key, F.lit("remove").alias("todo"))
+    known = changes.where("status in ('unchanged', 'touched')").select(key)
+    return scan.unionByName(gone).unionByName(upkeep.pending(known, key, derived).withColumn("todo", F.lit("complete")))
