@@ -48,6 +48,10 @@ class SearchFilters:
     def is_empty(self) -> bool:
         return not self.given()
 
+    def chips(self) -> list[dict]:
+        """What is asked for, field by field, for a reader to see and edit."""
+        return [{"field": name, "value": value} for name, value in self.given().items()]
+
     def merged(self, explicit: SearchFilters) -> SearchFilters:
         """These filters with those that `explicit` gives in their place."""
         own = explicit.given()
@@ -63,7 +67,7 @@ def date_range(c: Column, start: date | None = None, end: date | None = None) ->
 
 def place_is(value: str, *columns: str) -> Column:
     """Equality without regard to case in any of the columns."""
-    return reduce(lambda a, b: a | b, [F.lower(F.col(c)) == value.lower() for c in columns])
+    return reduce(lambda a, b: a | b, [F.lower(F.col(c)) == value.strip().lower() for c in columns])
 
 
 def distance_km(lat: Column, lon: Column, lat0: float, lon0: float) -> Column:

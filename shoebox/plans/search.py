@@ -24,6 +24,8 @@ class SearchRequest:
     liked: tuple[str, ...] = ()
     disliked: tuple[str, ...] = ()
     model: str = "default"
+    caption_model: str = "default"
+    approximate: bool = False
     k: int = 20
     offset: int = 0
     weights: dict[str, float] = field(default_factory=dict)
@@ -44,13 +46,20 @@ def pool_size(request: SearchRequest) -> int:
 class Engine:
     """Searches one catalogue. Each signal is a lazy frame that filters before it ranks."""
 
-    def __init__(self, catalog: Catalog):
-        self.catalog = catalog
-
-    def candidates(self, request: SearchRequest) -> DataFrame:
-        """Photos that pass the base predicate, the filters and the exclusions, with their ids only."""
+    def __init__(self, catalog: Catalog, weights: dict[str, float] | None = None, weights_file: str | None = None):
+        """Weights of signals come from here, over them from a file of tuned ones ({"weights": ...}), over them from a
+        request."""
+        self.catalog, self.weights = catalog, dict(weights or {})
+        if weights_file:
+            rows = catalog.spark.read.schema("weights map<string, double>").option("multiLine", "true").json(weights_file)
+            self.weights |= (rows.first() or {"weights": None})["weights"] or {}
+
+    def candidates(self, request: SearchRequest, frames: bool = True) -> DataFrame:
+        """Photos that pass the base predicate, the filters and the exclusions; `frames` says whether frames of videos
+        are among them, as for search, or not, as for counts."""
         c = self.catalog
         photos = c["photos"].where("media_type = 'image' and error is null")
+        photos = photos if frames else photos.where(~F.coalesce("is_video_frame", F.lit(False)))
         needs = request.filters
         rows = flt.apply(photos, needs, c["faces"] if needs.people else None, c["people"] if needs.people else None, c["album_photos"] if needs.album_id else None)
         return rows.where(~F.col("id").isin(*request.disliked)) if request.disliked else rows
@@ -68,10 +77,14 @@ class Engine:
         query = list(request.query_vector) if request.query_vector else None
         if query or request.liked:
             moved = vector.rocchio(query, self._vectors(request.liked, request.model), self._vectors(request.disliked, request.model)) if request.liked or request.disliked else query
-            own = c["image_embeddings"].where(F.col("model") == request.model).select(F.col("photo_id").alias("id"), "embedding").join(ids, "id")
-            out["clip"] = ranked(own.select("id", vector.dot("embedding", vector.literal(moved)).alias("score")), "id", [F.desc("score"), F.col("id")], n)
+            own = c["image_embeddings"].where(F.col("model") == request.model).withColumnRenamed("photo_id", "id").join(ids, "id")
+            if request.approximate:
+                scored = vector.top_k_by_codes(own, "embedding", "codes", moved, n, "id")
+            else:
+                scored = own.select("id", vector.dot("embedding", vector.literal(moved)).alias("score"))
+            out["clip"] = ranked(scored, "id", [F.desc("score"), F.col("id")], n)
         if request.caption_vector:
-            own = c["captions"].where("caption_embedding is not null").select(F.col("photo_id").alias("id"), "caption_embedding").join(ids, "id")
+            own = c["captions"].where(F.col("caption_embedding").isNotNull() & (F.col("embed_model") == request.caption_model)).select(F.col("photo_id").alias("id"), "caption_embedding").join(ids, "id")
             scored = own.select("id", vector.dot("caption_embedding", vector.literal(list(request.caption_vector))).alias("score"))
             first = scored.orderBy(F.desc("score"), "id").limit(n)  # the cut comes before a photo's captions become one
             out["caption"] = ranked(first.groupBy("id").agg(F.max("score").alias("score")), "id", [F.desc("score"), F.col("id")], n)
@@ -101,14 +114,26 @@ class Engine:
         rows = F.broadcast(first).join(photos, "id")  # `most` ids
         rows = collapse(rows, F.coalesce("source_video_id", "id"), order)
         shown = rows.orderBy(*order).offset(request.offset).limit(request.k)
-        parents = photos.select(F.col("id").alias("source_video_id"), F.col("path").alias("source_path"))
-        caption = c["captions"].groupBy(F.col("photo_id").alias("id")).agg(F.max_by("caption", "created_at").alias("caption"))
-        return shown.join(parents, "source_video_id", "left").join(caption, "id", "left").orderBy(*order)
+        # parents and captions of the page's ids alone: k rows meet the scans
+        videos = F.broadcast(shown.select(F.col("source_video_id").alias("id")).where("id is not null").distinct())
+        parents = photos.join(videos, "id", "left_semi").select(F.col("id").alias("source_video_id"), F.col("path").alias("source_path"))
+        captions = c["captions"].where("caption is not null").select(F.col("photo_id").alias("id"), "caption", "created_at").join(F.broadcast(shown.select("id")), "id", "left_semi")
+        caption = captions.groupBy("id").agg(F.max_by("caption", F.struct("created_at", "caption")).alias("caption"))
+        return shown.join(F.broadcast(parents), "source_video_id", "left").join(F.broadcast(caption), "id", "left").orderBy(*order)
+
+    def available(self, model: str = "default", caption_model: str = "default") -> tuple[str, ...]:
+        """The signals whose tables hold anything: one row of each is looked at."""
+        c = self.catalog
+        looks = {
+            "clip": c["image_embeddings"].where(F.col("model") == model), "caption": c["captions"].where(F.col("caption_embedding").isNotNull() & (F.col("embed_model") == caption_model)),
+            "keyword": c["captions"].where("size(tokens) > 0"), "ocr": c["ocr_text"].where("size(tokens) > 0"),
+        }
+        return tuple(name for name, rows in looks.items() if not rows.isEmpty())
 
     def search(self, request: SearchRequest) -> SearchResult:
         """The hits; when filters leave nothing, the same request without any, and a flag that says so."""
         signals = self.signals(request)
-        weights = {**request.weights, "recency": 1.0} if "recency" in signals else request.weights
+        weights = {**self.weights, **request.weights, "recency": 1.0}
         hits = self.hydrate(rrf(signals, weights, request.rrf_k), request)
         if request.filters.is_empty() or request.liked or not hits.isEmpty():
             return SearchResult(hits, tuple(signals), False)

@@ -38,16 +38,16 @@ class Tools:
             return {"error": str(e)}
 
     def _count_by(self, request: SearchRequest, args: dict) -> dict:
-        rows = self.engine.candidates(request)
+        rows = self.engine.candidates(request, frames=False)
         counted = aggregate.group_counts(rows, aggregate.dimension(args["dimension"]), min(int(args.get("top_n", 10)), MOST_ROWS), None)
         return {"groups": [(r["value"], r["n"]) for r in counted.collect()], "total": rows.count()}
 
     def _first_last(self, request: SearchRequest, args: dict) -> dict:
-        row = aggregate.first_last(self.engine.candidates(request).withColumn("all", F.lit(1)), "all", "taken_at", "id").first()
+        row = aggregate.first_last(self.engine.candidates(request, frames=False).withColumn("all", F.lit(1)), "all", "taken_at", "id").first()
         return self._seen([row.first_id, row.last_id]) | {"total": row.n, "first_at": row.first_at, "last_at": row.last_at} if row else {"ids": [], "total": 0}
 
     def _newest(self, request: SearchRequest, args: dict) -> dict:
-        page = aggregate.page(self.engine.candidates(request).select("id", "taken_at"), [F.desc_nulls_last("taken_at"), F.col("id")], 0, request.k)
+        page = aggregate.page(self.engine.candidates(request, frames=False).select("id", "taken_at"), [F.desc_nulls_last("taken_at"), F.col("id")], 0, request.k)
         return self._seen([r.id for r in page.collect()])
 
     def _search(self, request: SearchRequest, args: dict) -> dict:

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from shoebox.plans.catalogue import ORACLE, QUERIES
+from shoebox.plans.collection import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -53,7 +53,7 @@ def test_components_match_union_find(spark):
             x = parent[x]
         return x
 
-    for r in catalogue._co_bought(Catalog(spark, SF)).collect():
+    for r in catalogue._chained(Catalog(spark, SF)).collect():
         a, b = sorted((find(r.a), find(r.b)))
         parent[b] = a
     got = {r.node: r.component for r in QUERIES["union_find_components"](spark, SF).collect()}

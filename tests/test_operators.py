@@ -2,6 +2,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shoebox.functions import text, vector
@@ -164,11 +165,179 @@ def test_rocchio_and_centroid(spark):
     assert vector.centroid(df, "v").first().centroid == [2.0, 4.0]
 
 
-def test_bootstrap_is_reproducible():
-    x = [0.1, 0.5, float("nan"), 0.9, 0.4]
-    low, high = tuning.bootstrap_mean(x)
-    assert low < 0.475 < high and tuning.bootstrap_mean(x) == (low, high)
-    assert tuning.paired_p([1, 1, 1], [0, 0, 0]) == 0.0
+def test_bootstrap_is_reproducible(spark):
+    rows = [(i, x, y) for i, (x, y) in enumerate([(0.1, 0.2), (0.5, 0.6), (float("nan"), 0.3), (0.9, 1.0), (0.4, 0.5), (None, 0.1)])]
+    df = spark.createDataFrame(rows, "q int, a double, b double")
+    low, high = tuning.bootstrap_mean(df, "q", "a", 300).first()
+    assert low < 0.475 < high and tuning.bootstrap_mean(df.repartition(3), "q", "a", 300).first() == (low, high)
+    assert tuning.paired_p(df, "q", "a", "b", 100).first().p == 0.0 and tuning.paired_p(df, "q", "b", "a", 100).first().p == 1.0
+    assert tuning.paired_p(df.where("q = 0"), "q", "a", "b", 10).first().p is None
+
+
+def test_tuning_prefers_the_simpler_of_equal_settings(spark):
+    good = spark.createDataFrame([(q, f"d{q}", 1) for q in range(8)], "query int, id string, rank int")
+    bad = spark.createDataFrame([(q, f"x{i}", i) for q in range(8) for i in (1, 2)], "query int, id string, rank int")
+    judged = spark.createDataFrame([(q, f"d{q}", 1) for q in range(8)], "query int, id string, grade int")
+    r = tuning.tune({"good": good, "bad": bad}, judged, "good").first()
+    assert (r.w_good, r.w_bad, r.in_sample, r.cross_validated, r.pinned_alone) == (1.0, 0.0, 1.0, 1.0, 1.0)
+
+
+@pytest.mark.parametrize("small", [20_000, 10])
+def test_percentiles_are_exact(spark, small):
+    rng = np.random.default_rng(3)
+    values = {"a": rng.integers(0, 40, 9_000) / 4, "b": rng.normal(size=7_001), "c": np.array([2.0]), None: np.array([1.0, 4.0])}
+    rows = [(g, float(x)) for g, xs in values.items() for x in xs] + [("a", None), ("d", None)]
+    wanted = {"low": 0.0, "p50": 0.5, "p95": 0.95, "top": 1.0}
+    got = {r.g: r for r in ranking.percentiles(spark.createDataFrame(rows, "g string, v double"), "g", "v", wanted, slack=0.02, small=small).collect()}
+    assert set(got) == set(values)
+    assert all(abs(got[g][n] - np.quantile(xs, p)) < 1e-9 for g, xs in values.items() for n, p in wanted.items())
+
+
+def test_ids_that_are_text(spark):
+    edges = [("b", "c"), ("c", "d"), ("x", "y"), ("d", "a-1")]
+    got = {r.node: r.component for r in groups.components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == {"a-1": "a-1", "b": "a-1", "c": "a-1", "d": "a-1", "x": "x", "y": "x"}
+    big = {r.component for r in groups.components(spark.createDataFrame([(2**62, 2**62 + 1), (2**62 + 2, 2**62 + 1), (2**62 + 4, 2**62 + 5)], "a long, b long")).collect()}
+    assert big == {2**62, 2**62 + 4}
+    assert groups.components(spark.createDataFrame([], "a string, b string")).count() == 0
+    v = [[1.0, 0.0], [0.99, 0.14], [0.0, 1.0], [0.14, 0.99]]
+    rows = spark.createDataFrame([(f"id-{i}", x, h, s) for i, (x, h, s) in enumerate(zip(v, (0, 1, 0, -1), (1.0, 2.0, 3.0, 3.0)))], "id string, v array<double>, h long, s double")
+    near = groups.nearest_to_queries(rows, rows, "id", "v", 2)
+    assert {(r.id, r.group, r.is_best) for r in groups.near_duplicates(near, rows, "id", "h", F.col("s")).collect()} == {("id-0", "id-0", False), ("id-1", "id-0", True)}
+    assert {(r.id, r.is_best) for r in groups.near_duplicates(near, rows, "id", None, F.col("s")).where("id > 'id-1'").collect()} == {("id-2", True), ("id-3", False)}
+
+
+def test_bursts_need_alike_neighbours(spark):
+    start = datetime(2025, 1, 1)
+    rows = [(f"p{i}", "cam", start + timedelta(seconds=i), float(i), v) for i, v in enumerate([[1.0, 0.0], [0.9, 0.43], [0.0, 1.0], [0.1, 0.99], [0.1, 0.99]])]
+    df = spark.createDataFrame(rows, "id string, camera string, at timestamp_ntz, sharp double, v array<double>")
+    got = {(r["size"], r.best_id) for r in timeline.bursts(df, "camera", "at", "id", "sharp", alike=("v", 0.85)).collect()}
+    assert got == {(2, "p1"), (3, "p4")}
+    assert [r["size"] for r in timeline.bursts(df, "camera", "at", "id", "sharp").collect()] == [5]
+
+
+def test_chains_cross_the_borders_of_slots(spark):
+    rng = np.random.default_rng(7)
+    start = datetime(2025, 1, 1)
+    rows = [(i, ["a", None][i % 2], start + timedelta(seconds=int(s))) for i, s in enumerate(rng.integers(0, 4_000, 300))] + [(900, "a", None), (901, "a", None)]
+    df = spark.createDataFrame(rows, "id int, who string, at timestamp_ntz")
+    w = Window.partitionBy("who").orderBy("at", "id")
+    gap = timeline.seconds_between(F.col("at"), F.lag("at").over(w)) <= 20
+    plain = df.withColumn("n", F.coalesce(~gap, F.lit(True)).cast("int")).withColumn("n", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    cut = timeline.chains(df, ["who"], "at", ["id"], ["at"], lambda b: timeline.seconds_between(F.col("at"), b["at"]) <= 20, "n", slot_s=37)
+    assert {tuple(r) for r in cut.select("id", "n").collect()} == {tuple(r) for r in plain.select("id", "n").collect()}
+
+
+def test_one_kind_is_replaced_alone(spark, tmp_path):
+    from shoebox.schema import Catalog
+
+    catalog = Catalog(spark, str(tmp_path))
+    make = lambda *rows: spark.createDataFrame(rows, "kind string, photo_id string")
+    catalog.write("photo_groups", make(("burst", "a"), ("duplicate", "b"), ("duplicate", "c")), ("kind",))
+    catalog.write("photo_groups", make(("burst", "z")), ("kind",))
+    assert {(r.kind, r.photo_id) for r in catalog["photo_groups"].collect()} == {("burst", "z"), ("duplicate", "b"), ("duplicate", "c")}
+
+
+def test_training_pairs_leave_out_what_is_judged(spark):
+    day = datetime(2025, 5, 1, 12)
+    photos = spark.createDataFrame(
+        [("j", "c", day, ["tree"]), ("copy", "x", day, ["tree"]), ("scene", "c", day + timedelta(minutes=9), ["tree"]), ("free", "c", day + timedelta(minutes=30), ["Photo", "tree", "y", "sky"]), ("bare", None, None, ["image"])],
+        "id string, camera string, taken_at timestamp_ntz, keywords array<string>",
+    ).withColumns({"media_type": F.lit("image"), "thumb_path": F.lit("t"), "error": F.lit(None).cast("string")})
+    copies = spark.createDataFrame([("duplicate", "1", "j"), ("duplicate", "1", "copy"), ("burst", "1", "free")], "kind string, group_id string, photo_id string")
+    judged = spark.createDataFrame([("j",)], "id string")
+    assert {(r.id, r.why) for r in pairs.excluded(photos, judged, copies).collect()} == {("j", "judged"), ("copy", "group"), ("scene", "scene")}
+    captions = spark.createDataFrame([("free", "The image shows a tall tree. Too short. It stands near the water! A third one is here."), ("j", "This is a tree.")], "photo_id string, caption string")
+    feedback = spark.createDataFrame([("a tall tree", "bare", 1), ("Tall tree, a", "bare", 1), ("red boats", "bare", 1), ("red boat", "free", 0), ("the red boats at sea", "bare", 1)], "query string, photo_id string, label int")
+    asked = spark.createDataFrame([("a tall tree!",), ("red boats at sea",)], "query string")
+    got = {(r.id, r.text, r.source) for r in pairs.training_pairs(photos, captions, feedback, copies, judged, asked).collect()}
+    assert got == {("free", "a tall tree.", "caption"), ("free", "It stands near the water!", "caption"), ("free", "a photo of tree, sky", "keywords"), ("bare", "red boats", "feedback")}
+
+
+def test_alike_texts_match_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    make = lambda: " ".join(rng.choice(list("abcdefghij"), rng.integers(0, 9)))
+    mine, theirs = [(i, make()) for i in range(200)], [(make(),) for _ in range(30)]
+    got = {r.k for r in pairs.alike_texts(spark.createDataFrame(mine, "k int, t string"), "k", "t", spark.createDataFrame(theirs, "u string"), "u", 0.6).collect()}
+    sets = [set(t.split()) for (t,) in theirs]
+    assert got == {k for k, t in mine if any(s and len(s & set(t.split())) >= 0.6 * len(s | set(t.split())) for s in sets)}
+
+
+def test_people_are_split_named_and_wiped(spark):
+    people = spark.createDataFrame([(1, "Noor", ["x"], False), (7, None, [], True)], "cluster_id int, name string, aliases array<string>, hidden boolean")
+    faces = spark.createDataFrame([("f", 1, False), ("g", 1, False), ("h", 3, False)], "id string, cluster_id int, manual boolean")
+    more, moved, new = upkeep.split_person(people, faces, ["g"])
+    assert new == 8 and {(r.id, r.cluster_id, r.manual) for r in moved.collect()} == {("f", 1, False), ("g", 8, True), ("h", 3, False)}
+    assert {tuple(r) for r in more.where("cluster_id = 8").select("name", F.size("aliases"), "hidden").collect()} == {(None, 0, False)}
+    named = upkeep.name_person(more, 8, "Ada", hidden=True).where("cluster_id = 8").first()
+    assert (named.name, named.aliases, named.hidden) == ("Ada", [], True)
+    assert [df.count() for df in upkeep.wipe_faces(faces, people)] == [0, 0]
+
+
+def test_imports_wait_and_get_free_names(spark):
+    now = datetime(2025, 1, 1, 12)
+    listing = spark.createDataFrame([("a", now - timedelta(seconds=2)), ("b", now - timedelta(seconds=3))], "path string, mtime timestamp_ntz")
+    assert [r.path for r in upkeep.stable(listing, F.lit(now)).collect()] == ["b"]
+    taken = spark.createDataFrame([("x.jpg",), ("x-1.jpg",), ("y.tar",)], "name string")
+    wanted = spark.createDataFrame([(1, "x.jpg"), (2, "x.jpg"), (3, "y.jpg"), (4, "y.jpg"), (5, "z")], "k int, name string")
+    assert {r.k: r.free_name for r in upkeep.free_names(wanted, taken, "name", [F.col("k")]).collect()} == {1: "x-2.jpg", 2: "x-3.jpg", 3: "y.jpg", 4: "y-1.jpg", 5: "z"}
+    new = spark.createDataFrame([(None, "p"), (None, "q")], "file_hash string, path string")
+    ledger = spark.createDataFrame([("h1", "imported")], "file_hash string, status string")
+    assert {r.status for r in upkeep.import_new(new, ledger, [F.col("path")]).collect()} == {"imported"}
+
+
+def test_more_file_values(spark):
+    xmp = "<dc:subject><rdf:Bag><rdf:li>sea</rdf:li><rdf:li>sky </rdf:li></rdf:Bag></dc:subject><lr:hierarchicalSubject><rdf:li>Places|Lisbon|sea</rdf:li></lr:hierarchicalSubject>"
+    assert spark.range(1).select(files.xmp_keywords(F.lit(xmp)).alias("k")).first().k == ["sea", "sky", "Places", "Lisbon"]
+    df = spark.createDataFrame([(0.0, 0.0), (91.0, 5.0), (38.7, -9.1), (None, 4.0)], "lat double, lon double")
+    assert [tuple(r) for r in df.select(*files.position(F.col("lat"), F.col("lon"))).collect()] == [(None, None), (None, None), (38.7, -9.1), (None, None)]
+    cams = spark.createDataFrame([("PENTAX RICOH", "K-3"), ("Olympus", "OLYMPUS E-M1"), (None, "Q2"), ("Leica", None), ("iFone Co", "X")], "a string, b string")
+    assert [r.c for r in cams.select(files.camera_name(F.col("a"), F.col("b")).alias("c")).collect()] == ["Pentax K-3", "OLYMPUS E-M1", "Q2", "Leica", "iFone X"]
+    times = spark.createDataFrame([(0.004,), (2.5,), (0.0,), (None,)], "s double")
+    assert [r.t for r in times.select(files.shutter(F.col("s")).alias("t")).collect()] == ["1/250", "2.5s", None, None]
+    zone = spark.createDataFrame([("+02:00",), ("-0330",), ("x",)], "z string")
+    assert [r.m for r in zone.select(files.offset_minutes("z").alias("m")).collect()] == [120, -210, None]
+
+
+def test_large_files_are_hashed_by_samples(spark, monkeypatch):
+    monkeypatch.setattr(files, "HASHED_WHOLE", 8)
+    monkeypatch.setattr(files, "SAMPLE", 2)
+    rows = [b"0123456789", b"01x3456789", b"0123x56789", b"01234x6789", b"abc"]
+    df = spark.createDataFrame([(bytearray(r), len(r)) for r in rows], "c binary, n long")
+    from hashlib import sha256
+
+    got = [r.h for r in df.select(files.content_hash("c", "n").alias("h")).collect()]
+    assert got == [sha256(b"10" + r[:2] + r[5:7] + r[-2:] if len(r) > 8 else r).hexdigest() for r in rows]
+    assert len(set(got)) == 3
+
+
+def test_a_registry_keeps_models_apart(spark):
+    from shoebox.functions import plugins
+
+    lengths = plugins.Model("lengths", 1, lambda: lambda values: [[float(len(v))] for v in values], query_prefix="q: ")
+    registry = plugins.Registry(lengths)
+    row = spark.createDataFrame([("abc",)], "t string").select(registry.queries("t", "lengths").alias("q"), registry.documents("t", "lengths").alias("d")).first()
+    assert (row.q, row.d) == ([6.0], [3.0])
+    with pytest.raises(KeyError):
+        registry["none"]
+    with pytest.raises(ValueError):
+        registry.add(lengths)
+
+
+def test_near_misses_and_single_rows(spark):
+    rows = spark.createDataFrame([(i, i / 100) for i in range(80, 100)], "k int, s double")
+    got = groups.near_misses(rows, 0.97, 0.88, 0.97, "s", ["k"], 2).collect()
+    assert sorted(r.kind for r in got) == ["flagged", "flagged", "near_miss", "near_miss"]
+    assert aggregate.one(rows.where("k = 80")).s == 0.8
+    with pytest.raises(LookupError):
+        aggregate.one(rows.where("k = 1"))
+
+
+def test_json_is_replaced_whole(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    files.replace_json(spark.range(3), path)
+    files.replace_json(spark.range(5), path)
+    assert spark.read.json(path).count() == 5
 
 
 def test_file_kinds_and_times(spark, tmp_path):

@@ -1,9 +1,11 @@
+import json
 from datetime import date
 
 import pytest
 
 from shoebox.plans import filters as flt
 from shoebox.plans.search import Engine, SearchRequest
+from shoebox.plans.tools import Tools
 from tests.library import build
 
 
@@ -14,46 +16,63 @@ def engine(spark, tmp_path_factory):
 
 def found(engine, **kind):
     f = flt.SearchFilters(**kind)
-    return {r.id for r in engine.candidates(SearchRequest(filters=f)).collect()}
+    return {r.id for r in engine.candidates(SearchRequest(filters=f), frames=False).collect()}
 
 
 @pytest.mark.parametrize(
     "kind, expected",
     [
-        ({"place": "tokyo"}, {"blue_night"}),
-        ({"place": "united states"}, {"red_car", "red_sign"}),
-        ({"date_from": date(2024, 1, 1), "date_to": date(2024, 12, 31)}, {"green_park", "yellow_flower"}),
-        ({"date_to": date(2023, 12, 25)}, {"white_wall"}),
-        ({"lens": "50mm"}, {"red_car", "red_sign", "white_wall"}),
-        ({"lens": "ef-s18"}, {"yellow_flower"}),
-        ({"iso_min": 3200}, {"blue_night"}),
-        ({"focal_min": 0.0, "focal_max": 23.0}, {"blue_night"}),
-        ({"months": (6, 7, 99)}, {"red_car", "red_sign", "blue_night"}),
-        ({"years": (2024,)}, {"green_park", "yellow_flower"}),
-        ({"near": (41.88, -87.63), "radius_km": 5.0}, {"red_car", "red_sign"}),
-        ({"camera": "canon"}, {"red_car", "red_sign", "yellow_flower", "white_wall"}),
-        ({"people": ("ann",)}, {"red_car", "red_sign"}),
-        ({"people": ("ANNIE", "bob")}, {"red_car"}),
-        ({"keywords": ("red", "park")}, {"red_car", "green_park"}),
-        ({"album_id": "trip"}, {"green_park"}),
-        ({"media": "video"}, set()),
+        ({"place": " nairobi "}, {"lanterns"}),
+        ({"place": "PORTUGAL"}, {"ferry", "tram"}),
+        ({"date_from": date(2017, 1, 1), "date_to": date(2017, 12, 31)}, {"canal", "bread"}),
+        ({"date_to": date(2016, 1, 31)}, {"gate"}),
+        ({"lens": "35mm"}, {"ferry", "tram", "gate"}),
+        ({"lens": "da16"}, {"bread"}),
+        ({"iso_min": 6400}, {"lanterns"}),
+        ({"focal_min": 0.0, "focal_max": 28.0}, {"lanterns"}),
+        ({"months": (3, 10, 99)}, {"ferry", "tram", "lanterns"}),
+        ({"years": (2017,)}, {"canal", "bread"}),
+        ({"near": (38.71, -9.14), "radius_km": 5.0}, {"ferry", "tram"}),
+        ({"camera": "pentax"}, {"ferry", "tram", "bread", "gate"}),
+        ({"people": ("noor",)}, {"ferry", "tram"}),
+        ({"people": ("NOORI", "ivo")}, {"ferry"}),
+        ({"keywords": ("blue", "water")}, {"ferry", "canal"}),
+        ({"album_id": "walk"}, {"canal"}),
         ({"orientation": "square"}, set()),
-        ({"exclude_ids": ("red_car",), "place": "chicago"}, {"red_sign"}),
+        ({"exclude_ids": ("ferry",), "place": "lisbon"}, {"tram"}),
     ],
 )
 def test_filters(engine, kind, expected):
     assert found(engine, **kind) == expected
 
 
+def test_frames_are_searched_but_not_counted(engine):
+    ask = SearchRequest(filters=flt.SearchFilters(media="video"))
+    assert [r.id for r in engine.candidates(ask).collect()] == ["frame"] and engine.candidates(ask, frames=False).count() == 0
+
+
 def test_recency_when_nothing_is_wanted(engine):
-    result = engine.search(SearchRequest(filters=flt.SearchFilters(place="Chicago")))
-    assert result.signals == ("recency",) and [r.id for r in result.hits.collect()] == ["red_sign", "red_car"]
+    result = engine.search(SearchRequest(filters=flt.SearchFilters(place="Lisbon")))
+    assert result.signals == ("recency",) and [r.id for r in result.hits.collect()] == ["tram", "ferry"]
 
 
 def test_words_and_vectors_are_fused(engine):
-    result = engine.search(SearchRequest(words="red cars", query_vector=(1.0, 0.0, 0.0), k=3))
+    result = engine.search(SearchRequest(words="blue boats", query_vector=(1.0, 0.0, 0.0), k=3))
     assert set(result.signals) == {"clip", "keyword", "ocr"}
-    assert [r.id for r in result.hits.collect()][:2] == ["red_car", "red_sign"]
+    hits = result.hits.collect()
+    assert [r.id for r in hits][:2] == ["ferry", "tram"] and hits[1].caption == "a blue ticket machine"
+
+
+def test_approximate_search_finds_the_same(engine):
+    ask = {"query_vector": (0.6, 0.0, 0.8), "k": 3}
+    exact, near = (engine.search(SearchRequest(approximate=a, **ask)).hits.select("id", "score").collect() for a in (False, True))
+    assert exact == near
+
+
+def test_captions_of_one_model_alone_are_compared(engine):
+    ask = SearchRequest(caption_vector=(1.0, 0.0), k=1)
+    assert [r.id for r in engine.search(ask).hits.collect()] == ["ferry"]
+    assert engine.available() == ("clip", "caption", "keyword", "ocr") and "caption" not in engine.available(caption_model="none")
 
 
 def test_stop_words_alone_rank_nothing(engine):
@@ -61,8 +80,8 @@ def test_stop_words_alone_rank_nothing(engine):
 
 
 def test_fallback_drops_filters_and_says_so(engine):
-    result = engine.search(SearchRequest(words="night", filters=flt.SearchFilters(place="nowhere")))
-    assert result.fell_back and [r.id for r in result.hits.collect()] == ["blue_night"]
+    result = engine.search(SearchRequest(words="evening", filters=flt.SearchFilters(place="nowhere")))
+    assert result.fell_back and [r.id for r in result.hits.collect()] == ["lanterns"]
 
 
 def test_pages_meet(engine):
@@ -72,28 +91,36 @@ def test_pages_meet(engine):
 
 
 def test_feedback_moves_the_query_and_excludes_what_is_disliked(engine):
-    result = engine.search(SearchRequest(query_vector=(1.0, 0.0, 0.0), liked=("green_park",), disliked=("red_car",)))
+    result = engine.search(SearchRequest(query_vector=(1.0, 0.0, 0.0), liked=("canal",), disliked=("ferry",)))
     ids = [r.id for r in result.hits.collect()]
-    assert "red_car" not in ids and "green_park" in ids
+    assert "ferry" not in ids and "canal" in ids
+
 
+def test_weights_come_from_a_file_below_those_of_a_request(engine, tmp_path):
+    (tmp_path / "w.json").write_text(json.dumps({"weights": {"clip": 0.0, "keyword": 1.0}}))
+    own = Engine(engine.catalog, weights_file=str(tmp_path / "w.json"))
+    ask = {"words": "evening", "query_vector": (1.0, 0.0, 0.0)}
+    assert [r.id for r in own.search(SearchRequest(**ask)).hits.collect()] == ["lanterns"]
+    assert len(own.search(SearchRequest(weights={"clip": 1.0}, **ask)).hits.collect()) == 6
 
-def test_merged_filters():
-    base, own = flt.SearchFilters(place="Paris", iso_min=100), flt.SearchFilters(iso_min=0)
-    assert base.merged(own) == flt.SearchFilters(place="Paris", iso_min=0)
+
+def test_merged_filters_and_chips():
+    base, own = flt.SearchFilters(place="Ghent", iso_min=100), flt.SearchFilters(iso_min=0)
+    assert base.merged(own) == flt.SearchFilters(place="Ghent", iso_min=0)
     assert flt.SearchFilters().is_empty() and not own.is_empty()
+    assert base.chips() == [{"field": "place", "value": "Ghent"}, {"field": "iso_min", "value": 100}]
 
 
 def test_similar_leaves_itself_out(engine):
-    ids = [r.id for r in engine.similar("red_car", k=3).hits.collect()]
-    assert ids[0] == "red_sign" and "red_car" not in ids
+    ids = [r.id for r in engine.similar("ferry", k=3).hits.collect()]
+    assert ids[0] == "tram" and "ferry" not in ids
 
 
 def test_tools_check_arguments_and_ground_citations(engine):
-    from shoebox.plans.tools import Tools
-
     tools = Tools(engine)
-    assert tools.run("count_by", {"dimension": "city", "filters": {"years": (2025,)}}) == {"groups": [("Chicago", 2), ("Tokyo", 1)], "total": 3}
+    assert tools.run("count_by", {"dimension": "city", "filters": {"years": (2019,)}}) == {"groups": [("Lisbon", 2), ("Nairobi", 1)], "total": 3}
     assert "error" in tools.run("drop", {}) and "error" in tools.run("count_by", {"dimension": "x'; --"}) and "error" in tools.run("newest", {"filters": {"sql": "1"}})
-    assert tools.run("first_last", {"filters": {"place": "Chicago"}})["total"] == 2
-    assert tools.run("newest", {"filters": {"place": "Chicago"}, "limit": 1}) == {"ids": ["red_sign"]}
-    assert tools.grounded(["red_sign", "blue_night", "red_sign", "red_car"]) == ["red_sign", "red_car"]
+    assert tools.run("first_last", {"filters": {"place": "Lisbon"}})["total"] == 2
+    assert tools.run("newest", {"filters": {"place": "Lisbon"}, "limit": 1}) == {"ids": ["tram"]}
+    assert tools.run("count_by", {"dimension": "camera"})["total"] == 6
+    assert tools.grounded(["tram", "lanterns", "tram", "ferry"]) == ["tram", "ferry"]

@@ -42,3 +42,33 @@ def test_sessions_of_a_stream_equal_those_of_a_table(spark, tmp_path):
     query = stream.writeStream.outputMode("complete").format("memory").queryName("sessions").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {tuple(r) for r in spark.sql("select * from sessions").collect()} == batch
+
+
+def test_events_wait_for_quiet(spark):
+    from datetime import datetime, timedelta
+
+    from shoebox.streaming.incremental import quiet
+
+    now = datetime(2025, 1, 1, 12)
+    rows = [("a", "upsert", now - timedelta(seconds=9)), ("a", "delete", now - timedelta(seconds=5)), ("b", "upsert", now - timedelta(seconds=7)), ("b", "upsert", now - timedelta(seconds=1))]
+    ready, waiting = quiet(spark.createDataFrame(rows, "path string, op string, at timestamp_ntz"), "path", "at", now)
+    assert [(r.path, r.op) for r in ready.collect()] == [("a", "delete")] and waiting.count() == 2
+
+
+def test_moves_take_frames_along(spark):
+    from shoebox.streaming.incremental import apply_moves
+
+    rows = spark.createDataFrame([("/a.mp4", 1), ("/a.mp4#t=1.00", 2), ("/b", 3)], "path string, k int")
+    moves = spark.createDataFrame([("/a.mp4", "/z.mp4"), ("/outside", "/new")], "old string, new string")
+    moved, unmatched = apply_moves(rows, moves)
+    assert {r.k: r.path for r in moved.collect()} == {1: "/z.mp4", 2: "/z.mp4#t=1.00", 3: "/b"} and [r.path for r in unmatched.collect()] == ["/new"]
+
+
+def test_a_sweep_finds_what_events_missed(spark):
+    from shoebox.streaming.incremental import sweep
+
+    schema = "path string, file_hash string, mtime double"
+    old = spark.createDataFrame([("a", "1", 1.0), ("b", "2", 1.0), ("c", "3", 1.0)], schema)
+    new = spark.createDataFrame([("a", "1", 1.0), ("b", "9", 2.0), ("d", "4", 1.0)], schema)
+    got = {(r.path, r.todo) for r in sweep(old, new, [spark.createDataFrame([("b",)], "path string")]).collect()}
+    assert got == {("a", "complete"), ("b", "scan"), ("d", "scan"), ("c", "remove")}
