@@ -151,4 +151,20 @@ ORACLE = {
             coalesce(len(gone), 0)::INT AS lines_dropped
         FROM documents d LEFT JOIN gone ON d.doc_id = gone.doc_id AND d.text = gone.text
     """,
+    "op10_sampled_splitters": """
+        WITH crc AS MATERIALIZED (
+            SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+        ), r AS MATERIALIZED (
+            SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS b,
+                ('0x' || md5(coalesce(text, ''))[1:15])::BIGINT AS key, ('0x' || md5(doc_id::VARCHAR)[1:15])::BIGINT AS tie FROM documents
+        ), o AS (
+            SELECT *, sum(size) OVER (ORDER BY key, tie) AS upto, sum(size) OVER (PARTITION BY key) AS held, sum(size) OVER () AS total FROM r
+        ), g AS (
+            SELECT *, min(upto - size) OVER (PARTITION BY key) AS start FROM o
+        ), s AS (
+            SELECT *, least(15, floor((CASE WHEN held * 1024 <= total THEN start + held / 2 ELSE upto - size / 2 END) * 16 / total))::INT AS shard FROM g
+        )
+        SELECT doc_id, size::BIGINT AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c // 256, t[xor(c, x) % 256 + 1])), 4294967295) AS text_crc32,
+            'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY key, tie) - 1 AS slot, NULL::INT AS grown_shard FROM s, crc
+    """,
 }

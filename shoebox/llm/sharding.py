@@ -1,14 +1,15 @@
 """Sharding by sampled splitters (operator 10). DataFrame functions only.
 
-Rows are ordered by (hash of the text, hash of the id), so equal texts lie side by side. A size-weighted sample of
-these keys gives quantile boundaries of many fine ranges; a range that still holds too many rows is subdivided by the
-hash of the id. Exact byte sums of the fine ranges place each range on a line of all bytes, a window inside each fine
-range places each row, and a shard is a stretch of that line.
+Rows are ordered by (hash of the text, hash of the id, place in the table), so equal texts lie side by side. A sample of
+these keys, drawn half by size and half by row, gives quantile boundaries of many fine ranges; a text that fills several
+ranges is cut between its rows, so no range is overfull, not even where a third of all rows share text and id. Exact byte
+sums of the fine ranges place each range on a line of all bytes, a window inside each fine range places each row, and a
+shard is a stretch of that line. Ranges only deal out the work: a row's shard follows from the order and the sizes.
 
 Defined cases: a null text counts as the empty text (size 1) and is one group with it; null or repeated ids are
-ordinary rows (rows without an id are told apart by their place in the table as it was read); an empty table gives an empty result; columns other than the id and the text are not read.
-A group of equal texts stays in one shard unless it holds more than 1/64 of a shard's bytes, or lies in a range that had
-to be subdivided (one that a much larger group fills), when it may be cut.
+ordinary rows, told apart by their place in the table as it was read; an empty table gives an empty result; columns
+other than the id and the text are not read. A group of equal texts stays in one shard unless it holds more than 1/64 of
+a shard's bytes, when it may be cut.
 """
 
 from __future__ import annotations
@@ -32,39 +33,42 @@ def _longs(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def _splitters(sample: list[tuple[int, int, int]], ranges: int) -> list[tuple[int, int]]:
+def _splitters(sample: list[tuple[int, int, int, int]], ranges: int) -> list[tuple[int, int, int]]:
     """Quantile boundaries of a sorted sample of keys with their numbers.
 
     A boundary falls before all rows of its text, so that small groups stay whole, except where one text fills
-    several ranges: its second and further boundaries cut between ids.
+    several ranges: its second and further boundaries cut between its rows.
     """
-    low = -(2**63)
-    ends = list(accumulate(n for _, _, n in sample))
-    picked = [sample[bisect_right(ends, ends[-1] * i // ranges)][:2] for i in range(1, ranges)] if sample else []
-    out: list[tuple[int, int]] = []
-    for i, (key, tie) in enumerate(picked):
-        out.append((key, tie) if i and picked[i - 1][0] == key else (key, low))
+    ends = list(accumulate(n for *_, n in sample))
+    picked = [sample[bisect_right(ends, ends[-1] * i // ranges)][:3] for i in range(1, ranges)] if sample else []
+    out: list[tuple[int, int, int]] = []
+    for i, at in enumerate(picked):
+        out.append(at if i and picked[i - 1][0] == at[0] else (at[0], -1, -1))
     return sorted(set(out))
 
 
-def _range_of(splitters: list[tuple[int, int]]) -> Column:
+def _range_of(splitters: list[tuple[int, int, int]]) -> Column:
     """The number of splitters at or below the row's key, by a search in two steps of about as many comparisons."""
     if not splitters:
         return F.lit(0)
     step = ceil(sqrt(len(splitters)))
-    heads = splitters[::step]
 
-    def count(keys: Column, ties: Column) -> Column:
-        pairs = F.arrays_zip(keys.alias("k"), ties.alias("t"))
-        return F.size(F.filter(pairs, lambda s: (s["k"] < F.col("key")) | ((s["k"] == F.col("key")) & (s["t"] <= F.col("tie")))))
+    def count(keys: list[Column]) -> Column:
+        triples = F.arrays_zip(*[k.alias(n) for k, n in zip(keys, "kts")])
+        below = lambda s: (s["k"] < F.col("key")) | ((s["k"] == F.col("key")) & ((s["t"] < F.col("tie")) | ((s["t"] == F.col("tie")) & (s["s"] <= F.col("salt")))))
+        return F.size(F.filter(triples, below))
 
-    keys, ties = (_longs([s[i] for s in splitters]) for i in (0, 1))
-    head = count(_longs([s[0] for s in heads]), _longs([s[1] for s in heads]))
+    head = count([_longs([s[i] for s in splitters[::step]]) for i in range(3)])
     start = F.greatest(head - 1, F.lit(0)) * step
-    inner = count(F.slice(keys, start + 1, F.lit(step)), F.slice(ties, start + 1, F.lit(step)))
+    inner = count([F.slice(_longs([s[i] for s in splitters]), start + 1, F.lit(step)) for i in range(3)])
     return F.when(head == 0, F.lit(0)).otherwise(start + inner)
 
 
+def _digest(c: Column) -> Column:
+    """The first 60 bits of an MD5."""
+    return F.conv(F.substring(F.md5(c), 1, 15), 16, 10).cast("bigint")
+
+
 def shard_by_bytes(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Deal rows to `n_shards` shards of nearly equal bytes; see the module's docstring.
 
@@ -77,53 +81,49 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
             F.col(id_col).alias("id"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
-            F.xxhash64(text).alias("key"),
-            F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()), F.lit(10)).alias("tie"),
+            _digest(text).alias("key"),
+            F.coalesce(_digest(F.col(id_col).cast("string")), F.lit(0)).alias("tie"),
+            F.monotonically_increasing_id().alias("salt"),
         ),
         "shard-keys",
     )
     n_rows, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    n_rows, total = max(n_rows, 1), max(total, 1)
     ranges = min(max(ceil(sqrt(n_rows / RANGE_ROWS)), FANOUT[0]), FANOUT[1]) ** 2
     want = ranges * SAMPLE_PER_RANGE
-    # a row is drawn with a chance in proportion to its size, by a hash of its id: about `want` keys at any size
-    chance = F.shiftrightunsigned(F.xxhash64(F.col("tie"), F.col("size"), F.lit(11)), 11) / F.lit(float(2**53))
-    drawn = rows.where(chance * max(total, 1) < F.col("size") * float(want)).groupBy("key", "tie").agg(F.count("*").alias("n"))
-    splitters = _splitters(sorted((r.key, r.tie, r.n) for r in drawn.toLocalIterator()), ranges)  # about `want` rows
+    # by a hash of its key a row is drawn with a chance that follows its size and its being a row: about `want` at any size
+    chance = F.shiftrightunsigned(F.xxhash64("key", "tie", "salt", F.lit(11)), 11) / F.lit(float(2**53))
+    drawn = rows.where(chance < (F.col("size") / F.lit(float(total)) + 1.0 / n_rows) * (want / 2)).groupBy("key", "tie", "salt").agg(F.count("*").alias("n"))
+    splitters = _splitters(sorted(tuple(r) for r in drawn.toLocalIterator()), ranges)  # about `want` rows
 
+    # a range's head is the text that its splitter falls before or cuts: only it can be in several ranges
     ranged = rows.withColumn("range", _range_of(splitters).cast("int"))
-    held = {r.range: r.n for r in ranged.groupBy("range").agg(F.count("*").alias("n")).collect()}  # at most `ranges` rows
-    limit = max(1_000, 4 * -(-max(n_rows, 1) // ranges))
-    pieces = [-(-held.get(i, 0) // limit) or 1 for i in range(len(splitters) + 1)]  # an overfull range is subdivided
-    first = [sum(pieces[:i]) for i in range(len(pieces))]
-    unit = F.shiftrightunsigned(F.col("tie"), 11) / F.lit(float(2**53))
-    cut = F.element_at(_longs(pieces), F.col("range") + 1)
-    placed = ranged.withColumn("bucket", F.element_at(_longs(first), F.col("range") + 1) + F.floor(unit * cut)).withColumn("whole", cut == 1)
-
-    sums = {r.bucket: (r.n, r.b) for r in placed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()}  # at most 1.25 * ranges rows
-    before, bytes_before, rows_before = (0, 0), [], []
-    for bucket in range(sum(pieces)):
-        rows_before.append(before[0])
-        bytes_before.append(before[1])
-        n, b = sums.get(bucket, (0, 0))
-        before = (before[0] + n, before[1] + b)
-
-    order = Window.partitionBy("bucket").orderBy("key", "tie", "id", "size")
-    same = Window.partitionBy("bucket", "key")
-    at = F.element_at(_longs(bytes_before), (F.col("bucket") + 1).cast("int"))
-    small = F.col("whole") & (F.col("group_bytes") * (n_shards * 64) <= total)
+    heads = [-1, *(s[0] for s in splitters)]
+    is_head = F.col("key") == F.element_at(_longs(heads), F.col("range") + 1)
+    sums = {r.range: r for r in ranged.groupBy("range").agg(F.count("*").alias("n"), F.sum("size").alias("b"), F.sum(F.when(is_head, F.col("size"))).alias("h")).collect()}  # at most `ranges` rows
+    bytes_before, rows_before, head_start, head_bytes = [0], [0], [], {}
+    for i, key in enumerate(heads):
+        own = sums.get(i)
+        head_start.append(head_start[-1] if i and heads[i - 1] == key else bytes_before[i])
+        head_bytes[key] = head_bytes.get(key, 0) + ((own.h or 0) if own else 0)
+        bytes_before.append(bytes_before[i] + (own.b if own else 0))
+        rows_before.append(rows_before[i] + (own.n if own else 0))
+
+    def of_range(values: list[int]) -> Column:
+        return F.element_at(_longs(values), F.col("range") + 1)
+
+    order = Window.partitionBy("range").orderBy("key", "tie", "salt")
+    same = Window.partitionBy("range", "key")
+    placed = (
+        ranged.withColumn("end", of_range(bytes_before) + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("place", of_range(rows_before) + F.row_number().over(order) - 1)
+        .withColumn("group_bytes", F.when(is_head, of_range([head_bytes[k] for k in heads])).otherwise(F.sum("size").over(same)))
+        .withColumn("group_start", F.when(is_head, of_range(head_start)).otherwise(F.min(F.col("end") - F.col("size")).over(same)))
+    )
+    small = F.col("group_bytes") * (n_shards * 64) <= total
     middle = F.when(small, F.col("group_start") + F.col("group_bytes") / 2).otherwise(F.col("end") - F.col("size") / 2)
-    dealt = materialize(
-        placed.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("rank", F.row_number().over(order))
-        .withColumn("group_bytes", F.sum("size").over(same))
-        .withColumn("group_start", F.min(F.col("end") - F.col("size")).over(same))
-        .select(
-            "id", "size", "text_crc32",
-            F.least(F.lit(n_shards - 1), F.floor((at + middle) * n_shards / max(total, 1))).cast("int").alias("shard"),
-            (F.element_at(_longs(rows_before), (F.col("bucket") + 1).cast("int")) + F.col("rank") - 1).alias("place"),
-        ),
-        "shard-places",
-    )
+    shard = F.least(F.lit(n_shards - 1), F.floor(middle * n_shards / total)).cast("int")
+    dealt = materialize(placed.select("id", "size", "text_crc32", shard.alias("shard"), "place"), "shard-places")
     discard(rows)
     starts = {r.shard: r.place for r in dealt.groupBy("shard").agg(F.min("place").alias("place")).collect()}  # n_shards rows
     start = F.element_at(_longs([starts.get(i, 0) for i in range(n_shards)]), F.col("shard") + 1)

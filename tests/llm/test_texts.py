@@ -320,3 +320,131 @@ def test_sparse_sites_are_shrunk_towards_their_host(spark):
     labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(600)], "doc_id long, quality int")
     prior = {r.doc_id: r.quality_prior for r in quality.score_quality(docs, labels).collect()}
     assert prior[1] < prior[1000] <= prior[1001] < prior[0]
+
+
+# ---- names that clash, models against brute force, odd tables
+
+
+def test_columns_that_are_there_keep_their_names(spark):
+    names = ["quality", "quality_keep", "Quality_Prior", "lines_id", "lines_n", "lines_text", "mix_weight", "mix_source", "mix_block"]
+    rows = [(i, f"some words {i}\nshared line", "en", "a") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for n in names:
+        docs = docs.withColumn(n, F.lit(f"own {n}"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    for out in (quality.score_quality(docs, labels), line_templates.drop_recurring_lines(docs), mixture.mix(docs)):
+        assert out.columns[: len(docs.columns)] == docs.columns and len({c.lower() for c in out.columns}) == len(out.columns)
+        assert {r[n] for r in out.collect() for n in names} == {f"own {n}" for n in names}
+    assert {"quality_", "quality_keep_", "quality_prior_", "quality_evidence"} <= set(quality.score_quality(docs, labels).columns)
+
+
+def test_a_mix_of_one_source_is_the_table(spark):
+    rows = [(i, "w " * (i % 5 + 1), None) for i in range(60)]
+    out = mixture.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), blocks=16).collect()
+    assert sorted(r.doc_id for r in out) == list(range(60)) and {(r.mix_weight, r.mix_repeats, r.mix_epoch) for r in out} == {(1.0, 1.0, 0)}
+
+
+def n_grams(text):
+    """Places of n-grams, one n-gram at a time."""
+    data = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+    out = set()
+    for order in toxicity.ORDERS:
+        for i in range(len(data) - order + 1):
+            h = 2166136261 + order
+            for b in data[i : i + order]:
+                h = (h ^ b) * 16777619 % 2**32
+                h ^= h >> 15
+            out.add(h >> (32 - toxicity.BITS))
+    return out
+
+
+def test_toxicity_ratios_and_scores_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FEATURES", 40)
+    docs, rows = labelled(spark, lambda rng, words: " ".join(["zounder", *words]), n=80)
+    docs = docs.union(spark.createDataFrame([(5000, "Long " * 30_000, "x", "p"), rows[0], rows[0]], docs.schema)).withColumn("score", F.lit("clash"))
+    labels = {i: int(i % 4 == 0) for i, *_ in rows if i % 5}
+    model = toxicity.train(docs, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    places = {i: n_grams(t) for i, t, *_ in rows}
+    n = {y: sum(v == y for v in labels.values()) for y in (0, 1)}
+    have = {y: {} for y in (0, 1)}
+    for i, y in labels.items():
+        for p in places[i]:
+            have[y][p] = have[y].get(p, 0) + 1
+    every = set(have[0]) | set(have[1])
+    ratio = {p: np.log((1 + have[1].get(p, 0)) / (2 + n[1])) - np.log((1 + have[0].get(p, 0)) / (2 + n[0])) for p in every}
+    strong = sorted(every, key=lambda p: (-round(abs(ratio[p]) * (have[1].get(p, 0) + have[0].get(p, 0)) ** 0.5, 9), p))[:40]
+    assert set(np.flatnonzero(model.own)) <= set(strong) and set(np.flatnonzero(model.rest)) <= every - set(strong)
+    scale = [model.rest[p] / ratio[p] for p in every - set(strong) if abs(ratio[p]) > 1e-6]
+    assert max(scale) - min(scale) < 1e-9 * max(1, abs(scale[0]))
+    got = {r.doc_id: r.s for r in docs.select("doc_id", model.score(docs).alias("s")).collect()}
+    for i, t, *_ in [*rows, (5000, "Long " * 30_000), (9000, None)]:
+        at = sorted(n_grams(t)) if i == 5000 or i == 9000 else sorted(places[i])
+        others = [model.rest[p] for p in at if model.rest[p]]
+        z = model.intercept + sum(model.own[p] for p in at) + (sum(others) / len(others) if others else 0)
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def test_quality_by_brute_force(spark):
+    import xxhash
+
+    docs, rows = labelled(spark, lambda rng, words: " ".join(f"{w}**" for w in words), n=160)
+    rows = [*rows, (5000, "long " * 40_000, "x", "p"), rows[1], rows[1], (9000, None, None, None), (9001, "", "x", "p")]
+    docs = spark.createDataFrame(rows, docs.schema)
+    labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i, *_ in rows[:160] if i % 5], "doc_id long, quality int")
+    prior, ratios, tables, offset = quality.learn(docs, labels, "doc_id", "text", "quality", quality.MAX_TRAIN)
+    share = lambda x: int(np.ceil(np.sqrt(min(x, 1.0)) * (quality.BINS - 1)))
+
+    def evidence(text):
+        text = text or ""
+        tokens, distinct = text.split(" "), dict.fromkeys(text.lower().split(" "))
+        against = [min(max(-float(f"{ratios[xxhash.xxh64(w.encode(), seed=42).intdigest() % 2**64 % quality.PLACES]:.12g}"), 0), quality.AGAINST) / quality.AGAINST for w in distinct]
+        words = re.findall(r"\S+", text)
+        again = sum(a == b for a, b in zip(words, words[1:]))
+        bins = {
+            "words": share(sum(against) / (len(distinct) + quality.FEW)), "upper": share(sum(c.isupper() for c in text) / max(1, len(text))), "symbol": share(sum(c in "|*%#&$!@^~_=<>{}\\" for c in text) / max(1, len(text))),
+            "again": share(again / max(1, len(words))), "distinct": share(len(set(tokens)) / max(1, len(words))),
+        }
+        return offset + sum(tables[n][b] for n, b in bins.items())
+
+    logit = lambda p: np.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    e = [evidence(t) for _, t, *_ in rows]
+    p = [1 / (1 + np.exp(-(x + logit(prior)))) for x in e]
+    sites = [(r[2], r[3]) for r in rows]
+
+    def strength(groups):
+        spread = sum(n * (m - a) ** 2 for n, m, a in groups)
+        within, total = sum(a * (1 - a) for _, _, a in groups), sum(n * a * (1 - a) for n, _, a in groups)
+        return 100.0 if len(groups) < 2 or not total else min(max(1 / max((spread - within) / max(total - within, 1e-9), 1e-6) - 1, 1.0), 1e6)
+
+    of = lambda key: {k: [x for x, s in zip(p, sites) if key(s) == k] for k in {key(s) for s in sites}}
+    mean, hosts, paths = sum(p) / len(p), of(lambda s: s[0]), of(lambda s: s)
+    a = strength([(len(x), np.mean(x), mean) for x in hosts.values()])
+    host_mean = {h: (sum(x) + a * mean) / (len(x) + a) for h, x in hosts.items()}
+    b = strength([(len(x), np.mean(x), host_mean[h]) for (h, _), x in paths.items()])
+    expected = {}
+    for (i, *_), x, own, s in zip(rows, e, p, sites):
+        prior_of = (sum(paths[s]) - own + b * host_mean[s[0]]) / (len(paths[s]) - 1 + b)
+        expected[i] = (x, prior_of, 1 / (1 + np.exp(-(x + logit(prior_of)))))
+    got = quality.score_quality(docs, labels).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert np.allclose((r.quality_evidence, r.quality_prior, r.quality), expected[r.doc_id], atol=5e-3, rtol=5e-3)
+
+
+def test_the_least_text_of_an_id_links(spark):
+    rows = [(1, "u v w x y z"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "u v w x y z")]
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 3)}
+
+
+def test_counts_and_codes_of_nothing(spark, docs):
+    pieces, _ = sentencepiece_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    none = docs.limit(0)
+    assert none.select(UnigramCounter(spark, pieces).count("text").alias("n")).collect() == []
+    assert none.select(ByteBPE(spark, PATH).round_trip("text").alias("b")).collect() == []
+
+
+def test_rows_that_share_text_and_id_are_cut(spark):
+    rows = [(7, "the same")] * 4000 + [(None, None)] * 4000 + [(i, f"text {i}") for i in range(4000)]
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 4).groupBy("shard").agg(F.sum("size").alias("b"), F.max("slot").alias("m"), F.count("*").alias("n")).collect()
+    assert len(got) == 4 and max(r.b for r in got) - min(r.b for r in got) <= 20 and all(r.m == r.n - 1 for r in got)

@@ -106,3 +106,34 @@ def test_search_of_few_and_none(spark):
     assert sorted((r.query_id, r["rank"]) for r in few) == [(0, 1), (0, 2), (50, 1), (50, 2)]
     ties = posting_search.nearest(df.where("vec_id in (7, 2000, 2001, 2002, 2003, 2004, 100)"), F.col("vec_id") == 7).orderBy("rank").collect()
     assert [r.vec_id for r in ties] == [2000, 2001, 2002, 2003, 2004]
+
+
+def test_ids_that_repeat_do_not_mix_labels(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 1), (1, [0.0, 1.0, 0.0], 2), (2, [0.0, 1.0, 0.0], 1), (3, [0.0, 0.0, 1.0], 2), (3, [0.0, 0.0, 1.0], 2), (4, [0.0, 0.01, 1.0], 2)]
+    out = near_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted(tuple(r) for r in out) == [(1, 0, 1, True), (1, 0, 1, True), (2, 0, 2, True), (3, 2, 3, True), (3, 2, 3, True), (4, 2, 3, False)]
+
+
+@pytest.mark.parametrize("share", [0.01, 0.1, 1.0])
+def test_links_of_planted_groups(spark, share):
+    rng = np.random.default_rng(11)
+    n = 2000
+    m = int(n * share)
+    rows = rng.normal(size=(n, 64))
+    rows[:m] = rng.normal(size=64) + rng.normal(size=(m, 64)) * 0.1
+    rows = np.float32(rows)
+    u = rows.astype(float) / np.linalg.norm(rows.astype(float), axis=1, keepdims=True)
+    links = (u @ u.T >= 0.98).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(rows)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in near_vectors.near_duplicates(df).collect()}
+    assert sum(got.values()) >= 0.99 * links.sum() and all(got[i] <= links[i] for i in got)
+
+
+def test_graph_search_is_bounded_and_good():
+    rng = np.random.default_rng(12)
+    centroids = near_vectors.unit(rng.normal(size=(600, 16)))
+    graph, u = posting_search.CentroidGraph(centroids), near_vectors.unit(rng.normal(size=(200, 16)))
+    ids, far = graph.search(u, 24)
+    assert ids.shape == (200, 24) and (np.diff(far, axis=1) >= 0).all() and all(len(set(row)) == 24 for row in ids.tolist())
+    true = np.argsort(-(u @ centroids.T), axis=1)[:, :8]
+    assert np.mean([len(set(a) & set(b)) / 8 for a, b in zip(ids.tolist(), true.tolist())]) > 0.97
