@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from math import log
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoebox.llm.tables import discard, materialize, unused
@@ -30,6 +30,11 @@ def token_count(text_col: str):
     return F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"\S+")).cast("long")
 
 
+def _digest(*parts) -> Column:
+    """The first 60 bits of an MD5 of values as text."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("bigint")
+
+
 def _sums(shares: DataFrame, exponents: set[float]) -> dict:
     """For each exponent t the sums over all sources that entropy and repetition follow from, in one small job."""
     at = shares.withColumn("t", F.explode(F.array(*[F.lit(t) for t in sorted(exponents)])))
@@ -81,7 +86,7 @@ def mix(docs: DataFrame, entropy_fraction: float | None = 0.5, max_repeats: floa
         {
             source: F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")),
             tokens: token_count(text_col),
-            block: F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)), F.lit(blocks)).cast("int"),
+            block: F.pmod(_digest(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit(str(seed))), F.lit(blocks)).cast("int"),
         }
     )
     # a block is as many of a source's rows as its hash gives: at most sources * blocks rows from here on
@@ -94,7 +99,7 @@ def mix(docs: DataFrame, entropy_fraction: float | None = 0.5, max_repeats: floa
     z = shares.agg(F.coalesce(F.sum(F.pow("p", F.lit(t))), F.lit(1.0))).first()[0]
     weighted = shares.withColumn("weight", F.pow("p", F.lit(t)) / z).withColumn("repeats", F.col("weight") * (total * budget_ratio) / F.col("source_tokens"))
     epochs = weighted.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.ceil("repeats").cast("int") - 1)))
-    shuffled = Window.partitionBy("source", "epoch").orderBy(F.xxhash64("source", "block", "epoch", F.lit(seed)), "block")
+    shuffled = Window.partitionBy("source", "epoch").orderBy(_digest("source", F.col("block").cast("string"), F.col("epoch").cast("string"), F.lit(str(seed))), "block")
     plan = (
         dealt.join(epochs, "source")
         .withColumn("before", F.sum("tokens").over(shuffled.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens"))

@@ -25,7 +25,7 @@ def op1_pivot_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixture.mix(docs, entropy_fraction=0.5, max_repeats=4.0)
-    return mixed.select("doc_id", "source", "mix_tokens", "mix_weight", "mix_repeats", "mix_epoch", "mix_block", "mix_position")
+    return mixed.select("doc_id", "source", "mix_tokens", "mix_epoch", "mix_block", *[F.round(c, 9).alias(c) for c in ("mix_weight", "mix_repeats", "mix_position")])
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -110,6 +110,38 @@ ORACLE = {
         SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(least, vec_id) AS component_id, coalesce(least, vec_id) = vec_id AS kept
         FROM embeddings LEFT JOIN component ON vec_id = component.a LEFT JOIN number ON vec_id = number.a
     """,
+    "op2_temperature_mix": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, coalesce('=' || source, '') AS src, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS tokens, ('0x' || md5(concat_ws('|', doc_id::VARCHAR, text, '17'))[1:15])::BIGINT % 256 AS block FROM documents
+        ), b AS (
+            SELECT src, block, sum(tokens)::BIGINT AS tokens FROM d GROUP BY src, block
+        ), s AS (
+            SELECT src, sum(tokens)::BIGINT AS held, sum(tokens)::DOUBLE / (SELECT sum(tokens) FROM b) AS p FROM b GROUP BY src HAVING sum(tokens) > 0
+        ), target AS (
+            SELECT (ln(count(*)) - sum(p * ln(p))) / 2 AS h FROM s
+        ), entropy AS (
+            SELECT 0 AS n, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi
+            UNION ALL
+            SELECT n + 1, CASE WHEN ln(z) - t * l / z <= h + 1e-12 THEN lo ELSE t END, CASE WHEN ln(z) - t * l / z <= h + 1e-12 THEN t ELSE hi END
+            FROM (SELECT n, lo, hi, t, h, (SELECT sum(power(p, t)) FROM s) AS z, (SELECT sum(power(p, t) * ln(p)) FROM s) AS l FROM (SELECT *, (lo + hi) / 2 AS t FROM entropy WHERE n < 44), target)
+        ), repeats AS (
+            SELECT 0 AS n, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi
+            UNION ALL
+            SELECT n + 1, CASE WHEN r / z <= 4 * (1 + 1e-12) THEN lo ELSE t END, CASE WHEN r / z <= 4 * (1 + 1e-12) THEN t ELSE hi END
+            FROM (SELECT n, lo, hi, t, (SELECT sum(power(p, t)) FROM s) AS z, (SELECT max(power(p, t) / p) FROM s) AS r FROM (SELECT *, (lo + hi) / 2 AS t FROM repeats WHERE n < 44))
+        ), t AS (
+            SELECT greatest((SELECT max_by(CASE WHEN lo = 0 THEN 0 ELSE hi END, n) FROM entropy), (SELECT max_by(CASE WHEN lo = 0 THEN 0 ELSE hi END, n) FROM repeats)) AS t
+        ), w AS (
+            SELECT src, held, power(p, t) / (SELECT sum(power(p, t)) FROM s, t) AS weight, power(p, t) / (SELECT sum(power(p, t)) FROM s, t) * (SELECT sum(tokens) FROM b) / held AS repeats FROM s, t
+        ), e AS (
+            SELECT *, unnest(range(0, ceil(repeats)::BIGINT)) AS epoch FROM w
+        ), o AS (
+            SELECT src, block, tokens, held, weight, repeats, epoch,
+                sum(tokens) OVER (PARTITION BY src, epoch ORDER BY ('0x' || md5(concat_ws('|', src, block::VARCHAR, epoch::VARCHAR, '17'))[1:15])::BIGINT, block ROWS UNBOUNDED PRECEDING) - tokens AS before FROM b JOIN e USING (src)
+        )
+        SELECT doc_id, source, d.tokens AS mix_tokens, epoch::INT AS mix_epoch, block::INT AS mix_block, round(weight, 9) AS mix_weight, round(repeats, 9) AS mix_repeats, round((epoch + before / held) / repeats, 9) AS mix_position
+        FROM d JOIN o USING (src, block) WHERE epoch + (before + o.tokens / 2) / held < repeats
+    """,
     "op9_parity_join": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
