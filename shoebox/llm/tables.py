@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,6 +61,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
         spark.conf.set(CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     _paths[table] = path
+    for made in _made.get():
+        made.append(table)
     return table
 
 
@@ -65,10 +70,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
+#: The lists that collect what is materialized inside of `collecting`.
+_made: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("made", default=())
+
+
+@contextmanager
+def collecting() -> Iterator[list[DataFrame]]:
+    """A list of all tables that are materialized inside, so that they can go when a result made from them is written."""
+    made: list[DataFrame] = []
+    before = _made.set((*_made.get(), made))
+    try:
+        yield made
+    finally:
+        _made.reset(before)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that `materialize` returned. What is still to be read, later or by a returned frame, must stay."""
     for table in tables:
-        spark, path = table.sparkSession, _paths.pop(table)
+        spark, path = table.sparkSession, _paths.pop(table, None)
+        if path is None:  # gone already
+            continue
         place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
