@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from shoebox.llm import jaccard_join, line_templates, mixture, quality
 from shoebox.llm.bpe import ByteBPE
 from shoebox.llm.queries import held_out, tokenizer_path
-from shoebox.llm.tables import materialize, read_table, short_batches
+from shoebox.llm.tables import collecting, discard, materialize, read_table, short_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -54,13 +54,16 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_filter", quality_filter), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("encode", encode)]
 
-#: SQL has no trained classifier, hashed block permutation or BPE encoder: tests compare with brute force.
+#: SQL has no trained classifier and no BPE encoder: tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each one's result written and read again for the next."""
+    """All stages over `documents`, each one's result written and read again for the next. When a stage's result is
+    written, its own tables and the result before it go."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with collecting() as made:
+            before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before, *(table for table in made if table is not docs))
     return STAGES[-1][1](spark, docs, sf_dir)
