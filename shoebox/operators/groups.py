@@ -62,8 +62,9 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.withColumnRenamed("label", "component")
 
 
-#: Bytes of query vectors that are sent to all tasks; beyond, queries are dealt to blocks too.
-SENT = 64 << 20
+#: Bytes of query vectors that are sent to all tasks, beyond which queries are dealt to blocks too; and products that a task
+#: holds at once.
+SENT, CELLS = 64 << 20, 8_000_000
 
 
 def nearest_to_queries(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int = 10, row_block: int = 16_384, query_block: int = 2_048) -> DataFrame:
@@ -119,12 +120,16 @@ def _block_best(names: np.ndarray, asked: np.ndarray, have: pd.DataFrame, k: int
     ids = have.id.to_numpy()
     if not len(names) or not len(ids):
         return pd.DataFrame({"query_id": names[:0], "id": ids[:0], "score": np.zeros(0)})
-    near = asked @ np.array(have.vector.tolist(), np.float64).T
-    near[names[:, None] == ids[None]] = -np.inf
-    count = min(k, len(ids))
-    floor = -np.partition(-near, count - 1, axis=1)[:, count - 1 : count]
-    i, j = np.nonzero((near >= floor - 1e-12) & np.isfinite(near))
-    return pd.DataFrame({"query_id": names[i], "id": ids[j], "score": near[i, j]})
+    own, count, found = np.array(have.vector.tolist(), np.float64).T, min(k, len(ids)), []
+    step = max(1, CELLS // len(ids))
+    for at in range(0, len(names), step):
+        some = names[at : at + step]
+        near = asked[at : at + step] @ own
+        near[some[:, None] == ids[None]] = -np.inf
+        floor = -np.partition(-near, count - 1, axis=1)[:, count - 1 : count]
+        i, j = np.nonzero((near >= floor - 1e-12) & np.isfinite(near))
+        found.append(pd.DataFrame({"query_id": some[i], "id": ids[j], "score": near[i, j]}))
+    return pd.concat(found)
 
 
 def purity(rows: DataFrame, cluster: str, truth: str) -> DataFrame:

@@ -45,7 +45,8 @@ def range_newest(c: Catalog) -> DataFrame:
 @query("""
     WITH p AS (SELECT c_custkey AS cluster_id, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS name FROM customer),
     f AS (SELECT o_custkey AS cluster_id, o_orderkey AS id, o_orderdate::DATE AS photo_id, o_totalprice AS det_score FROM orders)
-    SELECT cluster_id, name, count(*) AS n_faces, count(DISTINCT photo_id) AS n_photos, array_to_string((array_agg(id ORDER BY det_score DESC NULLS LAST, id))[1:6], ',') AS sample_faces
+    SELECT cluster_id, name, count(*) AS n_faces, count(DISTINCT photo_id) AS n_photos, array_to_string((array_agg(id
+    ORDER BY det_score DESC NULLS LAST, id))[1:6], ',') AS sample_faces
     FROM p JOIN f USING (cluster_id) GROUP BY cluster_id, name
 """)
 def people_list(c: Catalog) -> DataFrame:
@@ -63,7 +64,8 @@ def counts_by_model(c: Catalog) -> DataFrame:
 
 
 @query("""
-    SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], q), 6) AS score FROM embeddings, (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 7)
+    SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], q), 6) AS score FROM embeddings, (SELECT embedding::DOUBLE[] AS q FROM embeddings
+    WHERE vec_id = 7)
     ORDER BY list_dot_product(embedding::DOUBLE[], q) DESC, vec_id LIMIT 20
 """)
 def vector_topk_codes(c: Catalog) -> DataFrame:
@@ -77,7 +79,8 @@ def vector_topk_codes(c: Catalog) -> DataFrame:
 
 CHAINED = """
     e AS (SELECT o_orderkey::VARCHAR AS a, before::VARCHAR AS b FROM (
-        SELECT o_orderkey, o_orderdate, lag(o_orderkey) OVER w AS before, lag(o_orderdate) OVER w AS was FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
+        SELECT o_orderkey, o_orderdate, lag(o_orderkey) OVER w AS before, lag(o_orderdate) OVER w AS was
+    FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
     ) WHERE before IS NOT NULL AND epoch(o_orderdate) - epoch(was) <= 90 * 86400),
     b AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
     reach AS (SELECT a, b FROM b UNION SELECT reach.a, b.b FROM reach JOIN b ON reach.b = b.a)
@@ -95,10 +98,12 @@ def components_of_text_ids(c: Catalog) -> DataFrame:
 
 @query(f"""
     WITH {GAPS.format(gap=6 * 3600)}
-    SELECT user_id, segment AS burst, count(*) AS size, (array_agg('e' || event_id ORDER BY value DESC NULLS LAST, 'e' || event_id))[1] AS best_id, min(ts) AS started FROM s GROUP BY ALL HAVING count(*) > 1
+    SELECT user_id, segment AS burst, count(*) AS size, (array_agg('e' || event_id
+    ORDER BY value DESC NULLS LAST, 'e' || event_id))[1] AS best_id, min(ts) AS started FROM s GROUP BY ALL HAVING count(*) > 1
 """)
 def bursts_of_text_ids(c: Catalog) -> DataFrame:
-    rows = c["events"].select("user_id", "ts", "value", F.concat(F.lit("e"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("order_id"), F.concat(F.lit("e"), F.col("event_id")).alias("event_id"))
+    ids = F.lpad(F.col("event_id").cast("string"), 12, "0").alias("order_id"), F.concat(F.lit("e"), F.col("event_id")).alias("event_id")
+    rows = c["events"].select("user_id", "ts", "value", *ids)
     found = timeline.gap_segments(rows, ["user_id"], "ts", "order_id", 6 * 3600, "burst").groupBy("user_id", "burst")
     found = found.agg(F.count("*").alias("size"), aggregate.best_id("event_id", "value").alias("best_id"), F.min("ts").alias("started"))
     return found.where("size > 1")
@@ -106,16 +111,19 @@ def bursts_of_text_ids(c: Catalog) -> DataFrame:
 
 @query("""
     WITH v AS (SELECT e.*, m.embedding::DOUBLE[] AS v FROM events e JOIN embeddings m ON m.vec_id = e.event_id % 100),
-    g AS (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER w) <= 86400 AND list_dot_product(v, lag(v) OVER w) >= 0.05 THEN 0 ELSE 1 END AS starts FROM v WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    g AS (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER w) <= 86400 AND list_dot_product(v, lag(v) OVER w) >= 0.05 THEN 0 ELSE 1 END AS starts
+    FROM v WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS burst FROM g)
-    SELECT user_id, burst, count(*) AS size, (array_agg(event_id ORDER BY value DESC NULLS LAST, event_id))[1] AS best_id, min(ts) AS started FROM s GROUP BY user_id, burst HAVING count(*) > 1
+    SELECT user_id, burst, count(*) AS size, (array_agg(event_id ORDER BY value DESC NULLS LAST, event_id))[1] AS best_id, min(ts) AS started FROM s
+    GROUP BY user_id, burst HAVING count(*) > 1
 """)
 def bursts_alike(c: Catalog) -> DataFrame:
     rows = c["events"].withColumn("vec_id", F.col("event_id") % 100).join(c["embeddings"].select("vec_id", "embedding"), "vec_id")
     return timeline.bursts(rows, "user_id", "ts", "event_id", "value", 86400, alike=("embedding", 0.05))
 
 
-@query("SELECT md5(text) AS key, count(*) AS size, (array_agg('d' || doc_id ORDER BY n_chars DESC, 'd' || doc_id))[1] AS best_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+@query("""SELECT md5(text) AS key, count(*) AS size, (array_agg('d' || doc_id ORDER BY n_chars DESC, 'd' || doc_id))[1] AS best_id FROM documents
+    WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1""")
 def copies_of_text_ids(c: Catalog) -> DataFrame:
     rows = c["documents"].where("text is not null").withColumn("id", F.concat(F.lit("d"), F.col("doc_id")))
     return groups.equal_groups(rows, F.md5("text"), "id", F.col("n_chars"))
@@ -126,8 +134,10 @@ def copies_of_text_ids(c: Catalog) -> DataFrame:
     near AS (SELECT q.id AS a, e.id AS b, list_dot_product(q.v, e.v) AS s, bit_count(xor(q.h, e.h)) AS bits FROM v q JOIN v e ON q.id <> e.id
         QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY list_dot_product(q.v, e.v) DESC, e.id) <= 10),
     e AS (SELECT a, b FROM near WHERE s >= 0.3 AND bits <= 10 UNION SELECT b, a FROM near WHERE s >= 0.3 AND bits <= 10),
-    reach AS (SELECT DISTINCT a, a AS b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a), g AS (SELECT a AS id, min(b) AS "group" FROM reach GROUP BY a)
-    SELECT id, "group", count(*) OVER (PARTITION BY "group") AS size, row_number() OVER (PARTITION BY "group" ORDER BY label DESC NULLS LAST, id) = 1 AS is_best FROM g JOIN v USING (id)
+    reach AS (SELECT DISTINCT a, a AS b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a), g AS (SELECT a AS id, min(b) AS "group"
+    FROM reach GROUP BY a)
+    SELECT id, "group", count(*) OVER (PARTITION BY "group") AS size, row_number() OVER (PARTITION BY "group"
+    ORDER BY label DESC NULLS LAST, id) = 1 AS is_best FROM g JOIN v USING (id)
 """)
 def near_duplicates_hashed(c: Catalog) -> DataFrame:
     """Near by vector and by hash, over all rows, with ids that are text."""
@@ -155,8 +165,11 @@ PHOTOS = "photos AS (SELECT 'p' || doc_id AS id, source AS camera, TIMESTAMP '20
 EXCLUDED = """
     judged AS (SELECT DISTINCT 'p' || doc_id AS id FROM labels WHERE toxic = 1 AND 'p' || doc_id IN (SELECT id FROM photos)),
     near AS (SELECT id FROM photos WHERE copy IN (SELECT copy FROM photos SEMI JOIN judged USING (id))),
-    scene AS (SELECT DISTINCT p.id FROM photos p JOIN photos j ON p.camera IS NOT DISTINCT FROM j.camera AND p.id <> j.id AND p.taken_at BETWEEN j.taken_at - INTERVAL 10 MINUTE AND j.taken_at + INTERVAL 10 MINUTE SEMI JOIN judged ON judged.id = j.id),
-    out AS (SELECT id, min(n) AS n FROM (SELECT id, 1 AS n FROM judged UNION ALL SELECT id, 2 FROM near UNION ALL SELECT id, 3 FROM scene) GROUP BY id)
+    scene AS (SELECT DISTINCT p.id FROM photos p JOIN photos j ON p.camera IS NOT DISTINCT
+    FROM j.camera AND p.id <> j.id AND p.taken_at BETWEEN j.taken_at - INTERVAL 10 MINUTE AND j.taken_at + INTERVAL 10 MINUTE SEMI
+    JOIN judged ON judged.id = j.id),
+    out AS (SELECT id, min(n) AS n FROM (SELECT id, 1 AS n FROM judged UNION ALL SELECT id, 2 FROM near UNION ALL SELECT id, 3 FROM scene)
+    GROUP BY id)
 """
 
 
@@ -175,13 +188,16 @@ def pairs_excluded(c: Catalog) -> DataFrame:
 @query(rf"""
     WITH {PHOTOS}, {EXCLUDED}, used AS (SELECT * FROM photos WHERE id NOT IN (SELECT id FROM out)),
     told AS (SELECT 'p' || conv_id AS id, unnest({SAID}) AS text, 'caption' AS source FROM conversations),
-    named AS (SELECT id, 'a photo of ' || array_to_string(k[1:4], ', ') AS text, 'keywords' AS source FROM (SELECT id, list_filter([lang, source], lambda k: len(k) > 1) AS k FROM used) WHERE len(k) > 0),
+    named AS (SELECT id, 'a photo of ' || array_to_string(k[1:4], ', ') AS text, 'keywords' AS source
+    FROM (SELECT id, list_filter([lang, source], lambda k: len(k) > 1) AS k FROM used) WHERE len(k) > 0),
     judged_query AS (SELECT regexp_replace(text, '\s+\S+\s*$', '') AS q FROM benchmark),
     liked AS (SELECT 'p' || item_id AS id, text FROM benchmark UNION ALL SELECT 'p' || conv_id, text FROM conversations WHERE role = 'user'),
     w AS (SELECT text, {WORDS.format('text')} AS w FROM (SELECT DISTINCT text FROM liked)), v AS (SELECT {WORDS.format('q')} AS v FROM judged_query),
     seen AS (SELECT DISTINCT text FROM w, v WHERE len(list_intersect(w, v)) >= 0.6 * (len(w) + len(v) - len(list_intersect(w, v)))),
-    every AS (SELECT * FROM told UNION ALL SELECT * FROM named UNION ALL SELECT id, text, 'feedback' FROM liked WHERE text NOT IN (SELECT text FROM seen))
-    SELECT id, text, every.source, CASE WHEN {BUCKET.format('taken_at::DATE::VARCHAR')} < 50 THEN 'val' ELSE 'train' END AS split FROM every JOIN used USING (id)
+    every AS (SELECT * FROM told UNION ALL SELECT * FROM named UNION ALL SELECT id, text, 'feedback' FROM liked WHERE text NOT IN (SELECT text
+    FROM seen))
+    SELECT id, text, every.source, CASE WHEN {BUCKET.format('taken_at::DATE::VARCHAR')} < 50 THEN 'val' ELSE 'train' END AS split FROM every
+    JOIN used USING (id)
 """)
 def training_pairs(c: Catalog) -> DataFrame:
     photos, judged, copies = _excluded(c)
@@ -193,7 +209,8 @@ def training_pairs(c: Catalog) -> DataFrame:
 
 
 @query(rf"""
-    WITH d AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest({SENTENCES.format('text')}) AS s FROM documents)), b AS (SELECT DISTINCT unnest({SENTENCES.format('text')}) AS s FROM benchmark),
+    WITH d AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest({SENTENCES.format('text')}) AS s
+    FROM documents)), b AS (SELECT DISTINCT unnest({SENTENCES.format('text')}) AS s FROM benchmark),
     dw AS (SELECT doc_id, {WORDS.format('s')} AS w FROM d), bw AS (SELECT DISTINCT {WORDS.format('s')} AS v FROM b),
     x AS (SELECT doc_id, w FROM dw WHERE len(w) >= 4), y AS (SELECT v FROM bw WHERE len(v) >= 4),
     met AS (SELECT DISTINCT doc_id, w, v FROM (SELECT doc_id, w, unnest(w) AS word FROM x) JOIN (SELECT v, unnest(v) AS word FROM y) USING (word))
@@ -213,16 +230,25 @@ def leak_jaccard(c: Catalog) -> DataFrame:
 
 @query(f"""
     WITH {RANKED}, w AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0])::DOUBLE AS w_short),
-    l AS (SELECT lang AS query, doc_id AS id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents WHERE lang IS NOT NULL QUALIFY rank <= 50),
-    t AS (SELECT lang AS query, doc_id AS id, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS rank FROM documents WHERE lang IS NOT NULL QUALIFY rank <= 50),
-    f AS (SELECT query, w_short, id, coalesce(1.0::DOUBLE / (60 + l.rank), 0) + coalesce(w_short / (60 + t.rank), 0) AS score FROM l FULL JOIN t USING (query, id), w),
-    p AS (SELECT query, w_short, id, row_number() OVER (PARTITION BY query, w_short ORDER BY round(score, 12) DESC, id::VARCHAR) AS rank FROM f WHERE score > 0 QUALIFY rank <= 100),
-    g AS (SELECT query, w_short, sum(CASE WHEN rank <= 10 THEN (power(2, grade) - 1) / log2(rank + 1) ELSE 0 END) AS dcg FROM p JOIN j USING (query, id) GROUP BY ALL),
-    n AS (SELECT i.query, w.w_short, coalesce(dcg / ideal, 0) AS ndcg, {BUCKET.format('i.query')} % 5 AS fold FROM i CROSS JOIN w LEFT JOIN g ON g.query = i.query AND g.w_short = w.w_short),
-    overall AS (SELECT w_short, avg(ndcg) AS mean FROM n GROUP BY 1), o AS (SELECT fold, w_short, sum(ndcg) AS s, count(ndcg) AS c FROM n GROUP BY ALL), a AS (SELECT w_short, sum(ndcg) AS s, count(ndcg) AS c FROM n GROUP BY 1),
-    chosen AS (SELECT fold, w_short, o.s, o.c, CASE WHEN a.c > o.c THEN (a.s - o.s) / (a.c - o.c) END AS mean FROM o JOIN a USING (w_short) QUALIFY row_number() OVER (PARTITION BY fold ORDER BY round(mean, 6) DESC NULLS LAST, w_short) = 1)
+    l AS (SELECT lang AS query, doc_id AS id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents
+    WHERE lang IS NOT NULL QUALIFY rank <= 50),
+    t AS (SELECT lang AS query, doc_id AS id, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS rank FROM documents
+    WHERE lang IS NOT NULL QUALIFY rank <= 50),
+    f AS (SELECT query, w_short, id, coalesce(1.0::DOUBLE / (60 + l.rank), 0) + coalesce(w_short / (60 + t.rank), 0) AS score FROM l FULL
+    JOIN t USING (query, id), w),
+    p AS (SELECT query, w_short, id, row_number() OVER (PARTITION BY query, w_short ORDER BY round(score, 12) DESC, id::VARCHAR) AS rank FROM f
+    WHERE score > 0 QUALIFY rank <= 100),
+    g AS (SELECT query, w_short, sum(CASE WHEN rank <= 10 THEN (power(2, grade) - 1) / log2(rank + 1) ELSE 0 END) AS dcg FROM p
+    JOIN j USING (query, id) GROUP BY ALL),
+    n AS (SELECT i.query, w.w_short, coalesce(dcg / ideal, 0) AS ndcg, {BUCKET.format('i.query')} % 5 AS fold FROM i CROSS JOIN w LEFT
+    JOIN g ON g.query = i.query AND g.w_short = w.w_short),
+    overall AS (SELECT w_short, avg(ndcg) AS mean FROM n GROUP BY 1), o AS (SELECT fold, w_short, sum(ndcg) AS s, count(ndcg) AS c FROM n
+    GROUP BY ALL), a AS (SELECT w_short, sum(ndcg) AS s, count(ndcg) AS c FROM n GROUP BY 1),
+    chosen AS (SELECT fold, w_short, o.s, o.c, CASE WHEN a.c > o.c THEN (a.s - o.s) / (a.c - o.c) END AS mean FROM o JOIN a USING (w_short)
+    QUALIFY row_number() OVER (PARTITION BY fold ORDER BY round(mean, 6) DESC NULLS LAST, w_short) = 1)
     SELECT 1.0::DOUBLE AS w_long, w_short, round(mean, 9) AS in_sample, (SELECT round(sum(s) / sum(c), 9) FROM chosen) AS cross_validated,
-    (SELECT round(mean, 9) FROM overall WHERE w_short = 1) AS equal_weights, (SELECT round(mean, 9) FROM overall WHERE w_short = 0) AS pinned_alone FROM overall ORDER BY round(mean, 6) DESC, w_short LIMIT 1
+    (SELECT round(mean, 9) FROM overall WHERE w_short = 1) AS equal_weights, (SELECT round(mean, 9) FROM overall WHERE w_short = 0) AS pinned_alone
+    FROM overall ORDER BY round(mean, 6) DESC, w_short LIMIT 1
 """)
 def tune_fusion(c: Catalog) -> DataFrame:
     docs = c["documents"].select(F.col("lang").alias("query"), F.col("doc_id").alias("id"), "n_chars").where("lang is not null")
@@ -238,17 +264,21 @@ def tune_fusion(c: Catalog) -> DataFrame:
 ROUNDS = 100
 RESAMPLED = f"""
     x AS (SELECT doc_id, quality::DOUBLE AS a, (1 - toxic)::DOUBLE AS b FROM labels WHERE doc_id IS NOT NULL),
-    d AS (SELECT x.*, r, {BUCKET.format("doc_id || '|' || r")} AS u FROM x, range(1, {ROUNDS + 1}) t(r)), t AS (SELECT *, (u >= 368)::INT + (u >= 736)::INT + (u >= 920)::INT + (u >= 981)::INT + (u >= 996)::INT + (u >= 999)::INT AS n FROM d)
+    d AS (SELECT x.*, r, {BUCKET.format("doc_id || '|' || r")} AS u
+    FROM x, range(1, {ROUNDS + 1}) t(r)),
+    t AS (SELECT *, (u >= 368)::INT + (u >= 736)::INT + (u >= 920)::INT + (u >= 981)::INT + (u >= 996)::INT + (u >= 999)::INT AS n FROM d)
 """
 
 
-@query(f"WITH {RESAMPLED}, m AS (SELECT r, sum(a * n) / sum(CASE WHEN a IS NOT NULL THEN n END) AS m FROM t GROUP BY r) SELECT round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m")
+@query(f"""WITH {RESAMPLED}, m AS (SELECT r, sum(a * n) / sum(CASE WHEN a IS NOT NULL THEN n END) AS m FROM t GROUP BY r)
+    SELECT round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m""")
 def bootstrap_interval(c: Catalog) -> DataFrame:
     scores = c["labels"].where("doc_id is not null").select("doc_id", F.col("quality").cast("double").alias("a"))
     return tuning.bootstrap_mean(scores, "doc_id", "a", ROUNDS).select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
-@query(f"WITH {RESAMPLED}, m AS (SELECT r, sum((b - a) * n) / sum(CASE WHEN b - a IS NOT NULL THEN n END) AS m FROM t GROUP BY r) SELECT avg((m <= 0)::INT) AS p FROM m")
+@query(f"""WITH {RESAMPLED}, m AS (SELECT r, sum((b - a) * n) / sum(CASE WHEN b - a IS NOT NULL THEN n END) AS m FROM t GROUP BY r)
+    SELECT avg((m <= 0)::INT) AS p FROM m""")
 def paired_bootstrap(c: Catalog) -> DataFrame:
     scores = c["labels"].where("doc_id is not null").select("doc_id", F.col("quality").cast("double").alias("a"), (1 - F.col("toxic")).cast("double").alias("b"))
     return tuning.paired_p(scores, "doc_id", "a", "b", ROUNDS)
@@ -283,16 +313,22 @@ def exif_values(c: Catalog) -> DataFrame:
 
 @query("""
     SELECT '/v/' || l_orderkey || '#t=' || printf('%.2f', l_linenumber * 1.5) AS path, md5(l_orderkey::VARCHAR) || ':' || printf('%.2f', l_linenumber * 1.5) AS file_hash,
-    o_orderdate + to_milliseconds((l_linenumber * 1500)::BIGINT) AS taken_at, l_orderkey AS source_video_id, l_linenumber * 1.5::DOUBLE AS frame_ts, o_orderpriority AS camera, l_quantity AS sharpness FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+    o_orderdate + to_milliseconds((l_linenumber * 1500)::BIGINT) AS taken_at, l_orderkey AS source_video_id, l_linenumber * 1.5::DOUBLE AS frame_ts, o_orderpriority AS camera, l_quantity AS sharpness
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey
 """)
 def video_child_rows(c: Catalog) -> DataFrame:
-    videos = c["orders"].select(F.col("o_orderkey").alias("id"), F.concat(F.lit("/v/"), F.col("o_orderkey")).alias("path"), F.md5(F.col("o_orderkey").cast("string")).alias("file_hash"), F.col("o_orderdate").cast("timestamp_ntz").alias("taken_at"), F.col("o_orderpriority").alias("camera"))
+    key = F.col("o_orderkey")
+    videos = c["orders"].select(
+        key.alias("id"), F.concat(F.lit("/v/"), key).alias("path"), F.md5(key.cast("string")).alias("file_hash"),
+        F.col("o_orderdate").cast("timestamp_ntz").alias("taken_at"), F.col("o_orderpriority").alias("camera"),
+    )
     frames = c["lineitem"].select(F.col("l_orderkey").alias("video_id"), (F.col("l_linenumber") * 1.5).cast("double").alias("frame_ts"), F.col("l_quantity").alias("sharpness"))
     return upkeep.video_frames(videos, frames, ["camera"]).select("path", "file_hash", "taken_at", "source_video_id", "frame_ts", "camera", "sharpness")
 
 
 @query("""
-    WITH p AS (SELECT page_id, url || '#t=' || page_id AS path, url FROM pages), m AS (SELECT DISTINCT url AS old, '/to/' || md5(url) AS new FROM pages WHERE md5(url) < '8')
+    WITH p AS (SELECT page_id, url || '#t=' || page_id AS path, url FROM pages), m AS (SELECT DISTINCT url AS old, '/to/' || md5(url) AS new
+    FROM pages WHERE md5(url) < '8')
     SELECT page_id, CASE WHEN new IS NULL THEN path ELSE new || '#t=' || page_id END AS path FROM p LEFT JOIN m ON url = old
 """)
 def moved_paths(c: Catalog) -> DataFrame:

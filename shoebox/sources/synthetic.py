@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Places with their positions, and cameras.
-PLACES = (("Chicago", "United States", 41.88, -87.63), ("Tokyo", "Japan", 35.68, 139.69), ("Paris", "France", 48.86, 2.35), ("Lima", "Peru", -12.05, -77.04), ("Cairo", "Egypt", 30.04, 31.24))
-CAMERAS = ("Canon EOS R6", "Fujifilm X100V", "Sony ILCE-7M3", "Nikon Z 6")
+#: Places with their positions, and cameras.
+PLACES = (("Lisbon", "Portugal", 38.72, -9.14), ("Nairobi", "Kenya", -1.29, 36.82), ("Ghent", "Belgium", 51.05, 3.72), ("Hobart", "Australia", -42.88, 147.33), ("Quito", "Ecuador", -0.18, -78.47))
+CAMERAS = ("Pentax K-3", "Olympus E-M1", "Leica Q2", "Ricoh GR III")
 
 
 def library(spark: SparkSession, n: int, dim: int = 512, seed: int = 0) -> tuple[DataFrame, DataFrame]:
