@@ -24,21 +24,26 @@ SLOT = 28 * 86_400
 def chains(rows: DataFrame, partition: list[str], at: str, tie: list[str], carried: list[str], joined: Callable[[Column], Column], name: str, slot_s: int = SLOT) -> DataFrame:
     """Number the chains of each partition (null being a value), in the order of `at` and `tie`.
 
-    `joined` says, given a struct of the `carried` columns of the row before, whether a row goes on with its chain.
-    Windows run inside slots of time; what crosses their borders, the last row of a slot and the number of chains so
-    far, is a row for each slot. A row without a time begins a chain.
+    `joined` says, in terms of the `carried` columns and given a struct of those of the row before, whether a row goes on
+    with its chain. Windows run inside slots of time; what crosses their borders is a row for each slot, with its first
+    and last rows and the number of chains that begin after the first. A row without a time begins a chain.
     """
     keyed = rows.withColumn("chain_key", F.struct(*partition, F.floor(F.unix_micros(F.col(at).cast("timestamp")) / (slot_s * 1_000_000)).alias("chain_slot")))
-    inside = Window.partitionBy("chain_key").orderBy(at, *tie)
-    slots = Window.partitionBy(*[F.col("chain_key")[c] for c in partition]).orderBy(F.col("chain_key")["chain_slot"])
-    last = keyed.groupBy("chain_key").agg(F.max_by(F.struct(*carried), F.struct(at, *tie)).alias("chain_last"))
-    last = last.select("chain_key", F.lag("chain_last").over(slots).alias("chain_last"))
-    met = keyed.withColumn("chain_before", F.lag(F.struct(*carried)).over(inside)).join(last, "chain_key")
-    met = met.withColumn("chain_break", F.coalesce(~joined(F.coalesce("chain_before", "chain_last")), F.lit(True)).cast("int"))
-    met = met.withColumn(name, F.sum("chain_break").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    begun = met.groupBy("chain_key").agg(F.sum("chain_break").alias("chain_n"))
-    begun = begun.select("chain_key", (F.sum("chain_n").over(slots.rowsBetween(Window.unboundedPreceding, 0)) - F.col("chain_n")).alias("chain_n"))
-    return met.join(begun, "chain_key").select(*rows.columns, (F.col(name) + F.col("chain_n")).alias(name))
+    inside, order, kept = Window.partitionBy("chain_key").orderBy(at, *tie), F.struct(at, *tie), F.struct(*carried)
+
+    def begins(before: Column) -> Column:
+        return F.coalesce(~joined(before), F.lit(True)).cast("int")
+
+    met = keyed.withColumn("chain_before", F.lag(kept).over(inside))
+    met = met.withColumn("chain_break", F.when(F.col("chain_before").isNull(), 0).otherwise(begins(F.col("chain_before"))))
+    met = met.withColumn("chain_n", F.sum("chain_break").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    slots = met.groupBy("chain_key").agg(F.min_by(kept, order).alias("chain_first"), F.max_by(kept, order).alias("chain_last"), F.max("chain_n").alias("chain_inner"))
+    by_slot = Window.partitionBy(*[F.col("chain_key")[c] for c in partition]).orderBy(F.col("chain_key")["chain_slot"])
+    slots = slots.select("chain_key", "chain_inner", "chain_first.*", F.lag("chain_last").over(by_slot).alias("chain_before"))
+    slots = slots.select("chain_key", "chain_inner", begins(F.col("chain_before")).alias("chain_break"))
+    until = F.sum(F.col("chain_inner") + F.col("chain_break")).over(by_slot.rowsBetween(Window.unboundedPreceding, 0))
+    slots = slots.select("chain_key", (until - F.col("chain_inner")).alias("chain_base"))
+    return met.join(slots, "chain_key").select(*rows.columns, (F.col("chain_base") + F.col("chain_n")).alias(name))
 
 
 def gap_segments(rows: DataFrame, partition: list[str], at: str, id_col: str, gap_s: float, name: str = "segment", alike: tuple[str, float] | None = None) -> DataFrame:
@@ -74,7 +79,7 @@ def trips(segments: DataFrame, partition: list[str], start: str, end: str, away:
     def joined(before: Column) -> Column:
         return F.col("is_away") & before["is_away"] & (seconds_between(F.col(start), before[end]) <= gap_s)
 
-    return chains(flagged, partition, start, [end], ["is_away", end], joined, name, 12 * SLOT).drop("is_away")
+    return chains(flagged, partition, start, [end], ["is_away", start, end], joined, name, 12 * SLOT).drop("is_away")
 
 
 def title(place: Column, start: Column, end: Column) -> Column:
