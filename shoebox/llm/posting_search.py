@@ -8,8 +8,8 @@ A query searches the graph for a bounded number of centroids and reads those lis
 the nearest one. Both bounds are calibrated on sampled queries so that RECALL of their true neighbours in the sample lie
 in lists that are read; recall against brute force, and how much is read for it, are in the README. A query whose lists
 don't hold k others for certain searches on with a larger bound, so it gets k if there are so many. Lists are dealt to
-cells of at most about BLOCK vectors and BLOCK queries, each cell gives the best k of each query, and a query's best k
-over its cells are its result. Vectors of another length than the commonest have one list for each length, which all
+cells of at most about BLOCK vectors and BLOCK queries, each task gives the best k of each query over its cells, and a
+query's best k over the tasks are its result. Vectors of another length than the commonest have one list for each length, which all
 queries of that length read: their neighbours are exact.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without an id, take
@@ -31,7 +31,7 @@ from shoebox.llm.near_vectors import matrix, runs, unit, usable
 from shoebox.llm.tables import materialize
 
 SAMPLE, LIST, LISTS_MOST, DEGREE, AT_ONCE = 20_000, 64, 4_096, 16, 8
-COPIES, BOUNDARY, RECALL, BLOCK, PROBES_LEAST = 2, 1.15, 0.945, 2_048, 8
+COPIES, BOUNDARY, RECALL, BLOCK, PROBES_LEAST, HELD = 2, 1.15, 0.945, 2_048, 8, 500_000
 
 
 def balanced_centroids(x: np.ndarray, count: int, seed: int = 5) -> np.ndarray:
@@ -214,8 +214,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     cells = cells.select("list", F.when(F.col("asks"), F.col("other")).otherwise(F.col("own")).alias("v"), F.when(F.col("asks"), F.col("own")).otherwise(F.col("other")).alias("q"), "asks", "id", "unit")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         for table, starts in runs(batches, 3):
-            yield _best(table, starts, k)
+            held = pa.concat_tables([held, pa.Table.from_batches([_best(table, starts, k)])])
+            if len(held) > HELD:  # of the cells of a task only a query's best go on
+                held = _first(held, k)
+                if len(held) > HELD // 2:
+                    yield from held.to_batches()
+                    held = held.slice(0, 0)
+        yield from _first(held, k).to_batches()
 
     found = cells.repartition("list", "v", "q").sortWithinPartitions("list", "v", "q").mapInArrow(best, "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
@@ -223,6 +230,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
+def _first(found: pa.Table, k: int) -> pa.Table:
+    """Each query's best k of what a task's cells have found; a vector in several lists counts once."""
+    q, ids, score = (found.column(i).to_numpy() for i in range(3))
+    order = np.lexsort((ids, -score, q))
+    q, ids = q[order], ids[order]
+    fresh = np.ones(len(q), bool)
+    fresh[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])  # equal vectors have equal scores, so they lie side by side
+    order, q = order[fresh], q[fresh]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    return found.take(pa.array(order[place < k]))
+
+
 def _best(table: pa.Table, starts: np.ndarray, k: int) -> pa.RecordBatch:
     asks, ids = np.asarray(table.column("asks")), table.column("id").to_numpy()
     units = table.column("unit").to_pylist()
