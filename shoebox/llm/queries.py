@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm import exact_dedup, jaccard_join, line_templates, mixture, near_vectors, posting_search, quality, sharding, toxicity
+from shoebox.llm import exact_dedup, jaccard_join, line_templates, mixture, near_vectors, posting_search, quality, sharding, toxicity, whitening
 from shoebox.llm.bpe import ByteBPE
 from shoebox.llm.tables import read_table, short_batches
 from shoebox.llm.unigram_count import UnigramCounter, sentencepiece_vocabulary
@@ -90,11 +90,16 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_cholesky_jacobi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def op13_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pivot_permutations, op2_temperature_mix, op3_nb_ngrams, op4_bpe_trie, op5_posting_lists, op6_site_bayes, op7_line_templates, op8_viterbi_counts, op9_parity_join, op10_sampled_splitters, op13_chunk_recipes)}
+QUERIES = {f.__name__: f for f in (op1_pivot_permutations, op2_temperature_mix, op3_nb_ngrams, op4_bpe_trie, op5_posting_lists, op6_site_bayes, op7_line_templates, op8_viterbi_counts, op9_parity_join, op10_sampled_splitters, op11_cholesky_jacobi, op13_chunk_recipes)}
 
 ORACLE = {
     "op1_pivot_permutations": """
