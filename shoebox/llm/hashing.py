@@ -48,6 +48,13 @@ def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
         at = end
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes, A-Z lower-cased, between each start and end."""
+    up, down = _power(len(data) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[_LOWER[data]] * up[: len(data)], dtype=np.uint64)))
+    return mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts in order, and where each text's words begin (one more entry than texts).
 
@@ -61,9 +68,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         space = _SPACE[piece]
         edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
         start, end = edge[::2], edge[1::2]
-        up, down = _power(len(piece) + 1)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[_LOWER[piece]] * up[: len(piece)], dtype=np.uint64)))
-        hashes.append(mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)))
+        hashes.append(span_hashes(piece, start, end))
         starts.append(start + offset)
         offset += len(piece)
     if not hashes:

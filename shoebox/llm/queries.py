@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm import exact_dedup, jaccard_join, line_templates, mixture, near_vectors, posting_search, quality, sharding, toxicity, whitening
+from shoebox.llm import collocations, exact_dedup, jaccard_join, line_templates, mixture, near_vectors, posting_search, quality, sharding, toxicity, whitening
 from shoebox.llm.bpe import ByteBPE
 from shoebox.llm.tables import read_table, short_batches
 from shoebox.llm.unigram_count import UnigramCounter, sentencepiece_vocabulary
@@ -95,11 +95,16 @@ def op11_cholesky_jacobi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+def op12_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
+    return collocations.collocations(read_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op13_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pivot_permutations, op2_temperature_mix, op3_nb_ngrams, op4_bpe_trie, op5_posting_lists, op6_site_bayes, op7_line_templates, op8_viterbi_counts, op9_parity_join, op10_sampled_splitters, op11_cholesky_jacobi, op13_chunk_recipes)}
+QUERIES = {f.__name__: f for f in (op1_pivot_permutations, op2_temperature_mix, op3_nb_ngrams, op4_bpe_trie, op5_posting_lists, op6_site_bayes, op7_line_templates, op8_viterbi_counts, op9_parity_join, op10_sampled_splitters, op11_cholesky_jacobi, op12_stripes, op13_chunk_recipes)}
 
 ORACLE = {
     "op1_pivot_permutations": """
@@ -208,6 +213,30 @@ ORACLE = {
         SELECT doc_id, size::BIGINT AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c // 256, t[xor(c, x) % 256 + 1])), 4294967295) AS text_crc32,
             'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY key, tie) - 1 AS slot, NULL::INT AS grown_shard FROM s, crc
     """,
+    "op12_stripes": r"""
+        WITH piece AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+        ), w AS (
+            SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM piece
+        ), gram AS (
+            SELECT lang, m, unnest([w[i : i + m - 1] for i in range(1, len(w) - m + 2)]) AS g FROM w, (SELECT unnest([1, 2, 3, 4]) AS m)
+        ), f AS (
+            SELECT lang, m, g, count(*) AS f FROM gram GROUP BY ALL HAVING count(*) >= 30
+        ), size AS (
+            SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang
+        ), longer AS (
+            SELECT lang, g[i:j] AS g, max(f) AS longest FROM f JOIN (VALUES (1, 2), (2, 3), (3, 4), (1, 3), (2, 4)) AS inside(i, j) ON j <= m AND j - i + 1 < m GROUP BY ALL
+        ), cut AS (
+            SELECT c.lang, c.g, c.f AS a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.f // (x.f + y.f))::BIGINT AS score
+            FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1) c JOIN f x ON x.lang = c.lang AND x.g = c.g[1 : k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1 : c.m]
+        ), least AS (
+            SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+        ), ranked AS (
+            SELECT least.lang, row_number() OVER (PARTITION BY least.lang ORDER BY score DESC, a DESC, array_to_string(least.g, ' ')) AS rank, array_to_string(least.g, ' ') AS phrase, a, l, r, score
+            FROM least LEFT JOIN longer ON longer.lang = least.lang AND longer.g = least.g WHERE longest IS NULL OR 100::HUGEINT * longest < 80::HUGEINT * a
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN size USING (lang) WHERE rank <= 2000
+    """,
     "op13_chunk_recipes": r"""
         WITH t AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
