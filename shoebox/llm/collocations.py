@@ -8,10 +8,12 @@ prefix together, and they are merged elementwise. From the merged stripes come t
 counts, the prefix totals, and the largest count that continues a phrase to the right (a stripe's maximum) or to the
 left (over the stripes that hold its suffix).
 
-Three passes read the texts: words, stripes of one word, stripes of two and three words. Between them goes a filter of
-2**FILTER_BITS bits, whatever the corpus: the places of frequent words, then of frequent pairs. What is not in it has no
-frequent extension and isn't counted apart; a wrong hit costs work only. Stripes of the words that make more than one
-in HEAVY_PART of all words are dealt to SLICES by the following word, so no task holds the stripe of a very common word.
+Four passes read the texts: words, and stripes of one, two and three words. Between them goes a filter of 2**FILTER_BITS
+bits, whatever the corpus: the places of the frequent words, pairs and triples that the pass before found. A prefix that
+is not in it has no frequent extension, and a follower that makes no phrase of it isn't counted apart; a wrong hit costs
+work only. A word that makes more than one in HEAVY_PART of all words has its stripes dealt to slices by the following
+word, as many as it has such parts, so no task holds the stripe of a very common word. Stripes travel in bundles, dealt
+by prefix and slice, which hold BUNDLE words' worth of stripes over all tasks.
 
 Defined cases: a null text has no words; a null language is `und`; repeated rows and ids count each; ties go by the
 phrase's bytes; arithmetic is in decimals; an empty table gives an empty result; columns other than the text and the
@@ -34,7 +36,7 @@ from shoebox.llm.tables import discard, materialize
 
 BREAKS, LONGEST = b".,;:!?\n\v\f\r", 4
 LEAST, PER_LANGUAGE, SUBSUMED = 30, 2_000, 80
-FILTER_BITS, HEAVY_PART, SLICES, HELD = 26, 16_384, 64, 500_000
+FILTER_BITS, HEAVY_PART, HELD, BUNDLE, BUNDLES_MOST = 26, 4_096, 1_000_000, 1 << 16, 1 << 22
 
 _BREAK, _GAP = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[list(BREAKS)] = True
@@ -112,7 +114,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held[i][2] += c
             else:
                 held[i] = [lang, data[starts[at] : ends[at]].tobytes(), c]
-        if len(held) >= HELD // 2:  # strings and lists, about 300 bytes each
+        if len(held) >= HELD // 4:  # strings and lists, about 300 bytes each
             yield _word_batch(held)
             held = {}
     yield _word_batch(held)
@@ -127,7 +129,7 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 
 
 def _place(*words: np.ndarray) -> np.ndarray:
-    """The filter's bit of one or two words, counted from 1."""
+    """The filter's bit of a word, a pair or a triple, counted from 1."""
     h = np.zeros(len(words[0]), np.uint64)
     for w in words:
         h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64))
@@ -135,7 +137,7 @@ def _place(*words: np.ndarray) -> np.ndarray:
 
 
 def _filter(frequent: DataFrame, *columns: str) -> Broadcast:
-    """The places of frequent words or pairs as one string of bits, of the same size for any corpus."""
+    """The places of frequent words or phrases as one string of bits, of the same size for any corpus."""
     place = F.arrow_udf(lambda *words: pa.array(_place(*[np.asarray(w.to_numpy(), np.int64) for w in words])), "long")(*columns)
     bits = frequent.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
     out = np.zeros(2**FILTER_BITS // 8, np.uint8)
@@ -148,44 +150,33 @@ def _has(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (bits[(place - 1) >> 3] >> ((place - 1) & 7).astype(np.uint8) & 1).astype(bool)
 
 
-STRIPES = "p1 long, p2 long, p3 long, slice int, next array<bigint>, n array<bigint>"
+BUNDLES = "bundle int, p1 array<bigint>, p2 array<bigint>, p3 array<bigint>, size array<int>, next array<bigint>, n array<int>"
 
 
-def _stripes(orders: tuple[int, ...], bits: Broadcast, heavy: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A task's stripes of prefixes of as many words as `orders` says, of which (all of whose pairs) are in the filter."""
+def _stripes(m: int, bits: Broadcast, heavy: Broadcast, bundles: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's stripes of prefixes of `m` words that are in the filter, in bundles. A follower is counted apart if the `m` words
+    that end with it are in the filter too."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         size = 0
         for _, _, _, _, own, piece, number in _words(batches):
             total = len(number)
-            ahead = lambda a, k: np.concatenate((a[k:], np.zeros(min(k, total), a.dtype)))[:total]  # noqa: E731, B023
-            goes_on = lambda k: np.concatenate((piece[k:] == piece[: total - k], np.zeros(min(k, total), bool)))[:total] if k < total else np.zeros(total, bool)  # noqa: E731, B023
-            words = [number, *(ahead(number, k) for k in range(1, LONGEST))]
-            if orders == (1,):
-                frequent = [_has(bits.value, _place(number))]
-            else:
-                frequent = [_has(bits.value, _place(words[0], words[1]))]
-            frequent += [ahead(frequent[0], k) for k in range(1, LONGEST)]
-            for m in orders:
-                # the prefix stands whole in its piece, and it and the extension have frequent parts only
-                is_prefix = own & (goes_on(m - 1) if m > 1 else True)
-                for k in range(max(1, m - 1)):
-                    is_prefix = is_prefix & frequent[k]
-                extends = is_prefix & goes_on(m) & frequent[1 if orders == (1,) else m - 1]
-                at = np.flatnonzero(is_prefix)
-                zero = np.zeros(len(at), np.int64)
-                keys = [words[k][at] if k < m else zero for k in range(LONGEST - 1)]
-                held.append([*keys, np.where(extends[at], words[m][at], 0), np.ones(len(at), np.int64)])
-                size += len(at)
+            words = [np.concatenate((number[k:], np.zeros(min(k, total), np.int64)))[:total] for k in range(m + 1)]
+            goes_on = [np.concatenate((piece[k:] == piece[: max(total - k, 0)], np.zeros(min(k, total), bool)))[:total] for k in (m - 1, m)]
+            frequent = goes_on[0] & _has(bits.value, _place(*words[:m]))
+            at = np.flatnonzero(own & frequent)
+            extends = goes_on[1] & np.concatenate((frequent[1:], [False]))
+            held.append([*(w[at] for w in words[:m]), np.where(extends[at], words[m][at], 0), np.ones(len(at), np.int64)])
+            size += len(at)
             if size >= 2 * HELD:
                 rows = _compact(held)
                 held, size = [rows], len(rows[0])
                 if size >= HELD:
-                    yield _batch(rows, heavy.value)
+                    yield _batch(rows, heavy.value, bundles)
                     held, size = [], 0
         if held:
-            yield _batch(_compact(held), heavy.value)
+            yield _batch(_compact(held), heavy.value, bundles)
 
     return count
 
@@ -196,58 +187,79 @@ def _compact(held: list[list[np.ndarray]]) -> list[np.ndarray]:
     return [*keys, n]
 
 
-def _batch(rows: list[np.ndarray], heavy: np.ndarray) -> pa.RecordBatch:
-    """Rows (p1, p2, p3, next, n) as stripes, those of heavy words in slices."""
-    p1, p2, p3, following, n = rows
-    sliced = np.isin(p1, heavy)
-    part = np.where(sliced, (mix64(following.view(np.uint64)) >> np.uint64(8)).astype(np.int64) % SLICES, 0)
-    order = np.lexsort((following, part, p3, p2, p1))
-    p1, p2, p3, part, following, n = (c[order] for c in (p1, p2, p3, part, following, n))
-    keys = [p1, p2, p3, part]
-    starts = np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0)))) if len(p1) else np.zeros(0, np.int64)
-    offsets = pa.array(np.concatenate((starts, [len(p1)])), pa.int32())
+def _starts(keys: list[np.ndarray]) -> np.ndarray:
+    """Where rows begin whose keys are not those of the row before."""
+    return np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0)))) if len(keys[0]) else np.zeros(0, np.int64)
+
+
+def _lists(starts: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate((starts, [len(values)])), pa.int32()), pa.array(values, kind))
+
+
+def _batch(rows: list[np.ndarray], heavy: tuple[np.ndarray, np.ndarray], bundles: int) -> pa.RecordBatch:
+    """Rows (words of a prefix, next, n) as stripes, those of heavy words in slices, in bundles."""
+    *prefix, following, n = rows
+    ids, slices = heavy
+    deal = np.zeros(len(n), np.uint64)
+    if len(ids):
+        place = np.minimum(np.searchsorted(ids, prefix[0]), len(ids) - 1)
+        deal = (mix64(following.view(np.uint64)) >> np.uint64(8)) % np.where(ids[place] == prefix[0], slices[place], 1).astype(np.uint64)
+    for p in prefix:
+        deal = mix64(deal * np.uint64(0x9E3779B97F4A7C15) + p.view(np.uint64))
+    bundle = ((deal >> np.uint64(16)) % np.uint64(bundles)).astype(np.int64)
+    order = np.lexsort((following, *prefix[::-1], bundle))
+    bundle, following, n, *prefix = (c[order] for c in (bundle, following, n, *prefix))
+    stripe = _starts([bundle, *prefix])
+    first = _starts([bundle[stripe]])  # the first stripe of each bundle
+    none = np.zeros(len(stripe), np.int64)
+    sizes = np.diff(np.concatenate((stripe, [len(n)])))
     return pa.RecordBatch.from_arrays(
-        [*[pa.array(k[starts]) for k in keys[:3]], pa.array(part[starts], pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(following)), pa.ListArray.from_arrays(offsets, pa.array(n))],
-        ["p1", "p2", "p3", "slice", "next", "n"],
-    )
+        [
+            pa.array(bundle[stripe][first], pa.int32()), *[_lists(first, p[stripe], pa.int64()) for p in prefix], *[_lists(first, none, pa.int64())] * (LONGEST - 1 - len(prefix)),
+            _lists(first, sizes, pa.int32()), _lists(stripe[first], following, pa.int64()), _lists(stripe[first], n, pa.int32()),
+        ],
+        ["bundle", "p1", "p2", "p3", "size", "next", "n"],
+    )
 
 
 def _merge(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Stripes sorted by prefix as one for each prefix and slice: its total, and the entries of `least` or more.
+    """Bundles in order as one stripe (or a few, for slices) for each prefix: its total, and the entries of `least` or more.
 
-    Only the last prefix of a batch is held over to the next, already merged.
+    Only the last bundle of a batch is held over to the next, already merged.
     """
 
+    def flat(batch: pa.RecordBatch, name: str) -> np.ndarray:
+        return batch.column(name).flatten().to_numpy().astype(np.int64)
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [np.zeros(0, np.int64)] * 6
         for batch in batches:
-            lengths = batch.column("next").value_lengths().to_numpy()
-            columns = [np.repeat(batch.column(k).to_numpy().astype(np.int64), lengths) for k in range(4)]
-            columns = [np.concatenate((r, c)) for r, c in zip(rest, [*columns, batch.column("next").flatten().to_numpy(), batch.column("n").flatten().to_numpy()])]
-            keys, n = columns[:4], columns[5]
-            run = np.cumsum(np.concatenate(([False], np.any([k[1:] != k[:-1] for k in keys], axis=0)))) if len(n) else np.zeros(0, np.int64)
-            (run, following), n, first = _summed([run, columns[4]], n)
-            keys = [k[first] for k in keys]
+            size = flat(batch, "size")
+            bundle = np.repeat(batch.column("bundle").to_numpy().astype(np.int64), batch.column("size").value_lengths().to_numpy())
+            columns = [np.repeat(c, size) for c in (bundle, flat(batch, "p1"), flat(batch, "p2"), flat(batch, "p3"))]
+            *keys, n = [np.concatenate((r, c)) for r, c in zip(rest, [*columns, flat(batch, "next"), flat(batch, "n")])]
+            run = np.cumsum(np.concatenate(([False], keys[0][1:] != keys[0][:-1]))) if len(n) else np.zeros(0, np.int64)
+            (run, *others), n, first = _summed([run, *keys[1:]], n)
+            merged = [keys[0][first], *others, n]
             last = int(np.searchsorted(run, run[-1])) if len(run) else 0
-            yield _merged([*[k[:last] for k in keys], following[:last], n[:last]], least)
-            rest = [*[k[last:] for k in keys], following[last:], n[last:]]
-        yield _merged(rest, least)
+            yield _merged([c[:last] for c in merged[1:]], least)
+            rest = [c[last:] for c in merged]
+        yield _merged(rest[1:], least)
 
     return merge
 
 
-MERGED = "p1 long, p2 long, p3 long, slice int, total long, next array<bigint>, n array<bigint>"
+MERGED = "p1 long, p2 long, p3 long, total long, next array<bigint>, n array<bigint>"
 
 
 def _merged(rows: list[np.ndarray], least: int) -> pa.RecordBatch:
-    *keys, following, n = rows
-    starts = np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0)))) if len(n) else np.zeros(0, np.int64)
-    total = np.add.reduceat(n, starts) if len(n) else n
+    *prefix, following, n = rows
+    stripe = _starts(prefix)
     kept = (n >= least) & (following != 0)
-    offsets = pa.array(np.concatenate(([0], np.cumsum(kept)))[np.concatenate((starts, [len(n)]))], pa.int32())
+    before = np.concatenate(([0], np.cumsum(kept)))[stripe]
     return pa.RecordBatch.from_arrays(
-        [*[pa.array(k[starts]) for k in keys[:3]], pa.array(keys[3][starts], pa.int32()), pa.array(total), pa.ListArray.from_arrays(offsets, pa.array(following[kept])), pa.ListArray.from_arrays(offsets, pa.array(n[kept]))],
-        ["p1", "p2", "p3", "slice", "total", "next", "n"],
+        [*[pa.array(p[stripe]) for p in prefix], pa.array(np.add.reduceat(n, stripe) if len(n) else n), _lists(before, following[kept], pa.int64()), _lists(before, n[kept], pa.int64())],
+        ["p1", "p2", "p3", "total", "next", "n"],
     )
 
 
@@ -260,22 +272,24 @@ def collocations(docs: DataFrame, least: int = LEAST, per_language: int = PER_LA
     everything = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     frequent = words.where(F.col("n") >= least)
     # fewer than HEAVY_PART words can be as common as that
-    heavy = np.array([r.id for r in frequent.where(F.col("n") * HEAVY_PART > everything).select("id").collect()], np.int64)
-    sent = spark.sparkContext.broadcast(heavy)
+    common = sorted((r.id, r.n * HEAVY_PART // everything + 1) for r in frequent.where(F.col("n") * HEAVY_PART > everything).select("id", "n").collect())
+    sent = spark.sparkContext.broadcast((np.array([i for i, _ in common], np.int64), np.array([k for _, k in common], np.int64)))
+
+    bundles = int(min(everything // BUNDLE + 1, BUNDLES_MOST))
 
-    def merged(orders: tuple[int, ...], bits: Broadcast) -> DataFrame:
-        keys = ["p1", "p2", "p3", "slice"]
-        counted = texts.mapInArrow(_stripes(orders, bits, sent), STRIPES)
-        return materialize(counted.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_merge(least), MERGED), "phrase-stripes")
+    def merged(m: int, bits: Broadcast) -> DataFrame:
+        counted = texts.mapInArrow(_stripes(m, bits, sent, bundles), BUNDLES)
+        return materialize(counted.repartition("bundle").sortWithinPartitions("bundle").mapInArrow(_merge(least), MERGED), "phrase-stripes")
 
-    pairs = merged((1,), _filter(frequent, "id"))
-    longer = merged((2, 3), _filter(pairs.select("p1", F.explode("next").alias("p2")), "p1", "p2"))
+    one = merged(1, _filter(frequent, "id"))
+    two = merged(2, _filter(one.select("p1", F.explode("next").alias("p2")), "p1", "p2"))
+    three = merged(3, _filter(two.select("p1", "p2", F.explode("next").alias("p3")), "p1", "p2", "p3"))
 
-    stripes = pairs.unionByName(longer).withColumn("prefix", F.filter(F.array("p1", "p2", "p3"), lambda p: p != 0))
+    stripes = one.unionByName(two).unionByName(three).withColumn("prefix", F.filter(F.array("p1", "p2", "p3"), lambda p: p != 0))
     totals = materialize(stripes.groupBy("prefix").agg(F.sum("total").alias("total")).where(F.col("total") >= least), "phrase-totals")
     entries = stripes.select("prefix", F.explode(F.arrays_zip("next", "n")).alias("entry"))
     phrases = materialize(entries.select(F.concat("prefix", F.array("entry.next")).alias("phrase"), F.col("entry.n").alias("a")), "phrase-candidates")
-    discard(pairs, longer)
+    discard(one, two, three)
 
     # the largest count of a phrase that goes one word further to the right or to the left
     further = phrases.where(F.size("phrase") > 2)

@@ -66,31 +66,31 @@ def test_long_texts_are_read_in_overlapping_parts(monkeypatch):
     rng = random.Random(1)
     text = " ".join(rng.choice(["ab", "c", "ddd.", "e" * 50, "\n", "ff,"]) for _ in range(3000))
     batch = [pa.RecordBatch.from_pylist([{"text": text, "lang": "en"}, {"text": "Last words here", "lang": "en"}])]
-    bits, heavy = type("sent", (), {"value": np.full(2**collocations.FILTER_BITS // 8, 255, np.uint8)}), type("sent", (), {"value": np.zeros(0, np.int64)})
+    bits, heavy = type("sent", (), {"value": np.full(2**collocations.FILTER_BITS // 8, 255, np.uint8)}), type("sent", (), {"value": (np.zeros(0, np.int64), np.zeros(0, np.int64))})
 
-    def count(orders):
+    def count(m):
         found = Counter()
-        for out in collocations._stripes(orders, bits, heavy)(iter(batch)):
-            for r in out.to_pylist():
-                for following, n in zip(r["next"], r["n"]):
+        for out in collocations._stripes(m, bits, heavy, 3)(iter(batch)):
+            for r in pa.Table.from_batches(list(collocations._merge(1)(iter([out])))).to_pylist():
+                counted = dict(zip(r["next"], r["n"]))
+                for following, n in (counted | {0: r["total"] - sum(counted.values())}).items():
                     found[r["p1"], r["p2"], r["p3"], following] += n
         return found
 
-    whole = {orders: count(orders) for orders in ((1,), (2, 3))}
+    whole = {m: count(m) for m in (1, 2, 3)}
     words = Counter({r["word"]: r["n"] for out in collocations._count_words(iter(batch)) for r in out.to_pylist()})
     monkeypatch.setattr(collocations, "PIECE", 97)
-    assert {orders: count(orders) for orders in whole} == whole and sum(whole[(1,)].values()) == sum(words.values())
+    assert {m: count(m) for m in whole} == whole and sum(whole[1].values()) == sum(words.values())
     assert words == Counter(re.findall(r"[^\s.,;:!?]+", (text + "\nLast words here").lower()))
 
 
 def test_stripes_of_common_words_are_sliced_and_merge():
-    n = 500
-    keys = [np.full(n, 7), np.zeros(n, np.int64), np.zeros(n, np.int64)]
-    parts = [collocations._batch([*keys, np.arange(1, n + 1), np.full(n, c)], np.array([7])) for c in (1, 2)]
-    assert parts[0].num_rows == collocations.SLICES
-    both = pa.Table.from_batches(parts).sort_by([("slice", "ascending")]).combine_chunks()
+    n, heavy = 500, (np.array([3, 7]), np.array([2, 64]))
+    parts = [collocations._batch([np.full(n, 7), np.arange(1, n + 1), np.full(n, c)], heavy, 1000) for c in (1, 2)]
+    assert 50 < parts[0].num_rows <= 64 and collocations._batch([np.full(n, 8), np.arange(1, n + 1), np.full(n, 1)], heavy, 1000).num_rows == 1
+    both = pa.Table.from_batches(parts).sort_by([("bundle", "ascending")]).combine_chunks()
     merged = pa.Table.from_batches(list(collocations._merge(3)(iter(both.to_batches(max_chunksize=7)))))
-    assert merged.num_rows == collocations.SLICES and sum(merged.column("total").to_pylist()) == 3 * n
+    assert 1 < merged.num_rows <= parts[0].num_rows and sum(merged.column("total").to_pylist()) == 3 * n
     assert {c for row in merged.column("n").to_pylist() for c in row} == {3} and sum(len(x) for x in merged.column("next").to_pylist()) == n
 
 
