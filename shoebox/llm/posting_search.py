@@ -14,8 +14,8 @@ queries of that length read: their neighbours are exact.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without an id, take
 no part; vectors are only compared with those of their length; a query never finds its own row, but finds equal vectors
-under other ids; of rows that repeat an id one takes part; ties go to the smaller id; an empty table gives an empty
-result; other columns are not read.
+and other rows of its id; rows that repeat an id are rows of their own, as queries (each has its own k) and as what is
+found; ties go to the smaller id; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -157,12 +157,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     """(query_id, rank, id, score): the k nearest of each query row by cosine, nearest first."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    good = rows.where(F.col("id").isNotNull() & usable("vector")).dropDuplicates(["id"])
+    good = rows.where(F.col("id").isNotNull() & usable("vector"))
     common = good.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     if common is None:
         return good.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias(id_col), F.lit(0.0).alias("score")).limit(0)
     n = common["count"]
-    good = materialize(good.withColumn("dim", F.size("vector")), "posting-vectors")
+    good = materialize(good.withColumns({"dim": F.size("vector"), "row": F.monotonically_increasing_id()}), "posting-vectors")
     usual, others = good.where(F.col("dim") == common.dim), good.where(F.col("dim") != common.dim)
     chance = F.shiftrightunsigned(F.xxhash64("id", F.lit(5)), 11) / F.lit(float(2**53))
     drawn = usual.where(chance * n < SAMPLE).orderBy(F.xxhash64("id", F.lit(5)), "id").limit(SAMPLE).select("vector").toArrow()
@@ -173,20 +173,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     sent = spark.sparkContext.broadcast(graph)
 
     def dealt(lists_of, asks: bool):
-        """Rows (list, asks, id, unit) for the lists that `lists_of` names."""
+        """Rows (list, asks, row, id, unit) for the lists that `lists_of` names."""
 
         def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for batch in (whole.slice(i, 500) for i in range(0, len(whole), 500)):
-                    u, ids = unit(matrix(batch.column("vector"))), batch.column("id").to_numpy()
+                    u, own, ids = unit(matrix(batch.column("vector"))), batch.column("row").to_numpy(), batch.column("id").to_numpy()
                     row, lists = lists_of(u)
                     packed = [x.tobytes() for x in u]
-                    yield pa.RecordBatch.from_arrays([pa.array(lists), pa.array(np.full(len(row), asks)), pa.array(ids[row]), pa.array([packed[i] for i in row], pa.binary())], ["list", "asks", "id", "unit"])
+                    yield pa.RecordBatch.from_arrays([pa.array(lists), pa.array(np.full(len(row), asks)), pa.array(own[row]), pa.array(ids[row]), pa.array([packed[i] for i in row], pa.binary())], ["list", "asks", "row", "id", "unit"])
 
         return rows_of
 
     def of_length(asks: bool):
-        """Rows (list, asks, id, unit) for the one list of each uncommon length; such lists are numbered below 0."""
+        """Rows (list, asks, row, id, unit) for the one list of each uncommon length; such lists are numbered below 0."""
 
         def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -194,27 +194,27 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
                 for d in np.unique(dims):
                     part = batch.filter(pa.array(dims == d))
                     packed = pa.array([x.tobytes() for x in unit(matrix(part.column("vector")))], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), -int(d))), pa.array(np.full(len(part), asks)), part.column("id"), packed], ["list", "asks", "id", "unit"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), -int(d))), pa.array(np.full(len(part), asks)), part.column("row"), part.column("id"), packed], ["list", "asks", "row", "id", "unit"])
 
         return rows_of
 
-    schema = "list long, asks boolean, id long, unit binary"
-    vectors_of = usual.select("id", "vector").mapInArrow(dealt(lambda u: sent.value.lists(u), False), schema)
-    vectors_of = materialize(vectors_of.unionByName(others.select("id", "vector", "dim").mapInArrow(of_length(False), schema)), "posting-vectors-of")
+    schema = "list long, asks boolean, row long, id long, unit binary"
+    vectors_of = usual.select("row", "id", "vector").mapInArrow(dealt(lambda u: sent.value.lists(u), False), schema)
+    vectors_of = materialize(vectors_of.unionByName(others.select("row", "id", "vector", "dim").mapInArrow(of_length(False), schema)), "posting-vectors-of")
     counts = np.zeros(len(graph.centroids), np.int64)
     for r in vectors_of.where("list >= 0").groupBy("list").count().collect():  # at most LISTS_MOST lists
         counts[r.list] = r["count"]
-    asked = usual.where("asks").select("id", "vector").mapInArrow(dealt(lambda u: sent.value.probes(u, ratio, width, counts, k), True), schema)
-    asked = asked.unionByName(others.where("asks").select("id", "vector", "dim").mapInArrow(of_length(True), schema))
+    asked = usual.where("asks").select("row", "id", "vector").mapInArrow(dealt(lambda u: sent.value.probes(u, ratio, width, counts, k), True), schema)
+    asked = asked.unionByName(others.where("asks").select("row", "id", "vector", "dim").mapInArrow(of_length(True), schema))
     listed = vectors_of.unionByName(materialize(asked, "posting-queries-of"))
     sizes = listed.groupBy("list").agg(F.ceil(F.count_if(~F.col("asks")) / BLOCK).cast("int").alias("v"), F.ceil(F.count_if("asks") / BLOCK).cast("int").alias("q"))
     sizes = materialize(sizes.where("v > 0 and q > 0"), "posting-sizes")
-    own = F.pmod(F.xxhash64("id"), F.when(F.col("asks"), F.col("q")).otherwise(F.col("v"))).cast("int")
-    cells = listed.join(sizes, "list").select("list", "asks", "id", "unit", own.alias("own"), F.explode(F.sequence(F.lit(0), F.when(F.col("asks"), F.col("v")).otherwise(F.col("q")) - 1)).alias("other"))
-    cells = cells.select("list", F.when(F.col("asks"), F.col("other")).otherwise(F.col("own")).alias("v"), F.when(F.col("asks"), F.col("own")).otherwise(F.col("other")).alias("q"), "asks", "id", "unit")
+    own = F.pmod(F.xxhash64("row"), F.when(F.col("asks"), F.col("q")).otherwise(F.col("v"))).cast("int")
+    cells = listed.join(sizes, "list").select("list", "asks", "row", "id", "unit", own.alias("own"), F.explode(F.sequence(F.lit(0), F.when(F.col("asks"), F.col("v")).otherwise(F.col("q")) - 1)).alias("other"))
+    cells = cells.select("list", F.when(F.col("asks"), F.col("other")).otherwise(F.col("own")).alias("v"), F.when(F.col("asks"), F.col("own")).otherwise(F.col("other")).alias("q"), "asks", "row", "id", "unit")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        held = pa.table({name: pa.array([], pa.float64() if name == "score" else pa.int64()) for name in FOUND})
         for table, starts in runs(batches, 3):
             held = pa.concat_tables([held, pa.Table.from_batches([_best(table, starts, k)])])
             if len(held) > HELD:  # of the cells of a task only a query's best go on
@@ -224,44 +224,48 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
                     held = held.slice(0, 0)
         yield from _first(held, k).to_batches()
 
-    found = cells.repartition("list", "v", "q").sortWithinPartitions("list", "v", "q").mapInArrow(best, "query_id long, id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = materialize(found.groupBy("query_id", "id").agg(F.max("score").alias("score")), "posting-found").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    found = cells.repartition("list", "v", "q").sortWithinPartitions("list", "v", "q").mapInArrow(best, "query_row long, query_id long, row long, id long, score double")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "id", "row")
+    ranked = materialize(found.groupBy("query_row", "query_id", "row", "id").agg(F.max("score").alias("score")), "posting-found").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
+#: What a cell has found: rows by their number and id.
+FOUND = ("query_row", "query_id", "row", "id", "score")
+
+
 def _first(found: pa.Table, k: int) -> pa.Table:
     """Each query's best k of what a task's cells have found; a vector in several lists counts once."""
-    q, ids, score = (found.column(i).to_numpy() for i in range(3))
-    order = np.lexsort((ids, -score, q))
-    q, ids = q[order], ids[order]
+    q, rows, ids, score = (found.column(c).to_numpy() for c in ("query_row", "row", "id", "score"))
+    order = np.lexsort((rows, ids, -score, q))
+    q, rows = q[order], rows[order]
     fresh = np.ones(len(q), bool)
-    fresh[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])  # equal vectors have equal scores, so they lie side by side
+    fresh[1:] = (q[1:] != q[:-1]) | (rows[1:] != rows[:-1])  # a vector's scores in two lists are equal, so they lie side by side
     order, q = order[fresh], q[fresh]
     place = np.arange(len(q)) - np.searchsorted(q, q)
     return found.take(pa.array(order[place < k]))
 
 
 def _best(table: pa.Table, starts: np.ndarray, k: int) -> pa.RecordBatch:
-    asks, ids = np.asarray(table.column("asks")), table.column("id").to_numpy()
+    asks, numbers, ids = np.asarray(table.column("asks")), table.column("row").to_numpy(), table.column("id").to_numpy()
     units = table.column("unit").to_pylist()
-    out: list[tuple[int, int, float]] = []
+    out: list[tuple[int, int, int, int, float]] = []
     for at, end in zip(starts[:-1], starts[1:]):
         ask = np.flatnonzero(asks[at:end])
         have = np.flatnonzero(~asks[at:end])
         if not len(ask) or not len(have):
             continue
         u = np.stack([np.frombuffer(x, np.float64) for x in units[at:end]])
-        own, names = u[have], ids[at + have]
+        own, rows, names = u[have], numbers[at + have], ids[at + have]
         for some in (ask[i : i + 256] for i in range(0, len(ask), 256)):
             near = u[some] @ own.T
-            near[ids[at + some][:, None] == names[None]] = -np.inf
+            near[numbers[at + some][:, None] == rows[None]] = -np.inf
             count = min(k, len(have))
             floor = -np.partition(-near, count - 1, axis=1)[:, count - 1]
             for q, scores, least in zip(some, near, floor):
                 # scores of all that may be among the best, summed the same way wherever they stand, so that ties hold
                 may = np.flatnonzero((scores >= least - 1e-9) & np.isfinite(scores))
                 exact = (own[may] * u[q]).sum(1)
-                for i in np.lexsort((names[may], -exact))[:k]:
-                    out.append((int(ids[at + q]), int(names[may[i]]), float(exact[i])))
-    return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], ["query_id", "id", "score"])
+                for i in np.lexsort((rows[may], names[may], -exact))[:k]:
+                    out.append((int(numbers[at + q]), int(ids[at + q]), int(rows[may[i]]), int(names[may[i]]), float(exact[i])))
+    return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.float64() if name == "score" else pa.int64()) for i, name in enumerate(FOUND)], list(FOUND))

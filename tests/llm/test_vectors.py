@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -99,6 +100,20 @@ def test_search_matches_brute_force(spark, monkeypatch, block):
     assert hits >= 0.9 * 5 * len(asked)
 
 
+def test_rows_that_repeat_an_id_all_take_part(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i % 60, [float(c) for c in v]) for i, v in enumerate(np.float32(rng.normal(size=(200, 8))))]
+    rows += [(7, rows[50][1]), (50, rows[50][1]), (7, rows[50][1])]  # equal to a query, once under its own id
+    got = Counter((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in posting_search.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, 5).collect())
+    true = Counter()
+    for at, (i, v) in enumerate(rows):
+        if i % 50 == 0:
+            best = sorted((-round(cosine(v, w), 9), j) for k, (j, w) in enumerate(rows) if k != at)[:5]
+            true.update((i, rank + 1, j, -s) for rank, (s, j) in enumerate(best))
+    assert sum((got & true).values()) >= 0.9 * sum(true.values()) and sum(got.values()) == sum(true.values())
+    assert got[50, 1, 7, 1.0] == got[50, 2, 7, 1.0] == got[50, 3, 50, 1.0] == 2  # each of the two equal queries finds the other three
+
+
 def test_search_of_few_and_none(spark):
     _, df = table(spark)
     assert posting_search.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
