@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,31 +67,41 @@ def components(edges: DataFrame) -> DataFrame:
 SENT, CELLS = 64 << 20, 8_000_000
 
 
+def directed(vector: str) -> Column:
+    """Whether a vector can be compared: it has components, and all of them are finite."""
+    limit = F.lit(float("inf"))
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < limit))
+    return F.coalesce(F.col(vector).isNotNull() & (F.size(vector) > 0) & finite, F.lit(False))
+
+
 def nearest_to_queries(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int = 10, row_block: int = 16_384, query_block: int = 2_048) -> DataFrame:
     """(query_id, rank, id, score): the exact k nearest rows of each stated query by dot product of unit vectors.
 
     Queries of at most SENT bytes go to all tasks, which read the rows where they are and pass on each query's k best.
     More queries are dealt to blocks, as rows are, and every two blocks meet in a task of their own. Either way rows are
-    compared by matrix products. A query doesn't find its own row.
+    compared by matrix products. A query doesn't find its own row. Vectors that are null or empty or hold null or
+    non-finite components find nothing and are not found; vectors are compared with those of their length.
     """
-    rows, queries = (df.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")) for df in (rows, queries))
+    rows, queries = (df.where(directed(vector_col)).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector")) for df in (rows, queries))
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"query_id {kind}, id {kind}, score double"
     size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("x")).first()
     if size.x * 8 <= SENT:
-        asked = queries.toPandas()  # its size was checked
-        sent = rows.sparkSession.sparkContext.broadcast((asked.id.to_numpy(), np.array(asked.vector.tolist(), np.float64)))
+        asked = queries.toArrow()  # its size was checked
+        sent, kind_of = rows.sparkSession.sparkContext.broadcast(by_length(asked)), asked.schema.field("id").type
 
-        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """A task's k best rows for each query."""
             found = None
-            for have in batches:
-                some = _block_best(*sent.value, have, k)
-                found = some if found is None else _first(pd.concat([found, some]), k)
+            for batch in batches:
+                for d, (ids, have) in by_length(pa.Table.from_batches([batch])).items():
+                    if d in sent.value:
+                        some = _block_best(*sent.value[d], ids, have, k)
+                        found = some if found is None else _first([np.concatenate(c) for c in zip(found, some)], k)
             if found is not None:
-                yield found
+                yield _found(found, kind_of)
 
-        near = rows.mapInPandas(best, schema)
+        near = rows.mapInArrow(best, schema)
     else:
         n_rows, n_queries = max(1, -(-rows.count() // row_block)), -(-size.n // query_block)
 
@@ -99,37 +109,58 @@ def nearest_to_queries(rows: DataFrame, queries: DataFrame, id_col: str, vector_
             block = F.pmod(F.xxhash64("id"), F.lit(own)).cast("int").alias(names[0])
             return df.select("id", "vector", block, F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(names[1]))
 
-        def met(asked: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-            return _block_best(asked.id.to_numpy(), np.array(asked.vector.tolist(), np.float64), have, k)
+        def met(asked: pa.Table, have: pa.Table) -> pa.Table:
+            by, found = by_length(have), [_found((asked.column("id").to_numpy()[:0], have.column("id").to_numpy()[:0], np.zeros(0)), have.schema.field("id").type)]
+            found += [_found(_block_best(*own, *by[d], k), have.schema.field("id").type) for d, own in by_length(asked).items() if d in by]
+            return pa.Table.from_batches(found)
 
         left = dealt(queries, n_queries, n_rows, ("q", "r")).groupBy("q", "r")
-        near = left.cogroup(dealt(rows, n_rows, n_queries, ("r", "q")).groupBy("q", "r")).applyInPandas(met, schema)
+        near = left.cogroup(dealt(rows, n_rows, n_queries, ("r", "q")).groupBy("q", "r")).applyInArrow(met, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
-def _first(found: pd.DataFrame, k: int) -> pd.DataFrame:
+def by_length(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The ids and the matrix of a table's vectors (id, vector), for each length that they have."""
+    table = table.combine_chunks()
+    vectors, ids = table.column("vector").combine_chunks(), table.column("id").to_numpy()
+    sizes = vectors.value_lengths().to_numpy() if len(vectors) else np.zeros(0, np.int64)
+    flat = vectors.flatten().to_numpy()
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    out = {}
+    for d in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == d)
+        whole = len(at) == len(sizes)
+        out[d] = (ids, flat.reshape(-1, d)) if whole else (ids[at], flat[starts[at][:, None] + np.arange(d)])
+    return out
+
+
+def _found(found: tuple[np.ndarray, ...], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(found[0], kind), pa.array(found[1], kind), pa.array(found[2], pa.float64())], ["query_id", "id", "score"])
+
+
+def _first(found: list[np.ndarray], k: int) -> tuple[np.ndarray, ...]:
     """Each query's k best and what ties with the k-th."""
-    found = found.sort_values(["query_id", "score"], ascending=[True, False], kind="stable", ignore_index=True)
-    place = found.groupby("query_id").cumcount()
-    return found[found.score >= found.score.where(place < k).groupby(found.query_id).transform("min") - 1e-12]
+    _, query = np.unique(found[0], return_inverse=True)
+    order = np.lexsort((-found[2], query))
+    query, score = query[order], found[2][order]
+    start = np.searchsorted(query, query)
+    least = score[np.minimum(start + k, np.searchsorted(query, query, "right")) - 1]
+    return tuple(c[order][score >= least - 1e-12] for c in found)
 
 
-def _block_best(names: np.ndarray, asked: np.ndarray, have: pd.DataFrame, k: int) -> pd.DataFrame:
+def _block_best(names: np.ndarray, asked: np.ndarray, ids: np.ndarray, have: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """The k best of a block of rows for each query of a block; what ties with the k-th goes on too."""
-    ids = have.id.to_numpy()
-    if not len(names) or not len(ids):
-        return pd.DataFrame({"query_id": names[:0], "id": ids[:0], "score": np.zeros(0)})
-    own, count, found = np.array(have.vector.tolist(), np.float64).T, min(k, len(ids)), []
-    step = max(1, CELLS // len(ids))
-    for at in range(0, len(names), step):
+    count, found = min(k, len(ids)), [(names[:0], ids[:0], np.zeros(0))]
+    step = max(1, CELLS // max(1, len(ids)))
+    for at in range(0, len(names) if count else 0, step):
         some = names[at : at + step]
-        near = asked[at : at + step] @ own
+        near = asked[at : at + step] @ have.T
         near[some[:, None] == ids[None]] = -np.inf
         floor = -np.partition(-near, count - 1, axis=1)[:, count - 1 : count]
         i, j = np.nonzero((near >= floor - 1e-12) & np.isfinite(near))
-        found.append(pd.DataFrame({"query_id": some[i], "id": ids[j], "score": near[i, j]}))
-    return pd.concat(found)
+        found.append((some[i], ids[j], near[i, j]))
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def purity(rows: DataFrame, cluster: str, truth: str) -> DataFrame:

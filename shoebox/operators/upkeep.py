@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,15 +143,51 @@ def stable(listing: DataFrame, now: Column, wait_s: float = 3.0) -> DataFrame:
     return listing.where(F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("mtime").cast("timestamp")) >= wait_s * 1e6)
 
 
-def free_names(wanted: DataFrame, taken: DataFrame, name: str, order: list[Column]) -> DataFrame:
-    """`wanted` with the column free_name: where a name is taken, or wanted before, "-1", "-2" ... goes before its
-    extension. Names that a suffix makes are counted from the names with that stem that are there."""
-    stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^./]*)?$", 2)
-    base = F.regexp_extract(name, r"^(.*?)(-\d+)?(\.[^./]*)?$", 1)
-    highest = taken.select(F.concat(base, ext).alias("free_key"), F.coalesce(F.regexp_extract(name, r"-(\d+)(\.[^./]*)?$", 1).try_cast("int"), F.lit(0)).alias("n")).groupBy("free_key").agg(F.max("n").alias("free_most"))
-    held = taken.select(F.col(name).alias("free_held")).distinct()
-    turn = F.row_number().over(Window.partitionBy(name).orderBy(*order))
-    rows = wanted.withColumn("free_turn", turn).withColumn("free_key", F.concat(stem, ext)).join(highest, "free_key", "left").join(held, F.col(name) == F.col("free_held"), "left")
-    place = F.col("free_turn") - F.when(F.col("free_held").isNull(), 1).otherwise(0)
-    suffix = F.when(place > 0, F.concat(F.lit("-"), (place + F.coalesce("free_most", F.lit(0))).cast("string"))).otherwise("")
-    return rows.select(*wanted.columns, F.concat(stem, suffix, ext).alias("free_name"))
+def free_names(wanted: DataFrame, taken: DataFrame, name: str, order: list[Column], content: str | None = None) -> DataFrame:
+    """`wanted` with the column free_name: its name, or that with the least of "-1", "-2" ... before its extension that no
+    taken name and no row before it in `order` has. With `content`, a hash that both tables have, a name counts as free
+    for a row of the same content.
+
+    Names that can meet are those that are equal without all such suffixes; they lie together in one sorted pass that
+    holds, of one such family at a time, the names given out.
+    """
+    family = F.regexp_replace(name, r"(-\d+)+(?=(\.[^./]*)?$)", "")
+    mark = F.col(content).cast("string") if content else F.lit(None).cast("string")
+    place = F.row_number().over(Window.partitionBy("free_family").orderBy(*order))
+    rows = wanted.withColumn("free_family", family).withColumn("free_place", place).withColumn("free_content", mark)
+    rows = rows.withColumn("free_wanted", F.struct(*[F.col(c) for c in wanted.columns]))
+    held = taken.select(family.alias("free_family"), F.lit(0).alias("free_place"), mark.alias("free_content"), F.col(name).alias("free_name"), F.lit(None).cast(rows.schema["free_wanted"].dataType).alias("free_wanted"))
+    both = rows.select("free_family", "free_place", "free_content", F.col(name).alias("free_name"), "free_wanted").unionByName(held)
+    dealt = both.repartition("free_family").sortWithinPartitions("free_family", "free_place")
+    named = dealt.mapInArrow(_give_names, dealt.schema).where("free_place > 0")
+    return named.select(*[F.col("free_wanted")[c].alias(c) for c in wanted.columns], "free_name")
+
+
+def _give_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    family, given, counters = None, {}, {}
+    for batch in batches:
+        names = batch.column("free_name").to_pylist()
+        for at, (own, place, content) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("free_family", "free_place", "free_content")))):
+            if own != family:
+                family, given, counters = own, {}, {}
+            if place and names[at] is not None:
+                names[at] = _free_name(names[at], content, given, counters)
+            given.setdefault(names[at], content)
+        yield batch.set_column(batch.schema.get_field_index("free_name"), "free_name", pa.array(names, pa.string()))
+
+
+def _free_name(name: str, content: str | None, given: dict[str, str | None], counters: dict[str, tuple[int, dict[str, str]]]) -> str:
+    """The first of name, name-1, ... that isn't given, or is to the same content. `counters` keeps, of each wanted name,
+    how far its numbers are given out and to what contents, so that many rows of one name take few steps each."""
+    if name not in given:
+        return name
+    stem, dot, extension = name.rpartition(".") if "." in name.rpartition("/")[2][1:] else (name, "", "")
+    number, contents = counters.get(name, (0, {}))
+    at = name if not number else f"{stem}-{number}{dot}{extension}"
+    while at in given:
+        if given[at] is not None:
+            contents.setdefault(given[at], at)
+        number += 1
+        at = f"{stem}-{number}{dot}{extension}"
+    counters[name] = (number, contents)
+    return contents.get(content, at) if content is not None else at

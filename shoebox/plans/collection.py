@@ -16,6 +16,24 @@ from shoebox.streaming import incremental
 __all__ = ["ORACLE", "QUERIES"]
 
 
+# ---- imports
+
+
+@query("""
+    WITH w AS (SELECT o_orderkey, o_orderpriority AS p, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS k FROM orders WHERE o_orderstatus <> 'F'),
+    t AS (SELECT DISTINCT o_orderpriority AS p, o_custkey AS n FROM orders WHERE o_orderstatus = 'F' AND o_custkey > 0),
+    c AS (SELECT p, unnest(range(0, max(k) + (SELECT count(*) FROM t))) AS n FROM w GROUP BY p),
+    f AS (SELECT p, n, row_number() OVER (PARTITION BY p ORDER BY n) AS k FROM c ANTI JOIN t USING (p, n))
+    SELECT o_orderkey, concat(p, CASE WHEN n = 0 THEN '' ELSE concat('-', n) END, '.jpg') AS free_name FROM w JOIN f USING (p, k)
+""")
+def import_names(c: Catalog) -> DataFrame:
+    """Orders that want a file named after their priority, beside names with numbers that others have."""
+    orders = c["orders"].select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey")
+    wanted = orders.where("o_orderstatus <> 'F'").select("o_orderkey", F.concat("o_orderpriority", F.lit(".jpg")).alias("name"))
+    taken = orders.where("o_orderstatus = 'F'").select(F.concat_ws("-", "o_orderpriority", "o_custkey").alias("name")).select(F.concat("name", F.lit(".jpg")).alias("name")).distinct()
+    return upkeep.free_names(wanted, taken, "name", [F.col("o_orderkey")]).select("o_orderkey", "free_name")
+
+
 # ---- listings and filters
 
 

@@ -414,3 +414,46 @@ def test_synthetic_library(spark):
     photos, vectors = library(spark, 200, 16)
     assert photos.count() == 200 and photos.select("place_name").distinct().count() == 5
     assert all(abs(sum(x * x for x in r.embedding) - 1) < 1e-5 for r in vectors.limit(5).collect())
+
+
+def one_by_one(wanted, taken):
+    """Each name in turn, as an importer that looks at the folder before every file would give it."""
+    held, out = dict(taken), []
+    for name, content in wanted:
+        stem, dot, extension = name.rpartition(".") if "." in name[1:] else (name, "", "")
+        number, at = 0, name
+        while at in held and not (held[at] is not None and held[at] == content):
+            number += 1
+            at = f"{stem}-{number}{dot}{extension}"
+        held.setdefault(at, content)
+        out.append(at)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_free_names_are_those_of_one_import_after_another(spark, seed):
+    rng = np.random.default_rng(seed)
+    pool = ["a.jpg", "a-1.jpg", "a-1-1.jpg", "a-2.jpg", "a-2019.jpg", "a", "a-1", "b.tar.gz", "b.tar-1.gz", ".x", ".x-1", "a-1.jpg-2"]
+    wanted = [(str(rng.choice(pool)), str(rng.integers(6))) for _ in range(60)]
+    taken = list({str(rng.choice(pool)): str(rng.integers(6)) for _ in range(5)}.items())
+    w = spark.createDataFrame([(i, *x) for i, x in enumerate(wanted)], "k int, name string, hash string").repartition(4)
+    t = spark.createDataFrame(taken, "name string, hash string")
+    got = {r.k: r.free_name for r in upkeep.free_names(w, t, "name", [F.col("k")], "hash").collect()}
+    assert [got[i] for i in range(60)] == one_by_one(wanted, taken)
+    alone = {r.k: r.free_name for r in upkeep.free_names(w, t, "name", [F.col("k")]).collect()}
+    assert [alone[i] for i in range(60)] == one_by_one([(n, None) for n, _ in wanted], taken) and len(set(alone.values()) | {n for n, _ in taken}) == 60 + len(taken)
+
+
+def test_neighbours_of_vectors_of_several_lengths_and_of_none(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [1.0]), (4, [0.0, 1.0, 0.0]), (5, [0.0, 0.6, 0.8]), (6, None), (7, []), (8, [float("nan"), 1.0]), (9, [1.0, None]), (10, [float("inf"), 0.0]), (11, [-1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    want = [(1, 1, 2), (2, 1, 1), (3, 1, 11), (4, 1, 5), (5, 1, 4), (11, 1, 3)]
+    assert sorted((r.query_id, r["rank"], r.id) for r in groups.nearest_to_queries(df, df, "id", "v", 3).collect()) == want
+    kept, groups.SENT = groups.SENT, 0
+    try:
+        assert sorted((r.query_id, r["rank"], r.id) for r in groups.nearest_to_queries(df, df, "id", "v", 3, 4, 2).collect()) == want
+    finally:
+        groups.SENT = kept
+    words = df.withColumn("id", F.format_string("v%02d", "id"))
+    assert sorted((r.query_id, r.id) for r in groups.nearest_to_queries(words, words, "id", "v", 3).collect()) == [(f"v{a:02d}", f"v{b:02d}") for a, _, b in want]
+    assert groups.nearest_to_queries(df.limit(0), df, "id", "v").count() == groups.nearest_to_queries(df, df.limit(0), "id", "v").count() == 0
