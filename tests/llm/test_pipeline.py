@@ -64,3 +64,12 @@ def test_a_passage_in_two_documents_stays_in_the_first(spark, folder):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], DOCS)
     got = {r.doc_id: r.text for r in pipeline.line_dedup(spark, docs, folder).collect()}
     assert got == {1: rows[0][1], 2: "second alone", 3: rows[2][1], 4: rows[3][1]}
+
+
+@pytest.mark.parametrize("parts", [1, 2, 3, 5])
+def test_of_an_id_with_two_texts_the_least_stays(spark, folder, parts):
+    a, b = "a text that stands alone in here", "by others this text is held too"
+    rows = [(1, b), (2, b), (2, a), (3, None), (3, "c text"), (4, "c text"), (None, b)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], DOCS).repartition(parts)
+    got = sorted(((r.doc_id or 0), r.text) for r in pipeline.near_dedup(spark, docs, folder).collect())
+    assert got == [(0, b), (1, b), (2, a), (3, "c text")]
