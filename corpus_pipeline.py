@@ -2,7 +2,7 @@
 
 Quality classifier, line de-duplication, near-duplicate removal, mixing of sources, BPE encoding and decoding.
 Defined cases: see each operator; a document whose lines all recur elsewhere goes with its last line; of a group of
-near duplicates the one of smallest id stays, and of rows that repeat an id one; rows without an id stay until the mix.
+near duplicates the one of smallest id stays, and of rows that repeat an id the one of least text; rows without an id stay until the mix.
 """
 
 from __future__ import annotations
@@ -36,7 +36,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
     groups = jaccard_join.jaccard_components(docs.select("doc_id", "text"))
     kept = materialize(groups.where("component_id = doc_id").select("doc_id").distinct(), "dedup-kept")
-    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS).unionByName(docs.where("doc_id is null"))
+    stay = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    several = materialize(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "dedup-several")
+    if not several.isEmpty():  # of an id's rows the one of least text stays, which was the one compared
+        least = F.min(F.struct(F.col("text").isNull().alias("none"), "text", "lang", "source", "n_chars")).alias("least")
+        one = stay.join(several, "doc_id").groupBy("doc_id").agg(least).select("doc_id", *[f"least.{c}" for c in COLUMNS[1:]])
+        stay = stay.join(several, "doc_id", "left_anti").select(*COLUMNS).unionByName(one)
+    return stay.select(*COLUMNS).unionByName(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
