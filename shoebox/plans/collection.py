@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass, field
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +13,11 @@ from shoebox.functions import vector
 from shoebox.operators import aggregate, groups, pairs, timeline, tuning, upkeep
 from shoebox.plans import filters as flt
 from shoebox.plans.catalogue import BUCKET, GAPS, ORACLE, QUERIES, RANKED, query
-from shoebox.schema import Catalog
+from shoebox.plans.search import Engine, SearchRequest
+from shoebox.schema import Catalog, schema_of
+from shoebox.session import ensure_checkpoint_dir
 from shoebox.sources import files
+from shoebox.sources.vector_index import VectorIndex
 from shoebox.streaming import incremental
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -34,6 +41,61 @@ def import_names(c: Catalog) -> DataFrame:
     return upkeep.free_names(wanted, taken, "name", [F.col("o_orderkey")]).select("o_orderkey", "free_name")
 
 
+# ---- a stored index of vectors
+
+
+@query("""
+    WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT e AS q FROM v WHERE vec_id = 7),
+    s AS (SELECT vec_id, label, e, list_dot_product(e, q) / sqrt(list_dot_product(e, e) * list_dot_product(q, q)) AS score FROM v, q),
+    f AS (SELECT 'all' AS kept, * FROM s UNION ALL SELECT 'label' AS kept, * FROM s WHERE label = 2 UNION ALL SELECT 'few' AS kept, * FROM s WHERE e[1] > 0.3)
+    SELECT kept, row_number() OVER (PARTITION BY kept ORDER BY score DESC, vec_id)::INT AS rank, vec_id, round(score, 6) AS score FROM f
+    QUALIFY row_number() OVER (PARTITION BY kept ORDER BY score DESC, vec_id) <= 10
+""")
+def vector_index_topk(c: Catalog) -> DataFrame:
+    """The ten nearest of all rows, of one label's and of a few, from an index in cells."""
+    ensure_checkpoint_dir(c.spark)
+    path = f"{c.spark.sparkContext.getCheckpointDir().rstrip('/')}/vector-index-{uuid.uuid4().hex}"
+    index = VectorIndex.build(c["embeddings"].select("vec_id", "label", "embedding"), path, "vec_id", "embedding")
+    (asked,) = c["embeddings"].where("vec_id = 7").select("embedding").first()
+    filters = {"all": None, "label": F.col("label") == 2, "few": F.element_at("embedding", 1) > 0.3}
+    hits = [index.search(asked, 10, where, exact=True).hits.withColumn("kept", F.lit(kept)) for kept, where in filters.items()]
+    order = Window.partitionBy("kept").orderBy(F.desc("score"), "vec_id")  # ten rows each
+    return reduce(DataFrame.unionByName, hits).select("kept", F.row_number().over(order).alias("rank"), "vec_id", F.round("score", 6).alias("score"))
+
+
+# ---- many searches in one plan
+
+
+@dataclass(frozen=True)
+class Frames(Catalog):
+    """A catalogue of frames that are made from other tables; tables that are not given are empty."""
+
+    frames: dict[str, DataFrame] = field(default_factory=dict)
+
+    def __getitem__(self, table: str) -> DataFrame:
+        schema, given = schema_of(table), self.frames.get(table)
+        if given is None:
+            return self.spark.createDataFrame([], schema)
+        return given.select(*[(F.col(f.name) if f.name in given.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+
+
+@query("""
+    WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+    r AS (SELECT q.vec_id AS query, x.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.e, x.e), 12) DESC, x.vec_id)::INT AS rank
+    FROM v q JOIN v x ON x.label = q.label WHERE q.vec_id % 20 = 0)
+    SELECT query, rank, vec_id, round(1.0 / (60 + rank), 12) AS score FROM r WHERE rank <= 20
+""")
+def batch_search(c: Catalog) -> DataFrame:
+    """Each stated query's page among the rows of its label: one request for each, all in one plan."""
+    rows = c["embeddings"].select(F.format_string("%012d", "vec_id").alias("id"), "label", "embedding")
+    photos = rows.select("id", F.lit("image").alias("media_type"), F.col("label").alias("iso"))
+    library = Frames(c.spark, c.root, {"photos": photos, "image_embeddings": rows.select(F.col("id").alias("photo_id"), F.lit("default").alias("model"), "embedding")})
+    asked = c["embeddings"].where("vec_id % 20 = 0").select("vec_id", "label", "embedding").toLocalIterator()  # requests, as a caller would have them
+    requests = {str(r.vec_id): SearchRequest(query_vector=tuple(r.embedding), filters=flt.SearchFilters(iso_min=r.label, iso_max=r.label)) for r in asked}
+    found = Engine(library).search_many(requests)
+    return found.select(F.col("query").cast("long").alias("query"), "rank", F.col("id").cast("long").alias("vec_id"), F.round("score", 12).alias("score"))
+
+
 # ---- listings and filters
 
 

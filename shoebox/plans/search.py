@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from shoebox.functions import text, vector
 from shoebox.operators.ranking import collapse, keyword_signal, ranked, rrf
 from shoebox.plans import filters as flt
+from shoebox.plans.batch import search_many
 from shoebox.schema import Catalog
+from shoebox.session import ensure_checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -135,14 +137,29 @@ class Engine:
         signals = self.signals(request)
         weights = {**self.weights, **request.weights, "recency": 1.0}
         hits = self.hydrate(rrf(signals, weights, request.rrf_k), request)
-        if request.filters.is_empty() or request.liked or not hits.isEmpty():
+        if request.filters.is_empty() or request.liked:
             return SearchResult(hits, tuple(signals), False)
+        page = hits.collect()  # at most k rows: worked out once, for the look whether there are any and for the caller
+        if page:
+            return SearchResult(self.catalog.spark.createDataFrame(page, hits.schema), tuple(signals), False)
         again = SearchRequest(**{**request.__dict__, "filters": flt.SearchFilters()})
         found = self.search(again)
         return SearchResult(found.hits, found.signals, True)
 
+    def search_many(self, requests: dict[str, SearchRequest]) -> DataFrame:
+        """(query, rank, id, score, best, fell_back) of every named request's page, all requests in one plan."""
+        return search_many(self, requests)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """`df` as a table in the checkpoint folder, worked out once."""
+        ensure_checkpoint_dir(self.catalog.spark)
+        return df.checkpoint()
+
     def similar(self, photo_id: str, model: str = "default", k: int = 20) -> SearchResult:
         """Photos like a stored one, which is left out; no other signal takes part."""
-        request = SearchRequest(query_vector=tuple(self._vectors((photo_id,), model)[0]), disliked=(), model=model, k=k, filters=flt.SearchFilters(exclude_ids=(photo_id,)))
+        own = self._vectors((photo_id,), model)
+        if not own:  # nothing is like a photo that has no vector
+            return SearchResult(self.hydrate(rrf({"clip": self.catalog["photos"].select("id", F.lit(1).alias("rank")).limit(0)}, {}), SearchRequest(k=k)), (), False)
+        request = SearchRequest(query_vector=tuple(own[0]), disliked=(), model=model, k=k, filters=flt.SearchFilters(exclude_ids=(photo_id,)))
         signals = {"clip": self.signals(request)["clip"]}
         return SearchResult(self.hydrate(rrf(signals, {}), request), ("clip",), False)
