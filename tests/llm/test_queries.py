@@ -134,6 +134,16 @@ def test_op10_shards(spark, folder, texts):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_op11_columns(spark, folder):
+    out = QUERIES["op11_cholesky_jacobi"](spark, folder)
+    assert types(out) == {"vec_id": "bigint", "component": "int", "n": "bigint", "deviation": "bigint", "whitened": "double", "explained": "double", "identity_error": "double"}
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.vec_id, set()).add((r.component, r.n))
+    # 151 rows of 16 numbers, and three of 2; the null vector is dropped
+    assert got[0] == {(k, 151) for k in range(1, 17)} and got[501] == got[0] and got[550] == {(1, 3), (2, 3)} and 500 not in got and len(got) == 154
+
+
 def test_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels", "embeddings"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
