@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoebox.functions import vector
-from shoebox.operators import aggregate, groups, pairs, timeline, tuning, upkeep
+from shoebox.operators import aggregate, density, groups, pairs, timeline, tuning, upkeep
 from shoebox.plans import filters as flt
 from shoebox.plans.catalogue import BUCKET, GAPS, ORACLE, QUERIES, RANKED, query
 from shoebox.plans.search import Engine, SearchRequest
@@ -420,3 +420,39 @@ def moved_paths(c: Catalog) -> DataFrame:
 @query("SELECT doc_id, '/api/photos/' || doc_id || '/thumb?size=256' || CASE WHEN text IS NULL THEN '' ELSE '&v=' || md5(text)[1:12] END AS url FROM documents")
 def media_urls(c: Catalog) -> DataFrame:
     return c["documents"].select("doc_id", files.media_url(F.col("doc_id").cast("string"), "thumb", F.md5("text")).alias("url"))
+
+
+# ---- density clusters
+
+
+@query("""
+    WITH RECURSIVE n AS (SELECT q.vec_id AS a, e.vec_id AS b, round(sqrt(greatest(0, 2 - 2 * list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 9) AS d
+        FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id
+        QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) <= 10),
+    core AS (SELECT a, d AS core FROM n QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = 2),
+    p AS (SELECT least(a, b) AS a, greatest(a, b) AS b, min(d) AS d FROM n GROUP BY 1, 2),
+    u AS (SELECT p.a, p.b, greatest(d, x.core, y.core) AS w FROM p JOIN core x ON x.a = p.a JOIN core y ON y.a = p.b),
+    e AS (SELECT a, b, w FROM u UNION ALL SELECT b, a, w FROM u),
+    l AS MATERIALIZED (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY a ORDER BY w, b) <= 3),
+    s1 AS (SELECT a AS id, [a, b] AS part, w AS birth FROM l QUALIFY row_number() OVER (PARTITION BY a ORDER BY w, b) = 1),
+    s2 AS (SELECT id, list_append(part, b) AS part, greatest(birth, w) AS birth FROM s1 JOIN l ON list_contains(part, a) AND NOT list_contains(part, b)
+        QUALIFY row_number() OVER (PARTITION BY id ORDER BY w, b) = 1),
+    s3 AS MATERIALIZED (SELECT id, greatest(birth, w) AS birth FROM s2 JOIN l ON list_contains(part, a) AND NOT list_contains(part, b)
+        QUALIFY row_number() OVER (PARTITION BY id ORDER BY w, b) = 1),
+    f AS MATERIALIZED (SELECT e.a, e.b, x.birth AS ba, y.birth AS bb, greatest(w, x.birth, y.birth) AS w FROM e JOIN s3 x ON x.id = e.a JOIN s3 y ON y.id = e.b),
+    reach AS (SELECT id AS a, id AS b FROM s3 UNION SELECT reach.a, f.b FROM reach JOIN f ON f.a = reach.b WHERE f.ba = f.bb AND f.w = f.ba),
+    level AS MATERIALIZED (SELECT a AS id, min(b) AS plateau FROM reach GROUP BY a),
+    down AS MATERIALIZED (SELECT x.plateau, first(y.plateau ORDER BY bb, y.plateau) AS parent FROM f JOIN level x ON x.id = f.a JOIN level y ON y.id = f.b
+        WHERE bb < ba AND w = ba GROUP BY 1),
+    up AS (SELECT DISTINCT plateau, plateau AS root FROM level UNION SELECT up.plateau, down.parent FROM up JOIN down ON down.plateau = up.root),
+    held AS MATERIALIZED (SELECT id, birth, root FROM s3 JOIN level USING (id) JOIN up USING (plateau) WHERE root NOT IN (SELECT plateau FROM down)),
+    ends AS (SELECT x.root, min(w) AS ends FROM f JOIN held x ON x.id = f.a JOIN held y ON y.id = f.b WHERE x.root <> y.root GROUP BY 1)
+    SELECT vec_id, CASE WHEN birth < coalesce(ends, 'inf'::DOUBLE) AND (SELECT count(DISTINCT root) FROM held) > 1 THEN root END AS cluster
+    FROM (SELECT DISTINCT a AS vec_id FROM n) v LEFT JOIN held ON id = vec_id LEFT JOIN ends USING (root)
+""")
+def density_leaves(c: Catalog) -> DataFrame:
+    """Density clusters of all vectors' graph of ten nearest; what belongs to none has a null."""
+    near = groups.nearest_to_queries(c["embeddings"], c["embeddings"], "vec_id", "embedding", 10)
+    distance = F.round(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score"))), 9)
+    found = density.density_clusters(near.select("query_id", "id", distance.alias("distance")))
+    return found.select(F.col("id").alias("vec_id"), "cluster")
