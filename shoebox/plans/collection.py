@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoebox.functions import vector
+from shoebox.functions import english, text, vector
 from shoebox.operators import aggregate, density, groups, pairs, timeline, tuning, upkeep
 from shoebox.plans import filters as flt
 from shoebox.plans.catalogue import BUCKET, GAPS, ORACLE, QUERIES, RANKED, query
@@ -18,6 +18,7 @@ from shoebox.schema import Catalog, schema_of
 from shoebox.session import ensure_checkpoint_dir
 from shoebox.sources import files
 from shoebox.sources.vector_index import VectorIndex
+from shoebox.sources.word_index import WordIndex
 from shoebox.streaming import incremental
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -456,3 +457,70 @@ def density_leaves(c: Catalog) -> DataFrame:
     distance = F.round(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score"))), 9)
     found = density.density_clusters(near.select("query_id", "id", distance.alias("distance")))
     return found.select(F.col("id").alias("vec_id"), "cluster")
+
+
+# ---- a stored index of words
+
+ASKED = {"insults": "idiots and morons", "licence": "Licensing, licensed or a license", "generations": "generations of relational happiness", "none": "the of and"}
+
+
+def _stem_sql(words: str) -> str:
+    """CTEs that end in `stem` (word, token): the stems of a table of distinct `word`s, rule by rule."""
+    first, short, double = r"[^aeiouy]*[aeiouy]+[^aeiouy]", "([^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$", "(bb|dd|ff|gg|mm|nn|pp|rr|tt)$"
+
+    def table(endings: dict[str, str]) -> str:
+        return "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in endings.items()) + "}"
+
+    def swapped(before: str, after: str, endings: dict[str, str], allowed: str) -> str:
+        return f"""{after} AS (SELECT word, r1, r2, still, CASE WHEN NOT still AND e <> '' AND {allowed} THEN base || {table(endings)}[e] ELSE w END AS w
+            FROM (SELECT *, w[:len(w) - len(e)] AS base FROM (SELECT *, regexp_extract(w, '{english.ending(endings)}', 1) AS e FROM {before})))"""
+
+    return f"""
+    y AS (SELECT word, regexp_replace(word, '(^|[aeiouy])y', '\\1Y', 'g') AS w FROM ({words}) WHERE regexp_full_match(word, '[a-z]{{3,}}') AND word NOT IN {english.KEPT}),
+    f AS (SELECT *, CASE WHEN regexp_matches(w, '^(gener|commun|arsen)') THEN len(regexp_extract(w, '^(gener|commun|arsen)')) ELSE len(regexp_extract(w, '^{first}')) END AS n FROM y),
+    g AS (SELECT word, w, CASE WHEN n > 0 THEN n ELSE len(w) END AS r1 FROM f),
+    h AS (SELECT *, len(regexp_extract(w[r1 + 1:], '^{first}')) AS m FROM g),
+    a AS (SELECT word, r1, CASE WHEN m > 0 THEN r1 + m ELSE len(w) END AS r2, CASE WHEN w LIKE '%sses' THEN w[:len(w) - 2]
+        WHEN regexp_matches(w, '(ied|ies)$') THEN w[:len(w) - CASE WHEN len(w) > 4 THEN 2 ELSE 1 END] WHEN regexp_matches(w, '(us|ss)$') THEN w
+        WHEN regexp_matches(w, '[aeiouy].+s$') THEN w[:len(w) - 1] ELSE w END AS w FROM h),
+    b AS (SELECT *, w IN {english.KEPT_SINGULAR} AS still, regexp_extract(w, '{english.ending(english.PAST)}', 1) AS e FROM a),
+    b1 AS (SELECT *, w[:len(w) - len(e)] AS base FROM b),
+    b2 AS (SELECT word, r1, r2, still, CASE WHEN still OR e = '' THEN w WHEN e LIKE 'ee%' THEN CASE WHEN len(base) >= r1 THEN base || 'ee' ELSE w END
+        WHEN NOT regexp_matches(base, '[aeiouy]') THEN w WHEN regexp_matches(base, '(at|bl|iz)$') THEN base || 'e' WHEN regexp_matches(base, '{double}') THEN base[:len(base) - 1]
+        WHEN len(base) <= r1 AND regexp_matches(base, '{short}') THEN base || 'e' ELSE base END AS w FROM b1),
+    c AS (SELECT word, r1, r2, still, CASE WHEN NOT still AND regexp_matches(w, '^.+[^aeiouy][yY]$') THEN w[:len(w) - 1] || 'i' ELSE w END AS w FROM b2),
+    {swapped("c", "d", english.DERIVED, "len(base) >= r1 AND (e <> 'ogi' OR base LIKE '%l') AND (e <> 'li' OR regexp_matches(base, '[cdeghkmnrt]$'))")},
+    {swapped("d", "k", english.FURTHER, "len(base) >= r1 AND (e <> 'ative' OR len(base) >= r2)")},
+    {swapped("k", "l", dict.fromkeys(english.DROPPED, ""), "len(base) >= r2 AND (e <> 'ion' OR regexp_matches(base, '[st]$'))")},
+    z AS (SELECT word, CASE WHEN NOT still AND (w LIKE '%e' AND (len(w) > r2 OR (len(w) > r1 AND NOT regexp_matches(w[:len(w) - 1], '{short}'))) OR w LIKE '%ll' AND len(w) > r2) THEN w[:len(w) - 1] ELSE w END AS w FROM l),
+    stem AS MATERIALIZED (SELECT word, coalesce({table(english.OWN)}[word], replace(w, 'Y', 'y'), word) AS token FROM ({words}) LEFT JOIN z USING (word))"""
+
+
+SPOKEN = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+
+
+@query(f"""
+    WITH said AS MATERIALIZED (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest({SPOKEN.format("text")}) AS word FROM documents) GROUP BY ALL),
+    asked AS (SELECT query, unnest({SPOKEN.format("words")}) AS word FROM (VALUES {", ".join(str(x) for x in ASKED.items())}) v(query, words)),
+    {_stem_sql("SELECT word FROM said UNION SELECT word FROM asked")},
+    q AS (SELECT DISTINCT query, token FROM asked JOIN stem USING (word) WHERE word NOT IN {text.STOP_WORDS}),
+    s AS (SELECT query, doc_id AS id, sum(n)::DOUBLE AS score FROM said JOIN stem USING (word) JOIN q USING (token) WHERE word NOT IN {text.STOP_WORDS} GROUP BY ALL)
+    SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, id)::INT AS rank, id, score FROM s
+    QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 50
+""")
+def word_index_topk(c: Catalog) -> DataFrame:
+    """Some requests against a stored index of the stems of all documents."""
+    ensure_checkpoint_dir(c.spark)
+    path = f"{c.spark.sparkContext.getCheckpointDir().rstrip('/')}/word-index-{uuid.uuid4().hex}"
+    index = WordIndex.build(c["documents"].select("doc_id", "text"), path, "doc_id", {"text": "text"})
+    return index.search_many(c.spark.createDataFrame([*ASKED.items()], "query string, words string"), 50)
+
+
+@query(f"""
+    WITH said AS MATERIALIZED (SELECT unnest({SPOKEN.format("text")}) AS word FROM documents), {_stem_sql("SELECT DISTINCT word FROM said WHERE word IS NOT NULL")}
+    SELECT token, count(*) AS forms, sum(n)::BIGINT AS n FROM stem JOIN (SELECT word, count(*) AS n FROM said GROUP BY 1) USING (word) GROUP BY 1
+""")
+def stem_families(c: Catalog) -> DataFrame:
+    """How many words, and how many of their occurrences, fall under each stem."""
+    counted = c["documents"].select(F.explode(text.words("text")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return counted.groupBy(english.english_stem(F.col("word")).alias("token")).agg(F.count("*").alias("forms"), F.sum("n").alias("n"))
