@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,3 +84,50 @@ def sweep(catalogued: DataFrame, listing: DataFrame, derived: list[DataFrame], k
     gone = changes.where("status = 'deleted'").select(key, F.lit("remove").alias("todo"))
     known = changes.where("status in ('unchanged', 'touched')").select(key)
     return scan.unionByName(gone).unionByName(upkeep.pending(known, key, derived).withColumn("todo", F.lit("complete")))
+
+
+def debounced(events: DataFrame, key: str, order: str, wait_s: float = 5.0) -> DataFrame:
+    """The last event (by `order`, a whole number) of each key, once nothing has come for the key for `wait_s` seconds.
+
+    State is one event for each key that is waiting, and goes with its timer, which a restart finds in the checkpoint. Of
+    events with equal `order` one is chosen by its content, so that replays agree. An event without a key or an order is
+    left out. The stream's other columns may be of any type that JSON can hold.
+    """
+    fine = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    packed = events.select(F.col(key).cast("string").alias("debounce_key"), F.col(order).cast("bigint").alias("turn"), F.to_json(F.struct(*events.columns), fine).alias("event"))
+
+    def step(_, batches, state):
+        if state.hasTimedOut:
+            (_, event) = state.get
+            state.remove()
+            yield pd.DataFrame({"event": [event]})
+            return
+        last = tuple(state.get) if state.exists else None
+        for batch in batches:
+            for turn, event in zip(batch["turn"].tolist(), batch["event"].tolist()):
+                last = max(last, (turn, event)) if last else (turn, event)
+        state.update(last)
+        state.setTimeoutDuration(max(1, int(wait_s * 1000)))
+
+    keyed = packed.where("debounce_key is not null and turn is not null").groupBy("debounce_key")
+    quiet_ones = keyed.applyInPandasWithState(step, "event string", "turn bigint, event string", "append", "ProcessingTimeTimeout")
+    return quiet_ones.select(F.from_json("event", events.schema, fine).alias("e")).select("e.*")
+
+
+def write_once(path: str, stages: dict[str, Callable[[DataFrame], DataFrame]]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch that runs dependent stages, each on what the one before has written, exactly once for each batch.
+
+    A stage's rows of a batch are the folder `stage`/batch=id. A stage that has finished left _SUCCESS there, and a restart
+    after a loss in between goes on behind it; one that was cut off is written anew. The folders are the ledger.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        rows, spark = batch, batch.sparkSession
+        for name, stage in stages.items():
+            at = f"{path.rstrip('/')}/{name}/batch={number}"
+            made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+            if not made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(made):
+                stage(rows).write.mode("overwrite").parquet(at)
+            rows = spark.read.parquet(at)
+
+    return each
