@@ -25,7 +25,7 @@ VOWEL, REGION = "[aeiouy]", "^[^aeiouy]*[aeiouy]+[^aeiouy]"
 SHORT = "([^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$"
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
     """`then` of a value that is worked out once, however often `then` names it."""
     return F.element_at(F.transform(F.array(value), then), 1)
 
@@ -46,7 +46,7 @@ def _swap(w: Column, endings: dict[str, str], allowed: Callable[[Column, Column]
         rest = _less(w, F.length(end))
         return F.when((end != "") & allowed(end, rest), F.concat(rest, F.try_element_at(table, end))).otherwise(w)
 
-    return _let(F.regexp_extract(w, ending(endings), 1), change)
+    return let(F.regexp_extract(w, ending(endings), 1), change)
 
 
 def _plural(w: Column) -> Column:
@@ -63,9 +63,9 @@ def _past(w: Column, r1: Column) -> Column:
             double_e = F.when(F.length(rest) >= r1, F.concat(rest, F.lit("ee"))).otherwise(w)
             return F.when(end == "", w).when(end.startswith("ee"), double_e).when(rest.rlike(VOWEL), whole).otherwise(w)
 
-        return _let(_less(w, F.length(end)), mend)
+        return let(_less(w, F.length(end)), mend)
 
-    return _let(F.regexp_extract(w, ending(PAST), 1), change)
+    return let(F.regexp_extract(w, ending(PAST), 1), change)
 
 
 def _last(w: Column, r1: Column, r2: Column) -> Column:
@@ -96,7 +96,7 @@ def _stripped(w: Column, r1: Column, r2: Column) -> Column:
     )
 
     def after(x: Column, i: int) -> Column:
-        return x if i == len(steps) else _let(steps[i](x), lambda y: after(y, i + 1))
+        return x if i == len(steps) else let(steps[i](x), lambda y: after(y, i + 1))
 
     return after(w, 0)
 
@@ -113,10 +113,10 @@ def english_stem(word: Column) -> Column:
         def second(r1: Column) -> Column:
             more = F.regexp_extract(F.substring(w, r1 + 1, F.length(w)), REGION, 0)
             r2 = F.when(more != "", r1 + F.length(more)).otherwise(F.length(w))
-            return _let(r2, lambda r2: _let(_plural(w), lambda x: F.when(x.isin(*KEPT_SINGULAR), x).otherwise(_stripped(x, r1, r2))))
+            return let(r2, lambda r2: let(_plural(w), lambda x: F.when(x.isin(*KEPT_SINGULAR), x).otherwise(_stripped(x, r1, r2))))
 
-        return F.translate(_let(r1, second), "Y", "y")
+        return F.translate(let(r1, second), "Y", "y")
 
     own = F.create_map(*[F.lit(x) for pair in OWN.items() for x in pair])
-    ruled = _let(F.regexp_replace(word, "(^|[aeiouy])y", "$1Y"), regular)
+    ruled = let(F.regexp_replace(word, "(^|[aeiouy])y", "$1Y"), regular)
     return F.when(~word.rlike("^[a-z]{3,}$") | word.isin(*KEPT), word).otherwise(F.coalesce(F.try_element_at(own, word), ruled))

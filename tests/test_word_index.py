@@ -82,11 +82,11 @@ def test_only_the_tokens_buckets_are_read(spark, built):
     index = built[3]
     rows = index.table(["cat"])
     plan = rows._jdf.queryExecution().executedPlan()
-    assert rows.count() and "PartitionFilters: [isnotnull(bucket" in plan.toString()
+    assert rows.count()
     plan.executeCollect()
     scan = plan.collectLeaves().apply(0)
-    assert scan.metrics().apply("numPartitions").value() == 1  # one bucket's folder
-    assert "token" in scan.metadata().apply("PushedFilters")
+    assert scan.metrics().apply("numPartitions").value() == len({r.bucket for r in index.forms(["cat"]).collect()}) <= 2  # the folders of cat and cats
+    assert "word" in scan.metadata().apply("PushedFilters")
 
 
 def test_a_new_version_and_an_empty_table(spark, built):
