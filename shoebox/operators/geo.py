@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The earth's radius and how far a place may lie, in km; what makes a place small, and a city large.
-EARTH_KM, FARTHEST_KM, SMALL, LARGER = 6371.0088, 150.0, 25_000, 20
+#: The earth's radius and how far a place may lie, in km; what makes a place small, and a city large; the
+#: least population counted, which is also that of a place without one; and how many of the nearest places are looked at.
+EARTH_KM, FARTHEST_KM, SMALL, LARGER, LEAST, NEAREST = 6371.0088, 150.0, 25_000, 20, 1000.0, 50
+
+#: The side of the largest cells, the chord of FARTHEST_KM on a sphere of radius 1; how often cells are halved;
+#: and how often a cell once more, for the parts that are given lists of places.
+SIDE, LEVELS, FINER = 2 * math.sin(FARTHEST_KM / EARTH_KM / 2) * 1.000001, 8, 2
 
 
 def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -15,36 +22,89 @@ def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
 
 
 def city_radius_km(population: Column) -> Column:
-    return 1.5 + 3.5 * F.log10(F.greatest(population, F.lit(1000.0)) / 1000)
+    return 1.5 + 3.5 * F.log10(F.greatest(population, F.lit(LEAST)) / LEAST)
+
+
+def _on_sphere(lat: Column, lon: Column) -> list[Column]:
+    """Coordinates in space, so that neither the date line nor the poles are borders."""
+    lat, lon = F.radians(lat), F.radians(lon)
+    return [(F.cos(lat) * F.cos(lon)).alias("x"), (F.cos(lat) * F.sin(lon)).alias("y"), F.sin(lat).alias("z")]
+
+
+def _cell(level: Column, finer: int = 0) -> Column:
+    """The cell of a level that holds (x, y, z)."""
+    side = SIDE / F.pow(F.lit(2.0), level + finer)
+    return F.struct(level.alias("level"), *[F.floor((F.col(c) + 1) / side).cast("int").alias(c) for c in "xyz"])
+
+
+def _cells(levels: int) -> Column:
+    return F.array(*[_cell(F.lit(n)) for n in range(levels + 1)])
 
 
-def _cells(lat: Column, lon: Column, size: float) -> tuple[Column, Column]:
-    return F.floor(lat / size).cast("int"), F.floor(lon / size).cast("int")
+def _located(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("lat").between(-90, 90) & (F.abs("lon") < F.lit(float("inf"))))
 
 
-def reverse_geocode(points: DataFrame, places: DataFrame, cell: float = 2.0) -> DataFrame:
+def reverse_geocode(points: DataFrame, places: DataFrame, levels: int = LEVELS, nearest: int = NEAREST) -> DataFrame:
     """`points` (with lat, lon) with place_name, admin1, country and distance_km of their place, or nulls.
 
-    Points and places meet by grid cell: each place is put into all cells that reach within FARTHEST_KM of it (more of
-    them towards the poles), so that the join is on the cell and no point meets all places. A small nearest place, or
-    one named "City District", gives way to the most populous place LARGER times as big whose radius holds the point.
+    Cells are cubes around the sphere, halved as long as they hold `nearest` places: a point's cell is the smallest such
+    one that holds it. Its nearest places lie within the cell's diagonal, so two rings of cells of that size hold them
+    all; around a largest cell one ring reaches FARTHEST_KM. Each part of a cell in use gets its list once: the places
+    that can be among the nearest of any point in it, so the list's length depends on how evenly places lie (and how
+    many share a spot), not on points. Points meet the lists by one equi-join, never each other: a city with half of all
+    points has as many parts as its places fill, and adaptive execution splits one with very many points.
+
+    Of the `nearest` places within FARTHEST_KM the first wins, of equally near ones the first by name. If it is small, or
+    named "City District", it gives way to the most populous one LARGER times as big, or of that name and bigger, whose
+    radius holds the point. Points and places without a finite position take no part (their place is null).
     """
-    where = points.select("lat", "lon").where("lat is not null and lon is not null").distinct()  # a position is looked up once
-    reach = F.lit(FARTHEST_KM / 111.0)
-    wide = F.least(reach / F.greatest(F.cos(F.radians(F.abs("lat") + reach)), F.lit(0.05)), F.lit(180.0))
-    row, column = _cells(F.col("lat"), F.col("lon"), cell)
-    spread = places.select(
-        F.col("name").alias("place_name"), "admin1", "country", F.col("lat").alias("place_lat"), F.col("lon").alias("place_lon"), F.col("population").cast("double").alias("population"),
-        F.explode(F.sequence(F.floor((F.col("lat") - reach) / cell).cast("int"), F.floor((F.col("lat") + reach) / cell).cast("int"))).alias("row"), wide.alias("wide"),
-    ).withColumn("column", F.explode(F.sequence(F.floor((F.col("place_lon") - F.col("wide")) / cell).cast("int"), F.floor((F.col("place_lon") + F.col("wide")) / cell).cast("int"))))
-    turn = int(360 // cell)
-    spread = spread.withColumn("column", F.pmod("column", F.lit(turn))).drop("wide").distinct()
-    asked = where.select("lat", "lon", row.alias("row"), F.pmod(column, F.lit(turn)).alias("column"))
-    met = asked.join(spread, ["row", "column"]).withColumn("km", great_circle_km(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon"))).where(F.col("km") <= FARTHEST_KM)
-    place = F.struct("place_name", "admin1", "country", "population", "km")
-    nearest = met.groupBy("lat", "lon").agg(F.min_by(place, F.struct("km", "place_name")).alias("near"))
-    larger = met.where(F.col("km") <= city_radius_km(F.col("population"))).join(nearest, ["lat", "lon"])
-    gives_way = ((F.col("near.population") < SMALL) & (F.col("population") >= LARGER * F.col("near.population"))) | (F.col("near.place_name").startswith(F.concat("place_name", F.lit(" "))))
-    city = larger.where(gives_way).groupBy("lat", "lon").agg(F.max_by(place, F.struct("population", -F.col("km"))).alias("city"))
-    found = nearest.join(city, ["lat", "lon"], "left").select("lat", "lon", F.coalesce("city", "near").alias("p"))
-    return points.join(found, ["lat", "lon"], "left").select(*points.columns, F.col("p.place_name").alias("place_name"), F.col("p.admin1").alias("admin1"), F.col("p.country").alias("country"), F.col("p.km").alias("distance_km"))
+    # a position is looked up once; a number of partitions of its own, as the work is more than its bytes tell
+    where = _located(points.select("lat", "lon")).repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lat", "lon").distinct()
+    towns = _located(places).select(
+        F.struct(F.col("name").alias("place_name"), "admin1", "country", F.coalesce(F.col("population").cast("double"), F.lit(LEAST)).alias("population"), "lat", "lon", *_on_sphere(F.col("lat"), F.col("lon"))).alias("place")
+    )
+    celled = towns.select("place", "place.x", "place.y", "place.z").select("place", F.explode(_cells(levels)).alias("cell"))
+    full = celled.where("cell.level > 0").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") >= nearest)
+    asked = where.select("lat", "lon", *_on_sphere(F.col("lat"), F.col("lon"))).select("lat", "lon", F.explode(_cells(levels)).alias("cell"))
+    asked = asked.join(full, "cell", "left").where("cell.level = 0 or n is not null").groupBy("lat", "lon").agg(F.max("cell.level").alias("level"))
+    asked = asked.select("lat", "lon", "level", *_on_sphere(F.col("lat"), F.col("lon")))
+    asked = asked.select("lat", "lon", F.struct(_cell(F.col("level")).alias("cell"), _cell(F.col("level"), FINER).alias("fine")).alias("part"))
+
+    side, fine = F.lit(SIDE) / F.pow(F.lit(2.0), F.col("level")), F.lit(SIDE) / F.pow(F.lit(2.0), F.col("level") + FINER)
+    parts = asked.select("part").distinct().select("part", "part.cell")
+    around = parts.select("cell").distinct().select(F.col("cell").alias("of"), F.when(F.col("cell.level") == 0, 1).otherwise(2).alias("rings"))
+    for c in "xyz":
+        around = around.withColumn(c, F.explode(F.sequence(F.col("of")[c] - F.col("rings"), F.col("of")[c] + F.col("rings"))))
+    around = around.select("of", F.struct("of.level", "x", "y", "z").alias("cell")).join(celled, "cell").select(F.col("of").alias("cell"), "place")
+    met = parts.join(around, "cell").withColumn("level", F.col("cell.level"))
+    # a point lies within `half` of the middle of its part
+    half, from_middle = fine * (math.sqrt(3) / 2), F.sqrt(sum((F.pow((F.col("part.fine")[c] + 0.5) * fine - 1 - F.col("place")[c], 2) for c in "xyz"), F.lit(0.0)))
+    met = met.select("part", "place", half.alias("half"), F.least(side * math.sqrt(3), F.lit(SIDE)).alias("reach"), from_middle.alias("away")).where(F.col("away") <= F.col("reach") + F.col("half"))
+    near = met.groupBy("part").agg(F.max("half").alias("half"), F.max("reach").alias("reach"), F.array_sort(F.collect_list(F.struct("away", "place"))).alias("places"))
+    enough = F.least(F.coalesce(F.get("places", F.lit(nearest - 1))["away"] + F.col("half"), F.col("reach")), F.col("reach")) + F.col("half")
+    near = near.select("part", F.transform(F.filter("places", lambda p: p["away"] <= enough * 1.000001), lambda p: p["place"]).alias("places"))
+
+    def chord(p: Column) -> Column:
+        return sum(((p[c] - F.col(c)) * (p[c] - F.col(c)) for c in "xyz"), F.lit(0.0))
+
+    met = asked.join(near, "part").select("lat", "lon", "places", *_on_sphere(F.col("lat"), F.col("lon")))
+    met = met.select("lat", "lon", F.slice(F.array_sort(F.transform("places", lambda p: F.struct(chord(p).alias("chord"), p.alias("place")))), 1, nearest).alias("hits"))
+
+    def measured(h: Column) -> Column:
+        p = h["place"]
+        return F.struct(great_circle_km(F.col("lat"), F.col("lon"), p["lat"], p["lon"]).alias("km"), p["place_name"].alias("place_name"), p["admin1"].alias("admin1"), p["country"].alias("country"), p["population"].alias("population"))
+
+    hits = met.select("lat", "lon", F.array_sort(F.filter(F.transform("hits", measured), lambda h: h["km"] <= FARTHEST_KM)).alias("hits"))
+    hits = hits.select("lat", "lon", "hits", F.get("hits", F.lit(0)).alias("near"))
+    population = F.col("near.population")
+
+    def gives_way(h: Column) -> Column:
+        larger = (population < SMALL) & (h["population"] >= LARGER * F.greatest(population, F.lit(LEAST)))
+        district = F.col("near.place_name").startswith(F.concat(h["place_name"], F.lit(" "))) & (h["population"] > population)
+        return (h["km"] <= city_radius_km(h["population"])) & (larger | district)
+
+    cities = F.transform(F.filter("hits", gives_way), lambda h: F.struct(h["population"].alias("population"), (-h["km"]).alias("closeness"), h.alias("place")))
+    found = hits.select("lat", "lon", F.coalesce(F.array_max(cities)["place"], "near").alias("geo_place"))
+    named = [F.col(f"geo_place.{a}").alias(b) for a, b in (("place_name", "place_name"), ("admin1", "admin1"), ("country", "country"), ("km", "distance_km"))]
+    return points.join(found, ["lat", "lon"], "left").select(*points.columns, *named)

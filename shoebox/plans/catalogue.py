@@ -675,6 +675,29 @@ def geocode_nearest(c: Catalog) -> DataFrame:
     return reverse_geocode(points, nation).select("id", "place_name", F.round("distance_km", 6).alias("km"))
 
 
+@query("""WITH p AS (SELECT c_custkey AS id, 38 + (c_custkey * 53 % 2003) / 2003.0::DOUBLE * 7 AS lat, (c_custkey * 29 % 1999) / 1999.0::DOUBLE * 10 AS east FROM customer),
+    q AS (SELECT id, lat, CASE WHEN east < 4 THEN 176 + east ELSE east - 184 END AS lon FROM p),
+    g AS (SELECT 'N' || s_nationkey || CASE WHEN s_suppkey % 10 = 0 THEN '' ELSE ' ' || s_suppkey END AS name, 40 + (s_suppkey * 37 % 1009) / 1009.0::DOUBLE * 3 AS lat,
+        (s_suppkey * 91 % 997) / 997.0::DOUBLE * 3 AS east, abs(s_acctbal) * CASE WHEN s_suppkey % 10 = 0 THEN 1000 ELSE 1 END AS population FROM supplier),
+    k AS (SELECT id, name, population, 2 * 6371.0088 * asin(sqrt(least(1.0, power(sin(radians(g.lat - q.lat) / 2), 2)
+        + cos(radians(q.lat)) * cos(radians(g.lat)) * power(sin(radians(CASE WHEN east < 1 THEN 179 + east ELSE east - 181 END - q.lon) / 2), 2)))) AS km FROM q, g),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY km, name) AS turn FROM k), n AS (SELECT * FROM r WHERE turn = 1 AND km <= 150),
+    c AS (SELECT r.id, r.name, r.km FROM r JOIN n USING (id) WHERE r.turn <= 50 AND r.km <= 1.5 + 3.5 * log10(greatest(r.population, 1000) / 1000)
+        AND ((n.population < 25000 AND r.population >= 20 * greatest(n.population, 1000)) OR (starts_with(n.name, r.name || ' ') AND r.population > n.population))
+        QUALIFY row_number() OVER (PARTITION BY r.id ORDER BY r.population DESC, r.km) = 1)
+    SELECT q.id, coalesce(c.name, n.name) AS place_name, round(coalesce(c.km, n.km), 6) AS km FROM q LEFT JOIN n USING (id) LEFT JOIN c USING (id)""")
+def geocode_cities(c: Catalog) -> DataFrame:
+    """Customers and suppliers set down on both sides of the date line: districts give way to their cities."""
+    east = F.col("c_custkey") * 29 % 1999 / 1999 * 10
+    points = c["customer"].select(F.col("c_custkey").alias("id"), (F.col("c_custkey") * 53 % 2003 / 2003 * 7 + 38).alias("lat"), F.when(east < 4, east + 176).otherwise(east - 184).alias("lon"))
+    city, east = F.col("s_suppkey") % 10 == 0, F.col("s_suppkey") * 91 % 997 / 997 * 3
+    name = F.concat(F.lit("N"), "s_nationkey", F.when(city, "").otherwise(F.concat(F.lit(" "), "s_suppkey"))).alias("name")
+    unknown = [F.lit(None).cast("string").alias(x) for x in ("admin1", "country")]
+    lat, lon = (F.col("s_suppkey") * 37 % 1009 / 1009 * 3 + 40).alias("lat"), F.when(east < 1, east + 179).otherwise(east - 181).alias("lon")
+    places = c["supplier"].select(name, *unknown, lat, lon, (F.abs("s_acctbal") * F.when(city, 1000).otherwise(1)).alias("population"))
+    return reverse_geocode(points, places).select("id", "place_name", F.round("distance_km", 6).alias("km"))
+
+
 # ---- streams, run over what is available
 
 
