@@ -17,23 +17,30 @@ def seconds_between(later: Column, earlier: Column) -> Column:
     return micros / 1e6
 
 
-#: Seconds of a time slot: a time line is cut into slots, so that one with very many rows is spread over tasks.
-SLOT = 28 * 86_400
+#: Rows of a time line that one task sorts, beyond which time lines are cut into slots of so many seconds and spread over tasks.
+CROWDED, SLOT = 2_000_000, 28 * 86_400
 
 
-def chains(rows: DataFrame, partition: list[str], at: str, tie: list[str], carried: list[str], joined: Callable[[Column], Column], name: str, slot_s: int = SLOT) -> DataFrame:
+def chains(rows: DataFrame, partition: list[str], at: str, tie: list[str], carried: list[str], joined: Callable[[Column], Column], name: str, slot_s: int = SLOT, crowded: int = CROWDED) -> DataFrame:
     """Number the chains of each partition (null being a value), in the order of `at` and `tie`.
 
     `joined` says, in terms of the `carried` columns and given a struct of those of the row before, whether a row goes on
-    with its chain. Windows run inside slots of time; what crosses their borders is a row for each slot, with its first
-    and last rows and the number of chains that begin after the first. A row without a time begins a chain.
+    with its chain. A row without a time begins a chain. Rows are counted first: where no partition has more than `crowded`,
+    one window does. Otherwise windows run inside slots of time, and what crosses their borders is a row for each slot,
+    with its first and last rows and the number of chains that begin after the first. Either way gives the same numbers.
     """
-    keyed = rows.withColumn("chain_key", F.struct(*partition, F.floor(F.unix_micros(F.col(at).cast("timestamp")) / (slot_s * 1_000_000)).alias("chain_slot")))
-    inside, order, kept = Window.partitionBy("chain_key").orderBy(at, *tie), F.struct(at, *tie), F.struct(*carried)
+    inside, order, kept = Window.partitionBy(*partition).orderBy(at, *tie), F.struct(at, *tie), F.struct(*carried)
 
     def begins(before: Column) -> Column:
         return F.coalesce(~joined(before), F.lit(True)).cast("int")
 
+    if crowded and rows.groupBy(*partition).agg(F.count("*").alias("chain_n")).where(F.col("chain_n") > crowded).isEmpty():
+        # before the first row is null, so that row begins a chain
+        met = rows.withColumn("chain_before", F.lag(kept).over(inside)).withColumn("chain_break", begins(F.col("chain_before")))
+        return met.select(*rows.columns, F.sum("chain_break").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias(name))
+
+    keyed = rows.withColumn("chain_key", F.struct(*partition, F.floor(F.unix_micros(F.col(at).cast("timestamp")) / (slot_s * 1_000_000)).alias("chain_slot")))
+    inside = Window.partitionBy("chain_key").orderBy(at, *tie)
     met = keyed.withColumn("chain_before", F.lag(kept).over(inside))
     met = met.withColumn("chain_break", F.when(F.col("chain_before").isNull(), 0).otherwise(begins(F.col("chain_before"))))
     met = met.withColumn("chain_n", F.sum("chain_break").over(inside.rowsBetween(Window.unboundedPreceding, 0)))

@@ -224,8 +224,10 @@ def test_chains_cross_the_borders_of_slots(spark):
     w = Window.partitionBy("who").orderBy("at", "id")
     gap = timeline.seconds_between(F.col("at"), F.lag("at").over(w)) <= 20
     plain = df.withColumn("n", F.coalesce(~gap, F.lit(True)).cast("int")).withColumn("n", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    cut = timeline.chains(df, ["who"], "at", ["id"], ["at"], lambda b: timeline.seconds_between(F.col("at"), b["at"]) <= 20, "n", slot_s=37)
-    assert {tuple(r) for r in cut.select("id", "n").collect()} == {tuple(r) for r in plain.select("id", "n").collect()}
+    for crowded in (0, 149, 1_000):  # always in slots; in slots as one time line has more rows; in one window
+        cut = timeline.chains(df, ["who"], "at", ["id"], ["at"], lambda b: timeline.seconds_between(F.col("at"), b["at"]) <= 20, "n", slot_s=37, crowded=crowded)
+        assert {tuple(r) for r in cut.select("id", "n").collect()} == {tuple(r) for r in plain.select("id", "n").collect()}
+        assert ("chain_key" in cut._jdf.queryExecution().analyzed().toString()) == (crowded < 1_000)
 
 
 def test_one_kind_is_replaced_alone(spark, tmp_path):
