@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from shoebox.sources.swap import put_in_place
+
 
 def _struct(text: str) -> T.StructType:
     return T._parse_datatype_string(text)
@@ -51,7 +53,12 @@ class Catalog:
     def write(self, table: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> None:
         """Put `df` in the place of a table or, with `partition_by`, of those of its partitions that `df` has rows of.
 
-        `df` must not read the table itself: Spark would delete what it has still to read.
+        A whole table is written beside the old one, which `df` may read, and then put in its place (`put_in_place`). With
+        `partition_by`, `df` must not read the table itself: Spark would delete what it has still to read.
         """
         path = f"{self.root.rstrip('/')}/{table}.parquet"
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if partition_by else "static").partitionBy(*partition_by).parquet(path)
+        if partition_by:
+            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+        else:
+            df.write.mode("overwrite").parquet(f"{path}.new")
+            put_in_place(self.spark, f"{path}.new", path)

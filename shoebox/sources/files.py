@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoebox.sources.swap import put_in_place
+
 #: Extensions of the kinds of media, and those that name a format another one also names.
 IMAGE = ("jpg", "jpeg", "png", "webp", "heic", "heif", "tif", "tiff", "bmp")
 RAW = ("cr2", "cr3", "nef", "nrw", "arw", "srf", "sr2", "dng", "raf", "orf", "rw2", "pef", "srw", "x3f", "3fr", "iiq", "rwl")
@@ -69,14 +71,10 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def replace_json(df: DataFrame, path: str) -> None:
-    """Write rows beside the old ones and then put them in their place, so that readers never see half of them."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").json(f"{path}.new")
-    old, new = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new"))
-    store = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    store.delete(old, True)
-    if not store.rename(new, old):
-        raise OSError(f"could not put {path}.new in its place")
+    """Write rows beside the old ones, which `df` may read, and then put them in their place (`put_in_place`)."""
+    new = f"{path.rstrip('/')}.new"
+    df.write.mode("overwrite").json(new)
+    put_in_place(df.sparkSession, new, path)
 
 
 def to_json(*columns: str) -> Column:

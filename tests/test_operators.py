@@ -340,6 +340,32 @@ def test_json_is_replaced_whole(spark, tmp_path):
     files.replace_json(spark.range(3), path)
     files.replace_json(spark.range(5), path)
     assert spark.read.json(path).count() == 5
+    files.replace_json(spark.read.schema("id long").json(path).where("id > 1"), path)  # rows may come from what they replace
+    assert sorted(r.id for r in spark.read.json(path).collect()) == [2, 3, 4]
+    assert [p.name for p in tmp_path.iterdir()] == ["rows"]
+
+
+def test_a_table_survives_a_writer_that_fails(spark, tmp_path):
+    from shoebox.schema import Catalog
+    from shoebox.sources.swap import put_in_place, restore
+
+    catalog, path = Catalog(spark, str(tmp_path)), str(tmp_path / "people.parquet")
+    ids = lambda: sorted(r.id for r in catalog["people"].collect())
+    catalog.write("people", spark.range(3))
+    catalog.write("people", catalog["people"].union(spark.range(7, 8)))
+    assert ids() == [0, 1, 2, 7]
+    with pytest.raises(Exception):  # noqa: B017
+        catalog.write("people", catalog["people"].select(F.raise_error(F.lit("no")).alias("id")))
+    assert ids() == [0, 1, 2, 7]
+    with pytest.raises(Exception):  # noqa: B017 - nothing to put in its place: the old table comes back
+        put_in_place(spark, str(tmp_path / "none"), path)
+    assert ids() == [0, 1, 2, 7]
+    (tmp_path / "people.parquet").rename(tmp_path / "people.parquet.old")  # a crash between the renames
+    assert restore(spark, path) and not restore(spark, path)
+    assert ids() == [0, 1, 2, 7]
+    (tmp_path / "people.parquet").rename(tmp_path / "people.parquet.old")
+    catalog.write("people", spark.range(1))
+    assert ids() == [0] and not (tmp_path / "people.parquet.old").exists()
 
 
 def test_file_kinds_and_times(spark, tmp_path):
