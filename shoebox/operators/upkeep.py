@@ -13,7 +13,7 @@ def listing_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """(path, file_hash, status, old_path) from two listings (path, file_hash, mtime).
 
     unchanged; touched: only the time differs; changed: the content differs; moved: a new path whose content is that
-    of a path now missing (each missing path is used once, in path order); new; deleted.
+    of a path now missing (each missing path is used once, in path order); new; deleted. Without a hash nothing is moved.
     """
     old = before.select("path", F.col("file_hash").alias("old_hash"), F.col("mtime").alias("old_mtime"), F.lit(True).alias("was"))
     new = after.select("path", "file_hash", "mtime", F.lit(True).alias("is"))
@@ -22,15 +22,18 @@ def listing_diff(before: DataFrame, after: DataFrame) -> DataFrame:
         "path", "file_hash", F.when(~F.col("old_hash").eqNullSafe(F.col("file_hash")), "changed").when(F.col("old_mtime").eqNullSafe(F.col("mtime")), "unchanged").otherwise("touched").alias("status"), F.lit(None).cast("string").alias("old_path")
     )
     w = Window.partitionBy("file_hash").orderBy("path")
-    gone = both.where(F.col("is").isNull()).select("path", F.col("old_hash").alias("file_hash")).withColumn("turn", F.row_number().over(w))
-    come = both.where(F.col("was").isNull()).select("path", "file_hash").withColumn("turn", F.row_number().over(w))
+    gone = both.where(F.col("is").isNull() & F.col("old_hash").isNotNull()).select("path", F.col("old_hash").alias("file_hash")).withColumn("turn", F.row_number().over(w))
+    come = both.where(F.col("was").isNull() & F.col("file_hash").isNotNull()).select("path", "file_hash").withColumn("turn", F.row_number().over(w))
     met = come.withColumnRenamed("path", "new_path").join(gone.withColumnRenamed("path", "old_path"), ["file_hash", "turn"], "full_outer")
     moved = met.select(
         F.coalesce("new_path", "old_path").alias("path"), "file_hash",
         F.when(F.col("new_path").isNull(), "deleted").when(F.col("old_path").isNull(), "new").otherwise("moved").alias("status"),
         F.when(F.col("new_path").isNotNull(), F.col("old_path")).alias("old_path"),
     )
-    return known.unionByName(moved)
+    # however many rows have no hash, they stay where the first join put them
+    lone = both.where((F.col("was").isNull() & F.col("file_hash").isNull()) | (F.col("is").isNull() & F.col("old_hash").isNull()))
+    lone = lone.select("path", F.lit(None).cast(moved.schema["file_hash"].dataType).alias("file_hash"), F.when(F.col("was").isNull(), "new").otherwise("deleted").alias("status"), F.lit(None).cast("string").alias("old_path"))
+    return known.unionByName(moved).unionByName(lone)
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column], keep_first: bool = False) -> DataFrame:

@@ -102,6 +102,10 @@ def test_listing_diff(spark):
     after = spark.createDataFrame([("a", "1", 1.0), ("b", "2", 5.0), ("c", "x", 1.0), ("z", "4", 1.0), ("n", "7", 1.0), ("f", "9", 1.0)], "path string, file_hash string, mtime double")
     got = {r.path: (r.status, r.old_path) for r in upkeep.listing_diff(before, after).collect()}
     assert got == {"a": ("unchanged", None), "b": ("touched", None), "c": ("changed", None), "z": ("moved", "d"), "e": ("deleted", None), "n": ("new", None), "f": ("unchanged", None)}
+    schema = "path string, file_hash string, mtime double"
+    before, after = spark.createDataFrame([("g", None, 1.0), ("h", None, 1.0), ("i", "5", 1.0)], schema), spark.createDataFrame([("h", None, 1.0), ("j", None, 1.0), ("k", "5", 1.0)], schema)
+    got = sorted((r.path, r.file_hash, r.status, r.old_path) for r in upkeep.listing_diff(before, after).collect())
+    assert got == [("g", None, "deleted", None), ("h", None, "unchanged", None), ("j", None, "new", None), ("k", "5", "moved", "i")]
 
 
 def test_upserts_and_ledger(spark):
