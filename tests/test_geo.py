@@ -4,7 +4,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from shoebox.operators import geo
 from shoebox.operators.geo import reverse_geocode
 
 PLACE = "name string, admin1 string, country string, lat double, lon double, population double"
@@ -65,3 +67,14 @@ def test_a_district_gives_way_only_to_a_bigger_city_of_its_name(spark):
     got = reverse_geocode(spark.createDataFrame(points, POINT), spark.createDataFrame(towns, PLACE))
     # the port is larger than its namesake; a hut of 10 counts as 1000, so a town of 15,000 isn't 20 times as large
     assert {r.id: r.place_name for r in got.collect()} == {1: "Lyon", 2: "Ys Port", 3: "Hut"}
+
+
+def test_points_that_see_a_dense_city_from_far_get_short_lists(spark):
+    rng = np.random.default_rng(4)
+    towns = [(f"T {i}", None, None, *p, 1e3) for i, p in enumerate(np.column_stack([rng.uniform(40, 40.6, 4000), rng.uniform(9, 9.6, 4000)]).tolist())]
+    points = [(i, *p) for i, p in enumerate(np.column_stack([rng.uniform(39, 41.6, 150), rng.uniform(7.5, 11, 150)]).tolist())]
+    df, places = spark.createDataFrame(points, POINT), spark.createDataFrame(towns, PLACE)
+    on = [df.select(*geo._on_sphere(F.col("lat"), F.col("lon"))).select(geo._cell(geo.LEVELS).alias("spot")), places.select(F.col("name").alias("place"), *geo._on_sphere(F.col("lat"), F.col("lon"))).select("place", geo._cell(geo.LEVELS).alias("cell"))]
+    sizes = [r.n for r in geo.place_lists(*on).select(F.size("places").alias("n")).collect()]
+    assert 0 < max(sizes) <= geo.SHORT * geo.NEAREST < len(towns)
+    assert {r.id: r.place_name for r in reverse_geocode(df, places).collect()} == {p[0]: expected(p, towns, 50) for p in points}
