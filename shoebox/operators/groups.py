@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from shoebox.operators.aggregate import best_id
 from shoebox.session import ensure_checkpoint_dir
@@ -62,9 +63,9 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.withColumnRenamed("label", "component")
 
 
-#: Bytes of query vectors that are sent to all tasks, beyond which queries are dealt to blocks too; and products that a task
-#: holds at once.
-SENT, CELLS = 64 << 20, 8_000_000
+#: Bytes of query vectors that are sent to all tasks, beyond which queries are dealt to blocks too; numbers in the vectors
+#: of a block, and products, that a task holds at once.
+SENT, NUMBERS, CELLS = 16 << 20, 2 << 20, 1_000_000
 
 
 def directed(vector: str) -> Column:
@@ -74,45 +75,40 @@ def directed(vector: str) -> Column:
     return F.coalesce(F.col(vector).isNotNull() & (F.size(vector) > 0) & finite, F.lit(False))
 
 
-def nearest_to_queries(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int = 10, row_block: int = 16_384, query_block: int = 2_048) -> DataFrame:
+def nearest_to_queries(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int = 10, row_block: int | None = None, query_block: int | None = None) -> DataFrame:
     """(query_id, rank, id, score): the exact k nearest rows of each stated query by dot product of unit vectors.
 
-    Queries of at most SENT bytes go to all tasks, which read the rows where they are and pass on each query's k best.
-    More queries are dealt to blocks, as rows are, and every two blocks meet in a task of their own. Either way rows are
-    compared by matrix products. A query doesn't find its own row. Vectors that are null or empty or hold null or
-    non-finite components find nothing and are not found; vectors are compared with those of their length.
+    Queries of at most SENT bytes go to all tasks, which read the rows where they are. More queries are dealt to blocks,
+    as rows are, and every two blocks meet in a task of their own. Either way a task compares blocks of NUMBERS (or so
+    many rows) by matrix products of CELLS and passes on each query's k best of a block at once, so what it holds depends
+    on neither table. A query doesn't find its own row. Vectors that are null or empty or hold null or non-finite
+    components find nothing and are not found; vectors are compared with those of their length.
     """
-    rows, queries = (df.where(directed(vector_col)).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector")) for df in (rows, queries))
-    kind = rows.schema["id"].dataType.simpleString()
-    schema = f"query_id {kind}, id {kind}, score double"
+    single = rows.schema[vector_col].dataType == queries.schema[vector_col].dataType == ArrayType(FloatType(), rows.schema[vector_col].dataType.containsNull)
+    kept = F.col(vector_col) if single else F.col(vector_col).cast("array<double>")  # products are of doubles
+    rows, queries = (df.where(directed(vector_col)).select(F.col(id_col).alias("id"), kept.alias("vector")) for df in (rows, queries))
+    schema = f"query_id {rows.schema['id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double"
     size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("x")).first()
     if size.x * 8 <= SENT:
-        asked = queries.toArrow()  # its size was checked
-        sent, kind_of = rows.sparkSession.sparkContext.broadcast(by_length(asked)), asked.schema.field("id").type
+        sent, numbers, cells = rows.sparkSession.sparkContext.broadcast(by_length(queries.toArrow())), NUMBERS, CELLS  # its size was checked
 
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """A task's k best rows for each query."""
-            found = None
-            for batch in batches:
-                for d, (ids, have) in by_length(pa.Table.from_batches([batch])).items():
-                    if d in sent.value:
-                        some = _block_best(*sent.value[d], ids, have, k)
-                        found = some if found is None else _first([np.concatenate(c) for c in zip(found, some)], k)
-            if found is not None:
-                yield _found(found, kind_of)
+            for have in blocks_of(batches, numbers):
+                yield from _blocks_best(sent.value, have, k, cells)
 
         near = rows.mapInArrow(best, schema)
     else:
-        n_rows, n_queries = max(1, -(-rows.count() // row_block)), -(-size.n // query_block)
+        block = max(1, NUMBERS * size.n // size.x)
+        n_rows, n_queries, cells = max(1, -(-rows.count() // (row_block or block))), -(-size.n // (query_block or block)), CELLS
 
         def dealt(df: DataFrame, own: int, other: int, names: tuple[str, str]) -> DataFrame:
             block = F.pmod(F.xxhash64("id"), F.lit(own)).cast("int").alias(names[0])
             return df.select("id", "vector", block, F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(names[1]))
 
         def met(asked: pa.Table, have: pa.Table) -> pa.Table:
-            by, found = by_length(have), [_found((asked.column("id").to_numpy()[:0], have.column("id").to_numpy()[:0], np.zeros(0)), have.schema.field("id").type)]
-            found += [_found(_block_best(*own, *by[d], k), have.schema.field("id").type) for d, own in by_length(asked).items() if d in by]
-            return pa.Table.from_batches(found)
+            kind = have.schema.field("id").type
+            none = pa.RecordBatch.from_arrays([pa.array([], kind), pa.array([], kind), pa.array([], pa.float64())], ["query_id", "id", "score"])
+            return pa.Table.from_batches([none, *_blocks_best(by_length(asked), have, k, cells)])
 
         left = dealt(queries, n_queries, n_rows, ("q", "r")).groupBy("q", "r")
         near = left.cogroup(dealt(rows, n_rows, n_queries, ("r", "q")).groupBy("q", "r")).applyInArrow(met, schema)
@@ -120,10 +116,23 @@ def nearest_to_queries(rows: DataFrame, queries: DataFrame, id_col: str, vector_
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
-def by_length(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def blocks_of(batches: Iterator[pa.RecordBatch], numbers: int) -> Iterator[pa.Table]:
+    """A task's rows with a column `vector` in tables of about so many numbers."""
+    some, held = [], 0
+    for batch in batches:
+        some.append(batch)
+        held += len(batch.column("vector").flatten())
+        if held >= numbers:
+            yield pa.Table.from_batches(some)
+            some, held = [], 0
+    if some:
+        yield pa.Table.from_batches(some)
+
+
+def by_length(table: pa.Table) -> dict[int, tuple[pa.Array, np.ndarray]]:
     """The ids and the matrix of a table's vectors (id, vector), for each length that they have."""
     table = table.combine_chunks()
-    vectors, ids = table.column("vector").combine_chunks(), table.column("id").to_numpy()
+    vectors, ids = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (table.column("vector"), table.column("id")))
     sizes = vectors.value_lengths().to_numpy() if len(vectors) else np.zeros(0, np.int64)
     flat = vectors.flatten().to_numpy()
     starts = np.concatenate(([0], np.cumsum(sizes)))
@@ -131,36 +140,30 @@ def by_length(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     for d in np.unique(sizes).tolist():
         at = np.flatnonzero(sizes == d)
         whole = len(at) == len(sizes)
-        out[d] = (ids, flat.reshape(-1, d)) if whole else (ids[at], flat[starts[at][:, None] + np.arange(d)])
+        out[d] = (ids, flat.reshape(-1, d)) if whole else (ids.take(pa.array(at)), flat[starts[at][:, None] + np.arange(d)])
     return out
 
 
-def _found(found: tuple[np.ndarray, ...], kind: pa.DataType) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(found[0], kind), pa.array(found[1], kind), pa.array(found[2], pa.float64())], ["query_id", "id", "score"])
-
-
-def _first(found: list[np.ndarray], k: int) -> tuple[np.ndarray, ...]:
-    """Each query's k best and what ties with the k-th."""
-    _, query = np.unique(found[0], return_inverse=True)
-    order = np.lexsort((-found[2], query))
-    query, score = query[order], found[2][order]
-    start = np.searchsorted(query, query)
-    least = score[np.minimum(start + k, np.searchsorted(query, query, "right")) - 1]
-    return tuple(c[order][score >= least - 1e-12] for c in found)
+def _blocks_best(asked: dict[int, tuple[pa.Array, np.ndarray]], have: pa.Table, k: int, cells: int) -> Iterator[pa.RecordBatch]:
+    for d, block in by_length(have).items():
+        if d in asked:
+            yield from _block_best(*asked[d], *block, k, cells)
 
 
-def _block_best(names: np.ndarray, asked: np.ndarray, ids: np.ndarray, have: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """The k best of a block of rows for each query of a block; what ties with the k-th goes on too."""
-    count, found = min(k, len(ids)), [(names[:0], ids[:0], np.zeros(0))]
-    step = max(1, CELLS // max(1, len(ids)))
+def _block_best(names: pa.Array, asked: np.ndarray, ids: pa.Array, have: np.ndarray, k: int, cells: int) -> Iterator[pa.RecordBatch]:
+    """The k best of a block of rows for each query of a block, some queries at a time; what ties with the k-th goes on
+    too."""
+    count, have = min(k, len(ids)), have.astype(float, copy=False)
+    # ids, of whatever type, are compared by their numbers
+    numbers = pa.concat_arrays([names, ids.cast(names.type)]).dictionary_encode().indices.fill_null(-1).to_numpy()
+    step = max(1, cells // max(1, len(ids)))
     for at in range(0, len(names) if count else 0, step):
-        some = names[at : at + step]
-        near = asked[at : at + step] @ have.T
-        near[some[:, None] == ids[None]] = -np.inf
-        floor = -np.partition(-near, count - 1, axis=1)[:, count - 1 : count]
+        own = numbers[at : min(at + step, len(names))]
+        near = asked[at : at + step].astype(float, copy=False) @ have.T
+        near[own[:, None] == numbers[None, len(names) :]] = -np.inf
+        floor = np.partition(near, len(ids) - count, axis=1)[:, len(ids) - count, None]
         i, j = np.nonzero((near >= floor - 1e-12) & np.isfinite(near))
-        found.append((some[i], ids[j], near[i, j]))
-    return tuple(np.concatenate(c) for c in zip(*found))
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(i + at)).cast(ids.type), ids.take(pa.array(j)), pa.array(near[i, j])], ["query_id", "id", "score"])
 
 
 def purity(rows: DataFrame, cluster: str, truth: str) -> DataFrame:

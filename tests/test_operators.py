@@ -1,6 +1,7 @@
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -489,3 +490,14 @@ def test_neighbours_of_vectors_of_several_lengths_and_of_none(spark):
     words = df.withColumn("id", F.format_string("v%02d", "id"))
     assert sorted((r.query_id, r.id) for r in groups.nearest_to_queries(words, words, "id", "v", 3).collect()) == [(f"v{a:02d}", f"v{b:02d}") for a, _, b in want]
     assert groups.nearest_to_queries(df.limit(0), df, "id", "v").count() == groups.nearest_to_queries(df, df.limit(0), "id", "v").count() == 0
+
+
+def test_nearest_passes_on_the_best_some_queries_at_a_time():
+    rng = np.random.default_rng(6)
+    v, names = np.float32(rng.normal(size=(50, 4))), pa.array([f"v{i}" for i in range(50)])
+    parts = list(groups._block_best(names, v, names, v, 3, 500))
+    assert len(parts) == 5 and max(p.num_rows for p in parts) <= 10 * 3
+    near = v.astype(float) @ v.astype(float).T
+    np.fill_diagonal(near, -np.inf)
+    assert {(r["query_id"], r["id"]) for p in parts for r in p.to_pylist()} == {(f"v{i}", f"v{j}") for i in range(50) for j in np.argsort(-near[i])[:3]}
+    assert [len(t) for t in groups.blocks_of(iter([pa.record_batch({"vector": [[1.0] * 4] * 6})] * 5), 40)] == [12, 12, 6]
