@@ -21,13 +21,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoebox.functions import text, vector
+from shoebox.operators import groups
 from shoebox.plans import filters as flt
 
 if TYPE_CHECKING:
     from shoebox.plans.search import Engine, SearchRequest
 
-#: Numbers in the query vectors of one plan, and distinct filters in it.
-NUMBERS, FILTERS = 4 << 20, 128
+#: Numbers in the query vectors of one plan, and distinct filters in it; products that a task holds at once.
+NUMBERS, FILTERS, CELLS = 4 << 20, 128, 1_000_000
 SIGNALS = ("clip", "caption", "keyword", "ocr", "recency")
 
 
@@ -172,49 +173,39 @@ def _cut(rows: DataFrame, queries: list[tuple], order: list[Column]) -> DataFram
 
 
 def _nearest(rows: DataFrame, queries: list[tuple]) -> DataFrame:
-    """(query, id, score): of `rows` (id, vector, passes) each task's best for each query, with what ties with them."""
-    most = max(q[3] for q in queries)
+    """(query, id, score): of `rows` (id, vector, passes) each block's best for each query, with what ties with them."""
+    most, cells, numbers = max(q[3] for q in queries), CELLS, groups.NUMBERS
     by: dict[int, list[int]] = {}
     for i, q in enumerate(queries):
         by.setdefault(len(q[1]), []).append(i)
-    blocks = {d: (np.array(own), np.array([queries[i][1] for i in own], float), np.array([queries[i][2] for i in own])) for d, own in by.items()}
-    sent = rows.sparkSession.sparkContext.broadcast((blocks, [q[0] for q in queries], max(q[2] for q in queries) + 1))  # at most NUMBERS numbers
+    blocks = {d: (pa.array([queries[i][0] for i in own], pa.string()), np.array([queries[i][1] for i in own], float), np.array([queries[i][2] for i in own])) for d, own in by.items()}
+    sent = rows.sparkSession.sparkContext.broadcast((blocks, max(q[2] for q in queries) + 1))  # at most NUMBERS numbers
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, names, filters = sent.value
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            vectors, passes = batch.column("vector"), batch.column("passes")
-            sizes, ids = vectors.value_lengths().fill_null(0).to_numpy(), np.asarray(batch.column("id").to_pylist(), object)
-            may = np.zeros((len(sizes), filters), bool)
-            number = passes.flatten().to_numpy()
-            row = np.repeat(np.arange(len(sizes)), passes.value_lengths().to_numpy())
-            may[row[number < filters], number[number < filters]] = True
-            for d, (own, asked, kind) in blocks.items():
-                at = np.flatnonzero(sizes == d)
-                if not len(at):
-                    continue
-                have = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
-                near = np.where(may[at][:, kind].T, np.round(asked @ have.T, 12), -np.inf)
-                near[~np.isfinite(near)] = -np.inf
-                count = min(most, len(at))
-                floor = -np.partition(-near, count - 1, axis=1)[:, count - 1 : count]
-                i, j = np.nonzero((near >= floor) & np.isfinite(near))
-                held.append((own[i], ids[at[j]], near[i, j]))
-            if sum(len(h[0]) for h in held) > 4 * most * len(names):
-                held = [_first(held, most)]
-        if held:
-            query, ids, score = _first(held, most)
-            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in query], pa.string()), pa.array(ids, pa.string()), pa.array(score)], ["query", "id", "score"])
+        for have in groups.blocks_of(batches, numbers):
+            yield from _best(*sent.value, have.combine_chunks(), most, cells)
 
     return rows.mapInArrow(best, "query string, id string, score double")
 
 
-def _first(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each query's best `most`, and what ties with the last of them."""
-    query, ids, score = (np.concatenate(c) for c in zip(*held))
-    order = np.lexsort((-score, query))
-    query, ids, score = query[order], ids[order], score[order]
-    start, end = np.searchsorted(query, query), np.searchsorted(query, query, "right")
-    keep = score >= score[np.minimum(start + most, end) - 1]
-    return query[keep], ids[keep], score[keep]
+def _best(blocks: dict[int, tuple[pa.Array, np.ndarray, np.ndarray]], filters: int, have: pa.Table, most: int, cells: int) -> Iterator[pa.RecordBatch]:
+    """A block's best `most` rows for each query, some queries at a time, so that no task holds all queries' pools."""
+    vectors, passes, ids = (have.column(c).chunk(0) for c in ("vector", "passes", "id"))
+    sizes = vectors.value_lengths().fill_null(0).to_numpy()
+    may = np.zeros((len(sizes), filters), bool)
+    number = passes.flatten().to_numpy()
+    row = np.repeat(np.arange(len(sizes)), passes.value_lengths().to_numpy())
+    may[row[number < filters], number[number < filters]] = True
+    for d, (names, asked, kind) in blocks.items():
+        at = np.flatnonzero(sizes == d)
+        if not len(at):
+            continue
+        rows = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
+        count, allowed, own = min(most, len(at)), may[at].T, ids.take(pa.array(at))
+        step = max(1, cells // max(len(at), 4 * most))
+        for first in range(0, len(names), step):
+            near = np.where(allowed[kind[first : first + step]], np.round(asked[first : first + step] @ rows.T, 12), -np.inf)
+            near[~np.isfinite(near)] = -np.inf
+            floor = np.partition(near, len(at) - count, axis=1)[:, len(at) - count, None]
+            i, j = np.nonzero((near >= floor) & np.isfinite(near))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(i + first)), own.take(pa.array(j)), pa.array(near[i, j])], ["query", "id", "score"])

@@ -1,6 +1,8 @@
 from dataclasses import replace
 from datetime import date
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from shoebox.operators import ranking
@@ -77,3 +79,13 @@ def test_scores_of_many(engine, spark):
 
 def test_a_photo_without_a_vector_is_like_nothing(engine):
     assert engine.similar("nobody").hits.collect() == []
+
+
+def test_a_task_passes_on_the_best_some_queries_at_a_time():
+    rng = np.random.default_rng(5)
+    rows, asked, kind = rng.normal(size=(40, 4)), rng.normal(size=(30, 4)), np.arange(30) % 2
+    have = pa.table({"id": [f"r{i}" for i in range(40)], "vector": pa.array(rows.tolist(), pa.list_(pa.float64())), "passes": pa.array([[i % 2] for i in range(40)], pa.list_(pa.int32()))})
+    parts = list(batch._best({4: (pa.array([f"q{i}" for i in range(30)]), asked, kind)}, 2, have, 5, 200))
+    assert len(parts) == 6 and max(p.num_rows for p in parts) <= 5 * 5
+    got = {(r["query"], r["id"]) for p in parts for r in p.to_pylist()}
+    assert got == {(f"q{i}", f"r{j}") for i in range(30) for j in sorted(range(i % 2, 40, 2), key=lambda j: -(asked[i] @ rows[j]))[:5]}
