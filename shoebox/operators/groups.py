@@ -45,22 +45,32 @@ def equal_groups(rows: DataFrame, key: Column, id_col: str, score: Column) -> Da
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of an edge list (a, b): the least node reachable, of whatever type. Labels spread along edges
-    and jump to their own label's label, until none changes; each round is checkpointed, so that lineage stays short and
-    lost executors cost one round."""
+    """(node, component) of an edge list (a, b): the least node reachable, of whatever type.
+
+    Each round every node passes to that of itself and its neighbours which comes first in an order drawn anew, and the
+    edges are drawn between what their ends passed to. So rounds work on ever fewer edges, in a chain in order of its ids
+    too; then the rounds' steps are put together, from the last and smallest on. Each round is checkpointed, so that
+    lineage stays short and lost executors cost one round.
+    """
     ensure_checkpoint_dir(edges.sparkSession)
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")).checkpoint()
-    changed = True
-    while changed:
-        own = labels.select("node", "label", F.col("label").alias("before"))
-        spread = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast(labels.schema["label"].dataType).alias("before")).unionByName(own)
-        least = spread.groupBy("node").agg(F.min("label").alias("label"), F.max("before").alias("before")).checkpoint()
-        jump = least.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        labels = least.join(jump, "label").select("node", F.col("next").alias("label"), "before").checkpoint()
-        changed = not labels.where("label <> before").isEmpty()
-        labels = labels.select("node", "label")
-    return labels.withColumnRenamed("label", "component")
+    edges = edges.where("a is not null or b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    steps: list[DataFrame] = []
+    while not steps or not edges.isEmpty():
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("next")), F.struct(F.col("b").alias("node"), F.col("a").alias("next")))).alias("e")).select("e.*")
+        turn = F.xxhash64("next", F.lit(len(steps)))
+        first = ends.groupBy("node").agg(F.min_by("next", turn).alias("next"), F.min(turn).alias("turn"))
+        moves = F.col("turn") < F.xxhash64("node", F.lit(len(steps)))
+        steps.append(first.select("node", F.when(moves, F.col("next")).otherwise(F.col("node")).alias("next")).checkpoint())
+        to = steps[-1].where("next <> node")  # what stays needs no look-up
+        for end in "ab":
+            edges = edges.join(to.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("next", end)).drop("next")
+        edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
+    found = steps.pop()
+    while steps:
+        last = found.where("next <> node").select(F.col("node").alias("next"), F.col("next").alias("last"))
+        found = steps.pop().join(last, "next", "left").select("node", F.coalesce("last", "next").alias("next")).checkpoint()
+    least = found.groupBy("next").agg(F.min("node").alias("component"))
+    return found.join(least, "next").select("node", "component")
 
 
 #: Bytes of query vectors that are sent to all tasks, beyond which queries are dealt to blocks too; numbers in the vectors

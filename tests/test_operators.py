@@ -501,3 +501,18 @@ def test_nearest_passes_on_the_best_some_queries_at_a_time():
     np.fill_diagonal(near, -np.inf)
     assert {(r["query_id"], r["id"]) for p in parts for r in p.to_pylist()} == {(f"v{i}", f"v{j}") for i in range(50) for j in np.argsort(-near[i])[:3]}
     assert [len(t) for t in groups.blocks_of(iter([pa.record_batch({"vector": [[1.0] * 4] * 6})] * 5), 40)] == [12, 12, 6]
+
+
+def test_components_work_on_ever_fewer_edges(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    chain, some = [(i, i + 1) for i in range(400)], [(1000 + int(a), 1000 + int(b)) for a, b in rng.integers(300, size=(150, 2))]
+    edges = [*chain, *some, (5000, 5000)]
+    df, rows = spark.createDataFrame(edges, "a long, b long"), []
+    whole = type(df).checkpoint
+    monkeypatch.setattr(type(df), "checkpoint", lambda self, *a: (rows.append(self.count()), whole(self, *a))[1])
+    got = {r.node: r.component for r in groups.components(df).collect()}
+    want = {n: n for e in edges for n in e}
+    for _ in range(401):
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    assert got == want and sum(rows) < 8 * len(edges)
