@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from shoebox.functions.text import hash_bucket, words
 from shoebox.operators.timeline import seconds_between
 
+#: Bytes of judged texts' words that are sent to all tasks.
+SENT = 32 << 20
+
 
 def same_scene(rows: DataFrame, anchors: DataFrame, camera: str, at: str, id_col: str, minutes: float = 10.0) -> DataFrame:
     """(anchor_id, id): rows of the anchor's camera (null equals null) within `minutes` of it, itself left out.
@@ -75,25 +78,29 @@ def keyword_text(keywords: Column | str, most: int = 4) -> Column:
 def alike_texts(rows: DataFrame, key: str, text: str, judged: DataFrame, judged_text: str, least: float) -> DataFrame:
     """Keys of rows whose text equals a judged one or has a word-set Jaccard of `least` or more with it.
 
-    Rows and judged texts meet by prefix filtering: with words in order of how rare they are among the judged texts, two
-    sets that are so alike share one of the first n - ceil(least * n) + 1 words of each. So frequent words bring few
-    texts together, and no text meets all judged ones.
+    Rows and judged texts meet by prefix filtering: with a judged text's words in order of how rare they are among the
+    judged texts, a set that is so alike has one of the first n - ceil(least * n) + 1 of them. Rows meet these by words,
+    and sizes too far apart don't. Where the judged words are of a checked size they go to all tasks, so rows are read
+    where they are and only keys are shuffled. Otherwise words are shuffled with a row's number, not with its text: the
+    sets meet the pairs that are left.
     """
     mine = rows.select(F.col(key).alias("key"), F.array_distinct(words(text)).alias("w"))
-    theirs = judged.select(F.array_distinct(words(judged_text)).alias("w")).distinct()
-    often = theirs.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-
-    def prefixes(df: DataFrame, name: str) -> DataFrame:
-        """Each set with the words of its prefix, those that no judged text has coming first."""
-        held = df.select(F.col("w"), *([F.col("key")] if "key" in df.columns else []), F.explode("w").alias("word")).join(often, "word", "left")
-        order = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")))
-        sets = held.groupBy(*[c for c in df.columns]).agg(order.alias("o"))
-        kept = F.size("o") - F.ceil(F.size("o") * F.lit(least)) + 1
-        return sets.select(F.col("w").alias(name), *([F.col("key")] if "key" in df.columns else []), F.explode(F.slice(F.col("o"), F.lit(1), kept.cast("int"))["word"]).alias("word"))
-
-    met = prefixes(mine, "w").join(prefixes(theirs, "v"), "word").select("key", "w", "v").distinct()
-    union = F.size(F.array_union("w", "v"))
-    return met.where(F.size(F.array_intersect("w", "v")) >= F.lit(least) * union).select("key").distinct().withColumnRenamed("key", key)
+    theirs = judged.select(F.array_distinct(words(judged_text)).alias("v")).distinct()
+    often = theirs.select(F.explode("v").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    held = theirs.select("v", F.explode("v").alias("word")).join(often, "word")
+    sets = held.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("o"))
+    kept = F.size("o") - F.ceil(F.size("o") * F.lit(least)) + 1
+    prefixes = sets.select("v", F.explode(F.slice(F.col("o"), F.lit(1), kept.cast("int"))["word"]).alias("word"))
+    near = (F.size("v") >= F.lit(least) * F.size("w")) & (F.size("w") >= F.lit(least) * F.size("v"))
+    alike = F.size(F.array_intersect("w", "v")) >= F.lit(least) * F.size(F.array_union("w", "v"))
+    size = prefixes.agg(F.coalesce(F.sum(F.size("v") * 24 + F.octet_length(F.array_join("v", ""))), F.lit(0)).alias("x")).first().x
+    if size <= SENT:
+        met = mine.select("key", "w", F.explode("w").alias("word")).join(F.broadcast(prefixes), "word").where(near)  # its size was checked
+    else:
+        mine, theirs = mine.withColumn("row", F.xxhash64("key", "w")), prefixes.withColumn("set", F.xxhash64("v"))
+        pairs = mine.select("row", F.explode("w").alias("word")).join(theirs.select("set", "word"), "word").select("row", "set").distinct()
+        met = pairs.join(mine, "row").join(theirs.select("set", "v").distinct(), "set").where(near)
+    return met.where(alike).select("key").distinct().withColumnRenamed("key", key)
 
 
 def excluded(photos: DataFrame, judged: DataFrame, groups: DataFrame, minutes: float = 10.0) -> DataFrame:

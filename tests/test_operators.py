@@ -516,3 +516,18 @@ def test_components_work_on_ever_fewer_edges(spark, monkeypatch):
         for a, b in edges:
             want[a] = want[b] = min(want[a], want[b])
     assert got == want and sum(rows) < 8 * len(edges)
+
+
+@pytest.mark.parametrize("sent", [pairs.SENT, -1])
+def test_alike_texts_shuffle_no_texts(spark, monkeypatch, sent):
+    monkeypatch.setattr(pairs, "SENT", sent)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        mine = spark.createDataFrame([(1, "a b c d e"), (2, "a b c x y z"), (3, "q r s t"), (4, "s t q r"), (5, ""), (6, None)], "k int, t string")
+        found = pairs.alike_texts(mine, "k", "t", spark.createDataFrame([("a b c d",), ("q r s t u v",), ("",)], "u string"), "u", 0.6)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan) == (sent > 0)
+        assert sorted(r.k for r in found.collect()) == [1, 3, 4]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
