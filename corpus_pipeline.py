@@ -13,15 +13,25 @@ from pyspark.sql import functions as F
 from shoebox.llm import jaccard_join, line_templates, mixture, quality
 from shoebox.llm.bpe import ByteBPE
 from shoebox.llm.queries import held_out, tokenizer_path
-from shoebox.llm.tables import collecting, discard, materialize, read_table, short_batches
+from shoebox.llm.tables import collecting, discard, materialize, read_table, short_batches, without
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Equal texts of one site are judged alike, so a digest of both and the id tell the rejected rows; texts are not written along.
+    """
     labels = read_table(spark, sf_dir, "labels").where(~held_out())
-    return quality.score_quality(docs.select(*COLUMNS), labels).where("quality_keep").select(*COLUMNS)
+    judged = ("text", "source", "lang")
+    digest = F.xxhash64(*judged, *[F.col(c).isNull() for c in judged])
+    keyed = docs.select(*COLUMNS, F.coalesce("doc_id", F.lit(0)).cast("long").alias("row_id"), digest.alias("row_digest"))
+    with collecting() as made:
+        scored = quality.score_quality(keyed, labels, carry=("row_id", "row_digest"))
+        rejected = materialize(scored.where("not quality_keep").select("row_id", "row_digest").distinct(), "quality-rejected")
+    discard(*(table for table in made if table is not rejected))
+    return without(keyed, rejected, ["row_id", "row_digest"]).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +44,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
     short_batches(spark)
     docs = docs.select(*COLUMNS)
-    groups = jaccard_join.jaccard_components(docs.select("doc_id", "text"))
-    kept = materialize(groups.where("component_id = doc_id").select("doc_id").distinct(), "dedup-kept")
-    stay = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    with collecting() as made:
+        groups = jaccard_join.jaccard_components(docs.select("doc_id", "text"))
+        gone = materialize(groups.where("component_id <> doc_id").select("doc_id").distinct(), "dedup-gone")
+    discard(*(table for table in made if table is not gone))
+    stay = without(docs.where("doc_id is not null"), gone, ["doc_id"])
     several = materialize(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "dedup-several")
     if not several.isEmpty():  # of an id's rows the one of least text stays, which was the one compared
         least = F.min(F.struct(F.col("text").isNull().alias("none"), "text", "lang", "source", "n_chars")).alias("least")

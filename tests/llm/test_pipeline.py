@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
+from shoebox.llm import quality, tables
 from tests.llm.fixtures import DOCS, documents
 from tests.llm.test_texts import jaccard_brute
 
@@ -73,3 +74,37 @@ def test_of_an_id_with_two_texts_the_least_stays(spark, folder, parts):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], DOCS).repartition(parts)
     got = sorted(((r.doc_id or 0), r.text) for r in pipeline.near_dedup(spark, docs, folder).collect())
     assert got == [(0, b), (1, b), (2, a), (3, "c text")]
+
+
+@pytest.mark.parametrize("sent", [0, 500_000])
+def test_rejected_rows_are_told_by_id_and_digest(spark, folder, monkeypatch, sent):
+    """Null ids, id 0, repeated rows, and nulls that trade places between text and site."""
+    monkeypatch.setattr(tables, "SENT", sent)
+    junk = "BUY!! NOW!! " * 25
+    odd = [(None, junk, "en", "hot", 1), (None, "plain words stand here", "en", "hot", 1), (0, junk, "en", "hot", 1), (0, "plain words stand here", None, None, 1)]
+    odd += [(5000, "plain words stand here", "en", "hot", 1), (7000, None, "en", junk, 1), (7000, junk, "en", None, 1), (7001, "", "en", "a", 1)] * 2
+    docs = spark.read.parquet(f"{folder}/documents.parquet").unionByName(spark.createDataFrame(odd, DOCS)).select(*pipeline.COLUMNS)
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where(~pipeline.held_out())
+    want = quality.score_quality(docs, labels).where("quality_keep").select(*pipeline.COLUMNS)
+    got = pipeline.quality_filter(spark, docs, folder)
+    assert 40 < want.count() == got.count() < docs.count() - 40
+    assert not got.exceptAll(want).count()
+
+
+def test_stages_leave_no_texts_and_shuffle_none_for_few_ids(spark, folder):
+    once = {r.doc_id: r for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    spark.createDataFrame(list(once.values()), DOCS).write.parquet(f"{folder}/once.parquet")
+    docs = spark.read.parquet(f"{folder}/once.parquet")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for stage in (pipeline.quality_filter, pipeline.near_dedup):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+            with tables.collecting() as made:
+                out = stage(spark, docs, folder)
+            assert not [t.columns for t in made if t in tables._paths and set(t.columns) - {"doc_id", "row_id", "row_digest"}]
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+            assert "hashpartitioning" not in out._jdf.queryExecution().toString()
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
