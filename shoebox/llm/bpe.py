@@ -14,10 +14,11 @@ encoded. Repeated rows and all other columns are untouched, as these are column
 from __future__ import annotations
 
 import json
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import sha256
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,11 @@ from pyspark.sql import types as T
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
-#: Bounds of what a worker keeps between batches, about 200 MB. Emptying the stores costs time only.
-WORDS_KEPT, PAIRS_KEPT, STEPS_KEPT, LONGEST_KEPT = 400_000, 400_000, 200_000, 40
+#: Bounds of what a worker keeps between batches, about 50 MB: twice WORDS_KEPT words, pairs of tokens, steps. Emptying
+#: the stores costs time only.
+WORDS_KEPT, PAIRS_KEPT, STEPS_KEPT, LONGEST_KEPT = 30_000, 170_000, 150_000, 40
+#: Bytes of text whose words are held apart at once.
+PIECE_BYTES = 250_000
 
 
 def byte_of_character() -> dict[str, int]:
@@ -80,7 +84,9 @@ class Vocabulary:
         self.edges: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
         #: left << 20 | right -> whether the two tokens stand side by side
         self.pairs = _Filled(lambda pair: self._stands(pair >> 20, pair & 0xFFFFF))
-        self.words: dict[str | int, tuple[int, ...]] = {i: (i,) for i in self.special.values()}
+        #: the ids of words met of late and of those met before them, as 32-bit numbers in a row
+        self.words: dict[str | int, bytes] = {}
+        self.older: dict[str | int, bytes] = {}
 
     def _link_suffixes(self) -> None:
         """An automaton that holds, for all bytes read so far, their longest end that begins a token (a node), and for
@@ -143,8 +149,8 @@ class Vocabulary:
                     return False
         return True
 
-    def encode_words(self, words: set[str]) -> dict[str, tuple[int, ...]]:
-        """The token ids of distinct words, by one depth-first walk of their trie."""
+    def encode_words(self, words: set[str]) -> dict[str, bytes]:
+        """The token ids of distinct words, as 32-bit numbers in a row, by one depth-first walk of their trie."""
         if self.step is None:
             self._link_suffixes()
         for kept, most in ((self.pairs, PAIRS_KEPT), (self.step, STEPS_KEPT)):
@@ -175,7 +181,7 @@ class Vocabulary:
                 if end <= LONGEST_KEPT:
                     add_ids(ids[start] + (token,))
             before = data
-            out[word] = ids[end] if end <= LONGEST_KEPT else self._back_from(end, last)
+            out[word] = array("i", ids[end] if end <= LONGEST_KEPT else self._back_from(end, last)).tobytes()
         return out
 
     def _back_from(self, end: int, last: list[int]) -> tuple[int, ...]:
@@ -196,20 +202,25 @@ class Vocabulary:
             at = m.end()
         return out + self.word_pattern.findall(text[at:])
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+    def pack_batch(self, texts: list[str]) -> list[bytes]:
+        """The token ids of texts, as 32-bit numbers in a row."""
         split = [self.split(t) for t in texts]
-        if len(self.words) > WORDS_KEPT:  # the words met first go
-            self.words = dict(islice(self.words.items(), len(self.words) // 2, None)) | {i: (i,) for i in self.special.values()}
-        known = self.words
-        met = set(chain.from_iterable(split))
-        found = self.encode_words(met.difference(known))
+        if len(self.words) > WORDS_KEPT:  # the words that were not met since the last time go
+            self.words, self.older = {}, self.words
+        known, older = self.words, self.older
+        wanted = set(chain.from_iterable(split)).difference(known)
+        known.update({w: older[w] for w in wanted if w in older} | {i: array("i", [i]).tobytes() for i in wanted if isinstance(i, int)})
+        found = self.encode_words(wanted.difference(known))
         known.update(found)
-        out = [list(chain.from_iterable(map(known.__getitem__, s))) for s in split]
+        out = [b"".join(map(known.__getitem__, s)) for s in split]
         for word in found:
             if len(word) > LONGEST_KEPT:
                 del known[word]
         return out
 
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(p, np.int32).tolist() for p in self.pack_batch(texts)]
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -221,11 +232,12 @@ def _vocabulary(name: str, sent: Broadcast) -> Vocabulary:
     """A worker builds each vocabulary once."""
     if name not in _loaded:
         _loaded.clear()
+        pa.default_memory_pool().release_unused()  # what a worker's stages before this one left
         _loaded[name] = Vocabulary(sent.value)
     return _loaded[name]
 
 
-def _pieces(batch: pa.Array, size: int = 1_000, most: int = 1_000_000) -> Iterator[pa.Array]:
+def _pieces(batch: pa.Array, size: int = 1_000, most: int = PIECE_BYTES) -> Iterator[pa.Array]:
     """Runs of a batch with `size` rows or fewer and, if of more than one row, `most` bytes or fewer."""
     at, lengths = 0, pa.compute.fill_null(pa.compute.binary_length(batch), 0).to_pylist()
     while at < len(batch):
@@ -249,11 +261,11 @@ class ByteBPE:
             """The ids of a batch; what they decode to is added to `decoded`, if given."""
             parts, counts = [np.zeros(0, np.int32)], [0]
             for piece in _pieces(batch):
-                ids = own.encode_batch([t or "" for t in piece.to_pylist()])
-                counts += map(len, ids)
-                parts.append(np.fromiter(chain.from_iterable(ids), np.int32, sum(counts[-len(ids) :])))
+                ids = own.pack_batch([t or "" for t in piece.to_pylist()])
+                counts += [len(p) // 4 for p in ids]
+                parts.append(np.frombuffer(b"".join(ids), np.int32))
                 if decoded is not None:
-                    decoded += map(own.decode, ids)
+                    decoded += [own.decode(np.frombuffer(p, np.int32).tolist()) for p in ids]
             return pa.ListArray.from_arrays(np.cumsum(counts).astype(np.int32), np.concatenate(parts))
 
         def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -1,12 +1,14 @@
 import re
+from sys import getsizeof
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from shoebox.llm import components, hashing, jaccard_join, line_templates, mixture, quality, sharding, toxicity
+from shoebox.llm import bpe, components, hashing, jaccard_join, line_templates, mixture, quality, sharding, toxicity
 from shoebox.llm.bpe import ByteBPE, Vocabulary
 from shoebox.llm.unigram_count import Counts, UnigramCounter, sentencepiece_vocabulary
 from tests.llm.fixtures import DOCS, documents
@@ -46,6 +48,21 @@ def test_bpe_of_odd_strings():
     assert own.encode_batch(odd) == [e.ids for e in library.encode_batch(odd, add_special_tokens=False)]
 
 
+def test_bpe_keeps_a_bounded_store(monkeypatch):
+    """Of words met once a worker keeps two generations, each of a bound and one batch; words met again stay, and all ids are right."""
+    own, library = Vocabulary(open(PATH, "rb").read()), Tokenizer.from_file(PATH)
+    for bound, batches, words in ((50, 40, 30), (bpe.WORDS_KEPT, 30, 6_000)):
+        monkeypatch.setattr(bpe, "WORDS_KEPT", bound)
+        for i in range(batches):
+            texts = [f"often seen{'<|endoftext|>' * (i % 3)}", " ".join("".join(chr(97 + (i * words + j) // 26**k % 26) for k in range(6)) for j in range(words))]
+            assert own.encode_batch(texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+            assert len(own.words) + len(own.older) <= 2 * (bound + words + 4) and " seen" in own.words
+    held = [(w, ids) for kept in (own.words, own.older) for w, ids in kept.items()]
+    assert sum(getsizeof(w) + getsizeof(ids) for w, ids in held) < 120 * len(held)
+    longest = pa.array(["word " * 1_000] * 1_000 + ["word " * 200_000])
+    assert [len(p) for p in bpe._pieces(longest)] == [50] * 20 + [1]
+
+
 # ---- unigram counts
 
 
