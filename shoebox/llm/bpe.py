@@ -1,10 +1,10 @@
 """BPE encoding and decoding by prefix-sharing trie traversal (operator 4).
 
-Each task collects the distinct words of an Arrow batch that it has not met before and walks their trie depth first
-(words in byte order, keeping the states of the prefix shared with the word before, so each shared prefix is worked
-out once). The state of a prefix is the last token of its encoding: the longest token that ends the prefix and that
-byte-pair merging leaves standing next to the last token of what is before it. The encoding of a prefix is that of the
-part before its last token, and that token; for prefixes of over LONGEST_KEPT bytes last tokens are followed back instead.
+Each task numbers the distinct words of a run of texts, about an Arrow batch, and walks the trie of those that it has not
+met before depth first (words in byte order, keeping the states of the prefix shared with the word before, so each
+shared prefix is worked out once). The state of a prefix is the last token of its encoding: the longest token that ends
+the prefix and that byte-pair merging leaves standing next to the last token of what is before it. The encoding of a
+prefix is that of the part before its last token, and that token, so last tokens are followed back from a word's end.
 
 Defined cases: a null text encodes as the empty text, to no ids; null ids decode to the empty text; the special
 tokens of the vocabulary file are found in a text as the tokenizers library finds them; whole texts of any length are
@@ -15,10 +15,8 @@ from __future__ import annotations
 
 import json
 from array import array
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from hashlib import sha256
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +28,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: The pre-tokenisation pattern of byte-level BPE, and the bytes that stand for themselves in its files.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: No letters or numbers begin as a contraction does, so the contractions may come after them, which is faster.
+WORD_PATTERN = r" ?\p{L}+| ?\p{N}+|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
-#: Bounds of what a worker keeps between batches, about 50 MB: twice WORDS_KEPT words, pairs of tokens, steps. Emptying
-#: the stores costs time only.
-WORDS_KEPT, PAIRS_KEPT, STEPS_KEPT, LONGEST_KEPT = 30_000, 170_000, 150_000, 40
-#: Bytes of text whose words are held apart at once.
-PIECE_BYTES = 250_000
+#: Bounds of what a worker keeps between batches, about 70 MB: twice WORDS_KEPT words, pairs of tokens, steps off the trie.
+#: Longer words than LONGEST_KEPT are not kept. Emptying the stores costs time only.
+WORDS_KEPT, PAIRS_KEPT, STEPS_KEPT, LONGEST_KEPT = 60_000, 170_000, 70_000, 40
+#: Bytes of text whose words are held apart at once, and how many words, new ones and all, make a run, whose trie is walked at once.
+PIECE_BYTES, RUN_NEW, RUN_WORDS = 250_000, 30_000, 1_000_000
+#: Ids that are decoded at once.
+PART_IDS = 100_000
 
 
 def byte_of_character() -> dict[str, int]:
@@ -58,6 +59,31 @@ class _Filled(dict):
         return found
 
 
+class _Words(dict):
+    """The number of each word met. Words of an older store keep theirs, others (`new`) get the next from `size` on."""
+
+    def __init__(self, older: dict[str | int, int], size: int):
+        super().__init__()
+        self.older, self.size = older, size
+        self.new: list[str | int] = []
+
+    def __missing__(self, word: str | int) -> int:
+        number = self.older.get(word)
+        if number is None:
+            number = self.size
+            self.size += 1
+            self.new.append(word)
+        self[word] = number
+        return number
+
+
+def _runs(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of runs of `count` entries from `start` on, one run after the other, and where each run begins and ends among these."""
+    borders = np.zeros(len(count) + 1, np.int32)
+    np.cumsum(count, out=borders[1:])
+    return np.repeat(start - borders[:-1], count) + np.arange(borders[-1], dtype=np.int32), borders
+
+
 class Vocabulary:
     """Tokens, merges and special tokens of a byte-level BPE file of the tokenizers library."""
 
@@ -66,131 +92,116 @@ class Vocabulary:
         byte = byte_of_character()
         self.tokens: dict[bytes, int] = {bytes(byte[c] for c in t): i for t, i in model["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
-        #: an id that is in no vocabulary decodes to nothing
-        self.bytes_of: dict[int, bytes] = defaultdict(bytes, {i: t for t, i in self.tokens.items()} | {i: t.encode() for t, i in self.special.items()})
+        #: the bytes of each id in a row; those in no vocabulary, -1 as well, have none
+        own = {i: t for t, i in self.tokens.items()} | {i: t.encode() for t, i in self.special.items()}
+        in_order = [own.get(i, b"") for i in range(max(own) + 1)] + [b""]
+        self.size = list(map(len, in_order))
+        self.bytes_start, self.bytes_count = np.cumsum([0, *self.size[:-1]]).astype(np.int32), np.array(self.size, np.int32)
+        self.bytes = np.frombuffer(b"".join(in_order), np.uint8)
         self.special_pattern = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.word_pattern = regex.compile(WORD_PATTERN)
         ids = {t: i for t, i in model["model"]["vocab"].items()}
-        #: (left, right) -> rank of the merge; token -> (left, right, rank) of the merge that makes it
-        self.rank: dict[tuple[int, int], int] = {}
-        self.made: dict[int, tuple[int, int, int]] = {}
+        #: left << 20 | right -> rank of the merge; for each token the rank and the parts of the merge that makes it, -1 if none does
+        self.rank: dict[int, int] = {}
+        self.made, self.left, self.right = (array("i", [-1]) * len(self.size) for _ in range(3))
         for rank, merge in enumerate(model["model"]["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
-            pair = ids[left], ids[right]
-            self.rank[pair] = rank
-            self.made.setdefault(ids[left + right], (*pair, rank))
+            token = ids[left + right]
+            self.rank[ids[left] << 20 | ids[right]] = rank
+            if self.made[token] < 0:
+                self.made[token], self.left[token], self.right[token] = rank, ids[left], ids[right]
         self.step: _Filled | None = None  # made with the first word; decoding does without
-        self.size = [len(self.bytes_of.get(i, b"")) for i in range(max(self.bytes_of) + 1)]
-        self.edges: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
         #: left << 20 | right -> whether the two tokens stand side by side
         self.pairs = _Filled(lambda pair: self._stands(pair >> 20, pair & 0xFFFFF))
-        #: the ids of words met of late and of those met before them, as 32-bit numbers in a row
-        self.words: dict[str | int, bytes] = {}
-        self.older: dict[str | int, bytes] = {}
+        #: words met of late and those met before them; the ids of word number i are the `count[i]` from `start[i]` on
+        self.older: dict[str | int, int] = {}
+        self.words = _Words(self.older, 0)
+        self.ids, self.start, self.count = (np.zeros(0, np.int32) for _ in range(3))
 
     def _link_suffixes(self) -> None:
         """An automaton that holds, for all bytes read so far, their longest end that begins a token (a node), and for
         each node the longest token that ends there; `shorter` has the next one that ends where a token does."""
-        self.trie: dict[int, int] = {}
-        begins, children = {b"": 0}, [[]]
+        begins = {b"": 0}
+        #: node << 8 | byte -> the node after that byte: the `edges` of tokens, then others as they are met
+        self.step = _Filled(self._next)
         for token in self.tokens:
             for end in range(1, len(token) + 1):
                 if token[:end] not in begins:
-                    node = begins[token[:end]] = len(children)
-                    parent = begins[token[: end - 1]]
-                    self.trie[parent << 8 | token[end - 1]] = node
-                    children[parent].append((token[end - 1], node))
-                    children.append([])
-        self.back, self.ends = [0] * len(children), [-1] * len(children)
-        #: node << 8 | byte -> the node after that byte
-        self.step = _Filled(self._next)
-        own = {begins[t]: i for t, i in self.tokens.items()}
-        self.shorter: dict[int, int] = {}
-        level = [0]
-        while level:
-            below = []
-            for node in level:
-                for byte, child in children[node]:
-                    self.back[child] = self.step[self.back[node] << 8 | byte] if node else 0
-                    self.ends[child] = own.get(child, self.ends[self.back[child]])
-                    if child in own:
-                        self.shorter[own[child]] = self.ends[self.back[child]]
-                    below.append(child)
-            level = below
+                    node = begins[token[:end]] = len(begins)
+                    self.step[begins[token[: end - 1]] << 8 | token[end - 1]] = node
+        self.edges = len(self.step)
+        self.back, self.ends = array("i", [0]) * len(begins), [-1] * len(begins)
+        self.shorter = [-1] * len(self.size)
+        for prefix in sorted(begins, key=len)[1:]:
+            node, parent = begins[prefix], begins[prefix[:-1]]
+            self.back[node] = self._next(self.back[parent] << 8 | prefix[-1]) if parent else 0
+            self.ends[node] = longest = self.ends[self.back[node]]
+            if (token := self.tokens.get(prefix)) is not None:
+                self.shorter[token], self.ends[node] = longest, token
 
     def _next(self, key: int) -> int:
         node, byte = key >> 8, key & 0xFF
-        while (found := self.trie.get(node << 8 | byte)) is None and node:
+        while (found := self.step.get(node << 8 | byte)) is None and node:
             node = self.back[node]
         return found or 0
 
-    def _edge(self, token: int, side: int) -> list[tuple[int, int, float]]:
-        """The tokens at one edge of `token` as merging makes it (side 0: right edge, 1: left edge), each with the rank
-        of the merge that makes it and of the one that takes it up."""
-        if (token, side) not in self.edges:
-            found, taken = [], float("inf")
-            part = token
-            while True:
-                made = self.made.get(part)
-                found.append((part, made[2] if made else -1, taken))
-                if not made:
-                    break
-                part, taken = made[1 - side], made[2]
-            self.edges[token, side] = found
-        return self.edges[token, side]
-
     def _stands(self, left: int, right: int) -> bool:
         """Whether no merge crosses the border of two tokens: one would need to come when both its parts lie at the
         border, after they are made and before they are taken up. Of equal ranks the merge further left comes first."""
-        for x, x_made, x_taken in self._edge(left, 0):
-            for y, y_made, y_taken in self._edge(right, 1):
-                rank = self.rank.get((x, y))
-                if rank is not None and x_made < rank < x_taken and y_made < rank <= y_taken:
-                    return False
-        return True
-
-    def encode_words(self, words: set[str]) -> dict[str, bytes]:
-        """The token ids of distinct words, as 32-bit numbers in a row, by one depth-first walk of their trie."""
+        x, y, x_taken, y_taken, made = left, right, len(self.rank), len(self.rank), self.made
+        while True:  # back in time: the later made of the two that lie at the border gives way to its part there
+            rank = self.rank.get(x << 20 | y)
+            if rank is not None and made[x] < rank < x_taken and made[y] < rank <= y_taken:
+                return False
+            if made[x] > made[y]:
+                x, x_taken = self.right[x], made[x]
+            elif made[y] >= 0:
+                y, y_taken = self.left[y], made[y]
+            else:
+                return True
+
+    def encode_words(self, words: list[str]) -> tuple[list[int], array, list[int]]:
+        """The token ids of distinct words, by one depth-first walk of their trie: places of the words in the order
+        of the walk, all ids, and where those of each word end."""
         if self.step is None:
             self._link_suffixes()
-        for kept, most in ((self.pairs, PAIRS_KEPT), (self.step, STEPS_KEPT)):
-            if len(kept) > most:
-                kept.clear()
+        if len(self.pairs) > PAIRS_KEPT:
+            self.pairs.clear()
+        while len(self.step) > self.edges + STEPS_KEPT:
+            self.step.popitem()
         pairs, step, ends, shorter, size = self.pairs, self.step, self.ends, self.shorter, self.size
-        # for each prefix of the word at hand: its node, its last token and, if it is not long, its whole encoding
-        out, before, nodes, last, ids = {}, b"", [0], [-1], [()]
-        add_node, add_last, add_ids = nodes.append, last.append, ids.append
-        for word in sorted(words):  # code points order as their UTF-8 bytes do
-            data, shared = word.encode(), 0
+        # for each prefix of the word at hand: its node and its last token, shifted
+        before, nodes, last, room = b"", [0], [0], 0
+        order, out, borders = sorted(range(len(words)), key=words.__getitem__), array("i"), []  # code points order as their UTF-8 bytes do
+        for place in order:
+            data, shared = words[place].encode(), 0
             for x, y in zip(before, data):
                 if x != y:
                     break
                 shared += 1
-            del nodes[shared + 1 :], last[shared + 1 :], ids[shared + 1 :]
+            if len(data) > room:
+                nodes += [0] * (len(data) - room)
+                last += [0] * (len(data) - room)
+                room = len(data)
             node, end = nodes[shared], shared
             for byte in data[shared:]:
                 end += 1
                 node = step[node << 8 | byte]
                 token = ends[node]
                 start = end - size[token]
-                while start and not pairs[last[start] << 20 | token]:
+                while start and not pairs[last[start] | token]:
                     token = shorter[token]
                     start = end - size[token]
-                add_node(node)
-                add_last(token)
-                if end <= LONGEST_KEPT:
-                    add_ids(ids[start] + (token,))
-            before = data
-            out[word] = array("i", ids[end] if end <= LONGEST_KEPT else self._back_from(end, last)).tobytes()
-        return out
-
-    def _back_from(self, end: int, last: list[int]) -> tuple[int, ...]:
-        """The encoding of a long prefix, by its last tokens from the end back."""
-        ids = []
-        while end:
-            ids.append(last[end])
-            end -= self.size[last[end]]
-        return tuple(ids[::-1])
+                nodes[end] = node
+                last[end] = token << 20
+            before, back = data, []
+            while end:
+                token = last[end] >> 20
+                back.append(token)
+                end -= size[token]
+            out.extend(back[::-1])
+            borders.append(len(out))
+        return order, out, borders
 
     def split(self, text: str) -> list[str | int]:
         """Words, and ids for special tokens."""
@@ -202,27 +213,65 @@ class Vocabulary:
             at = m.end()
         return out + self.word_pattern.findall(text[at:])
 
-    def pack_batch(self, texts: list[str]) -> list[bytes]:
-        """The token ids of texts, as 32-bit numbers in a row."""
-        split = [self.split(t) for t in texts]
-        if len(self.words) > WORDS_KEPT:  # the words that were not met since the last time go
-            self.words, self.older = {}, self.words
-        known, older = self.words, self.older
-        wanted = set(chain.from_iterable(split)).difference(known)
-        known.update({w: older[w] for w in wanted if w in older} | {i: array("i", [i]).tobytes() for i in wanted if isinstance(i, int)})
-        found = self.encode_words(wanted.difference(known))
-        known.update(found)
-        out = [b"".join(map(known.__getitem__, s)) for s in split]
-        for word in found:
-            if len(word) > LONGEST_KEPT:
-                del known[word]
-        return out
+    def pack(self, pieces: Iterable[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each list of texts the token ids of all of them, and where those of each text begin and end."""
+        run: list[tuple[np.ndarray, list[int]]] = []
+        for texts in pieces:
+            if not run and (len(self.words) > WORDS_KEPT or len(self.ids) > 32 * WORDS_KEPT):
+                self._forget()
+            numbers, borders = [], [0]
+            for text in texts:
+                split = self.split(text)
+                numbers.append(np.fromiter(map(self.words.__getitem__, split), np.int32, len(split)))
+                borders.append(borders[-1] + len(split))
+            run.append((np.concatenate(numbers), borders))
+            if len(self.words.new) > RUN_NEW or sum(len(n) for n, _ in run) > RUN_WORDS:
+                yield from self._packed(run)
+                run = []
+        yield from self._packed(run)
+
+    def _packed(self, run: list[tuple[np.ndarray, list[int]]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What `pack` gives, from the numbers of words and the places where texts begin and end among them."""
+        self._encode_new()
+        for numbers, borders in run:
+            places, ends = _runs(self.start[numbers], self.count[numbers])
+            yield self.ids[places], ends[borders]
+
+    def _encode_new(self) -> None:
+        """The ids of the words that have a number only."""
+        new, self.words.new = self.words.new, []
+        if not new:
+            return
+        order, out, borders = self.encode_words([w if isinstance(w, str) else "" for w in new])
+        start, count, held = np.zeros(len(new), np.int32), np.zeros(len(new), np.int32), len(self.ids)
+        start[order] = held + np.array([0, *borders[:-1]])
+        count[order] = np.diff(borders, prepend=0)
+        for number, word in enumerate(new):
+            if isinstance(word, int):
+                start[number], count[number] = held + len(out), 1
+                out.append(word)
+            elif len(word) > LONGEST_KEPT:
+                del self.words[word]
+        self.ids, self.start, self.count = (np.concatenate(x) for x in ((self.ids, out), (self.start, start), (self.count, count)))
+
+    def _forget(self) -> None:
+        """The words that were not met since the last time go, and the others are numbered anew."""
+        kept = np.fromiter(self.words.values(), np.int32, len(self.words))
+        places, borders = _runs(self.start[kept], self.count[kept])
+        self.ids, self.start, self.count = self.ids[places], borders[:-1].copy(), np.diff(borders)
+        self.older = dict(zip(self.words, range(len(kept))))
+        self.words = _Words(self.older, len(kept))
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        return [np.frombuffer(p, np.int32).tolist() for p in self.pack_batch(texts)]
+        return [ids[a:b].tolist() for ids, borders in self.pack([texts]) for a, b in zip(borders, borders[1:])]
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray, borders: Sequence[int]) -> list[str]:
+        """The texts of ids in a row, each between two borders."""
+        known = np.where((ids >= 0) & (ids < len(self.size)), ids, -1)
+        parts = np.split(known, range(PART_IDS, len(known), PART_IDS))
+        found = b"".join([self.bytes[_runs(self.bytes_start[p], self.bytes_count[p])[0]].tobytes() for p in parts])
+        at = np.append(0, np.cumsum(self.bytes_count[known]))[borders].tolist()
+        return [found[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])]
 
 
 _loaded: dict[str, Vocabulary] = {}
@@ -259,14 +308,13 @@ class ByteBPE:
 
         def encoded(own: Vocabulary, batch: pa.Array, decoded: list[str] | None = None) -> pa.Array:
             """The ids of a batch; what they decode to is added to `decoded`, if given."""
-            parts, counts = [np.zeros(0, np.int32)], [0]
-            for piece in _pieces(batch):
-                ids = own.pack_batch([t or "" for t in piece.to_pylist()])
-                counts += [len(p) // 4 for p in ids]
-                parts.append(np.frombuffer(b"".join(ids), np.int32))
+            parts, offsets = [np.zeros(0, np.int32)], [np.zeros(1, np.int32)]
+            for ids, borders in own.pack([t or "" for t in piece.to_pylist()] for piece in _pieces(batch)):
+                parts.append(ids)
+                offsets.append(offsets[-1][-1] + borders[1:])
                 if decoded is not None:
-                    decoded += [own.decode(np.frombuffer(p, np.int32).tolist()) for p in ids]
-            return pa.ListArray.from_arrays(np.cumsum(counts).astype(np.int32), np.concatenate(parts))
+                    decoded += own.decode(ids, borders)
+            return pa.ListArray.from_arrays(np.concatenate(offsets), np.concatenate(parts))
 
         def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             own = _vocabulary(name, sent)
@@ -283,8 +331,8 @@ class ByteBPE:
         def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             own = _vocabulary(name, sent)
             for batch in batches:
-                at, ids = batch.offsets.to_pylist(), batch.values.to_numpy(zero_copy_only=False)
-                yield pa.array([own.decode(ids[a:b].tolist()) for a, b in zip(at, at[1:])], pa.string())
+                at, ids = batch.offsets.to_pylist(), batch.values.fill_null(-1).to_numpy()
+                yield pa.array([own.decode(ids[a:b], [0, b - a])[0] for a, b in zip(at, at[1:])], pa.string())
 
         self._encode = F.arrow_udf(encode, T.ArrayType(T.IntegerType()))
         self._decode = F.arrow_udf(decode, T.StringType())

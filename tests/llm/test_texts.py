@@ -63,6 +63,35 @@ def test_bpe_keeps_a_bounded_store(monkeypatch):
     assert [len(p) for p in bpe._pieces(longest)] == [50] * 20 + [1]
 
 
+def test_bpe_walks_words_that_come_again_once():
+    """A word that comes again after some ten thousand others keeps its ids, so the work grows with new words, not with all."""
+    own, library, walked = Vocabulary(open(PATH, "rb").read()), Tokenizer.from_file(PATH), 0
+    walk = own.encode_words
+
+    def counted(words):
+        nonlocal walked
+        walked += len(words)
+        return walk(words)
+
+    own.encode_words = counted
+    texts = ["".join(" " + "".join(chr(97 + i // 26**k % 26) for k in range(5)) for i in range(at, at + 5_000)) for at in range(0, 55_000, 5_000)]
+    for text in texts * 3:
+        assert own.encode_batch([text]) == [library.encode(text, add_special_tokens=False).ids]
+    assert walked == 55_000
+
+
+def test_bpe_decodes_any_ids(spark, monkeypatch):
+    """Ids of no vocabulary and nulls decode to nothing; what a cut leaves of a character is replaced as the library does."""
+    own, library = ByteBPE(spark, PATH), Tokenizer.from_file(PATH)
+    ids = library.encode("größe ñandú 漢字 🙂<|endoftext|>", add_special_tokens=False).ids
+    rows = [ids, [-1, *ids, None, 10**6], [], None, *([i] for i in ids)]
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "n int, ids array<int>").select("n", own.decode("ids").alias("text")).orderBy("n").collect()
+    whole = library.decode(ids, skip_special_tokens=False)
+    assert [r.text for r in got] == [whole, whole, "", "", *(library.decode([i], skip_special_tokens=False) for i in ids)]
+    monkeypatch.setattr(bpe, "PART_IDS", 3)
+    assert Vocabulary(open(PATH, "rb").read()).decode(np.array(ids + ids), [0, len(ids), 2 * len(ids)]) == [whole, whole]
+
+
 # ---- unigram counts
 
 
