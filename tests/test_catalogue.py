@@ -87,3 +87,14 @@ def test_near_duplicates_of_all_rows_match_all_pairs(spark):
     got = {(r.vec_id, r.group, r["size"], r.is_best) for r in QUERIES["near_duplicates_all"](spark, SF).collect()}
     assert got == expected
     assert any(rows[i].vec_id % 20 and rows[j].vec_id % 20 for i, j in pairs)
+
+
+def test_graph_of_nearest_has_every_row(spark):
+    import numpy as np
+
+    rows = sorted(spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").where("embedding is not null").collect())
+    u = np.array([r.embedding for r in rows], np.float64)
+    near = u @ u.T
+    np.fill_diagonal(near, -np.inf)
+    want = {(rows[i].vec_id, rank + 1, rows[int(j)].vec_id) for i in range(len(rows)) for rank, j in enumerate(np.argsort(-near[i], kind="stable")[:10])}
+    assert {(r.query_id, r["rank"], r.id) for r in QUERIES["knn_graph"](spark, SF).collect()} == want and len(want) == 10 * len(rows)
