@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
@@ -73,9 +76,10 @@ def components(edges: DataFrame) -> DataFrame:
     return found.join(least, "next").select("node", "component")
 
 
-#: Bytes of query vectors that are sent to all tasks, beyond which queries are dealt to blocks too; numbers in the vectors
-#: of a block, and products, that a task holds at once.
-SENT, NUMBERS, CELLS = 16 << 20, 2 << 20, 1_000_000
+#: Bytes of query vectors and of what is found for them, which are sent to all tasks or held by each, beyond which queries
+#: are dealt to blocks; numbers of a block of queries, of a block of rows, and products, that a task holds at once; numbers
+#: of rows that a task reads block by block.
+SENT, NUMBERS, ROWS, CELLS, READ = 16 << 20, 2 << 20, 1 << 19, 1_000_000, 128 << 20
 
 
 def directed(vector: str) -> Column:
@@ -88,44 +92,71 @@ def directed(vector: str) -> Column:
 def nearest_to_queries(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int = 10, row_block: int | None = None, query_block: int | None = None) -> DataFrame:
     """(query_id, rank, id, score): the exact k nearest rows of each stated query by dot product of unit vectors.
 
-    Queries of at most SENT bytes go to all tasks, which read the rows where they are. More queries are dealt to blocks,
-    as rows are, and every two blocks meet in a task of their own. Either way a task compares blocks of NUMBERS (or so
-    many rows) by matrix products of CELLS and passes on each query's k best of a block at once, so what it holds depends
-    on neither table. A query doesn't find its own row. Vectors that are null or empty or hold null or non-finite
-    components find nothing and are not found; vectors are compared with those of their length.
+    Queries of at most SENT bytes go to all tasks, which read the rows where they are. More queries are dealt to blocks of
+    NUMBERS (or so many queries), one for each core at least, and each meets all rows, in tasks of READ numbers (or so many
+    rows). Either way a task compares its queries with one block of ROWS numbers after another by matrix products of CELLS,
+    keeps the k best so far of each and passes these on at its end; so what it holds depends on neither table, and what it
+    passes on not on the rows that it reads. Products that can be among the k best are summed once more in the order of the
+    components, as SQL does, and ties go by least id. A query doesn't find its own row. Ids that are null, and vectors that
+    are null or empty or hold null or non-finite components, find nothing and are not found; vectors are compared with
+    those of their length.
     """
     single = rows.schema[vector_col].dataType == queries.schema[vector_col].dataType == ArrayType(FloatType(), rows.schema[vector_col].dataType.containsNull)
     kept = F.col(vector_col) if single else F.col(vector_col).cast("array<double>")  # products are of doubles
-    rows, queries = (df.where(directed(vector_col)).select(F.col(id_col).alias("id"), kept.alias("vector")) for df in (rows, queries))
+    rows, queries = (df.where(directed(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), kept.alias("vector")) for df in (rows, queries))
     schema = f"query_id {rows.schema['id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double"
-    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("x")).first()
-    if size.x * 8 <= SENT:
-        sent, numbers, cells = rows.sparkSession.sparkContext.broadcast(by_length(queries.toArrow())), NUMBERS, CELLS  # its size was checked
+    size = _size(queries)
+    held, numbers, cells = size.x + 3 * k * size.n, ROWS, CELLS  # a found row is an id, a number of its query and a score
+    if held * 8 <= SENT:
+        sent = rows.sparkSession.sparkContext.broadcast(by_length(queries.toArrow()))  # its size was checked
 
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for have in blocks_of(batches, numbers):
-                yield from _blocks_best(sent.value, have, k, cells)
+            yield from _best(sent.value, blocks_of(batches, numbers), k, cells)
 
         near = rows.mapInArrow(best, schema)
     else:
-        block = max(1, NUMBERS * size.n // size.x)
-        n_rows, n_queries, cells = max(1, -(-rows.count() // (row_block or block))), -(-size.n // (query_block or block)), CELLS
+        others = _size(rows)
+        n_queries = max(-(-size.n // query_block) if query_block else -(-held // NUMBERS), rows.sparkSession.sparkContext.defaultParallelism)
+        n_rows = max(1, -(-others.n // row_block) if row_block else -(-others.x // READ))
 
-        def dealt(df: DataFrame, own: int, other: int, names: tuple[str, str]) -> DataFrame:
-            block = F.pmod(F.xxhash64("id"), F.lit(own)).cast("int").alias(names[0])
-            return df.select("id", "vector", block, F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(names[1]))
+        def dealt(df: DataFrame, asks: bool) -> DataFrame:
+            own, other = (n_queries, n_rows) if asks else (n_rows, n_queries)
+            block, met = F.pmod(F.xxhash64("id"), F.lit(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
+            met = df.select("id", "vector", block.alias("own"), met.alias("other"))
+            return met.select("id", "vector", (F.col("own" if asks else "other") * n_rows + F.col("other" if asks else "own")).alias("block"), F.lit(not asks).alias("found"))
 
-        def met(asked: pa.Table, have: pa.Table) -> pa.Table:
-            kind = have.schema.field("id").type
-            none = pa.RecordBatch.from_arrays([pa.array([], kind), pa.array([], kind), pa.array([], pa.float64())], ["query_id", "id", "score"])
-            return pa.Table.from_batches([none, *_blocks_best(by_length(asked), have, k, cells)])
-
-        left = dealt(queries, n_queries, n_rows, ("q", "r")).groupBy("q", "r")
-        near = left.cogroup(dealt(rows, n_rows, n_queries, ("r", "q")).groupBy("q", "r")).applyInArrow(met, schema)
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, met in groupby(_runs(batches), itemgetter(0)):
+                asked, first = [], []
+                for _, found, batch in met:
+                    if found:
+                        first.append(batch)
+                        break
+                    asked.append(batch)
+                if asked and first:
+                    have = chain(first, (batch for _, _, batch in met))
+                    yield from _best(by_length(pa.Table.from_batches(asked)), blocks_of(have, numbers), k, cells)
+
+        both = dealt(queries, True).unionByName(dealt(rows, False))
+        near = both.repartitionById(n_queries * n_rows, "block").sortWithinPartitions("block", "found").mapInArrow(best, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+def _size(vectors: DataFrame) -> Row:
+    return vectors.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("x")).first()
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
+    """(block, found, rows) of sorted rows, cut where either changes."""
+    for batch in batches:
+        block, found = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "found"))
+        ends = [*(np.flatnonzero((np.diff(block) != 0) | (found[1:] != found[:-1])) + 1).tolist(), len(block)]
+        for at, end in zip([0, *ends], ends, strict=False):
+            if end > at:
+                yield int(block[at]), bool(found[at]), batch.slice(at, end - at)
+
+
 def blocks_of(batches: Iterator[pa.RecordBatch], numbers: int) -> Iterator[pa.Table]:
     """A task's rows with a column `vector` in tables of about so many numbers."""
     some, held = [], 0
@@ -154,26 +185,90 @@ def by_length(table: pa.Table) -> dict[int, tuple[pa.Array, np.ndarray]]:
     return out
 
 
-def _blocks_best(asked: dict[int, tuple[pa.Array, np.ndarray]], have: pa.Table, k: int, cells: int) -> Iterator[pa.RecordBatch]:
-    for d, block in by_length(have).items():
-        if d in asked:
-            yield from _block_best(*asked[d], *block, k, cells)
-
-
-def _block_best(names: pa.Array, asked: np.ndarray, ids: pa.Array, have: np.ndarray, k: int, cells: int) -> Iterator[pa.RecordBatch]:
-    """The k best of a block of rows for each query of a block, some queries at a time; what ties with the k-th goes on
-    too."""
-    count, have = min(k, len(ids)), have.astype(float, copy=False)
+def _best(asked: dict[int, tuple[pa.Array, np.ndarray]], blocks: Iterator[pa.Table], k: int, cells: int) -> Iterator[pa.RecordBatch]:
+    """The k best of all blocks for each query of a block, in a batch for each length."""
+    found: dict[int, pa.Table] = {}
+    least = {d: np.full(len(names), -np.inf) for d, (names, _) in asked.items()}  # each query's k-th best so far
+    for table in blocks:
+        for d, (ids, have) in by_length(table).items():
+            more = list(_block_best(*asked[d], *_few_copies(ids, have, k), k, cells, least[d])) if d in asked else []
+            if more:
+                both = pa.concat_tables([*([found[d]] if d in found else []), pa.Table.from_batches(more)]).combine_chunks()
+                at, scores = both.column("place").to_numpy(), both.column("score").to_numpy()
+                kept, last = _first(at, scores, _ranks(both.column("id")), k)
+                found[d], least[d][at[last]] = both.take(pa.array(kept)), scores[last]
+    for table in found.values():
+        yield from table.select(["query_id", "id", "score"]).combine_chunks().to_batches()
+
+
+def _ranks(ids: pa.Array) -> np.ndarray:
+    """Numbers in the order of ids of whatever type, equal ones for equal ids."""
+    return pc.rank(ids, tiebreaker="dense").to_numpy()
+
+
+def _first(query: np.ndarray, scores: np.ndarray, ranks: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each query's k first are by score, then id, and where its k-th is if it has so many."""
+    order = np.lexsort((ranks, -scores, query))
+    of = query[order]
+    starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+    place = np.arange(len(of)) - np.repeat(starts, np.diff(np.append(starts, len(of))))
+    return order[place < k], order[place == k - 1]
+
+
+def _few_copies(ids: pa.Array, have: np.ndarray, k: int) -> tuple[pa.Array, np.ndarray]:
+    """A block's rows but those of equal vectors that no query has among its k best: k + 1 lesser ids or k rows of the
+    same id, which tie with them, come first."""
+    have = np.ascontiguousarray(have)
+    bits = have.view(np.uint32).astype(np.uint64)
+    sums = bits @ np.random.default_rng(0).integers(1, 2**63, bits.shape[1], np.uint64)
+    if len(np.unique(sums)) == len(sums):
+        return ids, have
+    _, vector = np.unique(have.view(np.dtype((np.void, have.itemsize * have.shape[1]))).ravel(), return_inverse=True)
+    ranks = _ranks(ids)
+    order = np.lexsort((ranks, vector))
+    vector, ranks = vector[order], ranks[order]
+    new_vector = np.concatenate(([True], vector[1:] != vector[:-1]))
+    new_id = new_vector | np.concatenate(([True], ranks[1:] != ranks[:-1]))
+    id_number, at = np.cumsum(new_id), np.arange(len(order))
+    before = id_number - np.maximum.accumulate(np.where(new_vector, id_number, 0))
+    kept = order[(before <= k) & (at - np.maximum.accumulate(np.where(new_id, at, 0)) < k)]
+    kept.sort()
+    return ids.take(pa.array(kept)), have[kept]
+
+
+def _block_best(names: pa.Array, asked: np.ndarray, ids: pa.Array, have: np.ndarray, k: int, cells: int, least: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """The k best of a block of rows for each query of a block, of those that reach `least`, some queries at a time.
+
+    Products of single numbers, with slack for their error, tell which rows can be among them; scores are sums of doubles.
+    """
+    count, d = min(k, len(ids)), asked.shape[1]
+    lengths, longest = (np.sqrt(np.einsum("ij,ij->i", x, x, dtype=float)) for x in (asked, have))
+    reach = lengths * longest.max(initial=0.0)
+    kind = np.float32 if asked.dtype == have.dtype == np.float32 and reach.max(initial=0.0) < 1e38 else np.float64
+    asked, have = asked.astype(kind, copy=False), have.astype(kind, copy=False)
+    slack = 2 * (d + 2) * np.finfo(kind).eps * reach + d * 1e-37  # sums in another order, and what underflows, differ by less
     # ids, of whatever type, are compared by their numbers
-    numbers = pa.concat_arrays([names, ids.cast(names.type)]).dictionary_encode().indices.fill_null(-1).to_numpy()
-    step = max(1, cells // max(1, len(ids)))
+    numbers = pa.concat_arrays([names, ids.cast(names.type)]).dictionary_encode().indices.to_numpy()
+    ranks, step, part = _ranks(ids), max(1, cells // max(1, len(ids))), max(1, cells // d)
     for at in range(0, len(names) if count else 0, step):
-        own = numbers[at : min(at + step, len(names))]
-        near = asked[at : at + step].astype(float, copy=False) @ have.T
+        own, some, less = (x[at : at + step] for x in (numbers[: len(names)], asked, slack))
+        near = some @ have.T
         near[own[:, None] == numbers[None, len(names) :]] = -np.inf
-        floor = np.partition(near, len(ids) - count, axis=1)[:, len(ids) - count, None]
-        i, j = np.nonzero((near >= floor - 1e-12) & np.isfinite(near))
-        yield pa.RecordBatch.from_arrays([names.take(pa.array(i + at)).cast(ids.type), ids.take(pa.array(j)), pa.array(near[i, j])], ["query_id", "id", "score"])
+        floor = np.full(len(some), -np.inf) if least is None else least[at : at + step] - less
+        many = np.isneginf(floor)
+        if not many.any():
+            hits = np.flatnonzero(near >= floor.astype(kind)[:, None])
+            many = np.bincount(hits // len(ids), minlength=len(some)) > 4 * k
+        if many.any():
+            floor[many] = np.maximum(floor[many], np.partition(near[many], len(ids) - count, axis=1)[:, len(ids) - count] - less[many])
+            hits = np.flatnonzero(near >= floor.astype(kind)[:, None])
+        i, j = np.divmod(hits[np.isfinite(near.ravel()[hits])], len(ids))
+        if len(i):
+            parts = [slice(p, p + part) for p in range(0, len(i), part)]
+            scores = np.concatenate([np.add.accumulate(some[i[p]].astype(float) * have[j[p]], axis=1)[:, -1] for p in parts])
+            kept, _ = _first(i, scores, ranks[j], k)
+            place = pa.array(i[kept] + at)
+            yield pa.RecordBatch.from_arrays([place, names.take(place).cast(ids.type), ids.take(pa.array(j[kept])), pa.array(scores[kept])], ["place", "query_id", "id", "score"])
 
 
 def purity(rows: DataFrame, cluster: str, truth: str) -> DataFrame:

@@ -98,3 +98,18 @@ def test_graph_of_nearest_has_every_row(spark):
     np.fill_diagonal(near, -np.inf)
     want = {(rows[i].vec_id, rank + 1, rows[int(j)].vec_id) for i in range(len(rows)) for rank, j in enumerate(np.argsort(-near[i], kind="stable")[:10])}
     assert {(r.query_id, r["rank"], r.id) for r in QUERIES["knn_graph"](spark, SF).collect()} == want and len(want) == 10 * len(rows)
+
+
+def test_graph_of_nearest_ties_as_in_sql(spark, tmp_path, monkeypatch):
+    """Products that tie when summed in the order of the components, not in that of a matrix product of one query."""
+    from shoebox.operators import groups
+
+    monkeypatch.setattr(groups, "CELLS", 1)
+    small = 2.0**-53
+    rows = [(i, [1.0] + [small * (i % 2)] * 63, 0) for i in range(60)] + [(100, [1.0] * 64, 0), (101, [0.25] * 64, 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.sql(f"select query_id, rank, id from ({ORACLE['knn_graph']})").fetchall()
+    assert {(r.query_id, r["rank"], r.id) for r in QUERIES["knn_graph"](spark, str(tmp_path)).collect()} == set(want)
+    assert [i for q, _, i in sorted(want) if q == 100] == [101, *range(9)]

@@ -531,3 +531,47 @@ def test_alike_texts_shuffle_no_texts(spark, monkeypatch, sent):
         assert sorted(r.k for r in found.collect()) == [1, 3, 4]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def in_order(v, ids, k):
+    """(query, rank, id) of the k nearest by products summed in the order of the components, then by id."""
+    x, total = v.astype(float), np.zeros((len(v), len(v)))
+    for c in x.T:
+        total += c[:, None] * c
+    return {(ids[q], n + 1, i) for q in range(len(v)) for n, (_, i) in enumerate(sorted((-total[q, j], ids[j]) for j in range(len(v)) if j != q)[:k])}
+
+
+@pytest.mark.parametrize("sent", [groups.SENT, 0])
+def test_equal_vectors_are_equally_near(spark, monkeypatch, sent):
+    rng = np.random.default_rng(11)
+    v = np.float32(rng.normal(size=(403, 37)))
+    v[20:300] = v[rng.integers(0, 3, 280)]
+    ids = [f"v{i:03d}" for i in rng.permutation(len(v))]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v)], "id string, v array<float>").repartition(3)
+    monkeypatch.setattr(groups, "SENT", sent)
+    got = {(r.query_id, r["rank"], r.id) for r in groups.nearest_to_queries(df, df, "id", "v", 5, 150, 130).collect()}
+    assert got == in_order(v, ids, 5)
+
+
+def test_nearest_of_all_blocks_are_passed_on_once():
+    rng = np.random.default_rng(12)
+    for scale in (1.0, 1e-21, 1e-30, 1e15, 1e25):
+        v, names = np.float32(rng.normal(size=(300, 5)) * scale), pa.array([f"v{i:03d}" for i in rng.permutation(300)])
+        v[100:200] = v[7]
+        table = pa.table({"id": names, "vector": pa.array(list(v), pa.list_(pa.float32()))})
+        blocks = [table.slice(i, 40) for i in range(0, 300, 40)]
+        parts = list(groups._best(groups.by_length(table), iter(blocks), 4, 1000))
+        assert sum(p.num_rows for p in parts) == 4 * 300
+        found = sorted((r["query_id"], -r["score"], r["id"]) for p in parts for r in p.to_pylist())
+        assert {(q, n % 4 + 1, i) for n, (q, _, i) in enumerate(found)} == in_order(v, names.to_pylist(), 4)
+
+
+def test_few_copies_leave_each_query_its_best():
+    v = np.float32([[1.0, 2.0]] * 9 + [[0.5, 0.0]])
+    ids, have = groups._few_copies(pa.array([5, 1, 1, 1, 2, 3, 4, 6, 7, 8]), v, 2)
+    assert ids.to_pylist() == [1, 1, 2, 3, 8] and have.tolist() == [[1.0, 2.0]] * 4 + [[0.5, 0.0]]
+
+
+def test_rows_without_an_id_are_no_neighbours(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (None, [1.0, 0.0])], "id long, v array<float>")
+    assert sorted((r.query_id, r.id) for r in groups.nearest_to_queries(df, df, "id", "v", 3).collect()) == [(1, 2), (2, 1)]
